@@ -8,22 +8,55 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortia.llm import chat, fingerprint, mixing, simhash
+from cohortia.llm import chat, fingerprint, language, lines, mixing, neighbours, packing, quality, simhash, toxicity
+from cohortia.llm.common import remainder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs, remainder("doc_id", 4) != 2)
+    found = language.identify(docs, model)
+    return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), F.col("guess").alias("lang_pred"), "score", (F.col("lang") != language.UNKNOWN).alias("accepted"))
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "removed_lines", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mixing.mix(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    trees = quality.fit(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
+    return _verdict(quality.score(docs, trees), remainder("doc_id", 5) == 0)
+
+
+def _verdict(scored: DataFrame, held_out) -> DataFrame:
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
@@ -57,6 +90,34 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.search(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    weights = toxicity.fit(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 4) != 2)
+    return _verdict(toxicity.score(docs, weights), remainder("doc_id", 4) == 2)
+
+
+OP2_SQL = """
+WITH l AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents
+), f AS (
+  SELECT doc_id, line, pos, (row_number() OVER d) - 1 AS place, lead(line, 1) OVER d AS line_2, lead(line, 2) OVER d AS line_3
+  FROM l WHERE regexp_matches(line, '[^ \\t\\r]') WINDOW d AS (PARTITION BY doc_id ORDER BY pos)
+), w AS (
+  SELECT doc_id, place, row_number() OVER (PARTITION BY line, line_2, line_3 ORDER BY doc_id, place) AS nth FROM f WHERE line_3 IS NOT NULL
+), gone AS (
+  SELECT DISTINCT f.doc_id, f.pos FROM f JOIN w ON f.doc_id = w.doc_id AND f.place BETWEEN w.place AND w.place + 2 AND w.nth > 1
+)
+SELECT l.doc_id, count(*) AS n_lines, count(gone.pos) AS removed_lines,
+  md5(coalesce(string_agg(line, chr(10) ORDER BY l.pos) FILTER (gone.pos IS NULL), '')) AS text_md5,
+  length(coalesce(string_agg(line, chr(10) ORDER BY l.pos) FILTER (gone.pos IS NULL), '')) AS n_chars
+FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.pos = gone.pos GROUP BY l.doc_id
+"""
+
 OP3_SQL = """
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents
@@ -95,11 +156,17 @@ FROM f GROUP BY conv_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op2_line_dedup": op2_line_dedup,
     "op3_mix_sources": op3_mix_sources,
+    "op4_pack": op4_pack,
     "op5_fingerprints": op5_fingerprints,
+    "op6_quality": op6_quality,
     "op7_simhash": op7_simhash,
     "op8_chat_format": op8_chat_format,
+    "op9_neighbours": op9_neighbours,
+    "op10_toxicity": op10_toxicity,
 }
 
 #: op3's `taken` depends on Spark's hash, so its query has no SQL; a test holds OP3_SQL against the rest.
-ORACLE_SQL: dict[str, str] = {"op8_chat_format": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op8_chat_format": OP8_SQL}
