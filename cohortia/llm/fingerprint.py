@@ -25,6 +25,8 @@ _LANES = ((1 << 20) - 1) * _ONES
 _EXACT_MASK = (1 << 62) - 1
 #: Java regex at which paragraphs are parted into clauses.
 CLAUSE_ENDS = "[.!?,;:|\\x0A]+"
+#: Java regex of what holds more than ASCII blanks.
+_FULL = "[^\\x20\\x09-\\x0D]"
 _N = EXACT + 1 + SEEDS * _SHIFTS
 
 
@@ -55,13 +57,13 @@ def removed(a: Column, b: Column) -> Column:
 
 def fingerprint(text: Column) -> Column:
     """The wide vector of a text, as an array of longs; null counts as empty."""
-    paragraphs = F.filter(F.split(F.coalesce(text, F.lit("")), "\\x0A"), lambda p: F.trim(p) != "")
+    paragraphs = F.filter(F.split(F.coalesce(text, F.lit("")), "\\x0A"), lambda p: p.rlike(_FULL))
 
     def whole(acc: Column, p: Column) -> Column:
         return F.struct(*[(acc[f"e{k}"] + F.xxhash64(F.lit(k), p).bitwiseAND(F.lit(_EXACT_MASK))).bitwiseAND(F.lit(_EXACT_MASK)).alias(f"e{k}") for k in range(EXACT)])
 
     exact = F.aggregate(paragraphs, F.struct(*[F.lit(0).cast("long").alias(f"e{k}") for k in range(EXACT)]), whole)
-    clauses = F.filter(F.split(F.array_join(paragraphs, "\n"), CLAUSE_ENDS), lambda c: F.trim(c) != "")
+    clauses = F.filter(F.split(F.array_join(paragraphs, "\n"), CLAUSE_ENDS), lambda c: c.rlike(_FULL))
     clauses = F.transform(clauses, lambda c: F.struct(*[F.xxhash64(F.lit(100 + s), F.trim(c)).alias(f"h{s}") for s in range(SEEDS)]))
 
     def lanes(acc: Column, h: Column) -> Column:

@@ -52,11 +52,12 @@ def drop_repeated_lines(docs: DataFrame, width: int = 3) -> DataFrame:
     null with no lines; texts of fewer lines than `width` stay as they are; rows equal in id and text
     are one document and stay as they are twice; null ids come first; other columns are kept.
     """
-    plain = docs.drop("n_lines", "removed_lines")
-    found = covered(plain.select("doc_id", "text"), width).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "starts")
-    keyed = plain.withColumn("_key", F.xxhash64("doc_id", "text"))
-    rows = keyed.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_row")), "left")
-    # Merged runs as [from, to) over full lines.
+    columns = [c for c in docs.columns if c not in ("n_lines", "removed_lines")]
+    found = covered(docs.select("doc_id", "text"), width).select(F.col("doc_id").alias("id"), "row", "starts")
+    # The rows' own columns stay in a struct, so that no name clashes.
+    rows = docs.select(F.struct(*columns).alias("doc")).withColumn("key", F.xxhash64("doc.doc_id", "doc.text"))
+    rows = rows.join(found, F.col("doc.doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("row")), "left")
+    # Merged runs as [a, b) over full lines.
     run = F.aggregate(
         "starts",
         F.expr("cast(array() as array<struct<a:int,b:int>>)"),
@@ -65,11 +66,14 @@ def drop_repeated_lines(docs: DataFrame, width: int = 3) -> DataFrame:
             F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), (p + width).alias("b")))),
         ).otherwise(F.concat(acc, F.array(F.struct(p.alias("a"), (p + width).alias("b"))))),
     )
-    rows = rows.withColumn("_lines", F.split(F.coalesce("text", F.lit("")), "\n"))
-    gone = F.flatten(F.transform(run, lambda r: F.transform(F.slice(F.col("_full"), r["a"] + 1, r["b"] - r["a"]), lambda s: s["at"])))
-    rows = rows.withColumn("_full", F.when(F.col("starts").isNotNull(), _full_lines(F.col("text"))))
-    rows = rows.withColumn("_gone", F.when(F.col("starts").isNotNull(), gone))
-    left = F.array_join(F.filter("_lines", lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    rows = rows.withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("_lines")).cast("long"))
-    rows = rows.withColumn("removed_lines", F.when(F.col("starts").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("long"))
-    return rows.withColumn("text", F.when(F.col("starts").isNull(), F.col("text")).otherwise(left)).select(*plain.columns, "n_lines", "removed_lines")
+    rows = rows.withColumn("lines", F.split(F.coalesce("doc.text", F.lit("")), "\n"))
+    gone = F.flatten(F.transform(run, lambda r: F.transform(F.slice(F.col("full"), r["a"] + 1, r["b"] - r["a"]), lambda s: s["at"])))
+    rows = rows.withColumn("full", F.when(F.col("starts").isNotNull(), _full_lines(F.col("doc.text"))))
+    rows = rows.withColumn("gone", F.when(F.col("starts").isNotNull(), gone))
+    left = F.array_join(F.filter("lines", lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
+    text = F.when(F.col("starts").isNull(), F.col("doc.text")).otherwise(left)
+    return rows.select(
+        *[(text if c == "text" else F.col("doc").getField(c)).alias(c) for c in columns],
+        F.when(F.col("doc.text").isNull(), F.lit(0)).otherwise(F.size("lines")).cast("long").alias("n_lines"),
+        F.when(F.col("starts").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long").alias("removed_lines"),
+    )

@@ -122,17 +122,16 @@ def mix_documents(docs: DataFrame, **how) -> DataFrame:
     text share what they take.
     """
     columns = docs.columns
-    key = F.xxhash64(F.lit("row"), "doc_id", "source", "text")
-    keyed = docs.withColumn("_row", key)
-    sizes = keyed.select(F.struct("doc_id", "_row").alias("doc_id"), "source", word_count(F.col("text")).alias("size"))
-    taken = mix(sizes, **how).groupBy("doc_id").agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size")).filter("_taken > 0")
-    taken = taken.select(F.col("doc_id._row").alias("_row"), F.col("doc_id.doc_id").alias("_id"), "_taken", "_size")
-    rows = keyed.dropDuplicates(["doc_id", "_row"]).join(taken, (F.col("_id").eqNullSafe(F.col("doc_id"))) & (keyed["_row"] == taken["_row"])).drop(taken["_row"])
-    rows = rows.withColumn("_part", F.col("_taken") % F.col("_size")).withColumn("_copies", F.expr("_taken div _size") + (F.col("_part") > 0).cast("long"))
-    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    cut = (F.col("_copy") == F.col("_copies")) & (F.col("_part") > 0)
-    start = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("_part").cast("int")), "")
-    rows = rows.withColumn("text", F.when(cut, start).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    return rows.select(*columns)
+    # The rows' own columns stay in a struct, so that no name clashes.
+    keyed = docs.select(F.struct(*columns).alias("doc"), F.col("doc_id").alias("id"), F.xxhash64(F.lit("row"), "doc_id", "source", "text").alias("row"))
+    sizes = keyed.select(F.struct("id", "row").alias("doc_id"), F.col("doc.source").alias("source"), word_count(F.col("doc.text")).alias("size"))
+    taken = mix(sizes, **how).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.max("size").alias("size")).filter("taken > 0")
+    taken = taken.select(F.col("doc_id.id").alias("its_id"), F.col("doc_id.row").alias("its_row"), "taken", "size")
+    rows = keyed.dropDuplicates(["id", "row"]).join(taken, F.col("id").eqNullSafe(F.col("its_id")) & (F.col("row") == F.col("its_row")))
+    rows = rows.withColumn("part", F.col("taken") % F.col("size")).withColumn("copies", F.expr("taken div size") + (F.col("part") > 0).cast("long"))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    cut = (F.col("copy") == F.col("copies")) & (F.col("part") > 0)
+    start = F.array_join(F.slice(F.regexp_extract_all("doc.text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("part").cast("int")), "")
+    rows = rows.withColumn("new", F.when(cut, start).otherwise(F.col("doc.text")))
+    made = {"text": F.col("new"), "n_chars": F.length("new").cast("long")}
+    return rows.select(*[made.get(c, F.col("doc").getField(c)).alias(c) for c in columns])
