@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cohortia.operators.ranks import numbered, running_before
+
 
 def usable(x: str) -> Column:
     return F.col(x).isNotNull() & ~F.isnan(x)
@@ -23,13 +25,12 @@ def clipped(x: Column | str) -> Column:
 def auroc(rows: DataFrame, score: str, positive: Column, by: tuple[str, ...] = (), weight: Column | None = None) -> DataFrame:
     """(by..., auroc): the chance that a positive scores above a negative, ties counting a half.
 
-    Rows are first summed by distinct score, so the running sum runs over distinct values; with weights
-    it is the AUROC of rows repeated so often. Null where a side is empty.
+    Rows are first summed by distinct score, so the running sum runs over distinct values, in ranges; with
+    weights it is the AUROC of rows repeated so often. Null where a side is empty.
     """
     w = F.lit(1.0) if weight is None else weight.cast("double")
     d = rows.filter(usable(score)).groupBy(*by, score).agg(F.sum(F.when(positive, w).otherwise(0.0)).alias("_p"), F.sum(F.when(positive, F.lit(0.0)).otherwise(w)).alias("_n"))
-    below = F.coalesce(F.sum("_n").over(W.partitionBy(*by).orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    d = d.withColumn("_below", below)
+    d = running_before(d, by, score, "_n", "_below")
     u = F.sum(F.col("_p") * (F.col("_below") + F.col("_n") / 2))
     sides = F.sum("_p") * F.sum("_n")
     return d.groupBy(*by).agg(F.when(sides > 0, u / sides).alias("auroc"))
@@ -88,8 +89,8 @@ def pooled(rows: DataFrame, source: str, pools: dict[str, list[str]]) -> DataFra
 
 def spearman(rows: DataFrame, a: str, b: str, tie: str) -> DataFrame:
     """(rho): correlation of ordinal ranks, ties in order of `tie`."""
-    r = lambda c: F.row_number().over(W.orderBy(c, tie))
-    return rows.select(r(a).alias("_a"), r(b).alias("_b")).agg(F.corr("_a", "_b").alias("rho"))
+    one = numbered(rows.select(a, b, tie), [a, tie], "_a")
+    return numbered(one, [b, tie], "_b").agg(F.corr("_a", "_b").alias("rho"))
 
 
 def squared_correlation(rows: DataFrame, a: str, b: str, by: tuple[str, ...] = ()) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortia.functions.hashing import shuffle_key, uniform
+from cohortia.operators.ranks import numbered
 
 
 def nested_fractions(works: DataFrame, work: str, order: list[str | Column], block: int, seed: str) -> DataFrame:
@@ -15,7 +16,7 @@ def nested_fractions(works: DataFrame, work: str, order: list[str | Column], blo
     Works in order of size are cut into blocks; inside each they stand in hash order, u being
     (place + a draw) / the block's length, so a subset takes its share of every block.
     """
-    w = works.withColumn("_b", F.floor((F.row_number().over(W.orderBy(*order)) - 1) / block))
+    w = numbered(works, order, "_b").withColumn("_b", F.floor(F.col("_b") / block))
     inside = W.partitionBy("_b")
     place = F.row_number().over(inside.orderBy(shuffle_key(seed, F.col(work)), work)) - 1
     return w.withColumn("u", (place + uniform(seed, F.lit("jitter"), F.col(work))) / F.count("*").over(inside)).drop("_b")
@@ -23,14 +24,14 @@ def nested_fractions(works: DataFrame, work: str, order: list[str | Column], blo
 
 def size_stratified(works: DataFrame, work: str, order: list[str | Column], n: int, seed: str) -> DataFrame:
     """One work, by hash, of each of n contiguous bins by size; place p of N is in bin ((p + 1) n - 1) div N."""
-    w = works.withColumn("_p", F.row_number().over(W.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(W.partitionBy()))
-    w = w.withColumn("bin", F.expr(f"((_p + 1) * {n} - 1) div _n"))
+    w = numbered(works, order, "_place").crossJoin(F.broadcast(works.agg(F.count("*").alias("_n"))))
+    w = w.withColumn("bin", F.expr(f"((_place + 1) * {n} - 1) div _n"))
     return w.groupBy("bin").agg(F.min_by(work, F.struct(shuffle_key(seed, F.col(work)), F.col(work))).alias(work))
 
 
 def matched_halves(works: DataFrame, work: str, order: list[str | Column], seed: str) -> DataFrame:
     """Works with `half`, a or b: neighbours by size are pairs and a draw for each pair says who goes where."""
-    w = works.withColumn("_r", F.row_number().over(W.orderBy(*order)) - 1)
+    w = numbered(works, order, "_r")
     pair = F.expr("_r div 2")
     first = (uniform(seed, pair) < 0.5) == (F.col("_r") % 2 == 0)
     return w.withColumn("half", F.when(first, "a").otherwise("b")).drop("_r")
@@ -58,7 +59,7 @@ def extendable(rows: DataFrame, by: str, key: str, n: int, seed: str, skip: int
 def interleaved(rows: DataFrame, by: str, order: str) -> DataFrame:
     """Rows with `turn`: the first of each source, then the second of each, and so on."""
     r = rows.withColumn("_r", F.row_number().over(W.partitionBy(by).orderBy(order)))
-    return r.withColumn("turn", F.row_number().over(W.orderBy("_r", by))).drop("_r")
+    return numbered(r, ["_r", by], "turn").withColumn("turn", F.col("turn") + 1).drop("_r")
 
 
 def chunked(rows: DataFrame, group: str, order: str, cap: int) -> DataFrame:
@@ -68,7 +69,7 @@ def chunked(rows: DataFrame, group: str, order: str, cap: int) -> DataFrame:
 
 def sharded(groups: DataFrame, group: str, n: int) -> DataFrame:
     """(group, shard): groups in order, dealt to n shards in turn; all rows of a group share a shard."""
-    return groups.select(group).distinct().withColumn("shard", F.pmod(F.row_number().over(W.orderBy(group)) - 1, F.lit(n)))
+    return numbered(groups.select(group).distinct(), [group], "shard").withColumn("shard", F.pmod("shard", F.lit(n)))
 
 
 def held_out_groups(rows: DataFrame, by: str, group: str, fraction: float, seed: str) -> DataFrame:

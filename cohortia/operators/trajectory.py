@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortia.functions.arrays import dot, norm
+from cohortia.operators.ranks import numbered
 
 
 def peak_best_final(rows: DataFrame, run: str, step: str, x: str) -> DataFrame:
@@ -48,19 +49,21 @@ def collapse_alarm(rows: DataFrame, run: str, step: str, rank: str, ratio: float
 
 def extreme_groups(rows: DataFrame, key: str, x: str, n: int) -> DataFrame:
     """(key, group): the n highest, the n nearest the median and the n lowest; n is at most half the rows."""
-    w = W.orderBy(F.desc(x), key)
-    m = rows.withColumn("_m", F.percentile(x, F.lit(0.5)).over(W.partitionBy()))
-    m = m.withColumn("_hi", F.row_number().over(w)).withColumn("_lo", F.row_number().over(W.orderBy(x, key)))
-    m = m.withColumn("_mid", F.row_number().over(W.orderBy(F.abs(F.col(x) - F.col("_m")), key))).withColumn("_n", F.least(F.lit(n), F.floor(F.count("*").over(W.partitionBy()) / 2)))
-    names = F.array_compact(F.array(*[F.when(F.col(c) <= F.col("_n"), F.lit(g)) for c, g in (("_hi", "high"), ("_mid", "middle"), ("_lo", "low"))]))
-    return m.select(key, F.explode(names).alias("group"))
+    middle, count = rows.agg(F.percentile(x, F.lit(0.5)), F.count("*")).first()
+    n = min(n, count // 2)
+    orders = {"high": F.desc(x), "middle": F.abs(F.col(x) - F.lit(middle)), "low": F.asc(x)}
+    out = None
+    for name, order in orders.items():  # top-n each, no global sort
+        part = rows.orderBy(order, key).limit(n).select(key, F.lit(name).alias("group"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def percent_ranks(rows: DataFrame, key: str, x: str) -> DataFrame:
     """(key, pct): 100 times the place over n - 1, ties in order of key; one row has 0."""
-    n = F.count("*").over(W.partitionBy())
-    place = F.row_number().over(W.orderBy(x, key)) - 1
-    return rows.select(key, (100.0 * place / F.greatest(n - 1, F.lit(1))).alias("pct"))
+    placed = numbered(rows.select(key, x), [x, key], "_r")
+    n = placed.agg(F.greatest(F.count("*") - 1, F.lit(1)).alias("_n"))
+    return placed.crossJoin(F.broadcast(n)).select(key, (100.0 * F.col("_r") / F.col("_n")).alias("pct"))
 
 
 def with_margin(candidates: DataFrame, key: str, x: str) -> DataFrame:
