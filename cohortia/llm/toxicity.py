@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortia.llm.common import stash
 from cohortia.llm.quality import labelled
 
 BITS, STEM = 20, 4
@@ -59,15 +60,14 @@ def _sigmoid(z):
 
 
 def train(rows: list[np.ndarray], y: np.ndarray, passes: int = 4, alpha: float = 1.0, beta: float = 1.0, l1: float = 10.0, l2: float = 0.5, seed: int = 5) -> Weights:
-    """FTRL-proximal over the rows' sets of coordinates, in `passes` seeded orders; the bias has no L1."""
+    """FTRL-proximal over the rows' distinct coordinates, in `passes` seeded orders; the bias has no L1."""
     size = 1 << BITS
     z, n = np.zeros(size), np.zeros(size)
     bias_z = bias_n = bias = 0.0
     rng = np.random.default_rng(seed)
-    sets = [np.unique(r) for r in rows]
     for _ in range(passes):
-        for i in rng.permutation(len(sets)):
-            at = sets[i]
+        for i in rng.permutation(len(rows)):
+            at = rows[i]
             zi, ni = z[at], n[at]
             w = np.where(np.abs(zi) <= l1, 0.0, (np.sign(zi) * l1 - zi) / ((beta + np.sqrt(ni)) / alpha + l2))
             bias = -bias_z / ((beta + np.sqrt(bias_n)) / alpha)
@@ -82,16 +82,19 @@ def train(rows: list[np.ndarray], y: np.ndarray, passes: int = 4, alpha: float =
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", sample: int = 12_000, **how) -> Weights:
-    """Learn from a sample of at most `sample` labelled texts; their hashed features come to the driver."""
+    """Learn from a sample of at most `sample` labelled texts.
+
+    Their hashed features, as bytes, are written in parallel and then come to the driver a part at a time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [np.unique(features(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.int32()))], names=["y", "x"])
+            x = [np.unique(features(t)).astype("<i4").tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary())], names=["y", "x"])
 
-    table = labelled(docs, labels, label, learn, sample).select("y", "text").mapInArrow(run, "y int, x array<int>").toPandas()
-    keyed = sorted(zip(table["x"], table["y"]), key=lambda r: (crc32(np.asarray(r[0]).tobytes()), r[1]))
-    return train([np.asarray(x, np.int64) for x, _ in keyed], np.array([t for _, t in keyed], float), **how)
+    table = stash(labelled(docs, labels, label, learn, sample).select("y", "text").mapInArrow(run, "y int, x binary"), "toxicity-sample")
+    keyed = sorted(((bytes(r["x"]), r["y"]) for r in table.toLocalIterator()), key=lambda r: (crc32(r[0]), r[1]))
+    return train([np.frombuffer(x, "<i4") for x, _ in keyed], np.array([y for _, y in keyed], float), **how)
 
 
 def score(docs: DataFrame, weights: Weights, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
