@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Messages are classified by the first list that has a part of them.
+#: A message is of the first class that has a part of it. Throttling comes first, as its
+#: message also asks to sign in.
 MARKERS = (
-    ("throttled", ("not a bot", "too many requests", "429", "rate-limit", "rate limit")),
-    ("gone", ("video unavailable", "private video", "has been removed", "account associated", "no longer available", "404")),
-    ("blocked", ("sign in", "age-restricted", "not available in your country", "403")),
+    ("throttled", ("not a bot", "needs to be reloaded", "too many requests", "http error 429", "rate-limited", "sabr-only", "only images are available")),
+    ("gone", ("video unavailable", "private video", "has been removed", "has been terminated", "no longer available", "removed for violating", "does not exist")),
+    ("blocked", ("please sign in", "confirm your age", "age-restricted", "members-only", "join this channel", "available to this channel's members", "inappropriate for some users")),
 )
 
 
@@ -85,6 +86,9 @@ def clock(seconds: Column) -> Column:
 
 
 def shortened(text: Column, most: int) -> Column:
+    """One line of a message: no colour codes, no leading `ERROR: `, cut with an ellipsis."""
+    text = F.trim(F.replace(F.regexp_replace(text, "\\x1b\\[[0-9;]*m", ""), F.lit("\n"), F.lit(" ")))
+    text = F.regexp_replace(text, "^ERROR: ", "")
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - 1), F.lit("…"))).otherwise(text)
 
 

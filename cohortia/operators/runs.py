@@ -28,11 +28,15 @@ def top_values(rows: DataFrame, by: str, x: str) -> DataFrame:
     return c.groupBy(by).agg(F.max(F.when(first, F.col(x))).alias("top"), F.max(F.when(first, F.col("share"))).alias("top_share"), F.sum(F.when(F.col("r") <= 3, F.col("share"))).alias("top3"))
 
 
-def bitrate_profile(rows: DataFrame, by: str, x: str, ladder: tuple[int, ...]) -> DataFrame:
-    """(by, low, median, high, suggested): the suggested is the ladder's last step not above the median."""
-    g = rows.groupBy(by).agg(F.min(x).alias("low"), F.percentile(x, F.lit(0.5)).alias("median"), F.max(x).alias("high"))
-    steps = F.array(*[F.lit(b) for b in ladder])
-    return g.withColumn("suggested", F.try_element_at(F.filter(steps, lambda b: b <= F.col("median")), F.lit(-1)))
+#: Bitrates, in kbps, that an mp3 can have.
+MP3_LADDER = (32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
+
+
+def bitrate_profile(rows: DataFrame, by: str, kbps: str, least: int = 48, ladder: tuple[int, ...] = MP3_LADDER) -> DataFrame:
+    """(by, low, median, high, suggested): the suggested is the ladder's highest step from `least` to half the low."""
+    g = rows.groupBy(by).agg(F.min(kbps).alias("low"), F.percentile(kbps, F.lit(0.5)).alias("median"), F.max(kbps).alias("high"))
+    steps = F.array(*[F.lit(b) for b in ladder if b >= least])
+    return g.withColumn("suggested", F.try_element_at(F.filter(steps, lambda b: b <= F.col("low") / 2), F.lit(-1)))
 
 
 def block_means(rows: DataFrame, order: str, x: str, size: int) -> DataFrame:

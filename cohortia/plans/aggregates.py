@@ -38,9 +38,9 @@ def a4(spark, d):
     return runs.top_values(table(spark, d, "part"), "p_brand", "p_size").select("p_brand", "top", F.round("top_share", 6).alias("top_share"), F.round("top3", 6).alias("top3"))
 
 
-@query("A5_bitrates", "SELECT source, low, round(median, 6) AS median, high, list_last(list_filter([64, 128, 192, 256, 320, 1000, 2000, 4000], lambda b: b <= median))::INTEGER AS suggested FROM (SELECT source, min(n_chars) AS low, quantile_cont(n_chars, 0.5) AS median, max(n_chars) AS high FROM documents GROUP BY 1)")
+@query("A5_bitrates", "SELECT source, low, round(median, 6) AS median, high, list_last(list_filter([48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320], lambda b: b <= low / 2))::INTEGER AS suggested FROM (SELECT source, min(n_chars) AS low, quantile_cont(n_chars, 0.5) AS median, max(n_chars) AS high FROM documents WHERE n_chars > 90 GROUP BY 1)")
 def a5(spark, d):
-    return runs.bitrate_profile(table(spark, d, "documents"), "source", "n_chars", (64, 128, 192, 256, 320, 1000, 2000, 4000)).withColumn("median", F.round("median", 6))
+    return runs.bitrate_profile(table(spark, d, "documents").filter("n_chars > 90"), "source", "n_chars").withColumn("median", F.round("median", 6))
 
 
 @query("A6_song_scores", "SELECT event_type, user_id, round(min, 6) AS min, round(mean, 6) AS mean, round(p10, 6) AS p10 FROM (" + SONGS + ")")

@@ -43,13 +43,13 @@ MESSAGE = "CASE event_id % 7 WHEN 0 THEN 'Sign in to confirm you''re not a bot'
 
 
 def classified(text: str) -> str:
-    arms = " ".join("WHEN " + " OR ".join(f"contains(lower({text}), '{p}')" for p in parts) + f" THEN '{name}'" for name, parts in T.MARKERS)
+    arms = " ".join("WHEN " + " OR ".join(f"contains(lower({text}), '{p.replace(chr(39), chr(39) * 2)}')" for p in parts) + f" THEN '{name}'" for name, parts in T.MARKERS)
     return f"CASE {arms} ELSE 'failed' END"
 
 
-@query("P6_outcome_classes", f"SELECT {classified('m')} AS status, {classified('m || chr(32) || w')} AS with_warnings, count(*) AS n FROM (SELECT {MESSAGE} AS m, CASE WHEN event_id % 5 = 0 THEN 'Rate limit hit' ELSE '' END AS w FROM events) GROUP BY 1, 2")
+@query("P6_outcome_classes", f"SELECT {classified('m')} AS status, {classified('m || chr(32) || w')} AS with_warnings, count(*) AS n FROM (SELECT {MESSAGE} AS m, CASE WHEN event_id % 5 = 0 THEN 'Rate-limited' ELSE '' END AS w FROM events) GROUP BY 1, 2")
 def p6(spark, d):
-    e = table(spark, d, "events").select(F.expr(MESSAGE.replace("you''re", "you\\'re")).alias("m"), F.expr("if(event_id % 5 = 0, 'Rate limit hit', '')").alias("w"))
+    e = table(spark, d, "events").select(F.expr(MESSAGE.replace("you''re", "you\\'re")).alias("m"), F.expr("if(event_id % 5 = 0, 'Rate-limited', '')").alias("w"))
     return e.groupBy(T.outcome_of(F.col("m")).alias("status"), T.outcome_of(F.col("m"), F.col("w")).alias("with_warnings")).agg(F.count("*").alias("n"))
 
 
@@ -58,9 +58,9 @@ def p7(spark, d):
     return table(spark, d, "orders").select("o_orderkey", T.human_bytes(F.col("o_orderkey").cast("double") * F.col("o_custkey") * 64).alias("size"), T.clock(F.col("o_totalprice")).alias("clock"))
 
 
-@query("P7_shortened", "SELECT doc_id, CASE WHEN length(source || lang || text) > 20 THEN left(source || lang || text, 19) || '…' ELSE source || lang || text END AS detail FROM documents")
+@query("P7_shortened", "SELECT doc_id, CASE WHEN length(m) > 20 THEN left(m, 19) || '…' ELSE m END AS detail FROM (SELECT doc_id, trim(replace(source || lang || text, chr(10), ' ')) AS m FROM documents)")
 def p7b(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.shortened(F.concat("source", "lang", "text"), 20).alias("detail"))
+    return table(spark, d, "documents").select("doc_id", T.shortened(F.concat(F.lit("ERROR: "), "source", "lang", "text"), 20).alias("detail"))
 
 
 @query("P8_tolerant_numbers", "SELECT event_id, try_cast(x AS DOUBLE) AS value, coalesce(try_cast(x AS DOUBLE), 0) AS or_zero FROM (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN event_type ELSE user_id || '.5' END AS x FROM events)")

@@ -270,7 +270,7 @@ def test_scores_refuse_another_identity(spark):
 
 
 def test_messages_go_to_the_first_list(spark):
-    rows = [("Sign in to confirm you're not a bot", [], "throttled"), ("Please sign in", [], "blocked"), ("Please sign in", ["HTTP 429"], "throttled"), ("odd", [], "failed"), ("Private video. Sign in", [], "gone")]
+    rows = [("Sign in to confirm you're not a bot", [], "throttled"), ("Please sign in", [], "blocked"), ("Please sign in", ["HTTP Error 429"], "throttled"), ("odd", [], "failed"), ("Private video. Sign in", [], "gone")]
     df = spark.createDataFrame(rows, "e string, w array<string>, want string")
     assert df.select((T.outcome_of(F.col("e"), F.array_join("w", " ")) == F.col("want")).alias("ok")).filter("NOT ok").isEmpty()
 
