@@ -78,3 +78,12 @@ def covariance_table(vectors: DataFrame, vector: str) -> DataFrame:
     pairs = vectors.select(F.posexplode(doubles(F.col(vector))).alias("i", "x"), F.col(vector).alias("v"))
     pairs = pairs.select("i", "x", F.posexplode(doubles(F.col("v"))).alias("j", "y")).filter("i <= j")
     return pairs.groupBy("i", "j").agg(F.covar_samp("x", "y").alias("cov"))
+
+
+def running_standardiser(batches: DataFrame, by: str, order: str, mean: str, var: str, momentum: float = 0.99) -> DataFrame:
+    """(by, mean, var): moments of ordered batches, each moved towards the next; the first batch begins."""
+    lists = batches.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(order, F.col(mean).alias("m"), F.col(var).alias("v")))).alias("l"))
+    start = F.struct(F.col("l")[0]["m"].alias("m"), F.col("l")[0]["v"].alias("v"))
+    move = lambda a, x: momentum * a + (1 - momentum) * x
+    fold = F.aggregate(F.slice("l", F.lit(2), F.size("l") - 1), start, lambda a, x: F.struct(move(a["m"], x["m"]).alias("m"), move(a["v"], x["v"]).alias("v")))
+    return lists.select(by, fold.alias("f")).select(by, F.col("f.m").alias("mean"), F.col("f.v").alias("var"))

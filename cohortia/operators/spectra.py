@@ -55,26 +55,32 @@ def cross_correlation(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def hsic(rows: DataFrame, key: str, a: str, b: str) -> DataFrame:
-    """(hsic): dependence of two vectors by RBF kernels of median bandwidth, on a bounded sample of rows."""
+    """(hsic): dependence of two vectors by RBF kernels, the bandwidth twice the median squared distance, on a bounded sample of rows."""
     left = rows.select(F.col(key).alias("i"), F.col(a).alias("a1"), F.col(b).alias("b1"))
     right = rows.select(F.col(key).alias("j"), F.col(a).alias("a2"), F.col(b).alias("b2"))
     p = compared(left, right, 32).select("i", "j", squared_distance(F.col("a1"), F.col("a2")).alias("da"), squared_distance(F.col("b1"), F.col("b2")).alias("db"))
     m = p.filter("i <> j").agg(F.percentile("da", F.lit(0.5)).alias("ma"), F.percentile("db", F.lit(0.5)).alias("mb"))
-    k = p.crossJoin(F.broadcast(m)).select("i", "j", F.exp(-F.col("da") / F.col("ma")).alias("ka"), F.exp(-F.col("db") / F.col("mb")).alias("kb"))
+    k = p.crossJoin(F.broadcast(m)).select("i", "j", F.exp(-F.col("da") / (2 * F.col("ma"))).alias("ka"), F.exp(-F.col("db") / (2 * F.col("mb"))).alias("kb"))
     # A kernel is symmetric, so row and column means are one table; the grand mean is its mean.
     means = k.groupBy("i").agg(F.avg("ka").alias("mi"))
     grand = means.agg(F.avg("mi").alias("g"))
     c = k.join(means, "i").join(means.select(F.col("i").alias("j"), F.col("mi").alias("mj")), "j").crossJoin(F.broadcast(grand))
-    return c.agg(F.avg((F.col("ka") - F.col("mi") - F.col("mj") + F.col("g")) * F.col("kb")).alias("hsic"))
-
-
-def contrastive(anchors: DataFrame, others: DataFrame, dims: int, temperature: float) -> DataFrame:
-    """(id, loss): log-sum-exp over all others less that over the same group, shifted by the maximum."""
-    a = anchors.select("id", "grp", unit(F.col("v")).alias("v"))
-    c = others.select(F.col("id").alias("c"), F.col("grp").alias("g"), unit(F.col("v")).alias("w"))
-    p = compared(a, c, dims).filter("id <> c").select("id", (F.col("grp") == F.col("g")).alias("pos"), (dot(F.col("v"), F.col("w")) / temperature).alias("s"))
-    top = 1 / temperature  # no cosine is larger
-    e = F.exp(F.col("s") - top)
+    n = F.count_distinct("i")
+    return c.agg((F.sum((F.col("ka") - F.col("mi") - F.col("mj") + F.col("g")) * F.col("kb")) / F.pow(n - 1, F.lit(2))).alias("hsic"))
+
+
+def contrastive(anchors: DataFrame, candidates: DataFrame, dims: int, temperature: float) -> DataFrame:
+    """(id, loss): log-sum-exp over an anchor's candidates less that over its positives.
+
+    `anchors` has id, pair, grp and v; `candidates` pair, grp and v. Candidates of the anchor's pair are its
+    positives; others of its group are the same work and are left out; all else is negative. Cosines are
+    shifted by their largest possible value before exponents.
+    """
+    a = anchors.select("id", "pair", "grp", unit(F.col("v")).alias("v"))
+    c = candidates.select(F.col("pair").alias("c_pair"), F.col("grp").alias("c_grp"), unit(F.col("v")).alias("w"))
+    own = F.col("pair") == F.col("c_pair")
+    p = compared(a, c, dims).filter(own | (F.col("grp") != F.col("c_grp"))).select("id", own.alias("pos"), (dot(F.col("v"), F.col("w")) / temperature).alias("s"))
+    e = F.exp(F.col("s") - 1 / temperature)
     return p.groupBy("id").agg((F.ln(F.sum(e)) - F.ln(F.sum(F.when(F.col("pos"), e)))).alias("loss"))
 
 

@@ -161,7 +161,7 @@ def a20(spark, d):
     return runs.block_means(table(spark, d, "events").filter("event_id < 3000"), "event_id", "value", 250).select("block", F.round("mean", 6).alias("mean"))
 
 
-@query("A21_baseline_context", "SELECT round(avg(value), 6) AS mean, round(ln(8 * 4), 6) AS chance, round(avg((value < ln(32))::INTEGER), 6) AS below, round((ln(32) - min(value)) * 0.1, 6) AS margin FROM events WHERE event_type = 'view'")
+@query("A21_baseline_context", "SELECT round(avg(value), 6) AS mean, round(ln(8 * 4), 6) AS chance, round(avg((value < ln(32))::INTEGER), 6) AS below, round(-0.1 * ln((exp(min(value)) - 1) / 28), 6) AS margin FROM events WHERE event_type = 'view'")
 def a21(spark, d):
     return runs.baseline(table(spark, d, "events").filter("event_type = 'view'"), "value", 8, 4, 0.1)
 
@@ -294,8 +294,8 @@ def a39(spark, d):
 @query(
     "A40_hsic",
     f"WITH e AS (SELECT id, v[1:8] AS a, v[9:16] AS b FROM ({EMB}) WHERE id < 120), p AS (SELECT x.id AS i, y.id AS j, list_distance(x.a, y.a)^2 AS da, list_distance(x.b, y.b)^2 AS db FROM e x, e y), "
-    "m AS (SELECT quantile_cont(da, 0.5) AS ma, quantile_cont(db, 0.5) AS mb FROM p WHERE i <> j), k AS (SELECT i, j, exp(-da / ma) AS ka, exp(-db / mb) AS kb FROM p, m), "
-    "c AS (SELECT ka - avg(ka) OVER (PARTITION BY i) - avg(ka) OVER (PARTITION BY j) + avg(ka) OVER () AS ca, kb FROM k) SELECT round(avg(ca * kb), 8) AS hsic FROM c",
+    "m AS (SELECT quantile_cont(da, 0.5) AS ma, quantile_cont(db, 0.5) AS mb FROM p WHERE i <> j), k AS (SELECT i, j, exp(-da / (2 * ma)) AS ka, exp(-db / (2 * mb)) AS kb FROM p, m), "
+    "c AS (SELECT ka - avg(ka) OVER (PARTITION BY i) - avg(ka) OVER (PARTITION BY j) + avg(ka) OVER () AS ca, kb FROM k) SELECT round(sum(ca * kb) / (119 * 119), 8) AS hsic FROM c",
 )
 def a40(spark, d):
     e = emb(spark, d).filter("id < 120").select("id", F.slice("v", 1, 8).alias("a"), F.slice("v", 9, 8).alias("b"))
@@ -304,11 +304,12 @@ def a40(spark, d):
 
 @query(
     "A41_contrastive",
-    f"WITH e AS ({EMB}), p AS (SELECT q.id, q.grp = c.grp AS pos, list_cosine_similarity(q.v, c.v) / 0.1 AS s FROM e q JOIN e c ON q.id <> c.id WHERE q.id % 25 = 0) "
+    f"WITH e AS ({EMB}), p AS (SELECT q.id, q.id = c.id - 1 AS pos, list_cosine_similarity(q.v, c.v) / 0.1 AS s FROM e q JOIN e c ON q.id % 50 = 0 AND c.id % 2 = 1 AND (q.id = c.id - 1 OR q.grp <> c.grp)) "
     "SELECT id, round(ln(sum(exp(s))) - ln(sum(exp(s)) FILTER (pos)), 6) AS loss FROM p GROUP BY 1",
 )
 def a41(spark, d):
-    return spectra.contrastive(emb(spark, d).filter("id % 25 = 0"), emb(spark, d), 64, 0.1).select("id", F.round("loss", 6).alias("loss"))
+    e = emb(spark, d)
+    return spectra.contrastive(e.filter("id % 50 = 0").withColumn("pair", F.col("id")), e.filter("id % 2 = 1").withColumn("pair", F.col("id") - 1), 64, 0.1).select("id", F.round("loss", 6).alias("loss"))
 
 
 @query(

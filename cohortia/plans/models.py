@@ -93,9 +93,12 @@ def m10(spark, d):
     return gaussians.score_conditional(e, ["id", "grp"], "v", "c", model)
 
 
-@query("M12_pmi_by_group")
+@query("M12_five_scores")
 def m12(spark, d):
-    return m10(spark, d).groupBy("grp").agg(F.avg("pmi").alias("pmi"), F.avg("conditional").alias("conditional"), F.count("*").alias("n"))
+    e = eight(spark, d)
+    scores = gaussians.five_scores(e.filter("id % 2 = 0"), e, ["id", "grp"], "v", "c", 8)
+    names = ("content", "mean", "joint", "scale", "mean_scale", "pmi")
+    return scores.groupBy("grp").agg(*[F.avg(c).alias(c) for c in names], F.count("*").alias("n"))
 
 
 @query("M11_ridge")
@@ -120,10 +123,17 @@ def m14(spark, d):
 
 @query("M15_shift_predictions")
 def m15(spark, d):
-    from cohortia.plans.aggregates import a29
+    import numpy as np
+
+    from cohortia.operators import variance
 
-    rows = a29(spark, d).collect()
-    return spark.createDataFrame([(r["grp"], *gaussians.shift_predictions(r["delta2"], 0.5, 0.5).values()) for r in rows], "grp int, probe double, pred double, toy double")
+    units = moments.per_dimension(emb(spark, d).withColumn("rec", F.col("id") % 5), "v", "grp", "rec")
+    shifts = variance.squared_mean(units, ["grp", "pos"], "pos", "mean", "n").groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("pos", "delta2"))).alias("c"))
+    rows = []
+    for r in shifts.select("grp", F.col("c.delta2").alias("c")).collect():  # a row per group
+        c = np.array(r["c"])
+        rows.append((r["grp"], *gaussians.shift_predictions(float(c.sum()), np.ones(len(c)), c).values()))
+    return spark.createDataFrame(rows, "grp int, pred double, toy double, probe double")
 
 
 BANDS = f"SELECT id, list_sum(list_transform(v[1:32], lambda x: x * x)) AS a, list_sum(list_transform(v[33:64], lambda x: x * x)) AS b FROM ({EMB})"
@@ -140,6 +150,14 @@ def m16(spark, d):
     return b.agg(F.round(F.covar_samp("a", "b") / (F.avg("a") * F.avg("b")), 6).alias("c2_off"), F.round(F.corr("a", "b"), 6).alias("band_corr"), F.round(F.var_samp("a") / F.pow(F.avg("a"), 2), 6).alias("c2_a"), F.round(F.percentile("a", F.lit(0.9)), 6).alias("q90"))
 
 
+@query("M16_scale_check")
+def m16b(spark, d):
+    e = emb(spark, d)
+    v = [r["v"] for r in moments.per_dimension(e, "v").groupBy().agg(F.array_sort(F.collect_list(F.struct("pos", "var"))).alias("v")).select(F.col("v.var").alias("v")).collect()][0]
+    b = e.withColumn("e", A.band_energy(F.col("v"), 4)).select(*[F.col("e")[i].alias(f"b{i}") for i in range(4)])
+    return gaussians.scale_check(b, [f"b{i}" for i in range(4)], [sum(x * x for x in v[16 * i : 16 * i + 16]) for i in range(4)], sum(v))
+
+
 @query("M17_pattern_gaussian")
 def m17(spark, d):
     e = emb(spark, d).withColumn("r", F.slice(A.log_ratios(A.band_energy(F.col("v"), 4)), 1, 3))
@@ -230,12 +248,10 @@ def m27(spark, d):
     return table(spark, d, "events").agg((mean(0) > mean(1) - 1000).alias("ok"), F.round(mean(0), 6).alias("aligned"), F.round(mean(1), 6).alias("shifted"), F.round(mean(2), 6).alias("crossed"))
 
 
-@query("M28_running_standardiser", "WITH RECURSIVE b AS (SELECT user_id, event_id // 500 AS b, avg(value) AS m FROM events WHERE user_id < 40 GROUP BY 1, 2), o AS (SELECT user_id, m, row_number() OVER (PARTITION BY user_id ORDER BY b) AS r FROM b), f AS (SELECT user_id, r, m AS ema FROM o WHERE r = 1 UNION ALL SELECT o.user_id, o.r, 0.9 * f.ema + 0.1 * o.m FROM f JOIN o ON o.user_id = f.user_id AND o.r = f.r + 1) SELECT user_id, round(arg_max(ema, r), 6) AS ema FROM f GROUP BY 1")
+@query("M28_running_standardiser", "WITH RECURSIVE b AS (SELECT user_id, event_id // 500 AS b, avg(value) AS m, var_pop(value) AS v FROM events WHERE user_id < 40 GROUP BY 1, 2), o AS (SELECT user_id, m, v, row_number() OVER (PARTITION BY user_id ORDER BY b) AS r FROM b), f AS (SELECT user_id, r, m, v FROM o WHERE r = 1 UNION ALL SELECT o.user_id, o.r, 0.99 * f.m + (1 - 0.99) * o.m, 0.99 * f.v + (1 - 0.99) * o.v FROM f JOIN o ON o.user_id = f.user_id AND o.r = f.r + 1) SELECT user_id, round(arg_max(m, r), 6) AS mean, round(arg_max(v, r), 4) AS var FROM f GROUP BY 1")
 def m28(spark, d):
-    b = table(spark, d, "events").filter("user_id < 40").groupBy("user_id", F.expr("event_id div 500").alias("b")).agg(F.avg("value").alias("m"))
-    lists = b.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("b", "m"))).alias("l"))
-    ema = F.aggregate(F.slice("l", F.lit(2), F.size("l") - 1), F.col("l")[0]["m"], lambda a, x: 0.9 * a + 0.1 * x["m"])
-    return lists.select("user_id", F.round(ema, 6).alias("ema"))
+    b = table(spark, d, "events").filter("user_id < 40").groupBy("user_id", F.expr("event_id div 500").alias("b")).agg(F.avg("value").alias("m"), F.var_pop("value").alias("v"))
+    return moments.running_standardiser(b, "user_id", "b", "m", "v").select("user_id", F.round("mean", 6).alias("mean"), F.round("var", 4).alias("var"))
 
 
 @query("M29_run_comparison", f"WITH g AS (SELECT user_id, avg(value) FILTER (event_type = 'click') - avg(value) FILTER (event_type = 'view') AS gain FROM events GROUP BY 1), c AS (SELECT user_id, sum(gain) AS s, count(gain) AS c FROM g WHERE gain IS NOT NULL GROUP BY 1), {draws('c', 'user_id', 20, 'm29')}, r AS (SELECT rep, sum(times * s) / sum(times * c) AS v FROM m JOIN c USING (user_id) GROUP BY 1), i AS (SELECT quantile_cont(v, 0.025) AS low, quantile_cont(v, 0.975) AS high FROM r) SELECT round(low, 6) AS low, round(high, 6) AS high, CASE WHEN low > 0 THEN 'real gain' WHEN high < 0 THEN 'real loss' ELSE 'within noise' END AS verdict FROM i")
@@ -254,3 +270,18 @@ def m30(spark, d):
     same = pairs.clique_pairs(p.withColumn("g", F.struct("p_brand", "p_size")), "g", "p_partkey")
     made = same.agg(F.count("*").alias("pairs"), F.count_distinct("g.p_brand").alias("pair_works"))
     return made.crossJoin(p.agg(F.count("*").alias("tracks"), F.count_distinct("p_brand").alias("works")))
+
+
+@query("X5_frozen_model_scores")
+def x5(spark, d):
+    e = emb(spark, d)
+    frozen = gaussians.fit_shrunk(e.filter("id % 2 = 0"), "v")
+    return gaussians.score_shrunk(e.filter("id % 2 = 1"), ["id", "grp"], "v", frozen)
+
+
+@query("X6_weighted_auroc", f"WITH s AS (SELECT *, user_id % 4 AS w FROM ({SONGS})) SELECT o.event_type, round(sum(o.w * v.w * CASE WHEN v.mean > o.mean THEN 1.0 WHEN v.mean = o.mean THEN 0.5 ELSE 0.0 END::DOUBLE) / sum(o.w * v.w)::DOUBLE, 6) AS auroc FROM s o JOIN s v ON v.event_type = 'view' AND o.event_type <> 'view' GROUP BY 1")
+def x6(spark, d):
+    s = songs(spark, d)
+    others = s.filter("event_type <> 'view'").withColumn("pos", F.lit(False))
+    views = others.select("event_type").distinct().crossJoin(s.filter("event_type = 'view'").drop("event_type")).withColumn("pos", F.lit(True))
+    return metrics.auroc(others.unionByName(views), "mean", F.col("pos"), ("event_type",), F.col("user_id") % 4).select("event_type", F.round("auroc", 6).alias("auroc"))

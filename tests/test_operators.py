@@ -292,3 +292,62 @@ def test_density_is_a_density(spark):
     df = spark.createDataFrame(pts, "id int, x double, y double")
     g = spark.range(1600).select(F.col("id"), (F.col("id") % 40 * 0.25 - 5).alias("x"), (F.expr("id div 40") * 0.25 - 5).alias("y"))
     assert density.density_at(g, df, "id").agg(F.sum("density") * 0.0625).first()[0] == pytest.approx(1, abs=0.02)
+
+
+def test_scale_check_against_numpy(spark):
+    rng = np.random.default_rng(6)
+    tau = rng.lognormal(0, 0.3, 500)
+    v = np.array([1.0, 0.5, 2.0, 0.7, 0.2, 1.5])
+    w = (v * rng.normal(size=(500, 6)) ** 2) * tau[:, None]
+    b = w.reshape(500, 3, 2).sum(2)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in b], "x double, y double, z double")
+    got = gaussians.scale_check(df, ["x", "y", "z"], [float((v[2 * i : 2 * i + 2] ** 2).sum()) for i in range(3)], float(v.sum())).orderBy("band").collect()
+    norm = np.cov(b.T) / np.outer(b.mean(0), b.mean(0))
+    off = ~np.eye(3, dtype=bool)
+    assert got[0].c2_off == pytest.approx(norm[off].mean()) and got[1].coupling == pytest.approx(norm[1][off[1]].mean())
+    logs = np.log(b)
+    assert got[2].cancelled == pytest.approx(1 - (logs - logs.mean(1, keepdims=True)).var(0)[2] / logs.var(0)[2])
+    total = b.sum(1)
+    assert got[0].c2_total == pytest.approx((total.var(ddof=1) - 2 * (v**2).sum()) / (v.sum() ** 2 + 2 * (v**2).sum()))
+
+
+def test_five_scores_agree_with_their_parts(spark):
+    rng = np.random.default_rng(8)
+    c = rng.normal(size=(300, 2))
+    z = c @ rng.normal(size=(2, 3)) + rng.normal(size=(300, 3))
+    df = spark.createDataFrame([(i, list(map(float, z[i])), list(map(float, c[i]))) for i in range(300)], "id long, z array<double>, c array<double>")
+    got = {r.id: r for r in gaussians.five_scores(df, df, ["id"], "z", "c", 3, shrink=1e-6).collect()}
+    model = gaussians.fit_conditional(df, "z", "c", 3, 1e-6)
+    cond, none = model.log_densities(z, c)
+    assert np.allclose([got[i].mean for i in range(300)], cond) and np.allclose([got[i].pmi for i in range(300)], cond - none)
+    assert all(got[i].joint == pytest.approx(got[i].mean + got[i].content) for i in range(300))
+    d = z - z.mean(0)
+    q = np.einsum("ij,jk,ik->i", d, np.linalg.inv(model.prior), d)
+    x = c - c.mean(0)
+    y = np.log(q / q.mean())
+    b = np.linalg.solve(x.T @ x / 300 + 1e-6 * np.eye(2), x.T @ (y - y.mean()) / 300)
+    h = x @ b + y.mean()
+    assert np.allclose([got[i].scale for i in range(300)], none - 0.5 * q * (np.exp(-h) - 1) - 1.5 * h)
+
+
+def test_hsic_and_contrastive_by_numpy(spark):
+    from cohortia.operators import spectra
+
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(size=(30, 3)), rng.normal(size=(30, 2))
+    df = spark.createDataFrame([(i, list(map(float, a[i])), list(map(float, b[i]))) for i in range(30)], "id long, a array<double>, b array<double>")
+
+    def kernel(x):
+        d = np.square(x[:, None] - x[None]).sum(2)
+        return np.exp(-d / (2 * np.median(d[~np.eye(len(x), dtype=bool)])))
+
+    h = np.eye(30) - 1 / 30
+    assert spectra.hsic(df, "id", "a", "b").first()[0] == pytest.approx(np.trace(kernel(a) @ h @ kernel(b) @ h) / 29**2)
+    anchors = df.select("id", F.col("id").alias("pair"), (F.col("id") % 3).alias("grp"), F.col("a").alias("v"))
+    others = df.select(F.col("id").alias("pair"), (F.col("id") % 3).alias("grp"), F.reverse("a").alias("v"))
+    got = {r.id: r.loss for r in spectra.contrastive(anchors, others, 3, 0.1).collect()}
+    u = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u(a) @ u(a[:, ::-1]).T / 0.1
+    for i in range(30):
+        kept = [j for j in range(30) if j == i or j % 3 != i % 3]
+        assert got[i] == pytest.approx(np.log(np.exp(s[i, kept]).sum()) - s[i, i])
