@@ -123,11 +123,12 @@ def mix_documents(docs: DataFrame, **how) -> DataFrame:
     """
     columns = docs.columns
     # The rows' own columns stay in a struct, so that no name clashes.
-    keyed = docs.select(F.struct(*columns).alias("doc"), F.col("doc_id").alias("id"), F.xxhash64(F.lit("row"), "doc_id", "source", "text").alias("row"))
-    sizes = keyed.select(F.struct("id", "row").alias("doc_id"), F.col("doc.source").alias("source"), word_count(F.col("doc.text")).alias("size"))
+    # `id` and `none` tell null ids apart, so that one shuffle by plain equality does for both steps below.
+    row = F.xxhash64(F.lit("row"), "doc_id", "source", "text")
+    keyed = docs.select(F.struct(*columns).alias("doc"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), row.alias("row"))
+    sizes = keyed.select(F.struct("id", "none", "row").alias("doc_id"), F.col("doc.source").alias("source"), word_count(F.col("doc.text")).alias("size"))
     taken = mix(sizes, **how).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.max("size").alias("size")).filter("taken > 0")
-    taken = taken.select(F.col("doc_id.id").alias("its_id"), F.col("doc_id.row").alias("its_row"), "taken", "size")
-    rows = keyed.dropDuplicates(["id", "row"]).join(taken, F.col("id").eqNullSafe(F.col("its_id")) & (F.col("row") == F.col("its_row")))
+    rows = keyed.dropDuplicates(["id", "none", "row"]).join(taken.select("doc_id.*", "taken", "size"), ["id", "none", "row"])
     rows = rows.withColumn("part", F.col("taken") % F.col("size")).withColumn("copies", F.expr("taken div size") + (F.col("part") > 0).cast("long"))
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     cut = (F.col("copy") == F.col("copies")) & (F.col("part") > 0)

@@ -39,15 +39,15 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp long) for every row."""
+    """(doc_id, text_hash, fp) for every row; text_hash tells rows of one id apart, or rows of none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(x, shingle, seed) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps, pa.int64())], names=["doc_id", "text_hash", "fp"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def hex_of(fp: Column) -> Column:
@@ -109,7 +109,9 @@ def near_links(fps: DataFrame, radius: int = 2, words: int = 4, tile: int = 8192
     sized = F.broadcast(stash(sized, "simhash-tiles"))
     moves = [d for d in product(range(-radius, radius + 1), repeat=words) if sum(map(abs, d)) <= radius]
     # A pair of tiles is met from both ends; its key is ordered, the tile of the first being "a".
-    at = nodes.select("fp", "p", cell(F.col("p")).alias("cell")).join(sized, "cell")
+    # A row meets 40 tiles, so the few files of the small table are dealt out first.
+    spread = nodes.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    at = spread.select("fp", "p", cell(F.col("p")).alias("cell")).join(sized, "cell")
     at = at.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")))
     step = F.explode(F.array(*[F.array(*[F.lit(x) for x in d]) for d in moves])).alias("d")
     there = at.select("fp", "cell", "part", "p", step).select("fp", "cell", "part", F.zip_with("p", "d", lambda x, y: x + y).alias("q"))
@@ -174,6 +176,13 @@ def components(links: DataFrame) -> DataFrame:
         edges = stash(ordered(small), "links")
 
 
+def classes(marked: DataFrame, radius: int, words: int, tile: int) -> DataFrame:
+    """(fp, root): the class of each fingerprint of a table with doc_id and fp."""
+    nodes = marked.select("fp").distinct()
+    roots = components(near_links(nodes, radius, words, tile))
+    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2, words: int = 4, tile: int = 8192) -> DataFrame:
     """(doc_id, fp, component_id) for every row: component_id is the smallest doc_id that links reach.
 
@@ -183,9 +192,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     other than `doc_id` and `text` are ignored.
     """
     marked = stash(fingerprints(docs, doc_id, text, shingle), "simhash-fps")
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(near_links(nodes, radius, words, tile))
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    rooted = classes(marked, radius, words, tile).join(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp")
+    rooted = stash(rooted, "simhash-classes")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(named, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2, words: int = 4, tile: int = 8192) -> DataFrame:
+    """The row of `docs` (doc_id, text, ...) with the smallest id of each class, null ids last, then by text.
+
+    Rows equal in id and text are one; all columns are kept, whatever their names.
+    """
+    marked = stash(fingerprints(docs, shingle=shingle), "simhash-fps")
+    # `id` and `none` tell null ids apart, so that one shuffle by plain equality does for both steps below.
+    key = lambda h: [F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.col("doc_id").isNull().alias("none"), h.alias("hash")]
+    first = marked.join(classes(marked, radius, words, tile), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("s"))
+    stays = first.select("s.doc_id", "s.text_hash").select(*key(F.col("text_hash")))
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), *key(F.xxhash64("text"))).join(stays, ["id", "none", "hash"], "left_semi")
+    return rows.dropDuplicates(["id", "none", "hash"]).select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
