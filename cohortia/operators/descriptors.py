@@ -36,10 +36,12 @@ def key_of(profile: Column) -> Column:
 
     A profile without variance is (0, major).
     """
-    shapes = [F.array(*[F.lit(float(x)) for x in shape]) for shape in (MAJOR, MINOR)]
-    fits = F.array(*[F.struct(F.coalesce(F.round(_correlation(profile, roll(s, F.lit(k))), 9), F.lit(0.0)).alias("fit"), F.lit(-m).alias("m"), F.lit(-k).alias("k")) for m, s in enumerate(shapes) for k in range(12)])
-    best = F.array_max(fits)
-    return F.struct((-best["k"]).cast("int").alias("tonic"), (best["m"] != 0).alias("minor"))
+    rolled = lambda shape, k: F.array(*[F.lit(float(x)) for x in (*shape[12 - k :], *shape[: 12 - k])])
+    shapes = F.array(*[F.struct(rolled(s, k).alias("w"), F.lit(-m).alias("m"), F.lit(-k).alias("k")) for m, s in enumerate((MAJOR, MINOR)) for k in range(12)])
+    fits = F.transform(shapes, lambda s: F.struct(F.coalesce(F.round(_correlation(profile, s["w"]), 9), F.lit(0.0)).alias("fit"), s["m"].alias("m"), s["k"].alias("k")))
+    # The best fit; of equals the major, then the lowest tonic, as both are negated.
+    best = F.transform(F.array(F.array_max(fits)), lambda b: F.struct((-b["k"]).cast("int").alias("tonic"), (b["m"] != 0).alias("minor")))
+    return best[0]
 
 
 def to_tonic(v: Column, tonic: Column) -> Column:
