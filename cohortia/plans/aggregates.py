@@ -148,12 +148,12 @@ def a18(spark, d):
     return resample.interval(resample.clustered_mean(f, "user_id", "x", 20, "a18", "event_type"), "value", ("event_type",)).select("event_type", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
-@query("A19_early_late", f"WITH e AS (SELECT event_id, event_id >= 500 AS late, value FROM events WHERE event_id < 1000), {draws('e', 'event_id', 20, 'a19', 'late')}, r AS (SELECT rep, late, sum(times * value) / sum(times) AS v FROM m JOIN e USING (late, event_id) GROUP BY 1, 2), q AS (SELECT b.v - a.v AS v FROM r a JOIN r b ON a.rep = b.rep AND NOT a.late AND b.late) SELECT round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM q")
+@query("A19_early_late", f"WITH e AS (SELECT event_id, event_id >= 500 AS late, value FROM events WHERE event_id < 1000), {draws('e', 'event_id', 20, 'a19', 'late')}, r AS (SELECT rep, late, sum(times * value) / sum(times) AS v FROM m JOIN e USING (late, event_id) GROUP BY 1, 2), q AS (SELECT b.v - a.v AS v FROM r a JOIN r b ON a.rep = b.rep AND NOT a.late AND b.late) SELECT round(quantile_cont(v, 0.025), 4) AS low, round(quantile_cont(v, 0.975), 4) AS high FROM q")
 def a19(spark, d):
     e = table(spark, d, "events").filter("event_id < 1000").select("event_id", (F.col("event_id") >= 500).alias("late"), "value")
     r = resample.clustered_mean(e, "event_id", "value", 20, "a19", "late")
     q = r.groupBy("rep").agg((F.max(F.when(F.col("late"), F.col("value"))) - F.max(F.when(~F.col("late"), F.col("value")))).alias("delta"))
-    return resample.interval(q, "delta").select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+    return resample.interval(q, "delta").select(F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
 
 
 @query("A20_block_means", "SELECT block, round(avg(value), 6) AS mean FROM (SELECT value, (row_number() OVER (ORDER BY event_id) - 1) // 250 AS block FROM events WHERE event_id < 3000) GROUP BY 1")
