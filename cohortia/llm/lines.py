@@ -17,6 +17,11 @@ def _full_lines(text: Column) -> Column:
     return F.filter(lines, lambda s: s["line"].rlike("[^ \\t\\r]"))
 
 
+def _picked(values: Column, at: Column) -> Column:
+    """The elements of `values` at the places `at`; both are worked out once for a row, not for each place."""
+    return F.transform(F.array(F.struct(values.alias("v"), at.alias("at"))), lambda s: F.transform(s["at"], lambda i: F.get(s["v"], i)))[0]
+
+
 def covered(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, row, starts): the windows of a document that occurred before, by place among its full lines.
 
@@ -57,20 +62,14 @@ def drop_repeated_lines(docs: DataFrame, width: int = 3) -> DataFrame:
     # The rows' own columns stay in a struct, so that no name clashes.
     rows = docs.select(F.struct(*columns).alias("doc")).withColumn("key", F.xxhash64("doc.doc_id", "doc.text"))
     rows = rows.join(found, F.col("doc.doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("row")), "left")
-    # Merged runs as [a, b) over full lines.
-    run = F.aggregate(
-        "starts",
-        F.expr("cast(array() as array<struct<a:int,b:int>>)"),
-        lambda acc, p: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["b"] >= p),
-            F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), (p + width).alias("b")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(p.alias("a"), (p + width).alias("b"))))),
-    )
     rows = rows.withColumn("lines", F.split(F.coalesce("doc.text", F.lit("")), "\n"))
-    gone = F.flatten(F.transform(run, lambda r: F.transform(F.slice(F.col("full"), r["a"] + 1, r["b"] - r["a"]), lambda s: s["at"])))
+    # The merged windows' places among the full lines, then among all; both steps hash, so long texts cost no more a line.
+    places = F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(p, p + (width - 1)))))
+    gone = _picked(F.col("full.at"), places)
     rows = rows.withColumn("full", F.when(F.col("starts").isNotNull(), _full_lines(F.col("doc.text"))))
     rows = rows.withColumn("gone", F.when(F.col("starts").isNotNull(), gone))
-    left = F.array_join(F.filter("lines", lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    left = F.array_join(_picked(F.col("lines"), stay), "\n")
     text = F.when(F.col("starts").isNull(), F.col("doc.text")).otherwise(left)
     return rows.select(
         *[(text if c == "text" else F.col("doc").getField(c)).alias(c) for c in columns],
