@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate, product
 
@@ -14,6 +15,21 @@ from pyspark.sql import functions as F
 from cohortia.llm.common import stash
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+#: Longs of a wide fingerprint, and the constants of the finalizer that makes them from one hash.
+WIDE = 4
+_STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+
+
+def shingle_hashes(text: str | None, shingle: int, seed: int) -> np.ndarray:
+    """XXH64 of each word shingle, repeats included; of the whole sequence if there are fewer words."""
+    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    if not words:
+        return np.empty(0, np.uint64)
+    joined = b" ".join(words)
+    ends = list(accumulate(map(len, words), lambda at, n: at + n + 1))
+    starts = [0, *(e + 1 for e in ends)]
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[min(shingle, len(words)) - 1 :])], dtype=np.uint64)
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -22,15 +38,9 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     A-Z are lower-cased and words parted at ASCII blanks; a text with fewer words is one shingle; a
     null, empty or blank text has fingerprint 0. A bit is set if over half of the hashes have it.
     """
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not words:
+    hashes = shingle_hashes(text, shingle, seed)
+    if not len(hashes):
         return 0
-    joined = b" ".join(words)
-    ends = list(accumulate(map(len, words), lambda at, n: at + n + 1))
-    starts = [0, *(e + 1 for e in ends)]
-    k = min(shingle, len(words))
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[k - 1 :])], dtype=np.uint64)
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 65_536):
         bits = np.unpackbits(hashes[at : at + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -38,6 +48,24 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
+def wide_fingerprint(text: str | None, shingle: int = 5, seed: int = 42) -> tuple[list[int], int]:
+    """(WIDE signed longs, number of distinct shingles): the SimHash of a text's set of word shingles.
+
+    Each distinct shingle counts once, so the share of bits in which two texts differ tells the overlap
+    of their sets. A null, empty or blank text has zeros and no shingles.
+    """
+    h = np.unique(shingle_hashes(text, shingle, seed))
+    ones = np.zeros(64 * WIDE, dtype=np.int64)
+    for at in range(0, len(h), 255 * 64):
+        x = h[at : at + 255 * 64, None] + np.arange(1, WIDE + 1, dtype=np.uint64) * _STEP
+        x = (x ^ (x >> np.uint64(30))) * _MIX[0]
+        x = (x ^ (x >> np.uint64(27))) * _MIX[1]
+        bits = np.unpackbits((x ^ (x >> np.uint64(31))).astype("<u8").view(np.uint8), axis=1, bitorder="little")
+        for row in range(0, len(bits), 255):  # sums that fit a byte
+            ones += bits[row : row + 255].sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(h), bitorder="little").view("<i8").tolist(), len(h)
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, text_hash, fp) for every row; text_hash tells rows of one id apart, or rows of none."""
 
@@ -54,20 +82,32 @@ def hex_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
+def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of each row of x from each of y; fingerprints of several longs have a row of them."""
+    if x.ndim == 1:
+        return np.bitwise_count(x[:, None] ^ y[None, :])
+    out = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0]).astype(np.uint16)
+    for k in range(1, x.shape[1]):
+        out += np.bitwise_count(x[:, None, k] ^ y[None, :, k])
+    return out
+
+
+def forest(a: np.ndarray, b: np.ndarray | None, radius: int, names: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links between fingerprints of two tiles (or within one) that connect all that lie within `radius`.
 
+    `names` holds what links call the fingerprints of `a`, then `b`, if not by themselves.
+
     All pairs are compared. Few links are returned as they are; beyond four for each fingerprint only
     a spanning forest is, so a dense tile gives no more rows than it has fingerprints.
     """
     other = a if b is None else b
-    nodes = a if b is None else np.concatenate([a, b])
+    nodes = names if names is not None else a if b is None else np.concatenate([a, b])
     shift = 0 if b is None else len(a)
     most, found, rows = 4 * len(nodes), [], []
-    step = max(1, 2_000_000 // max(1, len(other)))
+    step = max(1, (2_000_000 if a.ndim == 1 else 200_000) // max(1, len(other)))
     count = 0
     for at in range(0, len(a), step):
-        near = np.bitwise_count(a[at : at + step, None] ^ other[None, :]) <= radius
+        near = _distance(a[at : at + step], other) <= radius
         i, j = np.nonzero(near)
         i += at
         if b is None:
@@ -82,7 +122,7 @@ def forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> list[tuple[int,
         return [(int(nodes[x]), int(nodes[y])) for i, j in found for x, y in zip(i, j)]
     root, links = np.arange(len(nodes)), []
     for i in np.concatenate(rows):
-        near = np.flatnonzero(np.bitwise_count(other ^ a[i]) <= radius) + shift
+        near = np.flatnonzero(_distance(a[i : i + 1], other)[0] <= radius) + shift
         for r in np.unique(root[near]):
             mine = root[i]
             if r != mine:
@@ -121,6 +161,13 @@ def near_links(fps: DataFrame, radius: int = 2, words: int = 4, tile: int = 8192
     mine, its = (F.col("cell") * F.lit(1 << 32) + F.col("part")), (F.col("cell_2") * F.lit(1 << 32) + F.col("part_2"))
     dealt = met.select(F.least(mine, its).alias("a"), F.greatest(mine, its).alias("b"), (mine <= its).alias("first"), "fp")
 
+    return compare(dealt, radius)
+
+
+def compare(dealt: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) from the rows of tile pairs: a, b (the tiles), first (whether of tile a), name, then the
+    longs of a fingerprint; without any, the name is the fingerprint."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
@@ -136,18 +183,19 @@ def near_links(fps: DataFrame, radius: int = 2, words: int = 4, tile: int = 8192
             yield links(rest, [])
 
     def links(cols: list[np.ndarray], cuts) -> pa.RecordBatch:
-        a, b, first, fp = cols
-        fp = fp.view(np.uint64)
+        a, b, first, name, *longs = cols
+        name = name.view(np.uint64)
+        fp = np.stack(longs, axis=1).view(np.uint64) if longs else name
         out: list[tuple[int, int]] = []
-        for i, j in zip([0, *cuts], [*cuts, len(fp)]):
+        for i, j in zip([0, *cuts], [*cuts, len(name)]):
             if a[i] == b[i]:
                 if j - i > 1:
-                    out += forest(fp[i:j], None, radius)
+                    out += forest(fp[i:j], None, radius, name[i:j])
             else:
                 side = first[i:j].astype(bool)
-                one, two = fp[i:j][side], fp[i:j][~side]
-                if len(one) and len(two):
-                    out += forest(one, two, radius)
+                if side.any() and not side.all():
+                    order = np.flatnonzero(side), np.flatnonzero(~side)
+                    out += forest(fp[i:j][order[0]], fp[i:j][order[1]], radius, name[i:j][np.concatenate(order)])
         pairs = np.array(out, dtype=np.uint64).reshape(-1, 2).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["a", "b"])
 
@@ -198,15 +246,69 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return marked.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2, words: int = 4, tile: int = 8192) -> DataFrame:
+def bit_radius(similarity: float) -> int:
+    """Bits in which wide fingerprints of texts of that Jaccard similarity differ, and one deviation more.
+
+    Sets of like size with similarity s have cosine 2s / (1 + s); each bit differs with probability angle / pi.
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(64 * WIDE * p + math.sqrt(64 * WIDE * p * (1 - p)))
+
+
+def similar_links(prints: DataFrame, similarity: float = 0.8, tile: int = 16_384) -> DataFrame:
+    """Links (a, b) between the `node`s of (node, size, f0, f1, ...) within `bit_radius(similarity)`.
+
+    `size` is the number of distinct shingles. Tiles are bands of size, of the ratio 1 / similarity, by
+    sixteenths of the population count. Sets of more different sizes cannot be that similar, and counts
+    further apart than the radius cannot be within it: such tile pairs are skipped, all others compared
+    exactly. The table of tile sizes that is broadcast has 17 rows for each band, and 150 bands reach a
+    text of 10^14 words.
+    """
+    radius, width = bit_radius(similarity), 4 * WIDE
+    longs = [f"f{k}" for k in range(WIDE)]
+    count = sum((F.bit_count(c) for c in longs[1:]), F.bit_count(longs[0]))
+    band = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / F.lit(-math.log(similarity)))
+    nodes = prints.select("node", *longs, band.alias("band"), F.floor(count / width).alias("ones"))
+    nodes = stash(nodes.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node"), "simhash-wide")
+    cell = lambda b, o: b * 32 + o
+    sized = nodes.groupBy(cell(F.col("band"), F.col("ones")).alias("cell")).agg(F.ceil(F.count("*") / tile).alias("parts"))
+    sized = F.broadcast(stash(sized, "simhash-tiles"))
+    at = nodes.withColumn("cell", cell(F.col("band"), F.col("ones"))).join(sized, "cell").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    reach = (radius - 1) // width + 1
+    moves = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(o).alias("o")) for b in (-1, 0, 1) for o in range(-reach, reach + 1)])
+    there = at.withColumn("d", F.explode(moves)).withColumn("o2", F.col("ones") + F.col("d.o")).filter(f"o2 BETWEEN 0 AND {64 * WIDE // width}")
+    there = there.withColumn("cell_2", cell(F.col("band") + F.col("d.b"), F.col("o2")))
+    met = there.join(sized.select(F.col("cell").alias("cell_2"), F.col("parts").alias("parts_2")), "cell_2")
+    met = met.withColumn("part_2", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts_2") - 1)))
+    mine, its = F.col("cell") * F.lit(1 << 32) + F.col("part"), F.col("cell_2") * F.lit(1 << 32) + F.col("part_2")
+    return compare(met.select(F.least(mine, its).alias("a"), F.greatest(mine, its).alias("b"), (mine <= its).alias("first"), "node", *longs), radius)
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tile: int = 16_384, seed: int = 42) -> DataFrame:
     """The row of `docs` (doc_id, text, ...) with the smallest id of each class, null ids last, then by text.
 
-    Rows equal in id and text are one; all columns are kept, whatever their names.
+    Texts are linked if the wide SimHash of their sets of word shingles tells a similarity of `similarity`
+    or more, less one deviation (about 0.03), and their sizes allow it; classes are what links reach. Null,
+    empty and blank texts are one class. Rows equal in id and text are one; all columns are kept,
+    whatever their names.
     """
-    marked = stash(fingerprints(docs, shingle=shingle), "simhash-fps")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [wide_fingerprint(x, shingle, seed) for x in batch.column(1).to_pylist()]
+            longs = [pa.array([f[k] for f, _ in found], pa.int64()) for k in range(WIDE)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([n for _, n in found], pa.int64()), *longs], names=["doc_id", "text_hash", "size", *names])
+
+    names = [f"f{k}" for k in range(WIDE)]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    marked = rows.mapInArrow(run, "doc_id long, text_hash long, size long, " + ", ".join(f"{n} long" for n in names))
+    marked = stash(marked.withColumn("node", F.xxhash64(*names)), "simhash-fps")
+    roots = components(similar_links(marked.select("node", "size", *names).distinct(), similarity, tile))
     # `id` and `none` tell null ids apart, so that one shuffle by plain equality does for both steps below.
     key = lambda h: [F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.col("doc_id").isNull().alias("none"), h.alias("hash")]
-    first = marked.join(classes(marked, radius, words, tile), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("s"))
-    stays = first.select("s.doc_id", "s.text_hash").select(*key(F.col("text_hash")))
+    # The first of each fingerprint, then of each class: a large class is one row for each fingerprint.
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("s")
+    each = marked.groupBy("node").agg(first).join(roots, "node", "left")
+    stays = each.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("s").alias("s")).select("s.doc_id", "s.text_hash").select(*key(F.col("text_hash")))
     rows = docs.select(F.struct(*docs.columns).alias("doc"), *key(F.xxhash64("text"))).join(stays, ["id", "none", "hash"], "left_semi")
     return rows.dropDuplicates(["id", "none", "hash"]).select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])

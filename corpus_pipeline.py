@@ -36,7 +36,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each SimHash class, as op7 has them, the document with the smallest id, once if it is repeated."""
+    """Keeps of each class of texts of five-word similarity 0.8 or more the document with the smallest id, once if it is repeated."""
     return simhash.keep_one(docs)
 
 

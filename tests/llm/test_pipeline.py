@@ -1,5 +1,7 @@
 """The pipeline's stages against brute force on the small tables, and on odd input."""
 
+import math
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -43,10 +45,49 @@ def test_line_stage(spark, docs):
     assert all(got[d].md5 == w.text_md5 and got[d].n_chars == w.n_chars for d, w in want.iterrows()) and len(got) == len(want)
 
 
+def _shingles(text):
+    words = simhash.shingle_hashes(text, 5, 42)
+    return set(words.tolist())
+
+
 def test_near_duplicate_stage(spark, docs):
+    had = sorted((r.doc_id, r.text) for r in docs.collect())
+    prints = [simhash.wide_fingerprint(t) for _, t in had]
+    band = [math.floor(math.log(max(n, 1)) / -math.log(0.8)) for _, n in prints]
+    root = list(range(len(had)))
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for i in range(len(had)):
+        for j in range(i):
+            bits = sum((x ^ y).bit_count() if x ^ y >= 0 else ((x ^ y) + 2**64).bit_count() for x, y in zip(prints[i][0], prints[j][0]))
+            if abs(band[i] - band[j]) <= 1 and bits <= simhash.bit_radius(0.8):
+                root[max(find(i), find(j))] = min(find(i), find(j))
     out = P.near_duplicate_stage(spark, docs, SF)
-    stays = {r.component_id for r in simhash.near_duplicates(docs).collect()}
-    assert out.columns == COLUMNS and rows(out) == rows(docs.filter(F.col("doc_id").isin(list(stays))))
+    stays = [d for k, (d, _) in enumerate(had) if find(k) == k]
+    assert out.columns == COLUMNS and rows(out) == rows(docs.filter(F.col("doc_id").isin(stays)))
+
+
+def test_near_copies_go_and_clean_documents_stay(spark):
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.choice([60, 200, 900]))) for _ in range(60)]
+
+    def changed(text, every):  # replaces one word in so many
+        words = text.split()
+        for i in range(every // 2, len(words), every):
+            words[i] = "changed"
+        return " ".join(words)
+
+    near = [changed(t, 60) for t in texts[:20]]  # five-word similarity of about 0.85
+    less = [changed(t, 8) for t in texts[20:40]]  # about 0.3
+    copies = [t.upper() for t in texts[40:50]]
+    table = spark.createDataFrame(list(enumerate(texts + near + less + copies)), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.keep_one(table, tile=16).collect()}
+    assert all(len(_shingles(a) & _shingles(b)) / len(_shingles(a) | _shingles(b)) >= 0.8 for a, b in zip(texts, near))
+    assert set(range(60)) <= kept and set(range(80, 100)) <= kept
+    assert not kept & set(range(100, 110)) and len(kept & set(range(60, 80))) <= 1
 
 
 def test_mixing_stage(spark, docs):
