@@ -117,7 +117,8 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     picked = rows.join(F.broadcast(counts.filter("n > 0")), "lang").withColumn("u", F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / (1 << 30))
-    picked = picked.filter(F.col("u") * F.col("n") < 1.5 * sample + 30)
+    # Copies count once, or a text with a third of all rows could fill one task.
+    picked = picked.filter(F.col("u") * F.col("n") < 1.5 * sample + 30).dropDuplicates(["lang", "text"])
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         part = pdf.sort_values(["u", "text"]).head(sample)
