@@ -144,8 +144,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float =
     """query_id, rank, vec_id, score: each query's k nearest of all other vectors, by Euclidean distance.
 
     Vectors that `usable` refuses take no part, on either side. Ties go to the smaller id. A query's own id
-    is no candidate; of rows that repeat an id the nearest counts; a query with fewer candidates gets all
-    that its leaves hold, and those are all where k or fewer vectors are. An empty side gives no rows.
+    is no candidate; of rows that repeat an id the nearest counts; a query visits leaves until they hold
+    k others, so it gets fewer only where there are fewer, then all. An empty side gives no rows.
 
     The tree is fitted on at most `sample` vectors and the visits are calibrated on at most `calibration`
     queries. Leaves are dealt in blocks of about `block` vectors and `block` queries, so a crowded leaf is
@@ -175,10 +175,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float =
 
     def routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, leaf) for i, q in enumerate(_matrix(batch.column(1))) for _, leaf in zip(range(visits), shared.value.order(q))]
+            rows = []
+            for i, q in enumerate(_matrix(batch.column(1))):
+                seen = 0
+                for n, leaf in enumerate(shared.value.order(q)):
+                    if n >= visits and seen > k:
+                        break
+                    rows.append((i, leaf))
+                    seen += held.get(leaf, 0)
             at = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([r[1] for r in rows], pa.int64())], names=["id", "v", "leaf"])
 
+    # One row for each leaf. Visits go on beyond the calibrated number until k candidates are held.
+    held = {r["leaf"]: r["n"] for r in indexed.groupBy("leaf").agg(F.countDistinct("id").alias("n")).collect()}
     routed = stash(wanted.mapInArrow(routes, "id long, v array<double>, leaf long"), "ann-routes")
     # Blocks of each leaf on either side; the tree has few leaves, so the table is small.
     parts = indexed.groupBy("leaf").agg(F.ceil(F.count("*") / block).alias("p")).join(routed.groupBy("leaf").agg(F.ceil(F.count("*") / block).alias("r")), "leaf")

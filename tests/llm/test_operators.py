@@ -391,6 +391,16 @@ def test_neighbours_odd(spark):
     assert sorted(crowded.vec_id) == [1, 3, 5, 9, 11, 13, 15, 17, 19, 21]
 
 
+def test_neighbours_in_small_leaves_are_all_found(spark):
+    """A query whose nearest leaves hold one vector each still gets k."""
+    rng = np.random.default_rng(2)
+    crowd = [(i, rng.normal(0, 0.1, 3).tolist()) for i in range(1, 400)]
+    lone = [(1000 + i, [100.0 + 40 * i, 50.0 * (i % 3), 1.0]) for i in range(8)]
+    v = spark.createDataFrame(crowd + lone, "vec_id long, embedding array<float>")
+    got = neighbours.search(v, v.filter("vec_id >= 1000 OR vec_id % 100 = 0")).groupBy("query_id").count().collect()
+    assert len(got) == 11 and {r["count"] for r in got} == {10}
+
+
 def test_arrow_batches_split_groups(spark):
     """Tiles that span Arrow batches are compared whole."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
