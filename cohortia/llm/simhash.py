@@ -55,6 +55,11 @@ def wide_fingerprint(text: str | None, shingle: int = 5, seed: int = 42) -> tupl
     of their sets. A null, empty or blank text has zeros and no shingles.
     """
     h = np.unique(shingle_hashes(text, shingle, seed))
+    return wide_of(h), len(h)
+
+
+def wide_of(h: np.ndarray) -> list[int]:
+    """WIDE signed longs: the SimHash of a set of shingle hashes."""
     ones = np.zeros(64 * WIDE, dtype=np.int64)
     for at in range(0, len(h), 255 * 64):
         x = h[at : at + 255 * 64, None] + np.arange(1, WIDE + 1, dtype=np.uint64) * _STEP
@@ -63,7 +68,7 @@ def wide_fingerprint(text: str | None, shingle: int = 5, seed: int = 42) -> tupl
         bits = np.unpackbits((x ^ (x >> np.uint64(31))).astype("<u8").view(np.uint8), axis=1, bitorder="little")
         for row in range(0, len(bits), 255):  # sums that fit a byte
             ones += bits[row : row + 255].sum(axis=0, dtype=np.uint8)
-    return np.packbits(2 * ones > len(h), bitorder="little").view("<i8").tolist(), len(h)
+    return np.packbits(2 * ones > len(h), bitorder="little").view("<i8").tolist()
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -164,23 +169,29 @@ def near_links(fps: DataFrame, radius: int = 2, words: int = 4, tile: int = 8192
     return compare(dealt, radius)
 
 
+def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Columns that hold whole tile pairs of sorted rows, whose first two columns are the tiles, and where they part."""
+    rest = None
+    for batch in batches:
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if rest is not None:
+            cols = [np.concatenate([x, y]) for x, y in zip(rest, cols)]
+        cuts = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])) + 1
+        if len(cuts):
+            yield [c[: cuts[-1]] for c in cols], cuts[:-1]
+            cols = [c[cuts[-1] :] for c in cols]
+        rest = cols
+    if rest is not None and len(rest[0]):
+        yield rest, np.empty(0, np.int64)
+
+
 def compare(dealt: DataFrame, radius: int) -> DataFrame:
     """Links (a, b) from the rows of tile pairs: a, b (the tiles), first (whether of tile a), name, then the
     longs of a fingerprint; without any, the name is the fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if rest is not None:
-                cols = [np.concatenate([x, y]) for x, y in zip(rest, cols)]
-            cuts = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])) + 1
-            if len(cuts):
-                yield links([c[: cuts[-1]] for c in cols], cuts[:-1])
-                cols = [c[cuts[-1] :] for c in cols]
-            rest = cols
-        if rest is not None and len(rest[0]):
-            yield links(rest, [])
+        for cols, cuts in _tile_pairs(batches):
+            yield links(cols, cuts)
 
     def links(cols: list[np.ndarray], cuts) -> pa.RecordBatch:
         a, b, first, name, *longs = cols
@@ -246,33 +257,38 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return marked.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def _differs(shared: int, one: int, other: int) -> float:
+    """Probability that a bit differs between two sets with so many shared hashes and so many of their own."""
+    size = lambda n: np.array([math.comb(n, k) / 2**n for k in range(n + 1)])
+    c, x, y = np.arange(shared + 1)[:, None], np.arange(one + 1)[None, :], np.arange(other + 1)[None, :]
+    p = (size(one) * (2 * (c + x) > shared + one)).sum(1)
+    q = (size(other) * (2 * (c + y) > shared + other)).sum(1)
+    return float((size(shared) * (p * (1 - q) + q * (1 - p))).sum())
+
+
 def bit_radius(similarity: float) -> int:
-    """Bits in which wide fingerprints of texts of that Jaccard similarity differ, and one deviation more.
+    """Bits in which wide fingerprints of texts of that Jaccard similarity differ, and three deviations more.
 
-    Sets of like size with similarity s have cosine 2s / (1 + s); each bit differs with probability angle / pi.
+    Large sets of like size with similarity s have cosine 2s / (1 + s); each bit differs with probability
+    angle / pi. Sets of few hashes can differ in more, as 4 of 5 do in 48 bits: the worst of those counts.
     """
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(64 * WIDE * p + math.sqrt(64 * WIDE * p * (1 - p)))
-
+    for shared in range(1, 41):
+        own = math.floor(shared / similarity - shared + 1e-9)
+        p = max([p, *(_differs(shared, one, most - one) for most in range(1, own + 1) for one in range(most // 2 + 1))])
+    return math.floor(64 * WIDE * p + 3 * math.sqrt(64 * WIDE * p * (1 - p)))
 
-def similar_links(prints: DataFrame, similarity: float = 0.8, tile: int = 16_384) -> DataFrame:
-    """Links (a, b) between the `node`s of (node, size, f0, f1, ...) within `bit_radius(similarity)`.
 
-    `size` is the number of distinct shingles. Tiles are bands of size, of the ratio 1 / similarity, by
-    sixteenths of the population count. Sets of more different sizes cannot be that similar, and counts
-    further apart than the radius cannot be within it: such tile pairs are skipped, all others compared
-    exactly. The table of tile sizes that is broadcast has 17 rows for each band, and 150 bands reach a
-    text of 10^14 words.
-    """
-    radius, width = bit_radius(similarity), 4 * WIDE
+def _met_tiles(nodes: DataFrame, radius: int, similarity: float, tile: int, volume: int) -> DataFrame:
+    """Rows of tile pairs (a, b, first, node, longs) of (node, size, f0, f1, ...), for `similar_links`."""
+    width = 4 * WIDE
     longs = [f"f{k}" for k in range(WIDE)]
     count = sum((F.bit_count(c) for c in longs[1:]), F.bit_count(longs[0]))
     band = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / F.lit(-math.log(similarity)))
-    nodes = prints.select("node", *longs, band.alias("band"), F.floor(count / width).alias("ones"))
-    nodes = stash(nodes.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node"), "simhash-wide")
     cell = lambda b, o: b * 32 + o
-    sized = nodes.groupBy(cell(F.col("band"), F.col("ones")).alias("cell")).agg(F.ceil(F.count("*") / tile).alias("parts"))
-    sized = F.broadcast(stash(sized, "simhash-tiles"))
+    nodes = nodes.select("node", "size", *longs, band.alias("band"), F.floor(count / width).alias("ones"))
+    parts = F.ceil(F.greatest(F.count("*") / tile, F.sum("size") / volume)).alias("parts")
+    sized = F.broadcast(stash(nodes.groupBy(cell(F.col("band"), F.col("ones")).alias("cell")).agg(parts), "simhash-tiles"))
     at = nodes.withColumn("cell", cell(F.col("band"), F.col("ones"))).join(sized, "cell").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
     reach = (radius - 1) // width + 1
     moves = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(o).alias("o")) for b in (-1, 0, 1) for o in range(-reach, reach + 1)])
@@ -281,34 +297,146 @@ def similar_links(prints: DataFrame, similarity: float = 0.8, tile: int = 16_384
     met = there.join(sized.select(F.col("cell").alias("cell_2"), F.col("parts").alias("parts_2")), "cell_2")
     met = met.withColumn("part_2", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts_2") - 1)))
     mine, its = F.col("cell") * F.lit(1 << 32) + F.col("part"), F.col("cell_2") * F.lit(1 << 32) + F.col("part_2")
-    return compare(met.select(F.least(mine, its).alias("a"), F.greatest(mine, its).alias("b"), (mine <= its).alias("first"), "node", *longs), radius)
+    return met.select(F.least(mine, its).alias("a"), F.greatest(mine, its).alias("b"), (mine <= its).alias("first"), "node", "size", *longs)
+
+
+def _sides(cols: list[np.ndarray], cuts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(rows of the first tile, of the second, whether they are one tile) of each tile pair with two rows to compare."""
+    a, b, first = cols[:3]
+    for i, j in zip([0, *cuts], [*cuts, len(a)]):
+        rows, side = np.arange(i, j), first[i:j].astype(bool)
+        if a[i] == b[i]:
+            if j - i > 1:
+                yield rows, rows, True
+        elif side.any() and not side.all():
+            yield rows[side], rows[~side], False
+
+
+def _near(x: np.ndarray, y: np.ndarray, sizes: tuple[np.ndarray, np.ndarray], radius: int, similarity: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, distances, whether near) of a few rows of x at a time from all of y."""
+    step = max(1, 200_000 // max(1, len(y)))
+    for at in range(0, len(x), step):
+        far, n = _distance(x[at : at + step], y), sizes[0][at : at + step, None]
+        yield at, far, (far <= radius) & (np.minimum(n, sizes[1]) >= np.maximum(n, sizes[1]) * similarity - 1e-9)
+
+
+def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted arrays of distinct hashes have that Jaccard similarity or more."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    if not len(small):
+        return not len(large)
+    at = np.searchsorted(large, small)
+    both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+    return both >= similarity * (len(x) + len(y) - both) - 1e-9
+
+
+def candidates(dealt: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """The rows (a, b, first, node) of tile pairs that lie within the radius of another row there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols, cuts in _tile_pairs(batches):
+            size, fp = cols[4], np.stack(cols[5:], axis=1).view(np.uint64)
+            some = np.zeros(len(size), bool)
+            for x, y, one in _sides(cols, cuts):
+                for at, _, near in _near(fp[x], fp[y], (size[x], size[y]), radius, similarity):
+                    if one:
+                        near[np.arange(len(near)), at + np.arange(len(near))] = False
+                    some[x[at : at + len(near)][near.any(1)]] = True
+                    some[y[near.any(0)]] = True
+            yield pa.RecordBatch.from_arrays([pa.array(c[some]) for c in cols[:4]], names=["a", "b", "first", "node"])
+
+    return dealt.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(run, "a long, b long, first boolean, node long")
+
+
+def verified(dealt: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Links (a, b) that connect, in each tile pair, all rows whose sets are that similar.
+
+    Rows are a, b, first, node, size, set (sorted hashes as bytes), then the longs of a fingerprint. Pairs within
+    the radius are compared by their sets unless links found before connect them already, so a tile pair
+    gives fewer links than it has rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols, cuts in _tile_pairs(batches):
+            node, size, sets, fp = cols[3], cols[4], cols[5], np.stack(cols[6:], axis=1).view(np.uint64)
+            root, out = np.arange(len(node)), []
+            for x, y, one in _sides(cols, cuts):
+                lot = x if one else np.concatenate([x, y])
+                for at, far, near in _near(fp[x], fp[y], (size[x], size[y]), radius, similarity):
+                    for k in np.flatnonzero(near.any(1)):
+                        i = x[at + k]
+                        js = np.flatnonzero(near[k])
+                        js = js[(root[y[js]] != root[i]) & ((y[js] > i) | (not one))]
+                        mine = np.frombuffer(sets[i], "<u8")
+                        for j in y[js[np.argsort(far[k, js], kind="stable")]]:
+                            if root[i] != root[j] and similar(mine, np.frombuffer(sets[j], "<u8"), similarity):
+                                out.append((node[i], node[j]))
+                                known = root[lot]
+                                root[lot[known == root[j]]] = root[i]
+            pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["a", "b"])
+
+    return dealt.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(run, "a long, b long")
+
+
+def similar_links(prints: DataFrame, sets_of, similarity: float = 0.8, tile: int = 16_384, volume: int = 1 << 22) -> DataFrame:
+    """Links (a, b) that connect the `node`s of (node, size, f0, f1, ...) whose sets have that Jaccard similarity.
+
+    `size` is the number of distinct shingles; `sets_of` gives (node, set) for a table of some nodes. Pairs
+    within `bit_radius(similarity)` are candidates, and each is compared by its sets. Tiles are bands of
+    size, of the ratio 1 / similarity, by sixteenths of the population count, in parts of about `tile`
+    nodes and `volume` shingles at most. Sets of more different sizes cannot be that similar, and counts
+    further apart than the radius cannot be within it: such tile pairs are skipped, all others compared.
+    Sets are dealt only to the tile pairs where their node has a candidate. The table of tile sizes that is
+    broadcast has 17 rows for each band, and 150 bands reach a text of 10^14 words.
+    """
+    radius, longs = bit_radius(similarity), [f"f{k}" for k in range(WIDE)]
+    nodes = stash(prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node"), "simhash-wide")
+    found = stash(candidates(_met_tiles(nodes, radius, similarity, tile, volume), radius, similarity), "simhash-candidates")
+    some = stash(sets_of(found.select("node").distinct()).join(nodes, "node").select("node", "size", "set", *longs), "simhash-sets")
+    return verified(found.join(some, "node").select("a", "b", "first", "node", "size", "set", *longs), radius, similarity)
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tile: int = 16_384, seed: int = 42) -> DataFrame:
     """The row of `docs` (doc_id, text, ...) with the smallest id of each class, null ids last, then by text.
 
-    Texts are linked if the wide SimHash of their sets of word shingles tells a similarity of `similarity`
-    or more, less one deviation (about 0.03), and their sizes allow it; classes are what links reach. Null,
-    empty and blank texts are one class. Rows equal in id and text are one; all columns are kept,
-    whatever their names.
+    Texts are linked if the Jaccard similarity of their sets of word shingles is `similarity` or more; classes
+    are what links reach. Links are exact; candidates come from wide SimHash, which misses about one pair
+    in a thousand of the hardest (see `bit_radius`). Null, empty and blank texts are one class. Rows equal
+    in id and text are one; all columns are kept, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [wide_fingerprint(x, shingle, seed) for x in batch.column(1).to_pylist()]
-            longs = [pa.array([f[k] for f, _ in found], pa.int64()) for k in range(WIDE)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([n for _, n in found], pa.int64()), *longs], names=["doc_id", "text_hash", "size", *names])
+            found = []
+            for x in batch.column(1).to_pylist():
+                h = np.unique(shingle_hashes(x, shingle, seed))
+                found.append((np.uint64(xxhash.xxh64_intdigest(h.tobytes())).astype(np.int64), len(h), *wide_of(h)))
+            cols = [pa.array([f[k] for f in found], pa.int64()) for k in range(WIDE + 2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *cols], names=["doc_id", "text_hash", "node", "size", *names])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(x, shingle, seed)).astype("<u8").tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "set"])
 
     names = [f"f{k}" for k in range(WIDE)]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    marked = rows.mapInArrow(run, "doc_id long, text_hash long, size long, " + ", ".join(f"{n} long" for n in names))
-    marked = stash(marked.withColumn("node", F.xxhash64(*names)), "simhash-fps")
-    roots = components(similar_links(marked.select("node", "size", *names).distinct(), similarity, tile))
+    # A node is a set of shingles, so copies are never compared.
+    marked = stash(rows.mapInArrow(run, "doc_id long, text_hash long, node long, size long, " + ", ".join(f"{n} long" for n in names)), "simhash-fps")
     # `id` and `none` tell null ids apart, so that one shuffle by plain equality does for both steps below.
     key = lambda h: [F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.col("doc_id").isNull().alias("none"), h.alias("hash")]
-    # The first of each fingerprint, then of each class: a large class is one row for each fingerprint.
+    # The first of each set, then of each class: a large class is one row for each set.
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("s")
-    each = marked.groupBy("node").agg(first).join(roots, "node", "left")
-    stays = each.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("s").alias("s")).select("s.doc_id", "s.text_hash").select(*key(F.col("text_hash")))
+    each = stash(marked.groupBy("node").agg(first), "simhash-first")
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        own = each.join(some, "node").select("node", "s.doc_id", "s.text_hash").select("node", *key(F.col("text_hash")))
+        texts = docs.select("text", *key(F.xxhash64("text"))).join(own, ["id", "none", "hash"])
+        return texts.dropDuplicates(["id", "none", "hash"]).select("node", "text").mapInArrow(hashed, "node long, set binary")
+
+    roots = components(similar_links(marked.select("node", "size", *names).distinct(), sets_of, similarity, tile))
+    stays = each.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("s").alias("s"))
+    stays = stays.select("s.doc_id", "s.text_hash").select(*key(F.col("text_hash")))
     rows = docs.select(F.struct(*docs.columns).alias("doc"), *key(F.xxhash64("text"))).join(stays, ["id", "none", "hash"], "left_semi")
     return rows.dropDuplicates(["id", "none", "hash"]).select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])

@@ -90,6 +90,45 @@ def test_near_copies_go_and_clean_documents_stay(spark):
     assert not kept & set(range(100, 110)) and len(kept & set(range(60, 80))) <= 1
 
 
+def _classes(texts, similarity=0.8):
+    """The first place of the class of each text, by the five-word Jaccard similarity of all pairs."""
+    sets, root = [_shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if x == y or len(x & y) >= similarity * len(x | y):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(texts))]
+
+
+def test_near_duplicates_match_brute_force_jaccard(spark, docs):
+    had = sorted((r.doc_id, r.text) for r in docs.collect())
+    first = _classes([t for _, t in had])
+    kept = {r.doc_id for r in P.near_duplicate_stage(spark, docs, SF).collect()}
+    assert kept == {d for k, (d, _) in enumerate(had) if first[k] == k}
+
+
+def test_near_duplicates_of_short_nested_and_of_less_similar_texts(spark):
+    rng = random.Random(8)
+    texts = []
+    for g in range(60):  # 4 of 5 shingles: similarity 0.8
+        words = [f"a{g}x{i}" for i in range(9)]
+        texts += [" ".join(words), " ".join(words[:8])]
+    for g in range(40):  # a group of one base, changed more and more: similarities on both sides of 0.8
+        words = [f"b{g % 4}x{i}" for i in range(200)]
+        for i in rng.sample(range(200), g % 10):
+            words[i] = f"c{g}x{i}"
+        texts.append(" ".join(words))
+    first = _classes(texts)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for tile in (8, 16_384):
+        kept = {r.doc_id for r in simhash.keep_one(table, tile=tile).collect()}
+        assert kept == {k for k, f in enumerate(first) if f == k}
+
+
 def test_mixing_stage(spark, docs):
     out = P.mixing_stage(spark, docs, SF).collect()
     words, per, had = defaultdict(int), defaultdict(int), {r.doc_id: r.text for r in docs.collect()}
