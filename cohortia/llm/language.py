@@ -109,14 +109,14 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
     """Learn from the rows where `learn` holds and neither text nor lang is null.
 
     `sample` bounds the texts of each language that are clustered: the first by a hash of the text, from a
-    hash range sized by the language's count. `reject` is the share of them that a threshold leaves out.
+    hash range sized by the count of the language's distinct texts. `reject` is the share of them that a threshold leaves out.
     Languages of no usable text are not learned; without any, all texts are unknown.
     """
     rows = docs.filter(learn).select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
     df, n = _document_frequency(rows)
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    picked = rows.join(F.broadcast(counts.filter("n > 0")), "lang").withColumn("u", F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / (1 << 30))
+    counts = rows.select("lang", F.xxhash64("text").alias("hash")).distinct().groupBy("lang").agg(F.count("*").alias("n"))
+    picked = rows.join(F.broadcast(counts), "lang").withColumn("u", F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / (1 << 30))
     # Copies count once, or a text with a third of all rows could fill one task.
     picked = picked.filter(F.col("u") * F.col("n") < 1.5 * sample + 30).dropDuplicates(["lang", "text"])
 

@@ -322,6 +322,12 @@ def test_language_rejects_what_is_far(spark, docs):
     assert language.identify(far, model).first().lang == "und"
 
 
+def test_language_learns_from_few_distinct_texts_among_many_copies(spark):
+    texts = [f"der kleine hund {i} lief schnell nach hause und schlief" for i in range(5)]
+    rows = spark.range(200_000).select(F.element_at(F.array(*map(F.lit, texts)), (F.col("id") % 5 + 1).cast("int")).alias("text"), F.lit("de").alias("lang"))
+    assert language.fit(rows, F.lit(True)).langs
+
+
 def test_quality(spark, docs, labels, odd, none):
     trees = quality.fit(docs, labels, remainder("doc_id", 5) != 0)
     got = quality.score(docs, trees).join(labels, "doc_id").toPandas()
