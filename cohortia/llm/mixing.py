@@ -7,21 +7,41 @@ which starts again when it ends.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortia.llm.common import BLANKS, stash
 
-#: 2^31 over the golden ratio, made odd: multiples of it modulo 2^31 meet every residue once.
-GOLDEN = 1_327_217_885
-_RING = 1 << 31
+#: Two Fibonacci numbers in a row: multiples of one modulo the next meet every residue once and keep even gaps to the end.
+GOLDEN = 1_134_903_170
+_RING = 1_836_311_903
 #: Points are matched to sources within cells of 2^21.
 _CELL = 1 << 21
 #: So many sources are broadcast at most; more are joined by a shuffle.
 BROADCAST_SOURCES = 50_000
 
 
+def schedule_length(least: float) -> int:
+    """So many points that every interval of k * `least` (of the ring) holds k of them or more.
+
+    By the three-gap theorem, exactly: the pair of gaps splits as in Euclid's algorithm, and an interval
+    as long as the widest gap holds a point. That is under twice as many as such intervals fill the ring.
+    Beyond one point a residue the ring is gone round again.
+    """
+    if least < 1:
+        return _RING * math.ceil(1 / least)
+    up, down, n_up, n_down = GOLDEN, _RING - GOLDEN, 1, 1
+    while up + down > least:
+        if up > down:
+            up, n_up = up - down, n_up + n_down
+        else:
+            down, n_down = down - up, n_up + n_down
+    return max(n_up, n_down)
+
+
 def word_count(text: Column) -> Column:
     """Number of words, parted by ASCII blanks; 0 for null."""
     bare = F.regexp_replace(text, f"^{BLANKS}|{BLANKS}$", "")
@@ -66,9 +86,9 @@ def mix_plan(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap
 
     `sizes` has doc_id, source and size (words); a null size counts as 0. placed: sid, start (place in
     the source's stream), doc_id, size, source_size, target. taken: slot, sid, start, first (word of the
-    document), words. A source's slots stop where its target is met to the word; the schedule is an
-    eighth and 64 slots longer than the targets ask, so that discrepancy leaves no source short by more
-    than a few blocks. Repeated rows are documents of their own.
+    document), words. A source's slots stop where its target is met to the word; the schedule is
+    as long as the source with the least share for its blocks needs (see `schedule_length`), so that none
+    is left short. Repeated rows are documents of their own.
     """
     spark = sizes.sparkSession
     sizes = stash(sizes.select(F.col("doc_id"), F.col("source"), F.coalesce("size", F.lit(0)).cast("long").alias("size")), "mix-sizes")
@@ -80,10 +100,10 @@ def mix_plan(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap
     all_of = F.sum("need").over(W.partitionBy())
     src = src.withColumn("low", F.floor(before / all_of * _RING)).withColumn("high", F.floor((before + F.col("need")) / all_of * _RING))
     src = stash(src, "mix-sources")
-    n_sources, asked = src.agg(F.count("*"), F.coalesce(F.sum("need"), F.lit(0))).first()
+    n_sources, least = src.agg(F.count("*"), F.min(F.when(F.expr("need > 0 AND high > low"), (F.col("high") - F.col("low")) / F.col("need")))).first()
     small = F.broadcast if n_sources <= BROADCAST_SOURCES else (lambda df: df)
 
-    slots = spark.range(0, asked + asked // 8 + 64 if asked else 0).withColumn("u", (F.col("id") % _RING * GOLDEN) % _RING)
+    slots = spark.range(0, schedule_length(least) if least else 0).withColumn("u", (F.col("id") % _RING * GOLDEN) % _RING)
     shares = src.filter("need > 0 AND high > low").withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") / _CELL), F.floor((F.col("high") - 1) / _CELL))))
     slots = slots.withColumn("cell", F.floor(F.col("u") / _CELL)).join(small(shares.select("cell", "low", "high", "sid", "need", "passes", "tail", "blocks")), "cell").filter("u >= low AND u < high")
     slots = slots.withColumn("chunk", F.floor(F.col("id") / 65_536))

@@ -157,6 +157,21 @@ def test_mix_meets_targets_and_reruns(spark):
     assert abs(g.target.sum() - one["size"].sum()) < 1e-3
 
 
+def test_mix_meets_the_targets_of_small_sources_to_the_word(spark):
+    size = F.when(F.col("id") % 2 == 0, F.lit(40)).otherwise(F.col("id") * 37 % 1500 + 1)
+    sizes = spark.range(2000).select(F.col("id").alias("doc_id"), F.format_string("s%04d", "id").alias("source"), size.alias("size"))
+    got = mixing.mix(sizes).toPandas()
+    assert (got.taken == np.floor(got.target)).all()
+
+
+@pytest.mark.parametrize("n", [1, 7, 500, 60_000, 1_000_000])
+def test_mix_schedule_leaves_no_gap(n):
+    ring = mixing._RING
+    m = mixing.schedule_length(ring / n)
+    points = np.sort(np.arange(m, dtype=np.int64) * mixing.GOLDEN % ring)
+    assert np.diff(np.append(points, points[0] + ring)).max() <= ring / n and m <= 2 * n
+
+
 def test_mix_odd(spark, odd, none):
     sizes = odd.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
     got = mixing.mix(sizes).toPandas()
