@@ -20,11 +20,16 @@ from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 DIMS = 8192
-_LETTER = re.compile(r"[^\W\d_]")
+_MAYBE_LETTER = re.compile(r"[^\W\d_]")
 #: Bytes that are no letters in ASCII count as blanks.
 _LETTERS = bytes(b if chr(b).isalpha() and b < 128 or b >= 128 else 32 for b in range(256))
 
 
+def has_letter(text: str) -> bool:
+    """Whether a sign of Unicode category L is in the text; fractions and other number signs are none."""
+    return any(m[0].isalpha() for m in _MAYBE_LETTER.finditer(text))
+
+
 def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(dimensions, counts) of a text's byte trigrams, lower-cased, runs of other signs being one blank."""
     clean = b" " + b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(_LETTERS).split()) + b" "
@@ -62,7 +67,7 @@ class Model:
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(language, score, accepted) of each text: the best guess, its cosine, and whether it is near enough."""
         lang, score, ok = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
-        known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+        known = [i for i, t in enumerate(texts) if t and has_letter(t)]
         if not len(self.langs):
             return lang, score, ok
         for at in range(0, len(known), 128):
@@ -122,7 +127,7 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         part = pdf.sort_values(["u", "text"]).head(sample)
-        x = vectors([t for t in part["text"] if _LETTER.search(t)], idf)
+        x = vectors([t for t in part["text"] if has_letter(t)], idf)
         if not len(x):
             return pd.DataFrame({"lang": [], "least": [], "centroid": []})
         c, own = _k_means(x, clusters)
