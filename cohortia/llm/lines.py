@@ -48,16 +48,17 @@ def covered(docs: DataFrame, width: int = 3) -> DataFrame:
     return later.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("place")).alias("starts"))
 
 
-def drop_repeated_lines(docs: DataFrame, width: int = 3) -> DataFrame:
-    """`docs` with the lines of repeated windows removed from `text`, and n_lines and removed_lines added.
+def drop_repeated_lines(docs: DataFrame, width: int = 3, counts: bool = True) -> DataFrame:
+    """`docs` with the lines of repeated windows removed from `text`; with `counts`, n_lines and removed_lines are added.
 
     A line goes if any window of `width` lines over it occurred before, in an earlier document by doc_id
     or earlier in its own; overlapping windows merge into one run. Blank lines take no part and stay.
-    Every line that goes stands, in the same company, in an earlier place that stays. Null texts stay
-    null with no lines; texts of fewer lines than `width` stay as they are; rows equal in id and text
-    are one document and stay as they are twice; null ids come first; other columns are kept.
+    Each window that goes was in the corpus before it; the first window of a kind goes only where another
+    window over its lines does. Null texts stay null with no lines; texts of fewer lines than `width` stay
+    as they are; rows equal in id and text are one document and stay as they are twice; null ids come
+    first; other columns are kept, but with `counts` columns of `docs` by those two names are replaced.
     """
-    columns = [c for c in docs.columns if c not in ("n_lines", "removed_lines")]
+    columns = [c for c in docs.columns if not counts or c not in ("n_lines", "removed_lines")]
     found = covered(docs.select("doc_id", "text"), width).select(F.col("doc_id").alias("id"), "row", "starts")
     # The rows' own columns stay in a struct, so that no name clashes.
     rows = docs.select(F.struct(*columns).alias("doc")).withColumn("key", F.xxhash64("doc.doc_id", "doc.text"))
@@ -71,8 +72,8 @@ def drop_repeated_lines(docs: DataFrame, width: int = 3) -> DataFrame:
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
     left = F.array_join(_picked(F.col("lines"), stay), "\n")
     text = F.when(F.col("starts").isNull(), F.col("doc.text")).otherwise(left)
-    return rows.select(
-        *[(text if c == "text" else F.col("doc").getField(c)).alias(c) for c in columns],
+    added = [
         F.when(F.col("doc.text").isNull(), F.lit(0)).otherwise(F.size("lines")).cast("long").alias("n_lines"),
         F.when(F.col("starts").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long").alias("removed_lines"),
-    )
+    ]
+    return rows.select(*[(text if c == "text" else F.col("doc").getField(c)).alias(c) for c in columns], *(added if counts else []))

@@ -313,6 +313,12 @@ def test_lines_odd(spark, odd, none):
     assert lines.drop_repeated_lines(own).first().text == "x\n\na\nb\nc\nd"
 
 
+def test_lines_keep_columns_of_the_counts_names(spark):
+    rows = spark.createDataFrame([(1, "a\nb\nc", "mine", 7), (2, "a\nb\nc", "too", 8)], "doc_id long, text string, n_lines string, removed_lines int")
+    got = lines.drop_repeated_lines(rows, counts=False)
+    assert got.columns == rows.columns and {tuple(r) for r in got.collect()} == {(1, "a\nb\nc", "mine", 7), (2, "", "too", 8)}
+
+
 def test_lines_hot_windows(spark, monkeypatch):
     monkeypatch.setattr(lines, "HOT", 3)
     rows = [(i, f"h{i}\na\nb\nc\nt{i}" + ("\nu\nv\nw" if i % 5 == 0 else "")) for i in range(30)]
@@ -331,6 +337,13 @@ def test_language(spark, docs, odd, none):
     assert language.identify(none, model).count() == 0
 
 
+def test_language_number_signs_are_no_letters(spark, docs):
+    model = language.fit(docs, F.lit(True))
+    texts = ["\u00bd \u00b2 \u2160\u0bf0 123 _", "\u00bd a", "\u4e2d", "\u02b0", "..."]
+    got = {r.doc_id: (r.guess, r.score) for r in language.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    assert got[0] == got[4] == ("und", 0.0) and all(got[i][0] in model.langs for i in (1, 2, 3))
+
+
 def test_language_rejects_what_is_far(spark, docs):
     model = language.fit(docs, F.lit(True))
     far = spark.createDataFrame([(1, "zzxq qxzz kkqj wwvx " * 40)], "doc_id long, text string")
@@ -357,6 +370,15 @@ def test_quality(spark, docs, labels, odd, none):
     assert quality.keep(odd, trees, 0.0).count() == len(ODD)
 
 
+def test_labelled_sample_is_bounded_by_ids(spark):
+    rows = spark.range(40_000).select((F.col("id") % 10).alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 700).alias("text"))
+    marks = spark.range(10).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    got = quality.labelled(rows, marks, "quality", F.lit(True), 20).collect()
+    assert len(got) == 10 and sum(r.y for r in got) == 5
+    again = quality.labelled(rows.repartition(3), marks, "quality", F.lit(True), 20).collect()
+    assert sorted(got) == sorted(again)
+
+
 def test_trees_walk_as_one_by_one():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 5))
