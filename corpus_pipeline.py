@@ -31,7 +31,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes repeated three-line windows but their first occurrence; n_chars is counted anew."""
-    out = lines.drop_repeated_lines(docs)
+    out = lines.drop_repeated_lines(docs, counts=False)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
