@@ -1,45 +1,38 @@
 """Mixing sources to target weights by a low-discrepancy schedule over shuffled equal-token blocks.
 
-All of it is DataFrame expressions. Golden-ratio points i * phi mod 1, in exact integers, fall into the
-sources' shares of the schedule; the k-th slot of a source takes the k-th block of its shuffled stream,
-which starts again when it ends.
+All of it is DataFrame expressions. The points are van der Corput's, in exact integers: slot i lies where
+the reversed bits of i say, and the sources' needs, laid end to end, are the cumulative weights that the
+points fall into. The k-th slot of a source takes the k-th block of its shuffled stream, which starts again
+when it ends.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortia.llm.common import BLANKS, stash
 
-#: Two Fibonacci numbers in a row: multiples of one modulo the next meet every residue once and keep even gaps to the end.
-GOLDEN = 1_134_903_170
-_RING = 1_836_311_903
-#: Points are matched to sources within cells of 2^21.
-_CELL = 1 << 21
+#: Slots of a source are listed and ranked in chunks of so many points.
+CHUNK = 1 << 16
 #: So many sources are broadcast at most; more are joined by a shuffle.
 BROADCAST_SOURCES = 50_000
+#: Of the hash that shuffles a source's documents.
+_HASH_BITS = 60
 
 
-def schedule_length(least: float) -> int:
-    """So many points that every interval of k * `least` (of the ring) holds k of them or more.
+def reversed_bits(x: Column, bits: int) -> Column:
+    """The lowest `bits` bits of a number in reverse order: its place among 2^bits van der Corput points."""
+    for shift in (1, 2, 4, 8, 16, 32):
+        mask = F.lit(((1 << 64) - 1) // ((1 << shift) + 1))
+        x = F.shiftrightunsigned(x, shift).bitwiseAND(mask).bitwiseOR(F.shiftleft(x.bitwiseAND(mask), shift))
+    return F.shiftrightunsigned(x, 64 - bits)
 
-    By the three-gap theorem, exactly: the pair of gaps splits as in Euclid's algorithm, and an interval
-    as long as the widest gap holds a point. That is under twice as many as such intervals fill the ring.
-    Beyond one point a residue the ring is gone round again.
-    """
-    if least < 1:
-        return _RING * math.ceil(1 / least)
-    up, down, n_up, n_down = GOLDEN, _RING - GOLDEN, 1, 1
-    while up + down > least:
-        if up > down:
-            up, n_up = up - down, n_up + n_down
-        else:
-            down, n_down = down - up, n_up + n_down
-    return max(n_up, n_down)
+
+def shuffle_hash(doc_id: Column, seed: int) -> Column:
+    """A number of 60 bits from the md5 of seed and id, which other engines repeat."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), doc_id.cast("string"))), 1, _HASH_BITS // 4), 16, 10).cast("long")
 
 
 def word_count(text: Column) -> Column:
@@ -81,14 +74,17 @@ def _ranked(df: DataFrame, key: str, chunk: str, order: list[str], value: Column
     return df.withColumn("_own", own).join(ahead, [key, chunk]).withColumn(name, (F.col("_own") + F.col("_ahead")).cast("long")).drop("_own", "_ahead")
 
 
-def mix_plan(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: int = 3, block: int = 256, seed: int = 7, buckets: int = 1024) -> tuple[DataFrame, DataFrame]:
+def mix_plan(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: int = 3, block: int = 256, seed: int = 7, buckets: int = 4096) -> tuple[DataFrame, DataFrame]:
     """(placed, taken): the documents in their shuffled streams, and what each slot takes of each.
 
     `sizes` has doc_id, source and size (words); a null size counts as 0. placed: sid, start (place in
     the source's stream), doc_id, size, source_size, target. taken: slot, sid, start, first (word of the
-    document), words. A source's slots stop where its target is met to the word; the schedule is
-    as long as the source with the least share for its blocks needs (see `schedule_length`), so that none
-    is left short. Repeated rows are documents of their own.
+    document), words. Repeated rows are documents of their own.
+
+    All sources together need so many blocks; of the next power of two of points those that fall beyond
+    that number are no slots. So each source has just as many slots as it needs, whatever its share, and
+    meets its target to the word. As reversing bits twice gives a number back, the slots of a source are
+    listed from its own stretch of the cumulative weights, in chunks, and no join by range is needed.
     """
     spark = sizes.sparkSession
     sizes = stash(sizes.select(F.col("doc_id"), F.col("source"), F.coalesce("size", F.lit(0)).cast("long").alias("size")), "mix-sizes")
@@ -96,24 +92,25 @@ def mix_plan(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap
     src = src.withColumn("passes", F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(F.lit(0).cast("long")))
     src = src.withColumn("tail", F.floor("target") - F.col("passes") * F.col("source_size"))
     src = src.withColumn("blocks", F.ceil(F.col("source_size") / block)).withColumn("need", F.col("passes") * F.col("blocks") + F.ceil(F.col("tail") / block))
-    before = F.coalesce(F.sum("need").over(W.orderBy("sid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    all_of = F.sum("need").over(W.partitionBy())
-    src = src.withColumn("low", F.floor(before / all_of * _RING)).withColumn("high", F.floor((before + F.col("need")) / all_of * _RING))
+    src = src.withColumn("low", F.coalesce(F.sum("need").over(W.orderBy("sid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     src = stash(src, "mix-sources")
-    n_sources, least = src.agg(F.count("*"), F.min(F.when(F.expr("need > 0 AND high > low"), (F.col("high") - F.col("low")) / F.col("need")))).first()
+    n_sources, points = src.agg(F.count("*"), F.coalesce(F.sum("need"), F.lit(0))).first()
     small = F.broadcast if n_sources <= BROADCAST_SOURCES else (lambda df: df)
 
-    slots = spark.range(0, schedule_length(least) if least else 0).withColumn("u", (F.col("id") % _RING * GOLDEN) % _RING)
-    shares = src.filter("need > 0 AND high > low").withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") / _CELL), F.floor((F.col("high") - 1) / _CELL))))
-    slots = slots.withColumn("cell", F.floor(F.col("u") / _CELL)).join(small(shares.select("cell", "low", "high", "sid", "need", "passes", "tail", "blocks")), "cell").filter("u >= low AND u < high")
-    slots = slots.withColumn("chunk", F.floor(F.col("id") / 65_536))
-    slots = _ranked(slots, "sid", "chunk", ["id"], F.lit(1), "rank").filter("rank < need")
+    chunks = src.filter("need > 0").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(need - 1) div {CHUNK}")))).repartition("sid", "part")
+    place = F.explode(F.sequence(F.col("low") + F.col("part") * CHUNK, F.col("low") + F.least(F.col("need"), (F.col("part") + 1) * CHUNK) - 1))
+    slots = chunks.select("sid", "passes", "tail", "blocks", place.alias("place"))
+    slots = slots.withColumn("id", reversed_bits(F.col("place"), max(1, (points - 1).bit_length()))).withColumn("chunk", F.expr(f"id div {CHUNK}"))
+    slots = _ranked(slots, "sid", "chunk", ["id"], F.lit(1), "rank")
     # The last pass ends at `tail`, the others at the end of the stream.
     slots = slots.select(F.col("id").alias("slot"), "sid", F.expr("rank % blocks").alias("block"), F.when(F.expr("rank div blocks") == F.col("passes"), F.col("tail")).otherwise(F.lit((1 << 63) - 1)).alias("until"))
 
-    placed = sizes.join(small(src.select("sid", "source", "source_size", "target")), sizes["source"].eqNullSafe(src["source"])).drop(src["source"])
-    placed = placed.withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("bucket", F.pmod("h", F.lit(buckets)))
-    placed = _ranked(placed, "sid", "bucket", ["h", "doc_id", "size"], F.col("size"), "start").drop("h", "bucket")
+    # Repeated rows are one in the shuffle, as long as all of them, or an id with a third of the rows could fill one bucket.
+    placed = sizes.groupBy("doc_id", "source", "size").agg(F.count("*").alias("times"))
+    placed = placed.join(small(src.select("sid", F.col("source").alias("of"), "source_size", "target")), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    placed = placed.withColumn("h", shuffle_hash(F.col("doc_id"), seed)).withColumn("bucket", F.expr(f"h div {(1 << _HASH_BITS) // buckets}"))
+    placed = _ranked(placed, "sid", "bucket", ["h", "doc_id", "size"], F.col("size") * F.col("times"), "start").drop("h", "bucket")
+    placed = placed.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1))).withColumn("start", F.col("start") + F.col("nth") * F.col("size")).drop("times", "nth")
     pieces = placed.filter("size > 0").select("sid", "start", "size", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).alias("block"))
     pieces = pieces.withColumn("from", F.greatest("start", F.col("block") * block)).withColumn("to", F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block))
     met = pieces.join(slots, ["sid", "block"]).withColumn("to", F.least("to", "until")).filter("to > from")

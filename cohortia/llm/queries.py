@@ -129,9 +129,15 @@ WITH d AS (
     (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
     / sum(weight) OVER (ORDER BY most / weight, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM w
-), l AS (SELECT arg_min(level, (ratio, sid)) AS level FROM r WHERE level <= ratio)
-SELECT doc_id, size, source_size, least(most::DOUBLE, coalesce(l.level, 0) * weight) AS target
-FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source, l
+), l AS (SELECT arg_min(level, (ratio, sid)) AS level FROM r WHERE level <= ratio
+), t AS (
+  SELECT source, sid, source_size, least(most::DOUBLE, coalesce(l.level, 0) * weight) AS target FROM r, l
+), p AS (
+  SELECT d.*, t.source_size, t.target, CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size ELSE 0 END AS passes,
+    sum(size) OVER (PARTITION BY sid ORDER BY ('0x' || substring(md5(concat_ws(':', '7', doc_id)), 1, 15))::BIGINT, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING)::BIGINT - size AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target, passes * size + greatest(0, least(start + size, floor(target)::BIGINT - passes * source_size) - start) AS taken FROM p
 """
 
 OP8_SQL = """
@@ -168,5 +174,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-#: op3's `taken` depends on Spark's hash, so its query has no SQL; a test holds OP3_SQL against the rest.
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op8_chat_format": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op3_mix_sources": OP3_SQL, "op8_chat_format": OP8_SQL}
