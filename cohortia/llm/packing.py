@@ -26,8 +26,8 @@ from cohortia.llm.common import stash
 #: and texts that hold a special token, go to `tokenizers` itself.
 _PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa1-ɏ]|<\|endoftext\|>")
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_GROUP = "group long, doc_id long, piece int, start long, length long, ids_crc32 long, key long"
+PIECES = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
+_GROUP = "group long, row long, doc_id long, piece int, start long, length long, ids_crc32 long, key long"
 
 
 @lru_cache(1)
@@ -57,32 +57,34 @@ def encode(text: str, path: str) -> np.ndarray:
     return np.array(fast.encode_ordinary(text), dtype="<u4")
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Pieces of at most `capacity` tokens: doc_id, piece, start, length, ids_crc32 and ids.
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, doc_id: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
+    """Pieces of at most `capacity` tokens: row, doc_id, piece, start, length, ids_crc32 and, if asked for, ids.
 
     A document is its text's ids and the id `end`; one that is longer than `capacity` is cut into pieces
-    of just that, the first being what is left over. A null text is empty.
+    of just that, the first being what is left over. A null text is empty. `row` tells rows of `docs` apart,
+    whatever their ids; it holds for one evaluation, so whoever reads the pieces twice stashes them first.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[] for _ in range(6)]
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            cols: list[list] = [[] for _ in range(7)]
+            for r, d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 ids = np.append(encode(t or "", tokenizer), np.uint32(end)).astype("<u4")
                 first = len(ids) % capacity or min(len(ids), capacity)
                 cuts = [0, *range(first, len(ids), capacity), len(ids)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                    for col, v in zip(cols, (d, k, a, b - a, zlib.crc32(ids[a:b].tobytes()), ids[a:b])):
+                    for col, v in zip(cols, (r, d, k, a, b - a, zlib.crc32(ids[a:b].tobytes()), ids[a:b])):
                         col.append(v)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-            arrays = [pa.array(c, k) for c, k in zip(cols[:5], kinds)]
-            flat = np.concatenate(cols[5]) if cols[5] else np.empty(0, "<u4")
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in cols[5]])]).astype("i4")
-            arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype("i4"))))
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            arrays, names = [pa.array(c, k) for c, k in zip(cols, kinds)], ["row", "doc_id", "piece", "start", "length", "ids_crc32"]
+            if with_ids:
+                flat = np.concatenate(cols[6]) if cols[6] else np.empty(0, "<u4")
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in cols[6]])]).astype("i4")
+                arrays, names = [*arrays, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype("i4")))], [*names, "ids"]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, PIECES + ", ids array<int>")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +128,7 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
 
 
 def pack(pieces: DataFrame, capacity: int = 2048, group: int = 8192, rounds: int = 3) -> DataFrame:
-    """Adds sequence_id, offset and certified to pieces of (doc_id, piece, start, length, ids_crc32).
+    """Adds sequence_id, offset and certified to pieces of (row, doc_id, piece, start, length, ids_crc32).
 
     certified is true where the group's bin count met its lower bound. Repeated rows are pieces of their
     own; null ids are kept; no pieces give no rows. At most `rounds` rounds exchange pieces.
@@ -172,19 +174,30 @@ def pack(pieces: DataFrame, capacity: int = 2048, group: int = 8192, rounds: int
         now = again
     for part in done:
         now = now.unionByName(part)
-    return now.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", (F.col("gap") == 0).alias("certified"))
+    return now.select("row", "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", (F.col("gap") == 0).alias("certified"))
 
 
 def sequences(ids: DataFrame, placed: DataFrame) -> DataFrame:
-    """The packed token sequences: sequence_id and the ids of its pieces in order of offset."""
-    whole = placed.join(ids.select("doc_id", "piece", "start", "ids").dropDuplicates(["doc_id", "piece", "start"]), ["doc_id", "piece", "start"])
+    """The packed token sequences: sequence_id and the ids of its pieces in order of offset.
+
+    `ids` has row, piece and ids: the stashed pieces that were placed, so that rows have the same numbers.
+    """
+    whole = placed.join(ids.select("row", "piece", "ids"), ["row", "piece"])
     return whole.groupBy("sequence_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("offset", "ids"))), lambda x: x["ids"])).alias("ids"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, **how) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, certified for every piece of every row.
+    """row, doc_id, piece, start, length, ids_crc32, sequence_id, offset, certified for every piece of every row.
 
-    Null and empty texts are one piece with the id `end`; very long texts are cut; repeated rows are
-    packed each; other columns are ignored; an empty table gives an empty result.
+    `row` numbers the rows of `docs`, so that the pieces of repeated or null ids are told apart. Null and
+    empty texts are one piece with the id `end`; very long texts are cut; repeated rows are packed each;
+    other columns are ignored; an empty table gives an empty result.
     """
-    return pack(token_pieces(docs, tokenizer, capacity, end).drop("ids"), capacity, **how)
+    return pack(token_pieces(docs, tokenizer, capacity, end, with_ids=False), capacity, **how)
+
+
+def packed_sequences(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, **how) -> tuple[DataFrame, DataFrame]:
+    """(placed, sequences): where `pack_documents` puts each piece, and the token sequences that come of it."""
+    pieces = stash(token_pieces(docs, tokenizer, capacity, end), "token-pieces")
+    placed = stash(pack(pieces.drop("ids"), capacity, **how), "packed")
+    return placed, sequences(pieces, placed)
