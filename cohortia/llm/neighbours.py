@@ -1,13 +1,17 @@
 """Approximate nearest neighbours by a hierarchical k-means tree, searched best bin first.
 
-The tree is fitted on a bounded sample and its leaves hold all vectors. A query visits leaves in the order
+The tree is fitted on a bounded sample and its leaves hold all vectors; a leaf that turns out crowded is
+split again from a sample of its own, so leaves multiply with the table. A query visits leaves in the order
 of a priority queue; how many is calibrated: visits widen until the true neighbours of a sample of
-queries, found by comparing those with all vectors, are reached as often as asked.
+queries, found by comparing those with all vectors, are reached as often as asked. Leaves that cannot hold
+a neighbour, by their radius and what the leaves seen before hold, are passed over.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from bisect import insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,37 +29,54 @@ from cohortia.llm.common import bounded_sample, stash
 class Tree:
     """Centres of all nodes, each node's children, and the leaf number of a node without any.
 
-    A sample of s vectors gives fewer than 2 s / leaf nodes, whatever the number of vectors indexed.
+    A sample of s vectors gives fewer than 2 s / leaf nodes, and each crowded leaf fewer than 2 s' / leaf
+    from its own sample of s': at most some 40,000 nodes by default, whatever the number of vectors indexed.
     """
 
     centres: np.ndarray
     children: list[list[int]]
     leaf: list[int]
 
-    def order(self, query: np.ndarray) -> Iterator[int]:
-        """Leaves for a query, best bin first: the node nearest to it of all seen is opened next."""
-        queue = [(0.0, 0)]
+    def order(self, query: np.ndarray) -> Iterator[tuple[int, float]]:
+        """(leaf, squared distance of its centre) for a query, best bin first: of all nodes seen the nearest is opened next."""
+        queue = [(float(np.square(self.centres[0] - query).sum()), 0)]
         while queue:
-            _, node = heapq.heappop(queue)
+            far, node = heapq.heappop(queue)
             below = self.children[node]
             if not below:
-                yield self.leaf[node]
+                yield self.leaf[node], far
             for d, c in zip(np.square(self.centres[below] - query).sum(1), below):
                 heapq.heappush(queue, (float(d), c))
 
-    def assign(self, x: np.ndarray) -> np.ndarray:
-        """The leaf of each vector: down the nearest centres."""
-        out, todo = np.zeros(len(x), np.int64), [(0, np.arange(len(x)))]
+    def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(leaf, distance from its centre) of each vector: down the nearest centres."""
+        out, far, todo = np.zeros(len(x), np.int64), np.zeros(len(x)), [(0, np.arange(len(x)))]
         while todo:
             node, own = todo.pop()
             below = self.children[node]
             if not below:
-                out[own] = self.leaf[node]
+                out[own], far[own] = self.leaf[node], np.sqrt(np.square(x[own] - self.centres[node]).sum(1))
                 continue
             c = self.centres[below]
             nearest = (np.square(c).sum(1)[None, :] - 2 * x[own] @ c.T).argmin(1)
             todo += [(k, own[nearest == i]) for i, k in enumerate(below) if (nearest == i).any()]
-        return out
+        return out, far
+
+    def with_subtrees(self, parts: dict[int, Tree]) -> Tree:
+        """This tree with a tree in place of some of its leaves, and leaves numbered anew."""
+        centres, children, leaf = list(self.centres), [list(c) for c in self.children], list(self.leaf)
+        for node in [n for n, c in enumerate(self.children) if not c and self.leaf[n] in parts]:
+            part, shift = parts[self.leaf[node]], len(centres) - 1
+            # The part's root is the node itself, the others follow at the end.
+            children[node] = [c + shift for c in part.children[0]]
+            centres += list(part.centres[1:])
+            children += [[c + shift for c in below] for below in part.children[1:]]
+            leaf += [-1] * (len(part.children) - 1)
+        ends = [n for n, c in enumerate(children) if not c]
+        leaf = [-1] * len(children)
+        for k, n in enumerate(ends):
+            leaf[n] = k
+        return Tree(np.array(centres), children, leaf)
 
 
 def grow(x: np.ndarray, branches: int = 8, leaf: int = 64, rounds: int = 8, seed: int = 11) -> Tree:
@@ -91,16 +112,50 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.array(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
 
 
-def usable(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def usable(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", length: int | None = None) -> DataFrame:
     """(id, v): rows with an id whose vector is not null, not zero and holds finite numbers only.
 
-    Where lengths differ, those of the most frequent length (of two, the longer) take part.
+    Those of `length` take part; without it, those of the most frequent length (of two, the longer).
     """
     v = F.transform(vector, lambda x: x.cast("double"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select(F.col(id).cast("long").alias("id"), v.alias("v")).filter("id IS NOT NULL AND v IS NOT NULL").filter(~bad & F.exists("v", lambda x: x != 0))
-    lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return rows.filter(F.size("v") == (lengths["n"] if lengths else 0))
+    if length is None:
+        found = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+        length = found["n"] if found else 0
+    return rows.filter(F.size("v") == length)
+
+
+def _fetched(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, vectors) of a few rows of (id, v), as matrices; no lists of Python numbers on the way."""
+    got = df.select("id", "v").toArrow().combine_chunks()
+    if not len(got):
+        return np.empty(0, np.int64), np.empty((0, 0))
+    return got["id"].combine_chunks().to_numpy(), _matrix(got["v"].combine_chunks())
+
+
+def _split(indexed: DataFrame, tree: Tree, crowded: int, sample: int, seed: int) -> Tree | None:
+    """The tree with leaves of over `crowded` vectors split again, each from at most `sample` of its own; None if there are none.
+
+    A leaf's sample is drawn by a hash range sized by its count, and its part of the tree is grown in a
+    task of its own. Only centres come to the driver.
+    """
+    full = indexed.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > crowded)
+    u = F.pmod(F.xxhash64("id", F.lit("split")), F.lit(1 << 30)) / (1 << 30)
+    drawn = indexed.join(F.broadcast(full), "leaf").withColumn("u", u).filter(F.col("u") * F.col("n") < 1.2 * sample + 30)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(pdf.sort_values(["u", "id"]).head(sample)["v"].tolist(), np.float64)
+        part = grow(x, seed=seed)
+        rows = [(pdf["leaf"].iloc[0], k, c.tolist(), below) for k, (c, below) in enumerate(zip(part.centres, part.children))]
+        return pd.DataFrame(rows, columns=["leaf", "node", "centre", "children"])
+
+    rows = drawn.groupBy("leaf").applyInPandas(run, "leaf long, node int, centre array<double>, children array<int>").collect()
+    parts: dict[int, list] = {}
+    for r in sorted(rows, key=lambda r: (r["leaf"], r["node"])):
+        parts.setdefault(r["leaf"], []).append(r)
+    grown = {k: Tree(np.array([r["centre"] for r in p]), [list(r["children"]) for r in p], []) for k, p in parts.items() if len(p) > 1}
+    return tree.with_subtrees(grown) if grown else None
 
 
 def _nearest(spark: SparkSession, queries: np.ndarray, own: np.ndarray, tree, indexed: DataFrame, k: int) -> dict[int, list[tuple[float, int, int]]]:
@@ -133,67 +188,104 @@ def calibrated(tree: Tree, queries: np.ndarray, truth: dict[int, list[tuple[floa
     """The fewest leaves after which `recall` of the true neighbours have been reached, at least 2."""
     ranks = []
     for i, found in truth.items():
-        place = {leaf: n for n, leaf in enumerate(tree.order(queries[i]))}
+        place = {leaf: n for n, (leaf, _) in enumerate(tree.order(queries[i]))}
         ranks += [place[leaf] for _, _, leaf in found]
     if not ranks:
         return 2
     return max(2, int(np.sort(ranks)[int(np.ceil(recall * len(ranks))) - 1]) + 1)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float = 0.98, sample: int = 20_000, calibration: int = 128, block: int = 2048, id: str = "vec_id", vector: str = "embedding", seed: int = 11) -> DataFrame:
+def route(tree: Tree, query: np.ndarray, visits: int, k: int, held: dict[int, int], radius: dict[int, float]) -> list[int]:
+    """The leaves a query visits: the first `visits` in order, more until those hold k others.
+
+    Of leaves that hold k others among them, all of whose vectors lie within some distance, none further
+    off than that, by the triangle inequality, can hold a neighbour: such leaves are left out.
+    """
+    out, seen, reach = [], 0, []
+    for n, (leaf, far) in enumerate(tree.order(query)):
+        if n >= visits and seen > k:
+            break
+        if not held.get(leaf):
+            continue
+        d, r = math.sqrt(far), radius[leaf]
+        # The distance within which k others are known to lie.
+        within, most = 0, math.inf
+        for edge, count in reach:
+            within += count
+            if within > k:
+                most = edge
+                break
+        if d - r > most * (1 + 1e-9):
+            continue
+        out.append(leaf)
+        insort(reach, (d + r, held[leaf]))
+        seen += held[leaf]
+    return out
+
+
+def search(
+    vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float = 0.98, sample: int = 20_000, calibration: int = 128, block: int = 2048, crowded: int = 1 << 16, id: str = "vec_id", vector: str = "embedding", seed: int = 11
+) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest of all other vectors, by Euclidean distance.
 
-    Vectors that `usable` refuses take no part, on either side. Ties go to the smaller id. A query's own id
-    is no candidate; of rows that repeat an id the nearest counts; a query visits leaves until they hold
-    k others, so it gets fewer only where there are fewer, then all. An empty side gives no rows.
+    Vectors that `usable` refuses take no part, on either side, nor do queries of another length than the
+    index. Ties go to the smaller id. A query's own id is no candidate; of rows that repeat an id the
+    nearest counts; a query visits leaves until they hold k others, so it gets fewer only where there are
+    fewer, then all. An empty side gives no rows.
 
-    The tree is fitted on at most `sample` vectors and the visits are calibrated on at most `calibration`
-    queries. Leaves are dealt in blocks of about `block` vectors and `block` queries, so a crowded leaf is
-    many tasks' work.
+    The tree is fitted on at most `sample` vectors (fewer if those are over 128 MB) and on at most 4096 of
+    each leaf of over `crowded`; visits are calibrated on at most `calibration` queries. Leaves are dealt in
+    blocks of about `block` vectors and `block` queries, so a crowded leaf is many tasks' work.
     """
     spark = vectors.sparkSession
     points = usable(vectors, id, vector)
-    wanted = usable(queries, id, vector)
-    fitted = bounded_sample(points, "id", sample).select("v").toPandas()
     empty = spark.range(0).select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
-    if not len(fitted):
+    some = points.select(F.size("v").alias("n")).first()
+    if some is None:
         return empty
-    tree = grow(np.array(fitted["v"].tolist(), np.float64), seed=seed)
-    shared = spark.sparkContext.broadcast(tree)
+    length = some["n"]
+    wanted = usable(queries, id, vector, length)
+    _, drawn = _fetched(bounded_sample(points, "id", min(sample, max(1000, (128 << 20) // (8 * length)))))
+    tree = grow(drawn, seed=seed)
 
-    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.assign(_matrix(batch.column(1))), pa.int64())], names=["id", "v", "leaf"])
+    def index(tree: Tree) -> DataFrame:
+        shared = spark.sparkContext.broadcast(tree)
+
+        def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                leaf, far = shared.value.assign(_matrix(batch.column(1)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf, pa.int64()), pa.array(far, pa.float64())], names=["id", "v", "leaf", "far"])
 
-    indexed = stash(points.mapInArrow(leaves, "id long, v array<double>, leaf long"), "ann-index")
-    wanted = wanted.groupBy("id").agg(F.min("v").alias("v")).filter(F.size("v") == len(fitted["v"][0]))
-    tried = bounded_sample(wanted, "id", calibration).toPandas()
-    if not len(tried):
+        return stash(points.mapInArrow(leaves, "id long, v array<double>, leaf long, far double"), "ann-index")
+
+    indexed = index(tree)
+    deeper = _split(indexed, tree, crowded, 4096, seed)
+    if deeper:
+        tree, indexed = deeper, index(deeper)
+    shared = spark.sparkContext.broadcast(tree)
+    wanted = stash(wanted.groupBy("id").agg(F.min("v").alias("v")), "ann-queries")
+    own, trial = _fetched(bounded_sample(wanted, "id", calibration))
+    if not len(own):
         return empty
-    trial = np.array(tried["v"].tolist(), np.float64)
-    visits = calibrated(tree, trial, _nearest(spark, trial, tried["id"].to_numpy(), tree, indexed, k), recall)
+    visits = calibrated(tree, trial, _nearest(spark, trial, own, tree, indexed, k), recall)
+    # One row for each leaf, of which there are at most as many as the tree has nodes.
+    stats = indexed.groupBy("leaf").agg(F.countDistinct("id").alias("ids"), F.max("far").alias("radius")).collect()
+    held, radius = {r["leaf"]: r["ids"] for r in stats}, {r["leaf"]: r["radius"] for r in stats}
 
     def routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for i, q in enumerate(_matrix(batch.column(1))):
-                seen = 0
-                for n, leaf in enumerate(shared.value.order(q)):
-                    if n >= visits and seen > k:
-                        break
-                    rows.append((i, leaf))
-                    seen += held.get(leaf, 0)
+            rows = [(i, leaf) for i, q in enumerate(_matrix(batch.column(1))) for leaf in route(shared.value, q, visits, k, held, radius)]
             at = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([r[1] for r in rows], pa.int64())], names=["id", "v", "leaf"])
 
-    # One row for each leaf. Visits go on beyond the calibrated number until k candidates are held.
-    held = {r["leaf"]: r["n"] for r in indexed.groupBy("leaf").agg(F.countDistinct("id").alias("n")).collect()}
-    routed = stash(wanted.mapInArrow(routes, "id long, v array<double>, leaf long"), "ann-routes")
-    # Blocks of each leaf on either side; the tree has few leaves, so the table is small.
+    # Few rows of much work each: dealt out over all cores.
+    spread = wanted.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "id")
+    routed = stash(spread.mapInArrow(routes, "id long, v array<double>, leaf long"), "ann-routes")
+    # Blocks of each leaf on either side; the table has a row for each leaf.
     parts = indexed.groupBy("leaf").agg(F.ceil(F.count("*") / block).alias("p")).join(routed.groupBy("leaf").agg(F.ceil(F.count("*") / block).alias("r")), "leaf")
     parts = F.broadcast(parts)
     one = F.lit(0).cast("long")
-    left = indexed.join(parts, "leaf").withColumn("p", F.pmod(F.xxhash64("id", "v"), "p")).withColumn("r", F.explode(F.sequence(one, F.col("r") - 1)))
+    left = indexed.select("id", "v", "leaf").join(parts, "leaf").withColumn("p", F.pmod(F.xxhash64("id", "v"), "p")).withColumn("r", F.explode(F.sequence(one, F.col("r") - 1)))
     right = routed.join(parts, "leaf").withColumn("r", F.pmod(F.xxhash64("id"), "r")).withColumn("p", F.explode(F.sequence(one, F.col("p") - 1)))
 
     def compare(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:

@@ -174,7 +174,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, group: int = 8192, rounds: int
         now = again
     for part in done:
         now = now.unionByName(part)
-    return now.select("row", "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", (F.col("gap") == 0).alias("certified"))
+    return now.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", (F.col("gap") == 0).alias("certified"), "row")
 
 
 def sequences(ids: DataFrame, placed: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ def sequences(ids: DataFrame, placed: DataFrame) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, **how) -> DataFrame:
-    """row, doc_id, piece, start, length, ids_crc32, sequence_id, offset, certified for every piece of every row.
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, certified, row for every piece of every row.
 
     `row` numbers the rows of `docs`, so that the pieces of repeated or null ids are told apart. Null and
     empty texts are one piece with the id `end`; very long texts are cut; repeated rows are packed each;

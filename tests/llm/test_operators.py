@@ -474,6 +474,50 @@ def test_neighbours_odd(spark):
     assert sorted(crowded.vec_id) == [1, 3, 5, 9, 11, 13, 15, 17, 19, 21]
 
 
+def test_neighbours_take_the_length_of_the_index(spark):
+    """Queries of the index's length are answered though most queries have another."""
+    rows = [(i, [float(i), 1.0]) for i in range(50)] + [(100 + i, [1.0, float(i), 2.0]) for i in range(3)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.search(v, v.filter("vec_id = 7 OR vec_id >= 100"), k=3).orderBy("rank").collect()
+    assert [(r.query_id, r.vec_id) for r in got] == [(7, 6), (7, 8), (7, 5)]
+
+
+def _brute_recall(x, ids, got, k=10):
+    hits = n = 0
+    for q, found in got.groupby("query_id"):
+        d = np.sqrt(np.square(x - x[ids == q][0]).sum(1))
+        d[ids == q] = np.inf
+        hits, n = hits + len(set(ids[np.lexsort((ids, d))[:k]]) & set(found.vec_id)), n + k
+    return hits / n
+
+
+def test_neighbours_recall_on_a_larger_table(spark):
+    v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    ids, x = neighbours._fetched(v.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v")))
+    assert _brute_recall(x, ids, neighbours.search(v, v.filter("vec_id % 20 = 0")).toPandas()) >= 0.95
+
+
+def test_neighbours_split_crowded_leaves_and_read_little_of_clustered_vectors(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (6000, 16)) * 0.05 + rng.normal(0, 1, (60, 16))[np.arange(6000) % 60]
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.search(v, v.filter("vec_id % 50 = 0"), sample=300, crowded=200).toPandas()
+    assert len(got) == 1200 and _brute_recall(x, np.arange(6000), got) >= 0.95
+    tree = neighbours.grow(x[:300])
+    leaf, far = tree.assign(x)
+    parts = {k: neighbours.grow(x[leaf == k]) for k in set(leaf) if (leaf == k).sum() > 200}
+    deep = tree.with_subtrees(parts)
+    leaf, far = deep.assign(x)
+    assert max(np.bincount(leaf)) <= 200 and sorted(l for l in deep.leaf if l >= 0) == list(range(len(set(l for l in deep.leaf if l >= 0))))
+    held = dict(zip(*np.unique(leaf, return_counts=True)))
+    radius = {k: far[leaf == k].max() for k in held}
+    for q in x[:40]:
+        everything = neighbours.route(deep, q, len(deep.leaf), 10, held, radius)  # visits all that the radii allow
+        kept = np.isin(leaf, everything)
+        d = np.sqrt(np.square(x - q).sum(1))
+        assert kept[np.argsort(d, kind="stable")[:11]].all() and kept.mean() < 0.3
+
+
 def test_neighbours_in_small_leaves_are_all_found(spark):
     """A query whose nearest leaves hold one vector each still gets k."""
     rng = np.random.default_rng(2)
