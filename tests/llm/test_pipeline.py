@@ -52,7 +52,7 @@ def _shingles(text):
 
 def test_near_duplicate_stage(spark, docs):
     had = sorted((r.doc_id, r.text) for r in docs.collect())
-    prints = [simhash.wide_fingerprint(t) for _, t in had]
+    prints, sets = [simhash.wide_fingerprint(t) for _, t in had], [_shingles(t) for _, t in had]
     band = [math.floor(math.log(max(n, 1)) / -math.log(0.8)) for _, n in prints]
     root = list(range(len(had)))
 
@@ -62,7 +62,8 @@ def test_near_duplicate_stage(spark, docs):
     for i in range(len(had)):
         for j in range(i):
             bits = sum((x ^ y).bit_count() if x ^ y >= 0 else ((x ^ y) + 2**64).bit_count() for x, y in zip(prints[i][0], prints[j][0]))
-            if abs(band[i] - band[j]) <= 1 and bits <= simhash.bit_radius(0.8):
+            a, b = sets[i], sets[j]
+            if abs(band[i] - band[j]) <= 1 and bits <= simhash.bit_radius(0.8) and len(a & b) >= 0.8 * len(a | b):
                 root[max(find(i), find(j))] = min(find(i), find(j))
     out = P.near_duplicate_stage(spark, docs, SF)
     stays = [d for k, (d, _) in enumerate(had) if find(k) == k]
@@ -145,12 +146,13 @@ def test_mixing_stage(spark, docs):
 def test_run_packs_all(spark):
     out = P.run(spark, SF).toPandas()
     assert out.groupby("sequence_id").length.sum().max() <= 2048
+    assert not out.duplicated(["row", "piece"]).any()
     again = P.run(spark, SF).toPandas()
     assert Counter(zip(out.doc_id, out.piece, out.ids_crc32)) == Counter(zip(again.doc_id, again.piece, again.ids_crc32))
 
 
 def test_odd_input_goes_through_every_stage(spark):
-    clash = [F.lit(1).alias(c) for c in ("doc", "id", "none", "row", "hash", "size", "copies", "starts", "score", "fp")]
+    clash = [F.lit(1).alias(c) for c in ("n_lines", "removed_lines", "lines", "doc", "id", "none", "row", "hash", "size", "copies", "starts", "score", "fp")]
     odd = spark.createDataFrame(ODD, DOC).select("*", *clash)
     for frame in (odd, odd.limit(0)):
         for name, stage in P.STAGES:
@@ -160,3 +162,4 @@ def test_odd_input_goes_through_every_stage(spark):
             assert bool(got) == bool(frame.head(1))
     kept = P.near_duplicate_stage(spark, odd, SF).select("doc_id", "text").collect()
     assert Counter(r.doc_id for r in kept) == Counter([0, 3, None, 5, 6, 7])
+    assert {(r.n_lines, r.removed_lines) for r in P.line_stage(spark, odd, SF).collect()} == {(1, 1)}
