@@ -1,13 +1,13 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs, all in DataFrame expressions.
 
 A paragraph (a line that is not blank) hashes to a wide vector, and a document's fingerprint is the sum of
-its paragraphs' vectors, lane by lane, modulo powers of two. So the order of paragraphs does not matter,
-and paragraphs are added to or taken from a fingerprint without its document.
+its paragraphs' vectors, lane by lane, modulo 2^30. So the order of paragraphs does not matter, and
+paragraphs are added to or taken from a fingerprint without its document.
 
-The vector has two parts. Four lanes modulo 2^62 hold hashes of the whole paragraph, for equality. The
-others count, modulo 2^20, in how many of the paragraph's clauses each bit of a hash is set; three such
-lanes lie in one long with a bit between them that stops carries. As each bit is a random sign of a
-clause, the angle between two documents' counts tells how many clauses they share.
+The vector has two parts. Eight lanes hold hashes of the whole paragraph, for equality. The others count
+in how many of the paragraph's word pairs each bit of a hash is set: each bit is a random sign of a pair, so
+the angle between two documents' counts tells how many pairs they share. Two lanes lie in one long, with a
+bit above each that stops carries (and none at the sign).
 """
 
 from __future__ import annotations
@@ -16,18 +16,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Hashes of a paragraph for equality, and of a clause for likeness (each gives 63 lanes).
+#: Longs that hold hashes of a paragraph for equality, and hashes of a word pair for likeness (each gives 64 lanes).
 EXACT, SEEDS = 4, 2
-_SHIFTS = 21
-_ONES = 1 | 1 << 21 | 1 << 42
-#: Keeps 20 bits of each lane, clearing the bit that stops carries.
-_LANES = ((1 << 20) - 1) * _ONES
-_EXACT_MASK = (1 << 62) - 1
-#: Java regex at which paragraphs are parted into clauses.
-CLAUSE_ENDS = "[.!?,;:|\\x0A]+"
-#: Java regex of what holds more than ASCII blanks.
+_LANE = (1 << 30) - 1
+_ONES = 1 | 1 << 32
+_LANES = _LANE * _ONES
+_SIGNS = 32 * SEEDS
+_N = EXACT + 1 + _SIGNS
+#: Java regexes. Scripts that part no words count sign by sign; longer runs of other signs are cut.
+_UNSPACED = "\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}"
+_UNIT = f"(?:[{_UNSPACED}]|[^{_UNSPACED}\\x20\\x09-\\x0D]{{1,16}})"
+#: Finds, at each word, that word and the next of its line.
+PAIR = f"(?=({_UNIT}(?:[\\x20\\x09-\\x0D]*{_UNIT})?)){_UNIT}"
+#: What holds more than ASCII blanks.
 _FULL = "[^\\x20\\x09-\\x0D]"
-_N = EXACT + 1 + SEEDS * _SHIFTS
+#: Blocks of documents for each shuffle partition, so that partitions come out even, and code points that weigh as one document more.
+BLOCKS, HEAVY = 8, 4096
 
 
 def zero() -> Column:
@@ -35,46 +39,65 @@ def zero() -> Column:
     return F.array_repeat(F.lit(0).cast("long"), _N)
 
 
-_MASKS = [_EXACT_MASK] * EXACT + [_LANES] * (1 + SEEDS * _SHIFTS)
-_UNITS = [1] * EXACT + [_ONES] * (1 + SEEDS * _SHIFTS)
-
-
-def _by_lane(values: list[int]) -> Column:
-    return F.array(*[F.lit(v).cast("long") for v in values])
-
-
 def added(a: Column, b: Column) -> Column:
     """The fingerprint of two documents' paragraphs together."""
-    return F.zip_with(F.zip_with(a, b, lambda x, y: x + y), _by_lane(_MASKS), lambda x, m: x.bitwiseAND(m))
+    return F.zip_with(a, b, lambda x, y: (x + y).bitwiseAND(F.lit(_LANES)))
 
 
 def removed(a: Column, b: Column) -> Column:
     """The fingerprint `a` without the paragraphs of `b`: the negative of a lane is its complement and one."""
-    negative = F.zip_with(F.zip_with(_by_lane(_MASKS), b, lambda m, x: m - x), _by_lane(_UNITS), lambda x, one: x + one)
-    negative = F.zip_with(negative, _by_lane(_MASKS), lambda x, m: x.bitwiseAND(m))
-    return added(a, negative)
+    return added(a, F.transform(b, lambda x: (F.lit(_LANES) - x + F.lit(_ONES)).bitwiseAND(F.lit(_LANES))))
+
+
+def _parts(paragraph: Column) -> Column:
+    """The paragraph, marked by a line end (empty if it is blank), then its word pairs."""
+    whole = F.when(paragraph.rlike(_FULL), F.concat(F.lit("\n"), paragraph)).otherwise(F.lit(""))
+    return F.concat(F.array(whole), F.regexp_extract_all(paragraph, F.lit(PAIR), F.lit(1)))
+
+
+def _hashes(part: Column) -> tuple[list[Column], Column, list[Column]]:
+    """(hashes as a paragraph, whether it is a pair, hashes as a pair) of one of `_parts`; 0 where it is not that."""
+    whole = part.startswith("\n")
+    pair = ~whole & (part != "")
+    return [F.when(whole, F.xxhash64(F.lit(k), part)).otherwise(F.lit(0)) for k in range(EXACT)], pair.cast("long"), [F.when(pair, F.xxhash64(F.lit(100 + s), part)).otherwise(F.lit(0)) for s in range(SEEDS)]
+
+
+def _bits(h: Column, j: int) -> Column:
+    return F.shiftrightunsigned(h, j).bitwiseAND(F.lit(_ONES))
 
 
 def fingerprint(text: Column) -> Column:
-    """The wide vector of a text, as an array of longs; null counts as empty."""
-    paragraphs = F.filter(F.split(F.coalesce(text, F.lit("")), "\\x0A"), lambda p: p.rlike(_FULL))
+    """The wide vector of a text, as an array of longs; null counts as empty.
+
+    An expression for single paragraphs that come or go; `fingerprints` gives the same for whole tables at
+    a fraction of the cost. Texts of 2^30 word pairs or more are beyond its lanes.
+    """
 
-    def whole(acc: Column, p: Column) -> Column:
-        return F.struct(*[(acc[f"e{k}"] + F.xxhash64(F.lit(k), p).bitwiseAND(F.lit(_EXACT_MASK))).bitwiseAND(F.lit(_EXACT_MASK)).alias(f"e{k}") for k in range(EXACT)])
+    def vector(part: Column) -> Column:
+        exact, pair, signs = _hashes(part)
+        return F.array(*[e.bitwiseAND(F.lit(_LANES)) for e in exact], pair, *[_bits(h, j) for h in signs for j in range(32)])
 
-    exact = F.aggregate(paragraphs, F.struct(*[F.lit(0).cast("long").alias(f"e{k}") for k in range(EXACT)]), whole)
-    clauses = F.filter(F.split(F.array_join(paragraphs, "\n"), CLAUSE_ENDS), lambda c: c.rlike(_FULL))
-    clauses = F.transform(clauses, lambda c: F.struct(*[F.xxhash64(F.lit(100 + s), F.trim(c)).alias(f"h{s}") for s in range(SEEDS)]))
+    parts = F.flatten(F.transform(F.split(F.coalesce(text, F.lit("")), "\\x0A"), _parts))
+    return F.aggregate(parts, zero(), lambda acc, part: added(acc, vector(part)))
 
-    def lanes(acc: Column, h: Column) -> Column:
-        def lane(s: int, j: int) -> Column:
-            return (acc[f"c{s}_{j}"] + F.shiftrightunsigned(h[f"h{s}"], j).bitwiseAND(F.lit(_ONES))).bitwiseAND(F.lit(_LANES)).alias(f"c{s}_{j}")
 
-        return F.struct((acc["n"] + F.lit(1)).alias("n"), *[lane(s, j) for s in range(SEEDS) for j in range(_SHIFTS)])
+def fingerprints(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """(keys, fp): the fingerprint of each row's text; `keys` tell rows apart, rows that share them are summed.
 
-    start = F.struct(F.lit(0).cast("long").alias("n"), *[F.lit(0).cast("long").alias(f"c{s}_{j}") for s in range(SEEDS) for j in range(_SHIFTS)])
-    done = lambda acc: F.array((acc["n"] * 1).bitwiseAND(F.lit((1 << 20) - 1)), *[acc[f"c{s}_{j}"] for s in range(SEEDS) for j in range(_SHIFTS)])
-    return F.concat(F.transform(F.array(exact), lambda e: F.array(*[e[f"e{k}"] for k in range(EXACT)]))[0], F.aggregate(clauses, start, lanes, done))
+    Paragraphs and word pairs become rows and are summed by key in generated code, at first where they
+    lie, so a long text is never held as a list of its words. Rows that are already dealt out by some of
+    the keys are not shuffled.
+    """
+    paragraphs = rows.select(*keys, F.explode(F.split(F.coalesce(text, F.lit("")), "\\x0A")).alias("_p"))
+    exact, pair, signs = _hashes(F.col("_t"))
+    hashed = paragraphs.select(*keys, F.explode(_parts(F.col("_p"))).alias("_t"))
+    hashed = hashed.select(*keys, *[e.alias(f"_e{k}") for k, e in enumerate(exact)], pair.alias("_n"), *[h.alias(f"_h{s}") for s, h in enumerate(signs)])
+    lanes = [F.sum(F.shiftrightunsigned(f"_e{k}", 32 * half).bitwiseAND(F.lit(_LANE))).alias(f"_x{k}_{half}") for k in range(EXACT) for half in (0, 1)]
+    counts = [F.sum(_bits(F.col(f"_h{s}"), j)).alias(f"_c{s}_{j}") for s in range(SEEDS) for j in range(32)]
+    summed = hashed.groupBy(*keys).agg(*lanes, F.sum("_n").alias("_n"), *counts)
+    half = lambda c: F.col(c).bitwiseAND(F.lit(_LANE))
+    whole = [F.shiftleft(half(f"_x{k}_1"), 32).bitwiseOR(half(f"_x{k}_0")) for k in range(EXACT)]
+    return summed.select(*keys, F.array(*whole, F.col("_n"), *[F.col(f"_c{s}_{j}") for s in range(SEEDS) for j in range(32)]).alias("fp"))
 
 
 def text_of(vector: Column) -> Column:
@@ -83,17 +106,16 @@ def text_of(vector: Column) -> Column:
 
 
 def _signed(vector: Column) -> Column:
-    """The counts as sums of random signs: twice the count less the number of clauses."""
+    """The counts as sums of random signs: twice the count less the number of word pairs."""
     n = F.element_at(vector, EXACT + 1)
-    packed = F.slice(vector, EXACT + 2, SEEDS * _SHIFTS)
-    lane = (1 << 20) - 1
-    return F.flatten(F.transform(packed, lambda x: F.array(*[(F.shiftrightunsigned(x, 21 * i).bitwiseAND(F.lit(lane)) * 2 - n).cast("double") for i in range(3)])))
+    lane = lambda x, by: (F.shiftrightunsigned(x, by).bitwiseAND(F.lit(_LANE)) * 2 - n).cast("double")
+    return F.flatten(F.transform(F.slice(vector, EXACT + 2, _SIGNS), lambda x: F.array(lane(x, 0), lane(x, 32))))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """From 0 to 1: 1 if the fingerprints are equal, else the cosine of the sign sums, not below 0.
 
-    It estimates the cosine of the documents' clause counts, to about 0.09.
+    It estimates the cosine of the documents' word pair counts, to about 0.09 where they share none.
     """
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     near = F.transform(
@@ -104,6 +126,17 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(cos)
 
 
+def _below(marks: Column, n: int, x: Column, equal: bool) -> Column:
+    """How many of n sorted marks are less than x (or equal to it, too), by bisection."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))])
+
+    def go(low: Column, step: Column) -> Column:
+        mark = F.get(marks, low + step - 1)
+        return F.when(mark <= x if equal else mark < x, low + step).otherwise(low)
+
+    return F.aggregate(steps, F.lit(0), go)
+
+
 def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ranges: int | None = None) -> DataFrame:
     """Fingerprints of every text and of its edited text: see the columns below.
 
@@ -113,42 +146,50 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     null id comes last; rows of one id go by their text's hash; a single row is its own next; an empty
     table gives an empty result; other columns are ignored.
 
-    Rows are dealt into ranges of doc_id, so the next document stands beside each but at a range's end;
-    what the ends need, one row for each range, is looked up apart and broadcast. The number of ranges
-    is that of the shuffle partitions, whatever the data.
+    Rows are dealt once, into blocks of doc_id of like weight in rows and code points; an id that fills
+    several blocks is parted by its texts' hashes. The first row of a block comes to the block before it,
+    too, so the next document always lies beside each, and all sums are made where the blocks lie. There
+    are `ranges` blocks, or BLOCKS for each shuffle partition.
     """
     spark = docs.sparkSession
-    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = ranges or BLOCKS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    # Null ids sort below all others.
-    known = rows.withColumn("at", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    bounds = known.agg(F.percentile_approx("at", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
-    bounds = sorted(set(bounds))
-    marks = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.expr("cast(array() as array<bigint>)")
-    known = known.withColumn("range", F.size(F.filter(marks, lambda b: b >= F.col("at"))) if bounds else F.lit(0))
-    order = [F.desc("at"), F.asc("h")]
-    by = W.partitionBy("range").orderBy(*order)
-    hashed = known.withColumn("h", F.xxhash64("text")).withColumn("fp", fingerprint(F.col("text")))
-    placed = hashed.withColumn("next", F.lead(F.struct("text", "fp")).over(by))
-    # The first and the last row of each range: `least` of (descending id, hash).
-    small = known.select("range", F.struct((-1 - F.col("at")).alias("at"), F.xxhash64("text").alias("h")).alias("k"))
-    ends = small.groupBy("range").agg(F.min("k").alias("first")).withColumn("one", F.lit(1))
-    follow = W.partitionBy("one").orderBy("range")
-    ends = ends.select(F.coalesce(F.lead("range").over(follow), F.first("range").over(follow)).alias("of"), F.col("range").alias("for"), "first")
-    firsts = ends.join(ends.select(F.col("for").alias("of"), F.col("first").alias("k")), "of").select("for", "k", "of")
-    firsts = F.broadcast(firsts)
-    first_rows = known.withColumn("k", F.struct((-1 - F.col("at")).alias("at"), F.xxhash64("text").alias("h")))
-    first_rows = first_rows.join(firsts, (first_rows["k"] == firsts["k"]) & (first_rows["range"] == firsts["of"])).dropDuplicates(["for"])
-    first_rows = first_rows.select(F.col("for").alias("range"), F.struct("text", fingerprint(F.col("text")).alias("fp")).alias("after"))
-    full = placed.join(F.broadcast(first_rows), "range", "left").withColumn("next", F.coalesce("next", "after"))
+    # Ascending `a` is descending doc_id; null ids come after all others.
+    rows = rows.withColumn("a", -1 - F.coalesce("doc_id", F.lit(-(1 << 63))))
+    weights = rows.select("a", F.explode(F.sequence(F.lit(0), F.expr(f"length(text) div {HEAVY}"))))
+    marks = weights.agg(F.percentile_approx("a", [i / n for i in range(1, n)] or [0.5], max(10_000, 2 * n))).first()[0] or []
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    if marks:
+        cuts = F.split(F.lit(",".join(map(str, sorted(marks)))), ",").cast("array<bigint>")
+        rows = rows.withColumn("low", _below(cuts, len(marks), F.col("a"), False)).withColumn("times", _below(cuts, len(marks), F.col("a"), True) - F.col("low"))
+        share = F.shiftright((F.shiftright("h", 32) + (1 << 31)) * (F.col("times") + 1), 32)
+        rows = rows.withColumn("block", F.col("low") + F.when(F.col("times") > 0, share).otherwise(F.lit(0))).drop("low", "times")
+    else:
+        rows = rows.withColumn("block", F.lit(0).cast("long"))
+    # The first row of each block, a row each, and the block before it, round the end.
+    ends = rows.groupBy("block").agg(F.min(F.struct("a", "h")).alias("first")).withColumn("one", F.lit(1))
+    ends = ends.withColumn("for", F.coalesce(F.lag("block").over(W.partitionBy("one").orderBy("block")), F.last("block").over(W.partitionBy("one").orderBy("block").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))))
+    ends = F.broadcast(ends.select("block", "for", F.col("first.a").alias("a"), F.col("first.h").alias("h")))
+    after = rows.join(ends, ["block", "a", "h"]).dropDuplicates(["for"]).select("doc_id", "text", "a", "h", F.col("for").alias("block"), F.lit(1).alias("after"))
+    all_ = rows.select("doc_id", "text", "a", "h", "block", F.lit(0).alias("after")).unionByName(after)
+
+    by = W.partitionBy("block").orderBy("after", "a", "h")
+    all_ = all_.withColumn("place", F.row_number().over(by)).withColumn("next", F.lead("text").over(by))
     third = F.floor(F.length("text") / 3).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - third), F.substring(F.col("next.text"), F.lit(1), third))
-    full = full.select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "fp", F.col("next.fp").alias("next_fp"))
-    full = full.withColumn("edited_fp", fingerprint(F.col("edited")))
-    return full.select(
+    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - third), F.substring(F.col("next"), F.lit(1), third))
+    all_ = all_.select("block", "place", "after", "doc_id", "text", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"))
+    all_ = all_.withColumn("edited_sha256", F.sha2("edited", 256))
+    own, new = (F.struct(F.lit(k).alias("kind"), F.col(c).alias("x")) for k, c in ((0, "text"), (1, "edited")))
+    keys = ["block", "place", "after", "doc_id", "n_chars", "edited_sha256"]
+    both = all_.select(*keys, F.explode(F.when(F.col("after") == 0, F.array(own, new)).otherwise(F.array(own))).alias("s")).select(*keys, "s.kind", "s.x")
+    found = fingerprints(both, [*keys, "kind"], "x")
+    # A row's own, then its edited, then the next row's own fingerprint.
+    by = W.partitionBy("block").orderBy("place", "kind")
+    found = found.withColumn("edited_fp", F.lead("fp", 1).over(by)).withColumn("next_fp", F.lead("fp", 2).over(by)).filter("kind = 0 AND after = 0")
+    return found.select(
         "doc_id",
         "n_chars",
-        F.sha2("edited", 256).alias("edited_sha256"),
+        "edited_sha256",
         text_of(F.col("fp")).alias("fingerprint"),
         text_of(F.col("edited_fp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),

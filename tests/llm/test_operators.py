@@ -331,6 +331,39 @@ def test_fingerprints_whole_table(spark, docs):
             assert got[d] == hashlib.sha256((t[: len(t) - k] + rows[(i + 1) % len(rows)][1][:k]).encode()).hexdigest()
 
 
+def test_fingerprints_of_a_table_are_those_of_the_expression(spark, odd):
+    texts = ["", None, " \t", "one", "one two", "a b c\n\n d e f", "\u4e2d\u6587\u5b57 and more", "x" * 100, "same\nsame\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    got = {r.k: r.fp for r in fingerprint.fingerprints(df, ["k"], "t").collect()}
+    want = {r.k: r.fp for r in df.select("k", fingerprint.fingerprint(F.col("t")).alias("fp")).collect()}
+    assert got == want and got[0] == got[1] == got[2] == [0] * len(got[0]) and len({tuple(v) for v in got.values()}) == 7
+    assert [got[k][fingerprint.EXACT] for k in (3, 4, 5, 6, 7, 8)] == [1, 2, 6, 5, 7, 2]
+
+
+def test_fingerprints_likeness_without_punctuation_or_spaces(spark):
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(2000)]
+    signs = [chr(0x4E00 + i) for i in range(800)]
+    rows = [(i, " ".join(rng.choice(words, 300))) for i in range(40)]
+    rows += [(40 + i, "".join(rng.choice(signs, 300)) + "\u3002") for i in range(40)]
+    rows += [(80 + i, " ".join(rng.choice(words, 12))) for i in range(40)]
+    got = fingerprint.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert got[got.doc_id < 80].near_edited.min() >= 0.5 and got[got.doc_id < 80].near_next.max() <= 0.35
+    assert got.near_edited.between(0, 1).all() and got[got.doc_id >= 80].near_edited.median() >= 0.5
+
+
+def test_fingerprints_part_an_id_that_fills_the_table(spark):
+    rows = [(None if i % 2 else 5, f"text {i % 300} of its own") for i in range(900)] + [(i, f"other {i}") for i in range(10)]
+    got = fingerprint.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), ranges=16)
+    h = {r.t: r.h for r in spark.createDataFrame([(t,) for _, t in rows], "t string").distinct().select("t", F.xxhash64("t").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(2**63)), h[r[1]]))
+    want = Counter()
+    for i, (d, t) in enumerate(order):
+        k, after = len(t) // 3, order[(i + 1) % len(order)][1]
+        want[(d, hashlib.sha256((t[: len(t) - k] + after[:k]).encode()).hexdigest())] += 1
+    assert Counter((r.doc_id, r.edited_sha256) for r in got.collect()) == want
+
+
 def test_fingerprints_add_and_remove(spark):
     df = spark.createDataFrame([("one, two\nthree", "four. five\nsix", "six\nfour. five\nthree\none, two")], "a string, b string, ab string")
     a, b, ab = (fingerprint.fingerprint(F.col(c)) for c in ("a", "b", "ab"))
