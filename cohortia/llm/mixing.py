@@ -71,7 +71,8 @@ def _ranked(df: DataFrame, key: str, chunk: str, order: list[str], value: Column
     before = F.coalesce(F.sum("_sum").over(W.partitionBy(key).orderBy(chunk).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ahead = sums.select(key, chunk, before.alias("_ahead"))
     own = F.coalesce(F.sum(value).over(W.partitionBy(key, chunk).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return df.withColumn("_own", own).join(ahead, [key, chunk]).withColumn(name, (F.col("_own") + F.col("_ahead")).cast("long")).drop("_own", "_ahead")
+    # Listed rows look smaller to the planner than they are, so that it would broadcast them.
+    return df.withColumn("_own", own).join(ahead.hint("merge"), [key, chunk]).withColumn(name, (F.col("_own") + F.col("_ahead")).cast("long")).drop("_own", "_ahead")
 
 
 def mix_plan(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: int = 3, block: int = 256, seed: int = 7, buckets: int = 4096) -> tuple[DataFrame, DataFrame]:
@@ -113,7 +114,7 @@ def mix_plan(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap
     placed = placed.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1))).withColumn("start", F.col("start") + F.col("nth") * F.col("size")).drop("times", "nth")
     pieces = placed.filter("size > 0").select("sid", "start", "size", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).alias("block"))
     pieces = pieces.withColumn("from", F.greatest("start", F.col("block") * block)).withColumn("to", F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block))
-    met = pieces.join(slots, ["sid", "block"]).withColumn("to", F.least("to", "until")).filter("to > from")
+    met = pieces.join(slots.hint("merge"), ["sid", "block"]).withColumn("to", F.least("to", "until")).filter("to > from")
     return placed, met.select("slot", "sid", "start", (F.col("from") - F.col("start")).alias("first"), (F.col("to") - F.col("from")).alias("words"))
 
 
