@@ -332,12 +332,13 @@ def test_fingerprints_whole_table(spark, docs):
 
 
 def test_fingerprints_of_a_table_are_those_of_the_expression(spark, odd):
-    texts = ["", None, " \t", "one", "one two", "a b c\n\n d e f", "\u4e2d\u6587\u5b57 and more", "x" * 100, "same\nsame\n"]
+    texts = ["", None, " \t", "one", "one two", "a b c\n\n d e f", "\u4e2d\u6587\u5b57 and more", "x" * 100, "same\nsame\n", "\r003\x0b 7", "ends. Here!\n\n"]
     df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
     got = {r.k: r.fp for r in fingerprint.fingerprints(df, ["k"], "t").collect()}
     want = {r.k: r.fp for r in df.select("k", fingerprint.fingerprint(F.col("t")).alias("fp")).collect()}
-    assert got == want and got[0] == got[1] == got[2] == [0] * len(got[0]) and len({tuple(v) for v in got.values()}) == 7
-    assert [got[k][fingerprint.EXACT] for k in (3, 4, 5, 6, 7, 8)] == [1, 2, 6, 5, 7, 2]
+    assert got == want and got[0] == got[1] == got[2] == [0] * 132 and len({tuple(v) for v in got.values()}) == 9
+    signed = lambda v: [x - (1 << 24) if x >> 23 else x for x in v[fingerprint.EXACT :]]
+    assert [sum(map(abs, signed(got[k]))) for k in (3, 7, 8)] == [1, 1, 2]
 
 
 def test_fingerprints_likeness_without_punctuation_or_spaces(spark):
@@ -348,7 +349,7 @@ def test_fingerprints_likeness_without_punctuation_or_spaces(spark):
     rows += [(40 + i, "".join(rng.choice(signs, 300)) + "\u3002") for i in range(40)]
     rows += [(80 + i, " ".join(rng.choice(words, 12))) for i in range(40)]
     got = fingerprint.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
-    assert got[got.doc_id < 80].near_edited.min() >= 0.5 and got[got.doc_id < 80].near_next.max() <= 0.35
+    assert got[got.doc_id < 80].near_edited.min() >= 0.5 and got[got.doc_id < 80].near_next.max() <= 0.45
     assert got.near_edited.between(0, 1).all() and got[got.doc_id >= 80].near_edited.median() >= 0.5
 
 
@@ -364,6 +365,15 @@ def test_fingerprints_part_an_id_that_fills_the_table(spark):
     assert Counter((r.doc_id, r.edited_sha256) for r in got.collect()) == want
 
 
+def test_fingerprints_of_edited_texts_are_those_of_the_texts(spark, docs):
+    had = sorted(((r.doc_id, r.text[:600]) for r in docs.collect()), reverse=True)[:60]
+    edited = {d: t[: len(t) - len(t) // 3] + had[(i + 1) % len(had)][1][: len(t) // 3] for i, (d, t) in enumerate(had)}
+    table = spark.createDataFrame([(d, t, edited[d]) for d, t in had], "doc_id long, text string, e string")
+    want = {r.doc_id: r for r in table.select("doc_id", *[fingerprint.text_of(fingerprint.fingerprint(F.col(c))).alias(c) for c in ("text", "e")]).collect()}
+    for r in fingerprint.edited_fingerprints(table, ranges=3).collect():
+        assert (r.fingerprint, r.edited_fingerprint) == (want[r.doc_id].text, want[r.doc_id].e)
+
+
 def test_fingerprints_add_and_remove(spark):
     df = spark.createDataFrame([("one, two\nthree", "four. five\nsix", "six\nfour. five\nthree\none, two")], "a string, b string, ab string")
     a, b, ab = (fingerprint.fingerprint(F.col(c)) for c in ("a", "b", "ab"))
