@@ -28,7 +28,7 @@ WIDE_CUTS = f"(?<![abcdfghijklmopqruvwxyz])[\\x20\\x09-\\x0D.!?,;:|\u3001\u3002\
 #: Java regex of what holds more than ASCII blanks.
 _FULL = "[^\\x20\\x09-\\x0D]"
 #: Blocks of documents for each shuffle partition, so that partitions come out even, and code points that weigh as one document more.
-BLOCKS, HEAVY = 8, 4096
+BLOCKS, HEAVY = 4, 4096
 
 
 def zero() -> Column:
@@ -184,6 +184,8 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     ends = F.broadcast(ends.select("block", "for", F.col("first.a").alias("a"), F.col("first.h").alias("h")))
     after = rows.join(ends, ["block", "a", "h"]).dropDuplicates(["for"]).select("doc_id", "text", "a", "h", F.col("for").alias("block"), F.lit(1).alias("after"))
     all_ = rows.select("doc_id", "text", "a", "h", "block", F.lit(0).alias("after")).unionByName(after)
+    # By range, as hashes of so few blocks would fill some tasks with twice as many as others.
+    all_ = all_.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "block")
 
     by = W.partitionBy("block").orderBy("after", "a", "h")
     all_ = all_.withColumn("place", F.row_number().over(by)).withColumn("next", F.lead("text").over(by))
