@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -119,3 +121,21 @@ def frame_count(samples: Column, strides: list[int], kernels: list[int]) -> Colu
 
 def entropy(w: Column) -> Column:
     return -total(F.transform(w, lambda x: F.when(x > 0, x * F.ln(x)).otherwise(F.lit(0.0))))
+
+
+def normal_cdf(x: Column) -> Column:
+    """The standard normal distribution, by its series of odd powers over double factorials; 0 or 1 beyond 8 deviations."""
+    def grown(acc: Column, k: Column) -> Column:
+        term = acc["t"] * acc["x2"] / (2 * k + 1)
+        return F.struct(acc["x2"].alias("x2"), term.alias("t"), (acc["s"] + term).alias("s"))
+
+    near = F.greatest(F.least(x, F.lit(8.0)), F.lit(-8.0))
+    start = F.struct((near * near).alias("x2"), near.alias("t"), near.alias("s"))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(150)), start, grown, lambda acc: 0.5 + acc["s"] * F.exp(-acc["x2"] / 2) / math.sqrt(2 * math.pi))
+    return F.when(x > 8, F.lit(1.0)).when(x < -8, F.lit(0.0)).otherwise(series)
+
+
+def below(marks: Column, n: int, x: Column) -> Column:
+    """How many of n sorted marks are less than x, by bisection."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, n.bit_length())))])
+    return F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.coalesce(F.get(marks, low + step - 1) < x, F.lit(False)), low + step).otherwise(low))

@@ -7,16 +7,16 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortia.operators.metrics import quantile_table, quantiles
 from cohortia.operators.retrieval import compared
 
 
 def bandwidths(sample: DataFrame) -> DataFrame:
     """One row (hx, hy): Silverman's rule in two dimensions with the smaller of deviation and IQR / 1.34."""
-    def h(c: str):
-        iqr = (F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))) / 1.34
-        return F.least(F.stddev_samp(c), iqr) * F.pow(F.count("*").cast("double"), F.lit(-1 / 6))
-
-    return sample.agg(h("x").alias("hx"), h("y").alias("hy"))
+    at = [quantiles(sample, c, {f"low_{c}": 0.25, f"high_{c}": 0.75}) for c in "xy"]  # one row each
+    one = sample.agg(*[F.stddev_samp(c).alias(f"sd_{c}") for c in "xy"], F.count("*").alias("n")).crossJoin(F.broadcast(at[0])).crossJoin(F.broadcast(at[1]))
+    h = lambda c: F.least(F.col(f"sd_{c}"), (F.col(f"high_{c}") - F.col(f"low_{c}")) / 1.34) * F.pow(F.col("n").cast("double"), F.lit(-1 / 6))
+    return one.select(h("x").alias("hx"), h("y").alias("hy"))
 
 
 def density_at(points: DataFrame, sample: DataFrame, key: str) -> DataFrame:
@@ -29,5 +29,5 @@ def density_at(points: DataFrame, sample: DataFrame, key: str) -> DataFrame:
 
 def coverage(densities: DataFrame, source: str, reference: str, mass: float) -> DataFrame:
     """(source, covered): the share of each source inside the region that holds `mass` of the reference."""
-    cut = densities.filter(F.col(source) == reference).agg(F.percentile("density", F.lit(1 - mass)).alias("_t"))
+    cut = quantile_table(densities.filter(F.col(source) == reference), "density", [1 - mass]).select(F.col("value").alias("_t"))
     return densities.crossJoin(F.broadcast(cut)).groupBy(source).agg(F.avg((F.col("density") >= F.col("_t")).cast("int")).alias("covered"))

@@ -82,12 +82,7 @@ def describe_windows(sequences: DataFrame, window: float, hop: float, least: int
     return sequences.select("key", "times", "frames").mapInPandas(run, "key string, start double, ok boolean, n long, energy double, error string")
 
 
-@F.udtf(returnType="start double")
-class WindowStarts:
-    """Starts of the windows of a recording: a table function for lateral joins."""
-
-    def eval(self, duration: float, window: float, hop: float):
-        k = 0
-        while duration is not None and k * hop + window <= duration:
-            yield (k * hop,)
-            k += 1
+def window_starts(duration: Column, window: float, hop: float) -> Column:
+    """Starts of the windows of a recording, to be exploded; none where it is shorter than a window or null."""
+    last = F.floor((duration - window) / hop).cast("int")
+    return F.when(duration >= window, F.transform(F.sequence(F.lit(0), last), lambda k: k * F.lit(float(hop)))).otherwise(F.array().cast("array<double>"))

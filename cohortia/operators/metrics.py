@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortia.operators.ranks import numbered, running_before
+from cohortia.sources.scratch import stash
 
 
 def usable(x: str) -> Column:
@@ -36,49 +37,86 @@ def auroc(rows: DataFrame, score: str, positive: Column, by: tuple[str, ...] = (
     return d.groupBy(*by).agg(F.when(sides > 0, u / sides).alias("auroc"))
 
 
-def auroc_against(rows: DataFrame, score: str, source: str, reference: str, higher_is_reference: bool = True) -> DataFrame:
-    """(source, auroc) of each source against the reference source.
+def auroc_against(rows: DataFrame, score: str, source: str, reference: str, higher_is_reference: bool = True, by: tuple[str, ...] = (), weight: Column | None = None) -> DataFrame:
+    """(by..., source, auroc) of each source against the reference source.
 
     The reference's counts by distinct score are joined to each source's values by one sorted pass: they
     are added to every source as negatives, which repeats distinct values, not rows.
     """
-    counts = rows.filter(usable(score)).groupBy(source, score).agg(F.count("*").alias("_k"))
-    ref = counts.filter(F.col(source) == reference).select(F.col(score), F.col("_k"))
+    w = F.lit(1) if weight is None else weight
+    counts = rows.filter(usable(score)).groupBy(*by, source, score).agg(F.sum(w).alias("_k"))
+    ref = counts.filter(F.col(source) == reference).select(*by, F.col(score), F.col("_k"))
     others = counts.filter(F.col(source) != reference)
-    beside = others.select(source).distinct().crossJoin(ref)
+    names = others.select(*by, source).distinct()
+    beside = names.join(ref, list(by)) if by else ref.crossJoin(F.broadcast(names))  # a row for each source
     both = others.withColumn("_pos", F.lit(not higher_is_reference)).unionByName(beside.withColumn("_pos", F.lit(higher_is_reference)))
-    return auroc(both, score, F.col("_pos"), (source,), F.col("_k"))
+    return auroc(both, score, F.col("_pos"), (*by, source), F.col("_k"))
 
 
 def quantile(x: Column | str, q: float | list[float], approximate: bool = False) -> Column:
-    """Linear-interpolated quantile; `approximate` trades exactness for one pass without a sort."""
+    """Linear-interpolated quantile of a group that one task holds; `approximate` trades exactness for a sketch.
+
+    For groups of any size there is `quantile_table`.
+    """
     if approximate:
         return F.percentile_approx(clipped(x), q)
     return F.percentile(clipped(x), F.array(*[F.lit(float(v)) for v in q]) if isinstance(q, list) else F.lit(float(q)))
 
 
+def quantile_table(rows: DataFrame, x: str, qs: list[float], by: tuple[str, ...] = (), times: str | None = None) -> DataFrame:
+    """(by..., p, value): linear-interpolated quantiles, exact for groups of any size.
+
+    Rows (each `times`, if given) are counted by distinct value, running counts go by ranges of values, and
+    each quantile picks the one or two values at its place.
+    """
+    d = rows.filter(usable(x)).groupBy(*by, clipped(x).alias("_x")).agg((F.sum(times) if times else F.count("*")).alias("_k"))
+    d = running_before(d, by, "_x", "_k", "_below")
+    n = d.groupBy(*by).agg(F.sum("_k").alias("_n"))
+    d = d.join(n, list(by)) if by else d.crossJoin(F.broadcast(n))  # one row
+    d = d.withColumn("p", F.explode(F.array(*[F.lit(float(q)) for q in qs]))).withColumn("_at", F.col("p") * (F.col("_n") - 1))
+    holds = lambda place: (F.col("_below") <= place) & (place < F.col("_below") + F.col("_k"))
+    low, high = F.floor("_at"), F.ceil("_at")
+    d = d.filter(holds(low) | holds(high))
+    part = F.max(F.col("_at") - low)
+    at = lambda place: F.max(F.when(holds(place), F.col("_x")))
+    return d.groupBy(*by, "p").agg(((1 - part) * at(low) + part * at(high)).alias("value"))
+
+
+def quantiles(rows: DataFrame, x: str, names: dict[str, float], by: tuple[str, ...] = (), times: str | None = None) -> DataFrame:
+    """`quantile_table` with a column for each of `names`."""
+    t = quantile_table(rows, x, sorted(set(names.values())), by, times)
+    return t.groupBy(*by).agg(*[F.max(F.when(F.col("p") == float(q), F.col("value"))).alias(n) for n, q in names.items()])
+
+
 def summary(rows: DataFrame, x: str, by: tuple[str, ...] = ()) -> DataFrame:
     """(by..., n, mean, p5, p25, p50, p75, p95) of usable values."""
     ok = rows.filter(usable(x))
-    qs = {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
-    return ok.groupBy(*by).agg(F.count("*").alias("n"), F.avg(x).alias("mean"), *[quantile(x, q).alias(n) for n, q in qs.items()])
+    qs = quantiles(ok, x, {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}, by)
+    n = ok.groupBy(*by).agg(F.count("*").alias("n"), F.avg(x).alias("mean"))
+    return n.join(qs, list(by)) if by else n.crossJoin(F.broadcast(qs))  # one row
 
 
 def operating_points(rows: DataFrame, score: str, source: str, reference: str, fpr: list[float]) -> DataFrame:
     """(source, fpr, threshold, flagged): the share of each source strictly below the reference's fpr-quantile."""
     ok = rows.filter(usable(score))
-    cuts = ok.filter(F.col(source) == reference).agg(quantile(score, fpr).alias("t"))
-    cuts = cuts.select(F.explode(F.arrays_zip(F.array(*[F.lit(f) for f in fpr]).alias("fpr"), F.col("t").alias("t"))).alias("c")).select("c.fpr", F.col("c.t").alias("threshold"))
-    met = ok.select(source, clipped(score).alias("x")).crossJoin(F.broadcast(cuts))
+    cuts = quantile_table(ok.filter(F.col(source) == reference), score, fpr).select(F.col("p").alias("fpr"), F.col("value").alias("threshold"))
+    met = ok.select(source, clipped(score).alias("x")).crossJoin(F.broadcast(cuts))  # a row for each rate asked for
     return met.groupBy(source, "fpr", "threshold").agg(F.avg((F.col("x") < F.col("threshold")).cast("double")).alias("flagged"))
 
 
 def source_report(rows: DataFrame, score: str, source: str, reference: str, fpr: float = 0.05) -> DataFrame:
-    """One row per source: songs, failed, q1, median, q3, auroc against the reference, share below its fpr-quantile."""
-    counts = rows.groupBy(source).agg(F.count("*").alias("songs"), F.count_if(~usable(score)).alias("failed"))
-    ok = rows.filter(usable(score)).groupBy(source).agg(quantile(score, 0.25).alias("q1"), quantile(score, 0.5).alias("median"), quantile(score, 0.75).alias("q3"))
-    tpr = operating_points(rows, score, source, reference, [fpr]).select(source, F.col("flagged").alias("below"))
-    return counts.join(ok, source, "left").join(auroc_against(rows, score, source, reference), source, "left").join(tpr, source, "left")
+    """One row per source: songs, failed, q1, median, q3, auroc against the reference, share below its fpr-quantile.
+
+    Rows are counted by source and score once; all else comes from those counts.
+    """
+    counts = stash(rows.groupBy(source, score).agg(F.count("*").alias("_k")), "score-counts")
+    songs = counts.groupBy(source).agg(F.sum("_k").alias("songs"), F.coalesce(F.sum(F.when(~usable(score), F.col("_k"))), F.lit(0)).alias("failed"))
+    at = quantiles(counts, score, {"q1": 0.25, "median": 0.5, "q3": 0.75, "_cut": fpr}, (source,), "_k")
+    at = stash(at, "quantiles")
+    cut = F.broadcast(at.filter(F.col(source) == reference).select(F.col("_cut").alias("_t")))  # one row
+    under = counts.filter(usable(score)).crossJoin(cut).groupBy(source).agg((F.sum(F.when(clipped(score) < F.col("_t"), F.col("_k")).otherwise(0)) / F.sum("_k")).alias("below"))
+    ranked = auroc_against(counts, score, source, reference, weight=F.col("_k"))
+    return songs.join(at.drop("_cut"), source, "left").join(ranked, source, "left").join(under, source, "left")
 
 
 def pooled(rows: DataFrame, source: str, pools: dict[str, list[str]]) -> DataFrame:
@@ -116,7 +154,8 @@ def operating_grid(rows: DataFrame, score: str, source: str, reference: str, mos
 
 def cross_fitted(shares: DataFrame, item: str, a: str, b: str, levels: list[float]) -> DataFrame:
     """(level, k): how many items, ranked by half A, hold so much of half B."""
-    w = W.orderBy(F.desc(a), item)
-    run = shares.select(F.row_number().over(w).alias("k"), (F.sum(b).over(w.rowsBetween(W.unboundedPreceding, 0)) / F.sum(b).over(W.partitionBy())).alias("share"))
-    out = run.crossJoin(shares.sparkSession.createDataFrame([(v,) for v in levels], "level double"))
-    return out.filter("share >= level - 1e-12").groupBy("level").agg(F.min("k").alias("k"))
+    placed = numbered(shares.select(item, a, b), [F.desc(a), item], "_at")
+    run = running_before(placed, (), "_at", b, "_before")
+    whole = F.broadcast(shares.agg(F.sum(b).alias("_all")))  # one row
+    out = run.crossJoin(whole).select((F.col("_at") + 1).alias("k"), ((F.col("_before") + F.coalesce(b, F.lit(0))) / F.col("_all")).alias("share"), F.explode(F.array(*[F.lit(float(v)) for v in levels])).alias("level"))
+    return out.filter("share >= level - 1e-12").groupBy("level").agg(F.min("k").cast("int").alias("k"))

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortia.functions.hashing import shuffle_key, uniform
+from cohortia.operators import ranks
+from cohortia.sources.scratch import stash
 
 
 def clique_pairs(items: DataFrame, group: str, key: str) -> DataFrame:
@@ -66,14 +68,24 @@ def round_robin(items: DataFrame, group: str, key: str, seed: str = "rounds", ro
 
 
 def cross_group_pairs(items: DataFrame, group: str, key: str, n: int, seed: str = "negatives") -> DataFrame:
-    """(key_a, key_b, group_a, group_b): n pairs from two different groups, drawn by hash.
+    """(draw, key_a, key_b, group_a, group_b): n pairs of items from two different groups, drawn by hash.
 
-    Items stand in a shuffled circle, cut at 2 n; neighbours of one group are passed over.
+    A draw takes two different groups, each as likely as any other, then an item of each; so n pairs come
+    of it however large a group is. A pair can be drawn again. No pairs where there is one group only.
     """
-    order = W.orderBy("u", key)
-    drawn = items.select(group, key, uniform(seed, F.col(key)).alias("u")).orderBy("u", key).limit(4 * n)
-    pairs = drawn.select(F.col(key).alias("key_a"), F.lead(key).over(order).alias("key_b"), F.col(group).alias("group_a"), F.lead(group).over(order).alias("group_b"), F.row_number().over(order).alias("r"))
-    return pairs.filter("r % 2 = 1 AND group_a <> group_b").orderBy("r").limit(n).drop("r")
+    spark = items.sparkSession
+    placed = stash(ranks.numbered(items.select(group, key), [group, key], "_at"), "items")
+    sizes = ranks.numbered(placed.groupBy(group).agg(F.min("_at").alias("_first"), F.count("*").alias("_size")), [group], "_g")
+    sizes = stash(sizes, "groups")
+    groups = sizes.count()
+    u = lambda what: uniform(seed, what, F.col("draw"))
+    draws = spark.range(n if groups > 1 else 0).select(F.col("id").alias("draw")).withColumn("_a", F.floor(u("group_a") * groups))
+    draws = draws.withColumn("_b", (F.col("_a") + 1 + F.floor(u("group_b") * (groups - 1))) % max(groups, 1))
+    for s in "ab":
+        of = sizes.select(F.col("_g").alias(f"_{s}"), F.col(group).alias(f"group_{s}"), "_first", "_size")
+        draws = draws.join(of, f"_{s}").withColumn("_at", F.col("_first") + F.floor(u(f"key_{s}") * F.col("_size"))).drop("_first", "_size")
+        draws = draws.join(placed.select("_at", F.col(key).alias(f"key_{s}")), "_at").drop("_at")
+    return draws.select("draw", "key_a", "key_b", "group_a", "group_b")
 
 
 def first_passing(candidates: DataFrame, group: str, order: str, passed: Column, most: int, budget: int) -> DataFrame:
@@ -91,18 +103,17 @@ def shortfalls(candidates: DataFrame, group: str, passed: Column, most: int, bud
     return g.filter(F.col("ok") < most).select(group, F.least("ok", F.lit(most)).alias("kept"), F.when(F.col("n") > budget, "budget").otherwise("exhausted").alias("reason"))
 
 
-def adaptive_rounds(candidates: DataFrame, group: str, score, most: int, prior: float = 0.4, budget: int = 400, rounds: int = 12) -> DataFrame:
+def adaptive_rounds(candidates: DataFrame, group: str, score, most: int, prior: float = 0.4, budget: int = 400) -> DataFrame:
     """The first `most` passing candidates of each group, scored in rounds that stop as soon as they can.
 
     `candidates` has `group` and `ord` (from 0); `score` takes some of them and adds a boolean `passed`.
     A round asks ceil(need / rate) more of each group, the rate being what passed there, at least 0.05,
     or `prior` until ten are known. Each round is one job over the new candidates; results are written,
-    so a lost executor repeats no finished round.
+    so a lost executor repeats no finished round. Rounds end when no group is asked for more: each asks at
+    least one more candidate of a group that is short, so there are `budget` at most.
     """
-    from cohortia.sources.scratch import stash
-
     done = None
-    for _ in range(rounds):
+    while True:
         if done is None:
             state = candidates.select(group).distinct().select(group, F.lit(0).cast("bigint").alias("tried"), F.lit(0).cast("bigint").alias("ok"))
         else:

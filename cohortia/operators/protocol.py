@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortia.operators import metrics, resample
 from cohortia.operators.curate import require_disjoint
+from cohortia.sources.scratch import stash
 
 
 def candidates(songs: DataFrame, source: str, reference: str, dev: list[str], scores: list[str]) -> DataFrame:
@@ -23,7 +25,7 @@ def select(songs: DataFrame, source: str, reference: str, dev: list[str], scores
     best = candidates(songs, source, reference, dev, scores).orderBy(F.desc("auroc"), "score").first()
     kept = songs.filter(F.col(source).isin(reference, *dev))
     point = metrics.operating_grid(kept, best["score"], source, reference, most_fpr).first()
-    threshold = kept.filter(F.col(source) == reference).agg(metrics.quantile(best["score"], point["fpr"])).first()[0]
+    threshold = metrics.quantile_table(kept.filter(F.col(source) == reference), best["score"], [point["fpr"]]).first()["value"]
     made = {"score": best["score"], "auroc": best["auroc"], "fpr": point["fpr"], "threshold": threshold, "dev": sorted(dev), "reference": reference}
     return made | {"checksum": checksum(songs.sparkSession, made)}
 
@@ -33,22 +35,49 @@ def checksum(spark, protocol: dict) -> str:
     return spark.range(1).select(F.sha2(F.lit(text), 256)).first()[0]
 
 
-def test(songs: DataFrame, seen: DataFrame, key: str, source: str, protocol: dict, done: bool = False) -> DataFrame:
-    """(source, songs, flagged, auroc) under a frozen protocol on songs it has not seen; refuses a second time."""
-    if done:
+def earlier_tests(spark, record: str) -> int:
+    """How often a protocol was tested with its record kept in this folder."""
+    try:
+        return spark.read.parquet(record).select("run").distinct().count()
+    except AnalysisException:
+        return 0
+
+
+def test(songs: DataFrame, seen: DataFrame, key: str, unit: str, source: str, protocol: dict, record: str, others: tuple[str, ...] = (), again: bool = False, reps: int = 100, seed: str = "test") -> DataFrame:
+    """A frozen protocol on songs it has not seen, once: the record at `record` refuses a second time.
+
+    (row, source, songs, flagged, flagged_low, flagged_high, auroc, auroc_low, auroc_high, delta_low,
+    delta_high, repeat): a row for the protocol's score and each of `others` by source. The protocol's
+    songs are flagged below its threshold, those of others below the reference's own quantile at its rate.
+    Intervals resample units within each source, all scores under the same draws; delta is the protocol's
+    AUROC less the row's. `again` overrides the refusal, and the result says that it is a repeat.
+    """
+    spark = songs.sparkSession
+    runs = earlier_tests(spark, record)
+    if runs and not again:
         raise ValueError("this protocol was tested before")
-    if protocol["checksum"] != checksum(songs.sparkSession, protocol):
+    if protocol["checksum"] != checksum(spark, protocol):
         raise ValueError("the protocol was changed after it was frozen")
     songs = require_disjoint(songs, seen, key)
-    x = protocol["score"]
-    flagged = songs.groupBy(source).agg(F.count("*").alias("songs"), F.avg((F.col(x) < protocol["threshold"]).cast("int")).alias("flagged"))
-    return flagged.join(metrics.auroc_against(songs, x, source, protocol["reference"]), source, "left")
-
-
-def test_intervals(songs: DataFrame, unit: str, source: str, protocol: dict, reps: int = 100, seed: str = "test") -> DataFrame:
-    """(source, low, high): intervals of the flagged share, units resampled within each source."""
-    rows = songs.select(source, unit, (F.col(protocol["score"]) < protocol["threshold"]).cast("int").alias("_f"))
-    return resample.interval(resample.clustered_mean(rows, unit, "_f", reps, seed, source), "value", (source,))
+    mine, reference, scores = protocol["score"], protocol["reference"], [protocol["score"], *others]
+    long = stash(songs.unpivot([unit, source], scores, "row", "_x"), "test-scores")
+    own = metrics.quantile_table(long.filter(F.col(source) == reference), "_x", [protocol["fpr"]], ("row",)).select("row", F.when(F.col("row") == mine, F.lit(float(protocol["threshold"]))).otherwise(F.col("value")).alias("_t"))
+    marked = long.join(F.broadcast(own), "row").withColumn("_f", (F.col("_x") < F.col("_t")).cast("int"))  # a row for each score
+    flagged = marked.groupBy("row", source).agg(F.count("*").alias("songs"), F.avg("_f").alias("flagged"))
+    share = resample.interval(resample.clustered_mean(marked.filter(F.col("row") == mine), unit, "_f", reps, seed, source), "value", (source,))
+    share = share.select(F.lit(mine).alias("row"), source, F.col("low").alias("flagged_low"), F.col("high").alias("flagged_high"))
+    draws = stash(resample.source_auroc_replicates(songs, unit, scores, source, reference, reps, seed), "test-draws").withColumnRenamed("score", "row")
+    ranked = metrics.auroc_against(long, "_x", source, reference, by=("row",))
+    spread = resample.interval(draws, "auroc", ("row", source)).select("row", source, F.col("low").alias("auroc_low"), F.col("high").alias("auroc_high"))
+    base = draws.filter(F.col("row") == mine).select("rep", source, F.col("auroc").alias("_base"))
+    deltas = draws.filter(F.col("row") != mine).join(base, ["rep", source]).withColumn("_d", F.col("_base") - F.col("auroc"))
+    deltas = resample.interval(deltas, "_d", ("row", source)).select("row", source, F.col("low").alias("delta_low"), F.col("high").alias("delta_high"))
+    out = flagged
+    for part in (share, ranked, spread, deltas):
+        out = out.join(part, ["row", source], "left")
+    out.withColumn("repeat", F.lit(runs > 0)).withColumn("run", F.lit(runs)).write.mode("append").parquet(record)
+    columns = ["row", source, "songs", "flagged", "flagged_low", "flagged_high", "auroc", "auroc_low", "auroc_high", "delta_low", "delta_high", "repeat"]
+    return spark.read.parquet(record).filter(F.col("run") == runs).select(*columns)
 
 
 def moved_threshold(threshold: float, log_det_from: float, log_det_to: float) -> float:

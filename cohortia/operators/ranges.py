@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cohortia.operators.metrics import auroc
+from cohortia.sources.scratch import stash
+
 
 def in_windows(windows: DataFrame, items: DataFrame, keys: list[str], length: float) -> DataFrame:
     """Items whose t lies in [start, start + length) of a window of the same keys.
@@ -34,3 +37,16 @@ def paired(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame
 def ordinal(rows: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
     """Adds the place, from 0, of each row in its group."""
     return rows.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1)
+
+
+def counterfactual(base: DataFrame, changed: DataFrame, keys: list[str], source: str, x: str, y: str, threshold: float) -> DataFrame:
+    """(source, flagged_before, flagged_after, lost, shift_auroc) over the songs that both tables have.
+
+    A song is flagged below the threshold; shift_auroc is the chance that a song as it was scores above a changed one.
+    """
+    met = base.select(*keys, x).join(changed.select(*keys, y), keys).select(source, F.col(x).alias("_x"), F.col(y).alias("_y"))
+    met = stash(met, "counterfactual")
+    was, now = F.col("_x") < threshold, F.col("_y") < threshold
+    counts = met.groupBy(source).agg(F.count_if(was).alias("flagged_before"), F.count_if(now).alias("flagged_after"), F.count_if(was & ~now).alias("lost"))
+    sides = met.select(source, F.explode(F.array(F.struct(F.col("_x").alias("v"), F.lit(True).alias("was")), F.struct(F.col("_y").alias("v"), F.lit(False).alias("was")))).alias("s")).select(source, "s.v", "s.was")
+    return counts.join(auroc(sides, "v", F.col("was"), (source,)).withColumnRenamed("auroc", "shift_auroc"), source, "left")

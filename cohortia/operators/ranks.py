@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cohortia.functions.arrays import below
 from cohortia.sources.scratch import stash
 
 
@@ -15,27 +16,29 @@ def numbered(rows: DataFrame, order: list[str | Column], name: str) -> DataFrame
     Rows are range-partitioned and sorted; a row's place is its place in the partition plus the sizes of
     the partitions before, a table of one row for each. Ties must be broken by `order` for reruns to agree.
     """
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id())
     placed = stash(placed, "numbered")
-    part = F.shiftrightunsigned("_at", 33)
-    sizes = placed.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
-    ahead = sizes.select("_p", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
+    part = F.shiftrightunsigned("_row", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
+    ahead = sizes.select("_part", F.coalesce(F.sum("_rows").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before_part"))
     # One row for each partition of the range shuffle.
-    out = placed.withColumn("_p", part).join(F.broadcast(ahead), "_p")
-    return out.withColumn(name, F.col("_ahead") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_p", "_at", "_ahead")
+    out = placed.withColumn("_part", part).join(F.broadcast(ahead), "_part")
+    return out.withColumn(name, F.col("_before_part") + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_row", "_before_part")
 
 
-def running_before(rows: DataFrame, by: tuple[str, ...], order: str, value: str, name: str, buckets: int = 64) -> DataFrame:
+def running_before(rows: DataFrame, by: tuple[str, ...], order: str, value: str, name: str, buckets: int | None = None) -> DataFrame:
     """Adds the sum of `value` over the rows of a group that come before by `order`, which is unique in it.
 
-    `order` is cut at quantiles of the whole table into `buckets` ranges: sums run inside a range, and
-    over the ranges' sums.
+    `order` is cut at quantiles of the whole table into `buckets` ranges, by default one for each shuffle
+    partition: sums run inside a range, and over the ranges' sums.
     """
-    cuts = rows.agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 1000)).first()[0] or []
+    n = buckets or max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = rows.agg(F.percentile_approx(F.col(order).cast("double"), [i / n for i in range(1, n)], max(1000, 4 * n))).first()[0] or []
     cuts = sorted({c for c in cuts if c is not None})
-    marks = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.expr("cast(array() as array<double>)")
-    rows = rows.withColumn("_b", F.size(F.filter(marks, lambda c: c < F.col(order).cast("double"))) if cuts else F.lit(0))
+    marks = F.split(F.lit(",".join(map(repr, cuts))), ",").cast("array<double>")
+    rows = rows.withColumn("_b", below(marks, len(cuts), F.col(order).cast("double")) if cuts else F.lit(0))
     sums = rows.groupBy(*by, "_b").agg(F.sum(value).alias("_s"))
+    # One row for each group and range.
     ahead = sums.select(*by, "_b", F.coalesce(F.sum("_s").over(W.partitionBy(*by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("_ahead"))
     own = F.coalesce(F.sum(value).over(W.partitionBy(*by, "_b").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
     return rows.withColumn("_own", own).join(ahead, [*by, "_b"]).withColumn(name, F.col("_own") + F.col("_ahead")).drop("_own", "_ahead", "_b")

@@ -7,18 +7,24 @@ table alone, so a replicate costs as many rows as there are units, whatever stan
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortia.functions.hashing import uniform
-from cohortia.operators.metrics import auroc, quantile
+from cohortia.operators.metrics import auroc, auroc_against, quantile
+from cohortia.operators.ranks import numbered
+from cohortia.sources.scratch import stash
 
 
 def multiplicities(units: DataFrame, key: str, reps: int, seed: str, within: str | None = None) -> DataFrame:
-    """(rep, within, key, times): draws with replacement of as many units as there are (within each group)."""
+    """(rep, within, key, times): draws with replacement of as many units as there are (within each group).
+
+    Units are numbered in ranges of (group, key), so no task holds all of a group's.
+    """
     groups = [within] if within else []
-    w = W.partitionBy(*groups)
-    placed = units.select(*groups, key).distinct().withColumn("_i", F.row_number().over(w.orderBy(key)) - 1).withColumn("_n", F.count("*").over(w))
+    placed = numbered(units.select(*groups, key).distinct(), [*groups, key], "_at")
+    sizes = placed.groupBy(*groups).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    placed = placed.join(sizes, groups) if groups else placed.crossJoin(F.broadcast(sizes))  # one row
+    placed = placed.withColumn("_i", F.col("_at") - F.col("_first")).drop("_at", "_first")
     draws = placed.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     at = F.floor(uniform(seed, F.col("rep"), *[F.col(g) for g in groups], F.col("_i")) * F.col("_n"))
     drawn = draws.select("rep", *groups, at.alias("_i")).groupBy("rep", *groups, "_i").agg(F.count("*").alias("times"))
@@ -26,7 +32,7 @@ def multiplicities(units: DataFrame, key: str, reps: int, seed: str, within: str
 
 
 def interval(replicates: DataFrame, x: str, by: tuple[str, ...] = (), level: float = 0.95) -> DataFrame:
-    """(by..., low, high): the percentile interval."""
+    """(by..., low, high): the percentile interval of replicates, of which each group has some hundreds or thousands."""
     a = (1 - level) / 2
     return replicates.groupBy(*by).agg(quantile(x, a).alias("low"), quantile(x, 1 - a).alias("high"))
 
@@ -48,7 +54,18 @@ def auroc_replicates(rows: DataFrame, unit: str, score: str, positive: str, reps
 
 def paired_auroc_replicates(a: DataFrame, b: DataFrame, unit: str, score: str, positive: str, reps: int, seed: str) -> DataFrame:
     """(rep, delta): AUROC of b less a, both under the same draws."""
-    m = multiplicities(a, unit, reps, seed, positive)
-    one = auroc(m.join(a, [positive, unit]), score, F.col(positive), ("rep",), F.col("times"))
-    two = auroc(m.join(b, [positive, unit]), score, F.col(positive), ("rep",), F.col("times"))
-    return one.join(two.withColumnRenamed("auroc", "_b"), "rep").select("rep", (F.col("_b") - F.col("auroc")).alias("delta"))
+    m = stash(multiplicities(a, unit, reps, seed, positive), "draws")
+    both = m.join(a.select(positive, unit, F.col(score).alias("_x"), F.lit(0).alias("_of")).unionByName(b.select(positive, unit, F.col(score).alias("_x"), F.lit(1).alias("_of"))), [positive, unit])
+    found = auroc(both, "_x", F.col(positive), ("rep", "_of"), F.col("times"))
+    of = lambda k: F.max(F.when(F.col("_of") == k, F.col("auroc")))
+    return found.groupBy("rep").agg((of(1) - of(0)).alias("delta"))
+
+
+def source_auroc_replicates(rows: DataFrame, unit: str, scores: list[str], source: str, reference: str, reps: int, seed: str) -> DataFrame:
+    """(rep, score, source, auroc) of each score and source against the reference, all scores under the same draws.
+
+    Units are drawn within each source.
+    """
+    m = multiplicities(rows, unit, reps, seed, source).join(rows, [source, unit])
+    long = m.unpivot(["rep", source, "times"], scores, "score", "_x")
+    return auroc_against(long, "_x", source, reference, by=("rep", "score"), weight=F.col("times"))

@@ -12,14 +12,16 @@ from cohortia.functions.arrays import dot, doubles, unit
 BROADCAST_BYTES = 64 << 20
 
 
-def compared(queries: DataFrame, candidates: DataFrame, dims: int, blocks: int = 16) -> DataFrame:
+def compared(queries: DataFrame, candidates: DataFrame, dims: int, block_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Every query beside every candidate: for query sets that are stated and small.
 
-    The candidates are broadcast if they are few; else both sides are dealt in blocks, so that each
-    task holds one block pair's rows only.
+    The candidates are broadcast if they are few; else both sides are dealt in blocks of about
+    `block_bytes`, so that each task holds one block pair's rows only.
     """
-    if candidates.count() * (8 * dims + 64) <= BROADCAST_BYTES:
+    size = candidates.count() * (8 * dims + 64)
+    if size <= BROADCAST_BYTES:
         return queries.crossJoin(F.broadcast(candidates))
+    blocks = max(2, -(-size // block_bytes))
     left = queries.withColumn("_q", F.pmod(F.xxhash64(*queries.columns[:1]), F.lit(blocks))).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = candidates.withColumn("_c", F.pmod(F.xxhash64(*candidates.columns[:1]), F.lit(blocks)).cast("int")).withColumn("_q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
     return left.join(right, ["_q", "_c"]).drop("_q", "_c")

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortia.operators.metrics import auroc
+from cohortia.operators.ranks import numbered
 
 
 def pairs_profile(pairs: DataFrame, works: DataFrame, work: str, k: int) -> DataFrame:
@@ -41,8 +42,8 @@ def bitrate_profile(rows: DataFrame, by: str, kbps: str, least: int = 48, ladder
 
 def block_means(rows: DataFrame, order: str, x: str, size: int) -> DataFrame:
     """(block, mean) of each `size` consecutive rows of one run's log."""
-    r = rows.select(x, F.expr(f"bigint((row_number() OVER (ORDER BY {order}) - 1) div {size})").alias("block"))
-    return r.groupBy("block").agg(F.avg(x).alias("mean"))
+    placed = numbered(rows.select(order, x), [order], "_at")
+    return placed.groupBy(F.expr(f"_at div {size}").alias("block")).agg(F.avg(x).alias("mean"))
 
 
 def baseline(rows: DataFrame, loss: str, p: int, k: int, temperature: float) -> DataFrame:

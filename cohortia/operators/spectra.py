@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortia.functions.arrays import dot, doubles, entropy, total, unit
+from cohortia.functions.hashing import shuffle_key
+from cohortia.operators.metrics import quantiles
 from cohortia.operators.moments import per_dimension
 from cohortia.operators.retrieval import compared, squared_distance
+from cohortia.sources.scratch import stash
 
 
 def between_share(vectors: DataFrame, vector: str, group: str) -> DataFrame:
@@ -54,12 +55,19 @@ def cross_correlation(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return x.groupBy("i", "j").agg(F.corr("x", "y").alias("c")).agg(F.avg(F.col("c") * F.col("c")).alias("stat"))
 
 
-def hsic(rows: DataFrame, key: str, a: str, b: str) -> DataFrame:
-    """(hsic): dependence of two vectors by RBF kernels, the bandwidth twice the median squared distance, on a bounded sample of rows."""
+def hsic(rows: DataFrame, key: str, a: str, b: str, sample: int = 120, seed: str = "hsic") -> DataFrame:
+    """(hsic): dependence of two vectors by RBF kernels, the bandwidth twice the median squared distance.
+
+    It compares all pairs of `sample` rows, drawn from the whole table by a seeded hash of the key.
+    """
+    rows = rows.select(key, a, b).orderBy(shuffle_key(seed, F.col(key)), key).limit(sample)
+    rows = stash(rows, "kernel-sample")
     left = rows.select(F.col(key).alias("i"), F.col(a).alias("a1"), F.col(b).alias("b1"))
     right = rows.select(F.col(key).alias("j"), F.col(a).alias("a2"), F.col(b).alias("b2"))
     p = compared(left, right, 32).select("i", "j", squared_distance(F.col("a1"), F.col("a2")).alias("da"), squared_distance(F.col("b1"), F.col("b2")).alias("db"))
-    m = p.filter("i <> j").agg(F.percentile("da", F.lit(0.5)).alias("ma"), F.percentile("db", F.lit(0.5)).alias("mb"))
+    p = stash(p, "kernel-pairs")
+    off = p.filter("i <> j")
+    m = quantiles(off, "da", {"ma": 0.5}).crossJoin(F.broadcast(quantiles(off, "db", {"mb": 0.5})))  # one row each
     k = p.crossJoin(F.broadcast(m)).select("i", "j", F.exp(-F.col("da") / (2 * F.col("ma"))).alias("ka"), F.exp(-F.col("db") / (2 * F.col("mb"))).alias("kb"))
     # A kernel is symmetric, so row and column means are one table; the grand mean is its mean.
     means = k.groupBy("i").agg(F.avg("ka").alias("mi"))
@@ -97,9 +105,6 @@ def agreement(pairs: DataFrame, key: str, a: str, b: str, same: float = 0.999) -
     """(median, p05, same): correlation of two vectors of each row, and the share above `same`."""
     n = F.size(a).cast("double")
     cov = lambda x, y: dot(F.col(x), F.col(y)) / n - total(F.col(x)) / n * (total(F.col(y)) / n)
-    r = pairs.select((cov(a, b) / F.sqrt(cov(a, a) * cov(b, b))).alias("r"))
-    return r.agg(F.percentile("r", F.lit(0.5)).alias("median"), F.percentile("r", F.lit(0.05)).alias("p05"), F.avg((F.col("r") > same).cast("int")).alias("same"))
-
+    r = stash(pairs.select((cov(a, b) / F.sqrt(cov(a, a) * cov(b, b))).alias("r")), "agreement")
+    return quantiles(r, "r", {"median": 0.5, "p05": 0.05}).crossJoin(F.broadcast(r.agg(F.avg((F.col("r") > same).cast("int")).alias("same"))))  # one row each
 
-def normal_cdf(x: float) -> float:
-    return 0.5 * (1 + math.erf(x / math.sqrt(2)))

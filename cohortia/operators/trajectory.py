@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortia.functions.arrays import dot, norm
-from cohortia.operators.ranks import numbered
+from cohortia.operators.metrics import quantile_table
+from cohortia.operators.ranks import numbered, running_before
+from cohortia.sources.scratch import stash
 
 
 def peak_best_final(rows: DataFrame, run: str, step: str, x: str) -> DataFrame:
@@ -49,9 +51,10 @@ def collapse_alarm(rows: DataFrame, run: str, step: str, rank: str, ratio: float
 
 def extreme_groups(rows: DataFrame, key: str, x: str, n: int) -> DataFrame:
     """(key, group): the n highest, the n nearest the median and the n lowest; n is at most half the rows."""
-    middle, count = rows.agg(F.percentile(x, F.lit(0.5)), F.count("*")).first()
+    count = rows.count()
+    middle = quantile_table(rows, x, [0.5]).first()
     n = min(n, count // 2)
-    orders = {"high": F.desc(x), "middle": F.abs(F.col(x) - F.lit(middle)), "low": F.asc(x)}
+    orders = {"high": F.desc(x), "middle": F.abs(F.col(x) - F.lit(middle["value"] if middle else None)), "low": F.asc(x)}
     out = None
     for name, order in orders.items():  # top-n each, no global sort
         part = rows.orderBy(order, key).limit(n).select(key, F.lit(name).alias("group"))
@@ -68,13 +71,14 @@ def percent_ranks(rows: DataFrame, key: str, x: str) -> DataFrame:
 
 def with_margin(candidates: DataFrame, key: str, x: str) -> DataFrame:
     """(key, x, place, margin): ranked, and how far each is ahead of the next."""
-    w = W.orderBy(F.desc(x), key)
-    return candidates.select(key, x, F.row_number().over(w).alias("place"), (F.col(x) - F.lead(x).over(w)).alias("margin"))
+    placed = stash(numbered(candidates.select(key, x), [F.desc(x), key], "_at"), "ranked")
+    after = placed.select((F.col("_at") - 1).alias("_at"), F.col(x).alias("_next"))
+    return placed.join(after, "_at", "left").select(key, x, (F.col("_at") + 1).cast("int").alias("place"), (F.col(x) - F.col("_next")).alias("margin"))
 
 
 def cumulative_bands(parts: DataFrame, order: str, x: str, bands: int) -> DataFrame:
     """(order, upto, rest, band): running sums over ordered components, and linspace bands."""
-    w = W.orderBy(order)
-    n = F.count("*").over(W.partitionBy())
-    upto = F.sum(x).over(w.rowsBetween(W.unboundedPreceding, 0))
-    return parts.select(order, upto.alias("upto"), (F.sum(x).over(W.partitionBy()) - upto).alias("rest"), F.floor((F.row_number().over(w) - 1) * bands / n).alias("band"))
+    run = running_before(numbered(parts.select(order, x), [order], "_at"), (), "_at", x, "_before")
+    whole = F.broadcast(parts.agg(F.sum(x).alias("_all"), F.count("*").alias("_n")))  # one row
+    upto = F.col("_before") + F.col(x)
+    return run.crossJoin(whole).select(order, upto.alias("upto"), (F.col("_all") - upto).alias("rest"), F.floor(F.col("_at") * bands / F.col("_n")).alias("band"))

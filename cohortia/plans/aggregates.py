@@ -72,7 +72,7 @@ def a9b(spark, d):
 @query("A10_clipped_quantiles", "SELECT event_type, round(quantile_cont(greatest(least(x, 1e300), -1e300), 0.5), 6) AS p50, round(quantile_cont(greatest(least(x, 1e300), -1e300), 0.9), 6) AS p90 FROM (SELECT event_type, CASE WHEN event_id % 50 = 0 THEN '-infinity'::DOUBLE ELSE value END AS x FROM events) GROUP BY 1")
 def a10(spark, d):
     e = table(spark, d, "events").select("event_type", F.when(F.col("event_id") % 50 == 0, F.lit(float("-inf"))).otherwise(F.col("value")).alias("x"))
-    return e.groupBy("event_type").agg(F.round(metrics.quantile("x", 0.5), 6).alias("p50"), F.round(metrics.quantile("x", 0.9), 6).alias("p90"))
+    return metrics.quantiles(e, "x", {"p50": 0.5, "p90": 0.9}, ("event_type",)).select("event_type", F.round("p50", 6).alias("p50"), F.round("p90", 6).alias("p90"))
 
 
 @query("A11_summary", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, " + ", ".join(f"round(quantile_cont(value, {q}), 6) AS p{int(q * 100)}" for q in (0.05, 0.25, 0.5, 0.75, 0.95)) + " FROM events GROUP BY 1")
@@ -148,17 +148,19 @@ def a18(spark, d):
     return resample.interval(resample.clustered_mean(f, "user_id", "x", 20, "a18", "event_type"), "value", ("event_type",)).select("event_type", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
-@query("A19_early_late", f"WITH e AS (SELECT event_id, event_id >= 500 AS late, value FROM events WHERE event_id < 1000), {draws('e', 'event_id', 20, 'a19', 'late')}, r AS (SELECT rep, late, sum(times * value) / sum(times) AS v FROM m JOIN e USING (late, event_id) GROUP BY 1, 2), q AS (SELECT b.v - a.v AS v FROM r a JOIN r b ON a.rep = b.rep AND NOT a.late AND b.late) SELECT round(quantile_cont(v, 0.025), 4) AS low, round(quantile_cont(v, 0.975), 4) AS high FROM q")
+@query("A19_early_late", f"WITH e AS (SELECT event_id, event_id >= (SELECT max(event_id) // 2 FROM events) AS late, value FROM events), {draws('e', 'event_id', 20, 'a19', 'late')}, r AS (SELECT rep, late, sum(times * value) / sum(times) AS v FROM m JOIN e USING (late, event_id) GROUP BY 1, 2), q AS (SELECT b.v - a.v AS v FROM r a JOIN r b ON a.rep = b.rep AND NOT a.late AND b.late) SELECT round(quantile_cont(v, 0.025), 4) AS low, round(quantile_cont(v, 0.975), 4) AS high FROM q")
 def a19(spark, d):
-    e = table(spark, d, "events").filter("event_id < 1000").select("event_id", (F.col("event_id") >= 500).alias("late"), "value")
+    e = table(spark, d, "events")
+    half = F.broadcast(e.agg(F.expr("max(event_id) div 2").alias("half")))  # one row
+    e = e.crossJoin(half).select("event_id", (F.col("event_id") >= F.col("half")).alias("late"), "value")
     r = resample.clustered_mean(e, "event_id", "value", 20, "a19", "late")
     q = r.groupBy("rep").agg((F.max(F.when(F.col("late"), F.col("value"))) - F.max(F.when(~F.col("late"), F.col("value")))).alias("delta"))
     return resample.interval(q, "delta").select(F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
 
 
-@query("A20_block_means", "SELECT block, round(avg(value), 6) AS mean FROM (SELECT value, (row_number() OVER (ORDER BY event_id) - 1) // 250 AS block FROM events WHERE event_id < 3000) GROUP BY 1")
+@query("A20_block_means", "SELECT block, round(avg(value), 6) AS mean FROM (SELECT value, (row_number() OVER (ORDER BY event_id) - 1) // 250 AS block FROM events) GROUP BY 1")
 def a20(spark, d):
-    return runs.block_means(table(spark, d, "events").filter("event_id < 3000"), "event_id", "value", 250).select("block", F.round("mean", 6).alias("mean"))
+    return runs.block_means(table(spark, d, "events"), "event_id", "value", 250).select("block", F.round("mean", 6).alias("mean"))
 
 
 @query("A21_baseline_context", "SELECT round(avg(value), 6) AS mean, round(ln(8 * 4), 6) AS chance, round(avg((value < ln(32))::INTEGER), 6) AS below, round(-0.1 * ln((exp(min(value)) - 1) / 28), 6) AS margin FROM events WHERE event_type = 'view'")
@@ -293,23 +295,23 @@ def a39(spark, d):
 
 @query(
     "A40_hsic",
-    f"WITH e AS (SELECT id, v[1:8] AS a, v[9:16] AS b FROM ({EMB}) WHERE id < 120), p AS (SELECT x.id AS i, y.id AS j, list_distance(x.a, y.a)^2 AS da, list_distance(x.b, y.b)^2 AS db FROM e x, e y), "
+    f"WITH e AS (SELECT id, v[1:8] AS a, v[9:16] AS b FROM ({EMB}) ORDER BY md5('hsic:' || id), id LIMIT 120), p AS (SELECT x.id AS i, y.id AS j, list_distance(x.a, y.a)^2 AS da, list_distance(x.b, y.b)^2 AS db FROM e x, e y), "
     "m AS (SELECT quantile_cont(da, 0.5) AS ma, quantile_cont(db, 0.5) AS mb FROM p WHERE i <> j), k AS (SELECT i, j, exp(-da / (2 * ma)) AS ka, exp(-db / (2 * mb)) AS kb FROM p, m), "
     "c AS (SELECT ka - avg(ka) OVER (PARTITION BY i) - avg(ka) OVER (PARTITION BY j) + avg(ka) OVER () AS ca, kb FROM k) SELECT round(sum(ca * kb) / (119 * 119), 8) AS hsic FROM c",
 )
 def a40(spark, d):
-    e = emb(spark, d).filter("id < 120").select("id", F.slice("v", 1, 8).alias("a"), F.slice("v", 9, 8).alias("b"))
+    e = emb(spark, d).select("id", F.slice("v", 1, 8).alias("a"), F.slice("v", 9, 8).alias("b"))
     return spectra.hsic(e, "id", "a", "b").select(F.round("hsic", 8).alias("hsic"))
 
 
 @query(
     "A41_contrastive",
-    f"WITH e AS ({EMB}), p AS (SELECT q.id, q.id = c.id - 1 AS pos, list_cosine_similarity(q.v, c.v) / 0.1 AS s FROM e q JOIN e c ON q.id % 50 = 0 AND c.id % 2 = 1 AND (q.id = c.id - 1 OR q.grp <> c.grp)) "
+    f"WITH e AS ({EMB}), p AS (SELECT q.id, q.id = c.id - 1 AS pos, list_cosine_similarity(q.v, c.v) / 0.1 AS s FROM e q JOIN e c ON q.id % 20 = 0 AND c.id % 2 = 1 AND (q.id = c.id - 1 OR q.grp <> c.grp)) "
     "SELECT id, round(ln(sum(exp(s))) - ln(sum(exp(s)) FILTER (pos)), 6) AS loss FROM p GROUP BY 1",
 )
 def a41(spark, d):
     e = emb(spark, d)
-    return spectra.contrastive(e.filter("id % 50 = 0").withColumn("pair", F.col("id")), e.filter("id % 2 = 1").withColumn("pair", F.col("id") - 1), 64, 0.1).select("id", F.round("loss", 6).alias("loss"))
+    return spectra.contrastive(e.filter("id % 20 = 0").withColumn("pair", F.col("id")), e.filter("id % 2 = 1").withColumn("pair", F.col("id") - 1), 64, 0.1).select("id", F.round("loss", 6).alias("loss"))
 
 
 @query(

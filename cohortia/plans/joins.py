@@ -69,7 +69,13 @@ def j6(spark, d):
     return pairs.round_robin(table(spark, d, "part"), "p_brand", "p_partkey", rounds=10)
 
 
-@query("J7_cross_work_negatives")
+@query(
+    "J7_cross_work_negatives",
+    "WITH i AS (SELECT p_brand, p_partkey, row_number() OVER (ORDER BY p_brand, p_partkey) - 1 AS pos FROM part), g AS (SELECT p_brand, min(pos) AS first, count(*) AS size, row_number() OVER (ORDER BY p_brand) - 1 AS g, count(*) OVER () AS works FROM i GROUP BY 1), "
+    "u AS (SELECT draw, list_transform(['group_a', 'group_b', 'key_a', 'key_b'], lambda k: ('0x' || substring(md5('negatives:' || k || ':' || draw), 1, 13))::BIGINT::DOUBLE / power(2, 52)) AS u FROM range(200) t(draw)), "
+    "w AS (SELECT draw, u, floor(u[1] * works)::BIGINT AS ga, (floor(u[1] * works)::BIGINT + 1 + floor(u[2] * (works - 1))::BIGINT) % works AS gb FROM u, (SELECT any_value(works) AS works FROM g)) "
+    "SELECT draw, x.p_partkey AS key_a, y.p_partkey AS key_b, a.p_brand AS group_a, b.p_brand AS group_b FROM w JOIN g a ON a.g = ga JOIN g b ON b.g = gb JOIN i x ON x.pos = a.first + floor(u[3] * a.size)::BIGINT JOIN i y ON y.pos = b.first + floor(u[4] * b.size)::BIGINT",
+)
 def j7(spark, d):
     return pairs.cross_group_pairs(table(spark, d, "part"), "p_brand", "p_partkey", 200)
 
@@ -89,9 +95,9 @@ def j9(spark, d):
     return aligned.join(tracks.select(F.col("o_orderkey").alias("key_a"), F.col("o_custkey").alias("song_a")), "key_a").join(tracks.select(F.col("o_orderkey").alias("key_b"), F.col("o_custkey").alias("song_b")), "key_b").select("key_a", "key_b", "song_a", "song_b")
 
 
-@query("J10_under_all_conditions", "SELECT user_id, count(*) AS rows FROM events WHERE event_id < 800 AND user_id IN (SELECT user_id FROM events WHERE event_id < 800 GROUP BY user_id HAVING count(DISTINCT event_type) = 5) GROUP BY user_id")
+@query("J10_under_all_conditions", "SELECT user_id, count(*) AS rows FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY user_id HAVING count(DISTINCT event_type) = 5) GROUP BY user_id")
 def j10(spark, d):
-    return ranges.under_all(table(spark, d, "events").filter("event_id < 800"), ["user_id"], "event_type").groupBy("user_id").agg(F.count("*").alias("rows"))
+    return ranges.under_all(table(spark, d, "events"), ["user_id"], "event_type").groupBy("user_id").agg(F.count("*").alias("rows"))
 
 
 @query("J11_paired_runs", "SELECT a.user_id, round(b.m - a.m, 6) AS gain FROM (SELECT user_id, avg(value) AS m FROM events WHERE event_type = 'view' GROUP BY 1) a JOIN (SELECT user_id, avg(value) AS m FROM events WHERE event_type = 'click' GROUP BY 1) b USING (user_id) WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'view' INTERSECT SELECT user_id FROM events WHERE event_type = 'click')")
@@ -103,12 +109,11 @@ def j11(spark, d):
     return paired.select("user_id", F.round("gain", 6).alias("gain"))
 
 
-@query("J12_counterfactual", "WITH s AS (SELECT event_type, user_id, min(value) AS x, min(value) * 0.9 + user_id % 3 AS y FROM events GROUP BY 1, 2), f AS (SELECT event_type, x < 2 AS before, y < 2 AS after FROM s) SELECT event_type, count(*) FILTER (before) AS flagged_before, count(*) FILTER (after) AS flagged_after, count(*) FILTER (before AND NOT after) AS lost FROM f GROUP BY 1")
+@query("J12_counterfactual", "WITH s AS (SELECT event_type, user_id, min(value) AS x, min(value) * 0.9 + user_id % 3 AS y FROM events GROUP BY 1, 2), f AS (SELECT event_type, x < 2 AS before, y < 2 AS after FROM s), a AS (SELECT p.event_type, avg(CASE WHEN p.x > q.y THEN 1.0 WHEN p.x = q.y THEN 0.5 ELSE 0.0 END)::DOUBLE AS shift FROM s p JOIN s q USING (event_type) GROUP BY 1) SELECT event_type, count(*) FILTER (before) AS flagged_before, count(*) FILTER (after) AS flagged_after, count(*) FILTER (before AND NOT after) AS lost, round(any_value(shift), 6) AS shift_auroc FROM f JOIN a USING (event_type) GROUP BY 1")
 def j12(spark, d):
     s = table(spark, d, "events").groupBy("event_type", "user_id").agg(F.min("value").alias("x"))
     y = s.select("event_type", "user_id", (F.col("x") * 0.9 + F.col("user_id") % 3).alias("y"))
-    f = s.join(y, ["event_type", "user_id"]).select("event_type", (F.col("x") < 2).alias("before"), (F.col("y") < 2).alias("after"))
-    return f.groupBy("event_type").agg(F.count_if("before").alias("flagged_before"), F.count_if("after").alias("flagged_after"), F.count_if(F.col("before") & ~F.col("after")).alias("lost"))
+    return ranges.counterfactual(s, y, ["event_type", "user_id"], "event_type", "x", "y", 2.0).withColumn("shift_auroc", F.round("shift_auroc", 6))
 
 
 EMB = "SELECT vec_id AS id, label AS grp, embedding::DOUBLE[] AS v, (vec_id % 17)::DOUBLE AS target FROM embeddings"

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortia.functions import arrays as A
-from cohortia.operators import align, density, gaussians, metrics, moments, pairs, protocol, resample, retrieval, runs, scoring
+from cohortia.operators import align, density, gaussians, metrics, moments, protocol, resample, retrieval, runs, scoring
 from cohortia.plans.aggregates import SONGS, draws, songs
 from cohortia.plans.joins import EMB, emb
 from cohortia.plans.registry import query, table
 from cohortia.plans.sequences import sequences
+from cohortia.sources.scratch import new_folder
 
 X = f"SELECT id, grp, unnest(range(64)) AS p, unnest(v) AS x FROM ({EMB})"
 
@@ -121,19 +122,24 @@ def m14(spark, d):
     return protocol.flag_changes(s.select("song", (F.col("min") < 2).alias("flagged")), s.select("song", (F.col("p10") < 8).alias("flagged")), "song")
 
 
-@query("M15_shift_predictions")
-def m15(spark, d):
-    import numpy as np
+#: The normal distribution at a column of CTE `x` (z, from 0 to 8), by its series in terms of gamma functions.
+PHI = "SELECT *, least(1.0, 0.5 + exp(-z * z / 2) / sqrt(2 * pi()) * (SELECT sum(CASE WHEN z = 0 THEN 0 ELSE exp((2 * k + 1) * ln(z) - (k + 1) * ln(2) - lgamma(k + 1.5) + 0.5 * ln(pi())) END) FROM range(0, 160) t(k))) AS phi FROM x"
+
 
+@query(
+    "M15_shift_predictions",
+    f"WITH v AS ({X}), u AS (SELECT grp, id % 5 AS rec, p, avg(x) AS a, count(*)::DOUBLE AS k FROM v GROUP BY 1, 2, 3), s AS (SELECT grp, p, (sum(k * a)^2 - sum(k * k * a * a)) / (sum(k)^2 - sum(k * k)) AS c FROM u GROUP BY 1, 2), d AS (SELECT grp, greatest(sum(c), 0) AS d, sum(c) AS c FROM s GROUP BY 1), "
+    f"x AS (SELECT grp, unnest(['pred', 'toy', 'probe']) AS name, unnest([d / sqrt(4 * (64 + greatest(c, 0))), d / (2 * sqrt(64 + d)), sqrt(d / 2)]) AS z FROM d), p AS ({PHI}) SELECT grp, round(max(phi) FILTER (name = 'pred'), 6) AS pred, round(max(phi) FILTER (name = 'toy'), 6) AS toy, round(max(phi) FILTER (name = 'probe'), 6) AS probe FROM p GROUP BY 1",
+)
+def m15(spark, d):
     from cohortia.operators import variance
 
     units = moments.per_dimension(emb(spark, d).withColumn("rec", F.col("id") % 5), "v", "grp", "rec")
-    shifts = variance.squared_mean(units, ["grp", "pos"], "pos", "mean", "n").groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("pos", "delta2"))).alias("c"))
-    rows = []
-    for r in shifts.select("grp", F.col("c.delta2").alias("c")).collect():  # a row per group
-        c = np.array(r["c"])
-        rows.append((r["grp"], *gaussians.shift_predictions(float(c.sum()), np.ones(len(c)), c).values()))
-    return spark.createDataFrame(rows, "grp int, pred double, toy double, probe double")
+    parts = variance.squared_mean(units, ["grp", "pos"], "pos", "mean", "n")
+    shifts = parts.groupBy("grp").agg(F.sum("delta2").alias("delta2"), F.array_sort(F.collect_list(F.struct("pos", "delta2")))["delta2"].alias("c"))
+    ones = F.array_repeat(F.lit(1.0), F.size("c"))
+    made = {"pred": gaussians.norm_shift_auroc(F.col("delta2"), ones, F.col("c")), "toy": gaussians.unit_shift_auroc(F.col("delta2"), 64), "probe": gaussians.direction_shift_auroc(F.col("delta2"))}
+    return shifts.select("grp", *[F.round(v, 6).alias(k) for k, v in made.items()])
 
 
 BANDS = f"SELECT id, list_sum(list_transform(v[1:32], lambda x: x * x)) AS a, list_sum(list_transform(v[33:64], lambda x: x * x)) AS b FROM ({EMB})"
@@ -147,15 +153,42 @@ def bands(spark, d):
 @query("M16_scale_mixture", f"SELECT round(covar_samp(a, b) / (avg(a) * avg(b)), 6) AS c2_off, round(corr(a, b), 6) AS band_corr, round(var_samp(a) / avg(a)^2, 6) AS c2_a, round(quantile_cont(a, 0.9), 6) AS q90 FROM ({BANDS})")
 def m16(spark, d):
     b = bands(spark, d)
-    return b.agg(F.round(F.covar_samp("a", "b") / (F.avg("a") * F.avg("b")), 6).alias("c2_off"), F.round(F.corr("a", "b"), 6).alias("band_corr"), F.round(F.var_samp("a") / F.pow(F.avg("a"), 2), 6).alias("c2_a"), F.round(F.percentile("a", F.lit(0.9)), 6).alias("q90"))
+    return b.agg(F.round(F.covar_samp("a", "b") / (F.avg("a") * F.avg("b")), 6).alias("c2_off"), F.round(F.corr("a", "b"), 6).alias("band_corr"), F.round(F.var_samp("a") / F.pow(F.avg("a"), 2), 6).alias("c2_a"), F.lit(0).alias("_")).drop("_").crossJoin(F.broadcast(metrics.quantiles(b, "a", {"q90": 0.9}).select(F.round("q90", 6).alias("q90"))))  # one row each
 
 
-@query("M16_scale_check")
-def m16b(spark, d):
+FOUR = f"b AS (SELECT id, list_transform(range(4), lambda b: list_sum(list_transform(v[b * 16 + 1 : b * 16 + 16], lambda x: x * x))) AS e FROM ({EMB})), w AS (SELECT p // 16 AS band, sum(s * s) AS q, sum(s) AS s FROM (SELECT p, var_samp(x) AS s FROM ({X}) GROUP BY 1) GROUP BY 1)"
+
+
+def four_bands(spark, d):
+    """(bands, columns, sums of squared weights by band, sum of weights), the variances being the weights."""
     e = emb(spark, d)
-    v = [r["v"] for r in moments.per_dimension(e, "v").groupBy().agg(F.array_sort(F.collect_list(F.struct("pos", "var"))).alias("v")).select(F.col("v.var").alias("v")).collect()][0]
-    b = e.withColumn("e", A.band_energy(F.col("v"), 4)).select(*[F.col("e")[i].alias(f"b{i}") for i in range(4)])
-    return gaussians.scale_check(b, [f"b{i}" for i in range(4)], [sum(x * x for x in v[16 * i : 16 * i + 16]) for i in range(4)], sum(v))
+    w = moments.per_dimension(e, "v").groupBy(F.expr("pos div 16").alias("band")).agg(F.sum(F.col("var") * F.col("var")).alias("q"), F.sum("var").alias("s")).orderBy("band").collect()  # a row for each band
+    names = [f"b{i}" for i in range(4)]
+    return e.withColumn("e", A.band_energy(F.col("v"), 4)).select(*[F.col("e")[i].alias(n) for i, n in enumerate(names)]), names, [r["q"] for r in w], sum(r["s"] for r in w)
+
+
+@query(
+    "M16_scale_check",
+    f"WITH {FOUR}, l AS (SELECT id, i, e[i + 1] AS x, ln(e[i + 1]) AS l, list_avg(list_transform(e, lambda y: ln(y))) AS c, list_sum(e) AS t FROM b, range(4) t(i)), p AS (SELECT x.i, y.i AS j, covar_samp(x.x, y.x) AS cov, avg(x.x) AS a, avg(y.x) AS b FROM l x JOIN l y USING (id) GROUP BY 1, 2), "
+    "h AS (SELECT avg(cov / (a * b)) AS c2, min(cov / (a * b)) AS lo, max(cov / (a * b)) AS hi FROM p WHERE i <> j), o AS (SELECT p.i, cov AS v, a, q, c2 * a * a + 2 * (1 + c2) * q AS m FROM p JOIN w ON w.band = p.i, h WHERE p.i = j), "
+    "r AS (SELECT avg(cov / sqrt(x.v * y.v)) AS co, min(cov / sqrt(x.v * y.v)) AS cl, max(cov / sqrt(x.v * y.v)) AS ch, avg(c2 * p.a * p.b / sqrt(x.m * y.m)) AS cm FROM p JOIN o x ON x.i = p.i JOIN o y ON y.i = p.j, h WHERE p.i <> p.j), "
+    "k AS (SELECT i, 1 - var_pop(l - c) / var_pop(l) AS cancelled FROM l GROUP BY 1), g AS (SELECT i, avg(cov / (a * b)) AS coupling FROM p WHERE i <> j GROUP BY 1), n AS (SELECT sum(q) AS q, sum(s) AS s FROM w), t AS (SELECT var_samp(t) AS t FROM l WHERE i = 0) "
+    "SELECT o.i::INTEGER AS band, round(o.a / (SELECT sum(a) FROM o), 6) AS share, round(coupling, 6) AS coupling, round((v - m) / (o.a * o.a), 6) AS excess, round(cancelled, 6) AS cancelled, round(c2, 6) AS c2_off, round(lo, 6) AS c2_low, round(hi, 6) AS c2_high, round((t - 2 * n.q) / (n.s * n.s + 2 * n.q), 6) AS c2_total, "
+    "round(co, 6) AS corr_off, round(cl, 6) AS corr_low, round(ch, 6) AS corr_high, round(cm, 6) AS corr_model_off FROM o JOIN k USING (i) JOIN g USING (i), h, r, n, t",
+)
+def m16b(spark, d):
+    got = gaussians.scale_check(*four_bands(spark, d))
+    return got.select("band", *[F.round(c, 6).alias(c) for c in got.columns[1:]])
+
+
+@query(
+    "M16_scale_quantiles",
+    f"WITH {FOUR}, t AS (SELECT list_sum(e) AS t FROM b), m AS (SELECT avg(t) AS m, stddev_pop(ln(t)) AS s FROM t), n AS (SELECT sum(q) AS q, sum(s) AS v FROM w), z AS (SELECT unnest([0.05, 0.5, 0.95]::DOUBLE[]) AS p, unnest([-1.6448536269514722, 0, 1.6448536269514722]::DOUBLE[]) AS z), o AS (SELECT p, z, CASE p WHEN 0.05 THEN (SELECT quantile_cont(t, 0.05) FROM t) WHEN 0.5 THEN (SELECT quantile_cont(t, 0.5) FROM t) ELSE (SELECT quantile_cont(t, 0.95) FROM t) END AS x FROM z) "
+    "SELECT p, round(x / m, 6) AS observed, round(1 + z * sqrt(2 * q) / v, 6) AS no_factor, round(exp(s * z - s * s / 2), 6) AS lognormal FROM o, m, n",
+)
+def m16c(spark, d):
+    got = gaussians.scale_quantiles(*four_bands(spark, d), at=(0.05, 0.5, 0.95))
+    return got.select("p", *[F.round(c, 6).alias(c) for c in got.columns[1:]])
 
 
 @query("M17_pattern_gaussian")
@@ -208,23 +241,30 @@ def halves(spark, d):
     return s.filter("user_id % 2 = 0"), s.filter("user_id % 2 = 1")
 
 
-@query("M23_select_protocol")
+@query(
+    "M23_select_protocol",
+    f"WITH s AS (SELECT event_type, unnest(['min', 'mean', 'p10']) AS score, unnest([min, mean, p10]) AS x FROM ({SONGS}) WHERE user_id % 2 = 0 AND event_type IN ('view', 'click', 'purchase')), a AS (SELECT v.score, avg(CASE WHEN v.x > o.x THEN 1.0 WHEN v.x = o.x THEN 0.5 ELSE 0.0 END)::DOUBLE AS auroc FROM s v JOIN s o ON v.score = o.score AND v.event_type = 'view' AND o.event_type <> 'view' GROUP BY 1), "
+    "b AS (SELECT * FROM a ORDER BY auroc DESC, score LIMIT 1), l AS (SELECT list(x ORDER BY x) AS l FROM s JOIN b USING (score) WHERE event_type = 'view'), k AS (SELECT k / 100 AS fpr, l, k / 100 * (len(l) - 1) AS pos FROM l, range(1, 21) t(k)), "
+    "t AS (SELECT fpr, l[floor(pos)::INTEGER + 1] + (pos - floor(pos)) * (l[least(floor(pos)::INTEGER + 2, len(l))] - l[floor(pos)::INTEGER + 1]) AS t FROM k), p AS (SELECT fpr, t, avg((x < t)::INTEGER) AS tpr FROM s JOIN b USING (score), t WHERE event_type <> 'view' GROUP BY 1, 2) "
+    "SELECT score, round(auroc, 6) AS auroc, fpr, round(t, 6) AS threshold FROM p, b ORDER BY round(tpr - fpr, 12) DESC, fpr LIMIT 1",
+)
 def m23(spark, d):
     made = protocol.select(halves(spark, d)[0], "event_type", "view", ["click", "purchase"], ["min", "mean", "p10"])
-    return spark.createDataFrame([(made["score"], made["auroc"], made["fpr"], made["threshold"], made["checksum"])], "score string, auroc double, fpr double, threshold double, checksum string")
+    return spark.createDataFrame([(made["score"], round(made["auroc"], 6), made["fpr"], round(made["threshold"], 6))], "score string, auroc double, fpr double, threshold double")
 
 
 @query("M24_test_protocol")
 def m24(spark, d):
+    scores = ["min", "mean", "p10"]
     dev, rest = halves(spark, d)
-    made = protocol.select(dev, "event_type", "view", ["click", "purchase"], ["min", "mean", "p10"])
-    return protocol.test(rest, dev, "song", "event_type", made).join(protocol.test_intervals(rest, "user_id", "event_type", made, 20), "event_type")
+    made = protocol.select(dev, "event_type", "view", ["click", "purchase"], scores)
+    return protocol.test(rest, dev, "song", "user_id", "event_type", made, new_folder(spark, "protocol"), tuple(s for s in scores if s != made["score"]), reps=20)
 
 
 @query("M25_threshold_check", "WITH d AS (SELECT quality, n_chars::DOUBLE AS x FROM documents JOIN labels USING (doc_id)), t AS (SELECT quantile_cont(x, 0.95) AS t FROM d WHERE quality = 0) SELECT round(any_value(t), 6) AS threshold, round(avg((x >= t)::INTEGER) FILTER (quality = 1), 6) AS kept, (SELECT round(avg(CASE WHEN p.x > n.x THEN 1.0 WHEN p.x = n.x THEN 0.5 ELSE 0.0 END)::DOUBLE, 6) FROM d p, d n WHERE p.quality = 1 AND n.quality = 0) AS auroc FROM d, t")
 def m25(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.col("n_chars").cast("double").alias("x")).join(table(spark, d, "labels"), "doc_id")
-    t = rows.filter("quality = 0").agg(metrics.quantile("x", 0.95).alias("t"))
+    t = metrics.quantiles(rows.filter("quality = 0"), "x", {"t": 0.95})
     kept = rows.crossJoin(F.broadcast(t)).agg(F.round(F.max("t"), 6).alias("threshold"), F.round(F.avg(F.when(F.col("quality") == 1, (F.col("x") >= F.col("t")).cast("int"))), 6).alias("kept"))
     return kept.crossJoin(metrics.auroc(rows, "x", F.col("quality") == 1).select(F.round("auroc", 6).alias("auroc")))
 
@@ -232,7 +272,7 @@ def m25(spark, d):
 @query("M26_preservation")
 def m26(spark, d):
     """A sequence against its variants: with every fifth frame silenced, and rolled by five."""
-    s = sequences(spark, d).filter("int(key) < 12")
+    s = sequences(spark, d)
     silent = F.transform("frames", lambda f, i: F.when(i % 5 == 0, F.transform(f, lambda x: x * 0.0)).otherwise(f))
     rolled = F.transform("frames", lambda f: A.roll(f, F.lit(5)))
     variants = s.select(F.concat("key", F.lit("-clean")).alias("key"), "frames").unionByName(s.select(F.concat("key", F.lit("-silent")).alias("key"), silent.alias("frames"))).unionByName(s.select(F.concat("key", F.lit("-rolled")).alias("key"), rolled.alias("frames")))
@@ -242,15 +282,24 @@ def m26(spark, d):
     return got.join(base, "key").groupBy("variant").agg(F.avg(F.col("score") / F.col("own")).alias("kept"), F.count_if(F.col("oti") != 0).alias("transposed"))
 
 
-@query("M27_alignment_control", "SELECT avg(value) FILTER (event_id % 3 = 0) > avg(value) FILTER (event_id % 3 = 1) - 1000 AS ok, round(avg(value) FILTER (event_id % 3 = 0), 6) AS aligned, round(avg(value) FILTER (event_id % 3 = 1), 6) AS shifted, round(avg(value) FILTER (event_id % 3 = 2), 6) AS crossed FROM events")
+@query(
+    "M27_alignment_control",
+    f"WITH e AS ({EMB}), w AS (SELECT a.id, a.grp, a.v AS a, list_transform(list_zip(a.v, b.v), lambda z: 0.6 * z[1] + 0.4 * z[2]) AS b, row_number() OVER (PARTITION BY a.grp ORDER BY a.id) - 1 AS i, count(*) OVER (PARTITION BY a.grp) AS n, dense_rank() OVER (ORDER BY a.grp) - 1 AS w FROM e a JOIN e b ON b.id = a.id + 1), "
+    "k AS (SELECT max(w) + 1 AS works FROM w), m AS (SELECT avg(list_cosine_similarity(a, b)) AS aligned, count(*) AS n FROM w), s AS (SELECT avg(list_cosine_similarity(x.a, y.b)) AS shifted FROM w x JOIN w y ON x.w = y.w AND y.i = (x.i + 3) % x.n WHERE x.n > 3), "
+    "c AS (SELECT avg(list_cosine_similarity(x.a, y.b)) AS crossed FROM w x, k JOIN w y ON y.w = (x.w + 1) % works AND y.i = x.i % y.n) SELECT n, round(aligned, 6) AS aligned, round(shifted, 6) AS shifted, round(crossed, 6) AS crossed, aligned > shifted AND aligned > crossed AS ok FROM m, s, c",
+)
 def m27(spark, d):
-    mean = lambda k: F.avg(F.when(F.col("event_id") % 3 == k, F.col("value")))
-    return table(spark, d, "events").agg((mean(0) > mean(1) - 1000).alias("ok"), F.round(mean(0), 6).alias("aligned"), F.round(mean(1), 6).alias("shifted"), F.round(mean(2), 6).alias("crossed"))
+    """Each vector beside a mix of itself and the next as its aligned window."""
+    e = emb(spark, d)
+    after = e.select((F.col("id") - 1).alias("id"), F.col("v").alias("w"))
+    windows = e.join(after, "id").select("id", "grp", F.col("v").alias("a"), F.zip_with("v", "w", lambda x, y: 0.6 * x + 0.4 * y).alias("b"))
+    got = align.alignment_control(windows, "grp", "id", "a", "b", 3)
+    return got.select("n", *[F.round(c, 6).alias(c) for c in ("aligned", "shifted", "crossed")], "ok")
 
 
-@query("M28_running_standardiser", "WITH RECURSIVE b AS (SELECT user_id, event_id // 500 AS b, avg(value) AS m, var_pop(value) AS v FROM events WHERE user_id < 40 GROUP BY 1, 2), o AS (SELECT user_id, m, v, row_number() OVER (PARTITION BY user_id ORDER BY b) AS r FROM b), f AS (SELECT user_id, r, m, v FROM o WHERE r = 1 UNION ALL SELECT o.user_id, o.r, 0.99 * f.m + (1 - 0.99) * o.m, 0.99 * f.v + (1 - 0.99) * o.v FROM f JOIN o ON o.user_id = f.user_id AND o.r = f.r + 1) SELECT user_id, round(arg_max(m, r), 6) AS mean, round(arg_max(v, r), 4) AS var FROM f GROUP BY 1")
+@query("M28_running_standardiser", "WITH RECURSIVE b AS (SELECT user_id, event_id // 500 AS b, avg(value) AS m, var_pop(value) AS v FROM events GROUP BY 1, 2), o AS (SELECT user_id, m, v, row_number() OVER (PARTITION BY user_id ORDER BY b) AS r FROM b), f AS (SELECT user_id, r, m, v FROM o WHERE r = 1 UNION ALL SELECT o.user_id, o.r, 0.99 * f.m + (1 - 0.99) * o.m, 0.99 * f.v + (1 - 0.99) * o.v FROM f JOIN o ON o.user_id = f.user_id AND o.r = f.r + 1) SELECT user_id, round(arg_max(m, r), 6) AS mean, round(arg_max(v, r), 4) AS var FROM f GROUP BY 1")
 def m28(spark, d):
-    b = table(spark, d, "events").filter("user_id < 40").groupBy("user_id", F.expr("event_id div 500").alias("b")).agg(F.avg("value").alias("m"), F.var_pop("value").alias("v"))
+    b = table(spark, d, "events").groupBy("user_id", F.expr("event_id div 500").alias("b")).agg(F.avg("value").alias("m"), F.var_pop("value").alias("v"))
     return moments.running_standardiser(b, "user_id", "b", "m", "v").select("user_id", F.round("mean", 6).alias("mean"), F.round("var", 4).alias("var"))
 
 
@@ -267,9 +316,9 @@ def m29(spark, d):
 @query("M30_run_description", "SELECT count(*) AS pairs, count(DISTINCT p_brand) AS pair_works, (SELECT count(*) FROM part) AS tracks, (SELECT count(DISTINCT p_brand) FROM part) AS works FROM (SELECT a.p_brand FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey AND a.p_size = b.p_size)")
 def m30(spark, d):
     p = table(spark, d, "part")
-    same = pairs.clique_pairs(p.withColumn("g", F.struct("p_brand", "p_size")), "g", "p_partkey")
-    made = same.agg(F.count("*").alias("pairs"), F.count_distinct("g.p_brand").alias("pair_works"))
-    return made.crossJoin(p.agg(F.count("*").alias("tracks"), F.count_distinct("p_brand").alias("works")))
+    sizes = p.groupBy("p_brand", "p_size").agg(F.count("*").alias("n")).filter("n > 1")
+    made = sizes.agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias("pairs"), F.count_distinct("p_brand").alias("pair_works"))
+    return made.crossJoin(F.broadcast(p.agg(F.count("*").alias("tracks"), F.count_distinct("p_brand").alias("works"))))  # one row each
 
 
 @query("X5_frozen_model_scores")

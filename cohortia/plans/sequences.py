@@ -38,7 +38,7 @@ def q1(spark, d):
 
 def aligned(spark, d):
     s = sequences(spark, d)
-    pairs = s.select(F.col("key").alias("key_a"), (F.col("key").cast("bigint") + 1).cast("string").alias("key_b")).filter("int(key_a) < 60")
+    pairs = s.select(F.col("key").alias("key_a"), (F.col("key").cast("bigint") + 1).cast("string").alias("key_b"))
     return align.align(pairs, s)
 
 
@@ -91,9 +91,9 @@ def q7(spark, d):
     return table(spark, d, "documents").select("doc_id", F.round(uniform("q7", F.col("doc_id")) * F.greatest(F.col("n_chars") - 200, F.lit(0)), 6).alias("start"))
 
 
-@query("Q8_pitch_class_moments", "SELECT user_id AS key, i::INTEGER AS i, j::INTEGER AS j, round(avg((floor(value)::BIGINT % 12 = i)::INTEGER * (floor(value)::BIGINT % 12 = j)::INTEGER), 6) AS m FROM events, range(12) t(i), range(12) s(j) WHERE i <= j AND user_id < 20 GROUP BY 1, 2, 3")
+@query("Q8_pitch_class_moments", "SELECT user_id AS key, i::INTEGER AS i, j::INTEGER AS j, round(avg((floor(value)::BIGINT % 12 = i)::INTEGER * (floor(value)::BIGINT % 12 = j)::INTEGER), 6) AS m FROM events, range(12) t(i), range(12) s(j) WHERE i <= j GROUP BY 1, 2, 3")
 def q8(spark, d):
-    f = sequences(spark, d).filter("int(key) < 20").select("key", F.explode("frames").alias("pc"))
+    f = sequences(spark, d).select("key", F.explode("frames").alias("pc"))
     return descriptors.second_moments(f, "key", "pc").select(F.col("key").cast("bigint").alias("key"), "i", "j", F.round("m", 6).alias("m"))
 
 
@@ -112,9 +112,10 @@ def q10(spark, d):
     return profiles(spark, d).select("key", F.round(descriptors.to_tonic(F.col("p"), (F.col("key") % 12).cast("int"))[0], 6).alias("first"))
 
 
-@query("Q11_Q12_window_descriptors")
+@query("Q11_Q12_window_descriptors", "WITH f AS (SELECT user_id::VARCHAR AS key, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value) AS t FROM events), m AS (SELECT key, max(value) AS last FROM f GROUP BY 1), w AS (SELECT key, k * 15.0::DOUBLE AS start FROM m, range(0, 100) s(k) WHERE k * 15.0 < greatest(15.0, last - 15.0)) SELECT w.key, w.start, count(f.value) >= 4 AS ok, count(f.value) AS n FROM w LEFT JOIN f ON f.key = w.key AND f.value >= w.start AND f.value < w.start + 30 GROUP BY 1, 2")
 def q12(spark, d):
-    return descriptors.describe_windows(sequences(spark, d), 30.0, 15.0)
+    """Which windows each track has and how many frames fall inside; their spectra are held to numpy in the tests."""
+    return descriptors.describe_windows(sequences(spark, d), 30.0, 15.0).filter("error IS NULL").select("key", "start", "ok", "n")
 
 
 @query("Q13_pooled_frames", f"SELECT id, (i)::INTEGER AS pos, round(list_avg(v[i * 5 + 1 : i * 5 + 5]), 6) AS x FROM ({EMB}), range(12) t(i)")
@@ -148,14 +149,14 @@ def x1(spark, d):
     return u.select("event_type", "user_id", F.round("min", 6).alias("min"), F.round("mean", 6).alias("mean"))
 
 
-@query("X3_kernels_report_errors", "SELECT count(*) AS short FROM (SELECT user_id FROM events WHERE user_id < 60 GROUP BY 1 HAVING count(*) < 1000) a")
+@query("X3_kernels_report_errors", "SELECT count(*) AS short FROM (SELECT user_id FROM events GROUP BY 1 HAVING count(*) < 65) a")
 def x3(spark, d):
     s = sequences(spark, d)
-    pairs = s.filter("int(key) < 60").select(F.col("key").alias("key_a"), F.col("key").alias("key_b"))
-    return align.align(pairs, s, least=1000).filter("error LIKE 'under%'").agg(F.count("*").alias("short"))
+    pairs = s.select(F.col("key").alias("key_a"), F.col("key").alias("key_b"))
+    return align.align(pairs, s, least=65).filter("error LIKE 'under%'").agg(F.count("*").alias("short"))
 
 
 @query("X4_window_table_function", "SELECT doc_id, s * 500.0::DOUBLE AS start FROM documents, range(0, 1000) t(s) WHERE s * 500 + 1000 <= n_chars")
 def x4(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.col("n_chars").cast("double").alias("n"))
-    return docs.lateralJoin(descriptors.WindowStarts(F.col("n").outer(), F.lit(1000.0), F.lit(500.0))).select("doc_id", "start")
+    return docs.select("doc_id", F.explode(descriptors.window_starts(F.col("n"), 1000.0, 500.0)).alias("start"))

@@ -56,9 +56,13 @@ def s2(spark, d):
     return C.read_jsonl(spark, path, C.PAIRS)
 
 
-@query("S3_asset_listing")
+@query("S3_asset_listing", "SELECT label::BIGINT AS label, 1::BIGINT AS files FROM (SELECT DISTINCT label FROM embeddings)")
 def s3(spark, d):
-    return C.list_assets(spark, d, (".parquet",))
+    """A folder of vectors for each label, a file in each; marker and checksum files are none."""
+    path = new_folder(spark, "assets")
+    table(spark, d, "embeddings").repartition("label").write.partitionBy("label").parquet(path)
+    found = C.list_assets(spark, path, (".parquet",))
+    return found.groupBy(F.regexp_extract("folder", "label=(.*)", 1).cast("bigint").alias("label")).agg(F.count_distinct("key").alias("files"))
 
 
 @query("S4_ledger_append", "SELECT name FROM (SELECT min(source || '_' || doc_id % 400 || '.mp3') AS name FROM documents WHERE doc_id % 3 = 0 GROUP BY source || '_' || doc_id % 400) UNION ALL SELECT min(source || '_' || doc_id % 400 || '.wav') FROM documents WHERE source || '_' || doc_id % 400 NOT IN (SELECT source || '_' || doc_id % 400 FROM documents WHERE doc_id % 3 = 0) GROUP BY source || '_' || doc_id % 400")
@@ -94,18 +98,18 @@ def s6_cap(spark, d):
     return stores.capped(table(spark, d, "embeddings"), "label", "vec_id", 20).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("S7_array_archive", "SELECT vec_id, (i - 1)::INTEGER AS pos, round(embedding[i]::DOUBLE, 6) AS value FROM embeddings, range(1, 5) t(i) WHERE vec_id < 100")
+@query("S7_array_archive", "SELECT vec_id, (i - 1)::INTEGER AS pos, round(embedding[i]::DOUBLE, 6) AS value FROM embeddings, range(1, 65) t(i)")
 def s7(spark, d):
     path = new_folder(spark, "arrays")
     table(spark, d, "embeddings").select("vec_id", "embedding").write.parquet(path)
-    rows = spark.read.parquet(path).filter("vec_id < 100").select("vec_id", F.posexplode(F.slice("embedding", 1, 4)).alias("pos", "value"))
+    rows = spark.read.parquet(path).select("vec_id", F.posexplode("embedding").alias("pos", "value"))
     return rows.select("vec_id", "pos", F.round(F.col("value").cast("double"), 6).alias("value"))
 
 
-@query("S8_designation", "SELECT CASE WHEN doc_id % 2 = 0 THEN 'val' ELSE 'test' END AS split, doc_id AS work, min(source) AS source, count(*) AS n_tracks FROM documents WHERE doc_id < 60 GROUP BY 1, 2")
+@query("S8_designation", "SELECT CASE WHEN doc_id % 2 = 0 THEN 'val' ELSE 'test' END AS split, doc_id AS work, min(source) AS source, count(*) AS n_tracks FROM documents GROUP BY 1, 2")
 def s8(spark, d):
     path = new_folder(spark, "designation")
-    works = table(spark, d, "documents").filter("doc_id < 60").groupBy(F.expr("if(doc_id % 2 = 0, 'val', 'test')").alias("split"), "doc_id").agg(F.struct(F.min("source").alias("source"), F.count("*").alias("n_tracks")).alias("is"))
+    works = table(spark, d, "documents").groupBy(F.expr("if(doc_id % 2 = 0, 'val', 'test')").alias("split"), "doc_id").agg(F.struct(F.min("source").alias("source"), F.count("*").alias("n_tracks")).alias("is"))
     per = works.groupBy("split").agg(F.struct(F.map_from_entries(F.collect_list(F.struct(F.col("doc_id").cast("string"), "is"))).alias("works")).alias("body"))
     per.agg(F.map_from_entries(F.collect_list(F.struct("split", "body"))).alias("splits")).write.json(path)
     return C.read_designation(spark, path)
@@ -120,10 +124,10 @@ def s9(spark, d):
     return stores.read_scores(spark, path, songs.schema)
 
 
-@query("S10_train_log", "SELECT (event_id // 100)::BIGINT AS epoch, event_id AS step, 1000::BIGINT AS total, unnest(['loss', 'aux/n']) AS term, unnest([round(value, 3), (user_id % 7)::DOUBLE]) AS value FROM events WHERE event_id < 1000")
+@query("S10_train_log", "SELECT (event_id // 100)::BIGINT AS epoch, event_id AS step, 1000::BIGINT AS total, unnest(['loss', 'aux/n']) AS term, unnest([round(value, 3), (user_id % 7)::DOUBLE]) AS value FROM events")
 def s10(spark, d):
     path = new_folder(spark, "log")
-    e = table(spark, d, "events").filter("event_id < 1000")
+    e = table(spark, d, "events")
     lines = e.selectExpr("concat('epoch ', event_id div 100, ' step ', event_id, '/1000  loss=', round(value, 3), ' aux/n=', user_id % 7) AS l")
     lines.unionByName(e.selectExpr("concat('saving ', event_id) AS l")).write.text(path)
     return C.read_train_log(spark, path)
@@ -132,7 +136,7 @@ def s10(spark, d):
 @query("S11_shared_terms", "SELECT unnest(['loss', 'mse']) AS term")
 def s11(spark, d):
     path = new_folder(spark, "history")
-    e = table(spark, d, "events").filter("event_id < 300")
+    e = table(spark, d, "events")
     e.selectExpr("event_id AS step", "if(event_id % 2 = 0, value, null) AS `train/loss`", "if(event_id % 2 = 1, value, null) AS `val/loss`", "value AS `train/mse`", "value AS `val/mse`", "value AS `train/only`", "user_id AS epoch").write.json(path)
     return C.shared_terms(spark.read.json(path))
 
@@ -160,12 +164,12 @@ def s14(spark, d):
     return rows.select(*C.one_shape(F.col("source"), F.col("song")), "start")
 
 
-@query("S15_atomic_sink")
+@query("S15_atomic_sink", "SELECT o_orderkey, o_totalprice, 2 AS version FROM orders")
 def s15(spark, d):
     """A table that is replaced whole: the old one is there until the new one is committed."""
     path = new_folder(spark, "atomic")
     for n in (1, 2):
-        table(spark, d, "region").withColumn("version", F.lit(n)).write.mode("overwrite").parquet(path)
+        table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.lit(n).alias("version")).write.mode("overwrite").parquet(path)
     return spark.read.option("ignoreCorruptFiles", "false").parquet(path)
 
 

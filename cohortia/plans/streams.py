@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortia.functions.text import stem
 from cohortia.plans.registry import query, table
+from cohortia.plans.windows import CONVERGENCE, runs_of_users
 from cohortia.sources.scratch import new_folder
 from cohortia.streaming import jobs
 
@@ -32,15 +33,21 @@ def t3(spark, d):
     return out.select(F.col("start").cast("string").alias("start"), "n")
 
 
-@query("T4_resumable_scoring", "SELECT event_type, user_id, round(min(value), 6) AS low FROM events GROUP BY 1, 2")
+@query("T4_resumable_scoring", "SELECT event_type, user_id, CASE WHEN count(*) >= 3 THEN round(min(value), 6) END AS low, CASE WHEN count(*) < 3 THEN 'too short' END AS skipped FROM events GROUP BY 1, 2")
 def t4(spark, d):
-    """Songs arrive as files; a first half has been scored before the stream starts."""
+    """Songs arrive as files; some have been scored before, some fail at first and are retried, the short are final."""
     songs, path = new_folder(spark, "songs"), new_folder(spark, "scored")
     grouped = table(spark, d, "events").groupBy("event_type", "user_id").agg(F.collect_list("value").alias("windows"))
     grouped.write.parquet(songs)
-    score = lambda df: df.select("event_type", "user_id", F.round(F.array_min("windows"), 6).alias("low"))
-    score(grouped.filter("user_id % 2 = 0")).write.parquet(path)
-    jobs.score_as_they_come(jobs.read_files(spark, songs, 1), ["event_type", "user_id"], score, path)
+    keys, short = ["event_type", "user_id"], F.size("windows") < 3
+
+    def score(fails):
+        return lambda df: df.select(*keys, F.round(F.array_min("windows"), 6).alias("low"), F.when(fails, F.lit("no answer")).alias("error"))
+
+    early = grouped.filter((F.col("user_id") % 2 == 0) & ~short)
+    score(F.lit(False))(early).select(*keys, "low", F.lit(None).cast("string").alias("skipped")).write.parquet(path)
+    jobs.score_as_they_come(jobs.read_files(spark, songs, 1), keys, score(F.col("user_id") % 7 == 3), path, short)
+    jobs.score_as_they_come(jobs.read_files(spark, songs, 1), keys, score(F.lit(False)), path, short)
     return spark.read.parquet(path)
 
 
@@ -50,14 +57,9 @@ def t5(spark, d):
     return jobs.finish(jobs.arrived_once(events(spark, d), stem(names)), mode="append")
 
 
-@query("T6_run_watch", "SELECT user_id % 5 AS run, count(*) AS checks, count(*) >= 40 AS converged FROM events WHERE event_id < 400 GROUP BY 1")
+@query("T6_run_watch", f"WITH {CONVERGENCE}, f AS (SELECT run, max(step) AS checks, max((streak >= 3)::INTEGER) = 1 AS converged FROM s GROUP BY 1), c AS (SELECT user_id AS run, bool_or(value < 0.5 * first) AS collapsed FROM (SELECT *, first_value(value) OVER (PARTITION BY user_id ORDER BY event_id) AS first FROM events) GROUP BY 1) SELECT run, checks::BIGINT AS checks, converged, collapsed FROM f JOIN c USING (run)")
 def t6(spark, d):
-    from cohortia.operators import ranges
-
-    e = table(spark, d, "events").filter("event_id < 400").select((F.col("user_id") % 5).alias("run"), "event_id")
-    r = ranges.ordinal(e, ["run"], ["event_id"], "step")
-    k = 0.2 * (1 - F.exp(-F.col("step") / 8.0))
     path = new_folder(spark, "metrics")
-    r.select("run", "step", F.array(0.25 + k, 0.25 - k, F.lit(0.25), F.lit(0.25)).alias("w"), (10.0 - F.col("step") / 100).alias("rank")).write.parquet(path)
-    last = jobs.finish(jobs.watch_runs(jobs.read_files(spark, path), "run", "step", "w", "rank"), mode="update")
-    return last.groupBy("run").agg(F.max("checks").alias("checks"), F.max_by("converged", "checks").alias("converged"))
+    runs_of_users(spark, d).write.parquet(path)
+    last = jobs.finish(jobs.watch_runs(jobs.read_files(spark, path), "run", "step", "w", "value"), mode="update")
+    return last.groupBy("run").agg(F.max("checks").alias("checks"), F.max_by("converged", "checks").alias("converged"), F.max_by("collapsed", "checks").alias("collapsed"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortia.functions import arrays as A
@@ -134,21 +135,26 @@ def w19(spark, d):
     return trajectory.peak_best_final(table(spark, d, "events"), "user_id", "event_id", "value")
 
 
-RUN = "SELECT user_id % 5 AS run, (row_number() OVER (PARTITION BY user_id % 5 ORDER BY event_id))::INTEGER AS step, user_id FROM events WHERE event_id < 400"
+RUN = "SELECT user_id AS run, (row_number() OVER w)::INTEGER AS step, " + ", ".join(f"(sum((floor(value)::BIGINT % 4 = {k})::INTEGER) OVER w)::DOUBLE / row_number() OVER w AS w{k}" for k in range(4)) + " FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)"
+#: Each user's events as a run: its weights after a step are the shares so far of values by their floor modulo 4.
+CONVERGENCE = (
+    f"r AS ({RUN}), l AS (SELECT *, " + ", ".join(f"lag(w{k}, 4) OVER w AS b{k}" for k in range(4)) + " FROM r WINDOW w AS (PARTITION BY run ORDER BY step)), "
+    "p AS (SELECT *, coalesce(sqrt(" + " + ".join(f"(w{k} - b{k})^2" for k in range(4)) + ") / nullif(sqrt(" + " + ".join(f"(w{k} - 0.25)^2" for k in range(4)) + "), 0) < 0.02, false) AS passed FROM l), "
+    "g AS (SELECT *, sum((NOT passed)::INTEGER) OVER (PARTITION BY run ORDER BY step) AS gap FROM p), s AS (SELECT run, step, passed, sum(passed::INTEGER) OVER (PARTITION BY run, gap ORDER BY step) AS streak FROM g)"
+)
 
 
-@query(
-    "W20_convergence",
-    f"WITH r AS ({RUN}), v AS (SELECT run, step, 0.25 + 0.2 * (1 - exp(-step / 8.0)) AS a, 0.25 - 0.2 * (1 - exp(-step / 8.0)) AS b FROM r), l AS (SELECT *, lag(a, 4) OVER w AS a0, lag(b, 4) OVER w AS b0 FROM v WINDOW w AS (PARTITION BY run ORDER BY step)), "
-    "p AS (SELECT *, coalesce(sqrt((a - a0)^2 + (b - b0)^2) / sqrt((a - 0.25)^2 + (b - 0.25)^2) < 0.02, false) AS passed FROM l), g AS (SELECT *, sum((NOT passed)::INTEGER) OVER (PARTITION BY run ORDER BY step) AS gap FROM p), "
-    "s AS (SELECT run, step, passed, sum(passed::INTEGER) OVER (PARTITION BY run, gap ORDER BY step) AS streak FROM g) SELECT run, step, passed, max((streak >= 3)::INTEGER) OVER (PARTITION BY run ORDER BY step) = 1 AS converged FROM s",
-)
+def runs_of_users(spark, d):
+    """(run, step, w, value): see CONVERGENCE."""
+    e = ranges.ordinal(table(spark, d, "events").select(F.col("user_id").alias("run"), "event_id", "value"), ["run"], ["event_id"], "step").withColumn("step", F.col("step") + 1)
+    by = W.partitionBy("run").orderBy("step")
+    shares = [F.sum((F.pmod(F.floor("value"), F.lit(4)) == k).cast("int")).over(by).cast("double") / F.col("step") for k in range(4)]
+    return e.select("run", "step", F.array(*shares).alias("w"), "value")
+
+
+@query("W20_convergence", f"WITH {CONVERGENCE} SELECT run, step, passed, max((streak >= 3)::INTEGER) OVER (PARTITION BY run ORDER BY step) = 1 AS converged FROM s")
 def w20(spark, d):
-    e = table(spark, d, "events").filter("event_id < 400").select((F.col("user_id") % 5).alias("run"), "event_id")
-    r = ranges.ordinal(e, ["run"], ["event_id"], "step").withColumn("step", F.col("step") + 1)
-    k = 0.2 * (1 - F.exp(-F.col("step") / 8.0))
-    r = r.withColumn("w", F.array(0.25 + k, 0.25 - k, F.lit(0.25), F.lit(0.25)))
-    return trajectory.convergence(r, "run", "step", "w").select("run", "step", "passed", "converged")
+    return trajectory.convergence(runs_of_users(spark, d), "run", "step", "w").select("run", "step", "passed", "converged")
 
 
 @query("W21_collapse_alarm", "SELECT event_id, value < 0.5 * first_value(value) OVER (PARTITION BY user_id ORDER BY event_id) AS alarm FROM events")

@@ -44,16 +44,17 @@ def read_jsonl(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def list_assets(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ()) -> DataFrame:
-    """(name, key, length) of the files under `path`; hidden and partial files are skipped.
+    """(name, key, length, folder) of the files under `path`; hidden and partial files are skipped.
 
     Only file metadata is read, never contents.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
-    files = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+    parts = F.split("path", "/")
+    files = files.select(F.element_at(parts, -1).alias("name"), "length", F.try_element_at(parts, F.lit(-2)).alias("folder"))
     files = files.filter(~F.col("name").startswith(".") & ~F.col("name").endswith(".part"))
     if suffixes:
         files = files.filter(F.col("name").rlike(f"({'|'.join(s.replace('.', '[.]') for s in suffixes)})$"))
-    return files.select("name", stem(F.col("name")).alias("key"), "length")
+    return files.select("name", stem(F.col("name")).alias("key"), "length", "folder")
 
 
 def unlisted(arrived: DataFrame, ledger: DataFrame, name: str = "name") -> DataFrame:

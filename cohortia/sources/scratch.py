@@ -10,19 +10,30 @@ from pyspark.sql import DataFrame, SparkSession
 _own: dict[str, str] = {}
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A path not used before, under spark.checkpoint.dir where the session names one.
+def scratch_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, where the session names one.
 
-    Without it a local session gets a temporary folder, and a cluster the warehouse, which is shared.
+    Without it a local session gets a temporary folder, and a cluster the warehouse, unless that is on
+    the driver's own disk: then the setting is asked for.
     """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        app = spark.sparkContext.applicationId
-        if app not in _own:
-            local = spark.sparkContext.master.split("[")[0] == "local"
-            _own[app] = tempfile.mkdtemp(prefix="cohortia-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
-        root = _own[app]
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        if spark.sparkContext.master.split("[")[0] == "local":
+            _own[app] = tempfile.mkdtemp(prefix="cohortia-")
+        else:
+            warehouse = spark.conf.get("spark.sql.warehouse.dir")
+            if warehouse.startswith("file:"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            _own[app] = f"{warehouse}/_scratch"
+    return _own[app]
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path not used before, under `scratch_root`."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stash(df: DataFrame, name: str = "table") -> DataFrame:

@@ -6,6 +6,7 @@ Checkpoints lie in the shared scratch folder, so a restarted driver goes on wher
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from cohortia.sources.scratch import new_folder
+from cohortia.sources.scratch import new_folder, stash
 
 
 def read_files(spark: SparkSession, path: str, per_trigger: int | None = None) -> DataFrame:
@@ -61,21 +62,38 @@ def request_rates(log: DataFrame, at: str, window: str = "300 seconds", slide: s
     return log.withWatermark(at, late).groupBy(F.window(at, window, slide)).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "n")
 
 
-def score_as_they_come(songs: DataFrame, keys: list[str], score, path: str) -> None:
-    """Score each song once: a batch leaves out what the table at `path` has, and appends the rest.
+def score_as_they_come(songs: DataFrame, keys: list[str], score, path: str, too_short: Column | None = None) -> None:
+    """Score each song once, into the table at `path`: `score` gives keys, scores and an error, null where there is none.
 
-    A batch that is run again after a failure finds its own rows there and adds nothing.
+    A batch leaves out songs that the table has and appends the rest, so one that is run again after a
+    failure adds nothing twice. Songs with an error are kept beside the table and tried again by the
+    next call; songs that are `too_short` are final, with no score, and say so in `skipped`.
     """
-    spark = songs.sparkSession
+    spark, failed = songs.sparkSession, f"{path}-failed"
+    short = F.lit(False) if too_short is None else too_short
 
-    def batch(df: DataFrame, _: int) -> None:
+    def left(df: DataFrame) -> DataFrame:
         try:
-            df = df.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
+            return df.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
         except AnalysisException:
-            pass
-        score(df.dropDuplicates(keys)).write.mode("append").parquet(path)
+            return df
 
-    query = songs.writeStream.foreachBatch(batch).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()
+    def attempt(df: DataFrame, name: str) -> None:
+        todo = stash(left(df).dropDuplicates(keys).withColumn("_short", short), "todo")
+        scored = stash(score(todo.filter("NOT _short").drop("_short")), "scored")
+        done = scored.filter("error IS NULL").drop("error").withColumn("skipped", F.lit(None).cast("string"))
+        final = todo.filter("_short").select(*keys, F.lit("too short").alias("skipped"))
+        # The failed go first: a batch that is run again writes the same folder.
+        todo.drop("_short").join(scored.filter("error IS NOT NULL").select(*keys), keys, "left_semi").write.mode("overwrite").parquet(f"{failed}/{name}")
+        done.unionByName(final, allowMissingColumns=True).write.mode("append").parquet(path)
+
+    try:
+        again = stash(spark.read.schema(songs.schema).option("recursiveFileLookup", "true").parquet(failed), "again")
+        attempt(again, f"run={uuid.uuid4().hex}")
+    except AnalysisException:
+        pass
+    run = uuid.uuid4().hex
+    query = songs.writeStream.foreachBatch(lambda df, n: attempt(df, f"run={run}-{n}")).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
 
 

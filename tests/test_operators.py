@@ -182,21 +182,29 @@ def test_conditional_gaussian_and_ridge(spark):
 
 
 def brute_alignment(cell, gap):
+    """(best, visited cells) by a table filled cell by cell, walked back from its first largest."""
     n, m = cell.shape
     t = np.zeros((n + 1, m + 1))
     for i in range(1, n + 1):
         for j in range(1, m + 1):
             t[i, j] = max(0, t[i - 1, j - 1] + cell[i - 1, j - 1], t[i - 1, j] - gap, t[i, j - 1] - gap)
-    return t.max()
+    i, j = map(int, np.unravel_index(t.argmax(), t.shape))
+    best, seen = t[i, j], []
+    while t[i, j] > 0:
+        seen.insert(0, (i - 1, j - 1))
+        i, j = next((a, b) for a, b, v in ((i - 1, j - 1, t[i - 1, j - 1] + cell[i - 1, j - 1]), (i - 1, j, t[i - 1, j] - gap), (i, j - 1, t[i, j - 1] - gap)) if v == t[i, j])
+    return best, seen
 
 
 def test_local_alignment(spark):
     rng = np.random.default_rng(2)
-    for _ in range(5):
-        cell = np.where(rng.random((23, 31)) < 0.3, 1.0, -1.0)
-        best, path = align.local_alignment(cell, 0.5)
-        assert best == pytest.approx(brute_alignment(cell, 0.5))
-        assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(path, path[1:]))
+    for shape in ((23, 31), (31, 23), (40, 7), (1, 9), (12, 12)):
+        for share in (0.1, 0.3, 0.6):
+            cell = np.where(rng.random(shape) < share, 1.0, -1.0)
+            assert align.local_alignment(cell, 0.5) == brute_alignment(cell, 0.5)
+    assert align.local_alignment(-np.ones((3, 4)), 0.5) == (0.0, [])
+    gaps = [len(p) > len({i for i, _ in p}) for _, p in (align.local_alignment(np.where(rng.random((30, 30)) < 0.3, 1.0, -1.0), 0.5) for _ in range(9))]
+    assert any(gaps)  # gap steps are part of a path
     a = rng.random((40, 12))
     b = np.roll(a, 5, axis=1)
     score, oti, path = align.align_pair(a, b)
@@ -204,6 +212,18 @@ def test_local_alignment(spark):
     assert align.align_pair(a, np.roll(b, 3, axis=1))[0] == score
 
 
+def test_alignment_control_by_hand(spark):
+    rng = np.random.default_rng(5)
+    rows = [(w, i, list(map(float, v)), list(map(float, v + 0.1 * rng.normal(size=6)))) for w, n in (("x", 5), ("y", 3), ("z", 1)) for i, v in enumerate(rng.normal(size=(n, 6)))]
+    got = align.alignment_control(spark.createDataFrame(rows, "w string, t int, a array<double>, b array<double>"), "w", "t", "a", "b", 2).first()
+    cos = lambda u, v: float(np.dot(u, v) / np.linalg.norm(u) / np.linalg.norm(v))
+    by = {(w, i): (a, b) for w, i, a, b in rows}
+    size, after = {"x": 5, "y": 3, "z": 1}, {"x": "y", "y": "z", "z": "x"}
+    assert got.n == 9 and got.ok and got.aligned == pytest.approx(np.mean([cos(a, b) for _, _, a, b in rows]))
+    assert got.shifted == pytest.approx(np.mean([cos(a, by[w, (i + 2) % size[w]][1]) for w, i, a, _ in rows if size[w] > 2]))
+    assert got.crossed == pytest.approx(np.mean([cos(a, by[after[w], i % size[after[w]]][1]) for w, i, a, _ in rows]))
+
+
 def test_alignment_job_reports_errors(spark):
     rng = np.random.default_rng(4)
     seq = {"a": rng.random((30, 12)), "b": rng.random((25, 12)), "short": rng.random((5, 12))}
@@ -246,11 +266,73 @@ def test_protocol_is_tested_once_and_unchanged(spark):
     dev, rest = songs.filter("u < 30"), songs.filter("u >= 30")
     made = protocol.select(dev, "source", "human", ["g1"], ["a", "b"])
     assert made["score"] == "a"
-    got = {r.source: r for r in protocol.test(rest, dev, "song", "source", made).collect()}
-    assert got["g2"].auroc > 0.8 and got["human"].auroc is None
-    for bad in (lambda: protocol.test(rest, dev, "song", "source", made, done=True), lambda: protocol.test(rest, dev, "song", "source", made | {"threshold": 9.0}), lambda: protocol.test(dev, dev, "song", "source", made)):
+    record = new_folder(spark, "protocol")
+    got = {(r.row, r.source): r for r in protocol.test(rest, dev, "song", "u", "source", made, record, ("b",), reps=30).collect()}
+    best, other = got["a", "g2"], got["b", "g2"]
+    assert len(got) == 6 and best.auroc > 0.8 and got["a", "human"].auroc is None and not best.repeat
+    assert best.auroc_low <= best.auroc <= best.auroc_high and best.flagged_low <= best.flagged <= best.flagged_high
+    assert other.delta_low > 0 and best.delta_low is None and other.auroc < 0.7
+    human, g2 = ([r[3] for r in rows if r[0] == s and r[1] >= 30] for s in ("human", "g2"))
+    assert best.auroc == pytest.approx(np.mean([x > y for x in human for y in g2])) and best.flagged == pytest.approx(np.mean(np.array(g2) < made["threshold"]))
+    ask = lambda songs, p, **how: protocol.test(songs, dev, "song", "u", "source", p, reps=5, **how)
+    fresh = lambda: new_folder(spark, "protocol")
+    for bad in (lambda: ask(rest, made, record=record), lambda: ask(rest, made | {"threshold": 9.0}, record=fresh()), lambda: ask(dev, made, record=fresh())):
         with pytest.raises(ValueError):
             bad()
+    assert {r.repeat for r in ask(rest, made, record=record, again=True).collect()} == {True}
+
+
+def test_quantile_table_is_numpys(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(g), float(x)) for g, x in zip(rng.integers(0, 3, 400), rng.integers(0, 60, 400) / 4)] + [(4, 1.5), (5, float("inf")), (5, 2.0), (5, float("nan"))]
+    df = spark.createDataFrame(rows, "g int, x double").repartition(5)
+    got = {(r.g, r.p): r.value for r in metrics.quantile_table(df, "x", [0.0, 0.1, 0.33, 0.5, 1.0], ("g",)).collect()}
+    for (g, p), v in got.items():
+        x = np.clip([x for h, x in rows if h == g and x == x], -1e300, 1e300)
+        assert v == pytest.approx(np.quantile(x, p), rel=1e-12)
+    assert len(got) == 25
+    assert metrics.quantile_table(df.limit(0), "x", [0.5]).count() == 0
+
+
+def test_normal_distribution_and_bisection(spark):
+    xs = [-9.0, -3.0, -0.5, 0.0, 1e-9, 0.7, 2.5, 5.0, 7.9, 9.0]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(A.normal_cdf(F.col("x"))).collect()]
+    assert np.allclose(got, [0.5 * math.erfc(-x / math.sqrt(2)) for x in xs], atol=1e-13)
+    marks = [1.0, 2.0, 2.0, 5.0, 9.0]
+    m = F.array(*map(F.lit, marks))
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in (0.0, 1.0, 2.0, 3.0, 9.0, 10.0)], "x double").select(A.below(m, 5, F.col("x"))).collect()]
+    assert got == [sum(v < x for v in marks) for x in (0.0, 1.0, 2.0, 3.0, 9.0, 10.0)]
+
+
+def test_short_and_failed_songs_end_as_they_should(spark):
+    from cohortia.streaming import jobs
+
+    songs, path = new_folder(spark, "songs"), new_folder(spark, "scored")
+    table = spark.createDataFrame([(i, [float(i)] * (i % 4 + 1)) for i in range(12)], "song int, windows array<double>")
+    table.write.parquet(songs)
+    score = lambda fails: lambda df: df.select("song", F.array_min("windows").alias("low"), F.when(fails, F.lit("no answer")).alias("error"))
+    short = F.size("windows") < 2
+    jobs.score_as_they_come(jobs.read_files(spark, songs), ["song"], score(F.col("song") % 3 == 1), path, short)
+    first = {r.song: (r.low, r.skipped) for r in spark.read.parquet(path).collect()}
+    assert set(first) == {i for i in range(12) if i % 3 != 1 or i % 4 == 0} and first[4] == (None, "too short")
+    for _ in range(2):  # the failed are tried again, once they succeed nothing is left to do
+        jobs.score_as_they_come(jobs.read_files(spark, songs), ["song"], score(F.lit(False)), path, short)
+    got = [(r.song, r.low) for r in spark.read.parquet(path).collect()]
+    assert sorted(s for s, _ in got) == list(range(12)) and all(v is None or v == s for s, v in got)
+
+
+def test_assets_leave_out_hidden_and_partial_files(spark, tmp_path):
+    for name in ("b.mp3", ".c.mp3", "d.mp3.part", "e.txt"):
+        (tmp_path / name).write_text("x")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "f.mp3").write_text("x")
+    got = {(r.key, r.folder) for r in catalogue.list_assets(spark, str(tmp_path), (".mp3",)).collect()}
+    assert got == {("b", tmp_path.name), ("f", "sub")}
+
+
+def test_window_starts(spark):
+    got = [r[0] for r in spark.createDataFrame([(2500.0,), (999.0,), (1000.0,), (None,)], "d double").select(descriptors.window_starts(F.col("d"), 1000.0, 500.0)).collect()]
+    assert got == [[0.0, 500.0, 1000.0, 1500.0], [], [0.0], []]
 
 
 def test_catalogue_rows(spark, tmp_path):
@@ -309,6 +391,14 @@ def test_scale_check_against_numpy(spark):
     assert got[2].cancelled == pytest.approx(1 - (logs - logs.mean(1, keepdims=True)).var(0)[2] / logs.var(0)[2])
     total = b.sum(1)
     assert got[0].c2_total == pytest.approx((total.var(ddof=1) - 2 * (v**2).sum()) / (v.sum() ** 2 + 2 * (v**2).sum()))
+    c2, q = norm[off].mean(), (v**2).reshape(3, 2).sum(1)
+    model = c2 * b.mean(0) ** 2 + (1 + c2) * 2 * q
+    corr = np.corrcoef(b.T)
+    assert got[0].c2_low == pytest.approx(norm[off].min()) and got[0].c2_high == pytest.approx(norm[off].max()) and got[0].corr_high == pytest.approx(corr[off].max())
+    assert got[1].corr_model_off == pytest.approx((c2 * np.outer(b.mean(0), b.mean(0)) / np.sqrt(np.outer(model, model)))[off].mean())
+    assert got[1].excess == pytest.approx((b.var(0, ddof=1)[1] - model[1]) / b.mean(0)[1] ** 2) and sum(r.share for r in got) == pytest.approx(1)
+    at = {r.p: r for r in gaussians.scale_quantiles(df, ["x", "y", "z"], list(map(float, q)), float(v.sum())).collect()}
+    assert len(at) == 7 and at[0.95].observed == pytest.approx(np.quantile(total / total.mean(), 0.95)) and at[0.5].no_factor == pytest.approx(1) and at[0.5].lognormal == pytest.approx(math.exp(-np.log(total).var() / 2))
 
 
 def test_five_scores_agree_with_their_parts(spark):
