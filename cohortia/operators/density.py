@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortia.operators.metrics import quantile_table, quantiles
 from cohortia.operators.retrieval import compared
+from cohortia.sources.scratch import stash
 
 
 def bandwidths(sample: DataFrame) -> DataFrame:
@@ -29,5 +30,6 @@ def density_at(points: DataFrame, sample: DataFrame, key: str) -> DataFrame:
 
 def coverage(densities: DataFrame, source: str, reference: str, mass: float) -> DataFrame:
     """(source, covered): the share of each source inside the region that holds `mass` of the reference."""
+    densities = stash(densities, "densities")
     cut = quantile_table(densities.filter(F.col(source) == reference), "density", [1 - mass]).select(F.col("value").alias("_t"))
     return densities.crossJoin(F.broadcast(cut)).groupBy(source).agg(F.avg((F.col("density") >= F.col("_t")).cast("int")).alias("covered"))

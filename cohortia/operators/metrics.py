@@ -31,7 +31,7 @@ def auroc(rows: DataFrame, score: str, positive: Column, by: tuple[str, ...] = (
     """
     w = F.lit(1.0) if weight is None else weight.cast("double")
     d = rows.filter(usable(score)).groupBy(*by, score).agg(F.sum(F.when(positive, w).otherwise(0.0)).alias("_p"), F.sum(F.when(positive, F.lit(0.0)).otherwise(w)).alias("_n"))
-    d = running_before(d, by, score, "_n", "_below")
+    d = running_before(stash(d, "by-score"), by, score, "_n", "_below")
     u = F.sum(F.col("_p") * (F.col("_below") + F.col("_n") / 2))
     sides = F.sum("_p") * F.sum("_n")
     return d.groupBy(*by).agg(F.when(sides > 0, u / sides).alias("auroc"))
@@ -70,8 +70,9 @@ def quantile_table(rows: DataFrame, x: str, qs: list[float], by: tuple[str, ...]
     each quantile picks the one or two values at its place.
     """
     d = rows.filter(usable(x)).groupBy(*by, clipped(x).alias("_x")).agg((F.sum(times) if times else F.count("*")).alias("_k"))
-    d = running_before(d, by, "_x", "_k", "_below")
+    d = stash(d, "by-value")
     n = d.groupBy(*by).agg(F.sum("_k").alias("_n"))
+    d = running_before(d, by, "_x", "_k", "_below")
     d = d.join(n, list(by)) if by else d.crossJoin(F.broadcast(n))  # one row
     d = d.withColumn("p", F.explode(F.array(*[F.lit(float(q)) for q in qs]))).withColumn("_at", F.col("p") * (F.col("_n") - 1))
     holds = lambda place: (F.col("_below") <= place) & (place < F.col("_below") + F.col("_k"))
