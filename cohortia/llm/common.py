@@ -1,47 +1,17 @@
-"""What the operators of this subpackage share: scratch tables, row keys, hash splits."""
+"""What the operators of this subpackage share: scratch tables, hash splits, bounded samples."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortia.sources.scratch import stash  # noqa: F401  (where the operators write what they read again)
+
 #: Java regex for the blanks that part words: space and \x09-\x0D.
 BLANKS = "[\\x20\\x09-\\x0D]+"
 #: Java regex for a word.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
-_own_dirs: dict[str, str] = {}
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, if the session names one.
-
-    Without it a local session gets a temporary folder, and a cluster the warehouse, which is shared.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        local = spark.sparkContext.master.split("[")[0] == "local"
-        _own_dirs[app] = tempfile.mkdtemp(prefix="cohortia-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
-    return _own_dirs[app]
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as a Parquet table in the shared folder and read it again.
-
-    Cuts the lineage, survives lost executors, and later readers see the same rows in the same files.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/cohortia-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def remainder(doc_id: str | Column, of: int) -> Column:
     """crc32 of the id as text, modulo `of`; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % of
