@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,16 +33,54 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d)
 
 
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return np.asarray(flat, np.float64).reshape(len(column), -1)
+
+
+def nearest(queries: DataFrame, candidates: DataFrame, k: int, dims: int, cosine: bool = False, own_group: bool = True, block_bytes: int = 4 << 20) -> DataFrame:
+    """(id, c_id, score, r): the k nearest candidates of each query, by Euclidean distance or falling cosine.
+
+    Both have id, grp, v. A query's own id is no candidate, nor is its group unless `own_group`; ties go to
+    the smaller id. Both sides are dealt in blocks of about `block_bytes`; each pair of blocks is compared
+    at once in Arrow and hands on k rows for each query, so pairs never become rows.
+    """
+    blocks = lambda df: max(1, -(-df.count() * (8 * dims + 16) // block_bytes))
+    n_q, n_c = blocks(queries), blocks(candidates)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(int(n) - 1)))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(int(n))).cast("int")
+    side = lambda df: df.select(F.col("id").cast("long").alias("id"), F.col("grp").cast("string").alias("grp"), doubles(F.col("v")).alias("v"))
+    left = side(queries).withColumn("bq", own(n_q)).withColumn("bc", every(n_c)).groupBy("bq", "bc")
+    right = side(candidates).withColumn("bc", own(n_c)).withColumn("bq", every(n_q)).groupBy("bq", "bc")
+
+    def run(q: pa.Table, c: pa.Table) -> pa.Table:
+        found: list[tuple[int, int, float]] = []
+        if len(q) and len(c):
+            ids, groups, x = c["id"].to_numpy(), c["grp"].to_numpy(), _matrix(c["v"])
+            if cosine:
+                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+            for i, g, v in zip(q["id"].to_numpy(), q["grp"].to_numpy(), _matrix(q["v"])):
+                far = -(x @ (v / max(np.linalg.norm(v), 1e-12))) if cosine else np.sqrt(np.square(x - v).sum(1))
+                far = np.where((ids == i) | ((groups == g) & (not own_group)), np.inf, far)
+                # All that tie with the k-th stay in, for the smaller ids.
+                at = np.flatnonzero((far <= (np.partition(far, k - 1)[k - 1] if len(far) > k else np.inf)) & np.isfinite(far))
+                at = at[np.lexsort((ids[at], far[at]))][:k]
+                found += [(i, ids[j], far[j]) for j in at]
+        kinds = (pa.int64(), pa.int64(), pa.float64())
+        return pa.table([pa.array([r[n] for r in found], t) for n, t in enumerate(kinds)], names=["id", "c_id", "score"])
+
+    out = left.cogroup(right).applyInArrow(run, "id long, c_id long, score double")
+    out = out.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("score", "c_id"))).filter(F.col("r") <= k)
+    return out.withColumn("score", -F.col("score")) if cosine else out
+
+
 def knn_mean(queries: DataFrame, candidates: DataFrame, k: int, dims: int) -> DataFrame:
     """(id, predicted): the mean target of each query's k nearest candidates of other groups.
 
     `queries` has id, grp, v; `candidates` has id, grp, v, target. Ties go to the smaller candidate id.
     """
-    right = candidates.select(F.col("id").alias("c_id"), F.col("grp").alias("c_grp"), F.col("v").alias("w"), "target")
-    pairs = compared(queries.select("id", "grp", "v"), right, dims).filter("grp <> c_grp")
-    pairs = pairs.select("id", "c_id", "target", squared_distance(F.col("v"), F.col("w")).alias("d"))
-    near = pairs.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("d", "c_id"))).filter(F.col("r") <= k)
-    return near.groupBy("id").agg(F.avg("target").alias("predicted"))
+    near = nearest(queries, candidates, k, dims, own_group=False)
+    return near.join(candidates.select(F.col("id").alias("c_id"), "target"), "c_id").groupBy("id").agg(F.avg("target").alias("predicted"))
 
 
 def rankings(queries: DataFrame, candidates: DataFrame, dims: int, own: Column) -> DataFrame:

@@ -132,7 +132,8 @@ def j13(spark, d):
 @query("J14_cosine_retrieval", f"WITH e AS ({EMB}), p AS (SELECT q.id AS q, c.id AS c, row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(q.v, c.v) DESC, c.id) AS r FROM e q JOIN e c ON q.id <> c.id WHERE q.id % 20 = 0) SELECT q, c, r::INTEGER AS r FROM p WHERE r <= 5")
 def j14(spark, d):
     e = emb(spark, d)
-    return retrieval.rankings(e.filter("id % 20 = 0"), e, 64, F.col("q") == F.col("c")).filter("r <= 5").select("q", "c", "r")
+    near = retrieval.nearest(e.filter("id % 20 = 0"), e, 5, 64, cosine=True)
+    return near.select(F.col("id").alias("q"), F.col("c_id").alias("c"), "r")
 
 
 @query("J15_within_between", f"WITH e AS ({EMB}) SELECT q.id, round(avg(list_distance(q.v, c.v)) FILTER (q.grp = c.grp), 6) AS within, round(avg(list_distance(q.v, c.v)) FILTER (q.grp <> c.grp), 6) AS between, arg_min(c.id, (list_distance(q.v, c.v), c.id)) AS nearest FROM e q JOIN e c ON q.id <> c.id WHERE q.id % 20 = 0 GROUP BY q.id")

@@ -294,6 +294,23 @@ def test_quantile_table_is_numpys(spark):
     assert metrics.quantile_table(df.limit(0), "x", [0.5]).count() == 0
 
 
+def test_nearest_by_blocks_is_brute_force(spark):
+    from cohortia.operators import retrieval
+
+    rng = np.random.default_rng(4)
+    x = rng.integers(-2, 3, (90, 4)) + 0.5  # many ties
+    df = spark.createDataFrame([(i, i % 4, list(map(float, v))) for i, v in enumerate(x)], "id long, grp int, v array<double>")
+    for cosine in (False, True):
+        for own_group in (False, True):
+            got = retrieval.nearest(df.filter("id % 9 = 0"), df, 6, 4, cosine, own_group, block_bytes=600).collect()
+            for q in range(0, 90, 9):
+                far = -(x @ x[q]) / np.linalg.norm(x, axis=1) / np.linalg.norm(x[q]) if cosine else np.linalg.norm(x - x[q], axis=1)
+                want = sorted((round(f, 9), i) for i, f in enumerate(far) if i != q and (own_group or i % 4 != q % 4))[:6]
+                mine = sorted((r for r in got if r.id == q), key=lambda r: r.r)
+                assert [round(-r.score if cosine else r.score, 9) for r in mine] == [f for f, _ in want]
+                assert [r.c_id for r in mine] == [i for _, i in want] or cosine  # cosines that tie may differ in the last bit
+
+
 def test_normal_distribution_and_bisection(spark):
     xs = [-9.0, -3.0, -0.5, 0.0, 1e-9, 0.7, 2.5, 5.0, 7.9, 9.0]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(A.normal_cdf(F.col("x"))).collect()]
