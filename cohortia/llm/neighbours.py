@@ -137,12 +137,11 @@ def _fetched(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def _split(indexed: DataFrame, tree: Tree, crowded: int, sample: int, seed: int) -> Tree | None:
     """The tree with leaves of over `crowded` vectors split again, each from at most `sample` of its own; None if there are none.
 
-    A leaf's sample is drawn by a hash range sized by its count, and its part of the tree is grown in a
-    task of its own. Only centres come to the driver.
+    A leaf's sample is drawn at random, seeded, at a rate set by its count, so repeated rows are no more than
+    others, and its part of the tree is grown in a task of its own. Only centres come to the driver.
     """
     full = indexed.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > crowded)
-    u = F.pmod(F.xxhash64("id", F.lit("split")), F.lit(1 << 30)) / (1 << 30)
-    drawn = indexed.join(F.broadcast(full), "leaf").withColumn("u", u).filter(F.col("u") * F.col("n") < 1.2 * sample + 30)
+    drawn = indexed.withColumn("u", F.rand(seed)).join(F.broadcast(full), "leaf").filter(F.col("u") * F.col("n") < 1.2 * sample + 30)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.array(pdf.sort_values(["u", "id"]).head(sample)["v"].tolist(), np.float64)

@@ -427,6 +427,27 @@ def test_language_number_signs_are_no_letters(spark, docs):
     assert got[0] == got[4] == ("und", 0.0) and all(got[i][0] in model.langs for i in (1, 2, 3))
 
 
+def test_language_by_hand(spark, docs):
+    """Trigrams counted one by one, weighted and compared with each centroid."""
+    model = language.fit(docs, F.lit(True))
+    had = {r.doc_id: r.text[:400] for r in docs.collect() if r.text}
+    cut = spark.createDataFrame(list(had.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in language.identify(cut, model).collect()}
+    for d, text in list(had.items())[:60]:
+        letters = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in text.lower().encode())
+        clean, counts = b" " + b" ".join(letters.split()) + b" ", Counter()
+        for i in range(len(clean) - 2):
+            code = clean[i] << 16 | clean[i + 1] << 8 | clean[i + 2]
+            counts[(code * 2654435761 % 2**32) >> 19] += 1
+        v = {k: (1 + np.log(n)) * float(model.idf[k]) for k, n in counts.items()}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        cos = [sum(x * float(c[k]) for k, x in v.items()) / norm for c in model.centroids]
+        best = int(np.argmax(cos))
+        assert got[d].score == pytest.approx(cos[best], abs=1e-4) and (got[d].guess == model.langs[best] or sorted(cos)[-1] - sorted(cos)[-2] < 1e-4)
+        if abs(cos[best] - model.least[best]) > 1e-4:
+            assert got[d].lang == (got[d].guess if cos[best] >= model.least[best] else "und")
+
+
 def test_language_rejects_what_is_far(spark, docs):
     model = language.fit(docs, F.lit(True))
     far = spark.createDataFrame([(1, "zzxq qxzz kkqj wwvx " * 40)], "doc_id long, text string")
@@ -477,6 +498,48 @@ def test_trees_walk_as_one_by_one():
         assert abs(1 / (1 + np.exp(-z)) - t.score(row[None])[0]) < 1e-9
 
 
+def test_trees_split_where_all_splits_say():
+    """One tree of one split: every statistic and every value between two rows tried one by one."""
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(120, 4)), 1)
+    y = ((x[:, 2] > 0.4) | (rng.random(120) < 0.1)).astype(float)
+    t = quality.grow(x, y, trees=1, depth=1, rate=0.5, bins=256, least=5, ridge=1.0)
+    p = np.full(120, y.mean())
+    g, h = y - p, p * (1 - p)
+    term = lambda keep: g[keep].sum() ** 2 / (h[keep].sum() + 1.0)
+    best = max((term(x[:, f] <= v) + term(x[:, f] > v) - term(np.ones(120, bool)), -f) for f in range(4) for v in np.unique(x[:, f]) if 5 <= (x[:, f] <= v).sum() <= 115)
+    down = x[:, t.feature[0]] <= t.threshold[0]
+    assert term(down) + term(~down) - term(np.ones(120, bool)) == pytest.approx(best[0]) and t.feature[0] == -best[1]
+    for leaf, keep in ((t.left[0], down), (t.right[0], ~down)):
+        assert t.value[leaf] == pytest.approx(0.5 * g[keep].sum() / (h[keep].sum() + 1.0))
+
+
+def test_ftrl_by_single_coordinates():
+    """Two passes over a few rows, coordinate by coordinate."""
+    rng = np.random.default_rng(1)
+    rows = [np.unique(rng.integers(0, 30, rng.integers(3, 12))) for _ in range(80)]
+    y = np.array([float(3 in r or 7 in r) for r in rows])
+    alpha, beta, l1, l2 = 0.7, 1.0, 0.8, 0.5
+    got = toxicity.train(rows, y, passes=2, alpha=alpha, beta=beta, l1=l1, l2=l2, seed=9)
+    z, n, bz, bn = Counter(), Counter(), 0.0, 0.0
+
+    def weight(k):
+        return 0.0 if abs(z[k]) <= l1 else -(z[k] - np.sign(z[k]) * l1) / ((beta + np.sqrt(n[k])) / alpha + l2)
+
+    order = np.random.default_rng(9)
+    for _ in range(2):
+        for i in order.permutation(80):
+            w = {int(k): weight(int(k)) for k in rows[i]}
+            b = -bz * alpha / (beta + np.sqrt(bn))
+            g = 1 / (1 + np.exp(-(sum(w.values()) + b))) - y[i]
+            for k, v in w.items():
+                z[k] += g - (np.sqrt(n[k] + g * g) - np.sqrt(n[k])) / alpha * v
+                n[k] += g * g
+            bz, bn = bz + g - (np.sqrt(bn + g * g) - np.sqrt(bn)) / alpha * b, bn + g * g
+    want = {k: weight(k) for k in z if weight(k)}
+    assert dict(zip(got.at.tolist(), got.weight)) == pytest.approx(want, rel=1e-4) and want and got.bias == pytest.approx(b, abs=0.1)
+
+
 def test_toxicity(spark, docs, labels, odd, none):
     big = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     weights = toxicity.fit(*big, remainder("doc_id", 4) != 2)
