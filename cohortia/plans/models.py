@@ -191,10 +191,17 @@ def m16c(spark, d):
     return got.select("p", *[F.round(c, 6).alias(c) for c in got.columns[1:]])
 
 
-@query("M17_pattern_gaussian")
+@query(
+    "M17_pattern_gaussian",
+    f"WITH b AS (SELECT id, grp, list_transform(range(4), lambda b: ln(list_sum(list_transform(v[b * 16 + 1 : b * 16 + 16], lambda x: x * x)))) AS l FROM ({EMB})), r AS (SELECT id, grp, l[1] - list_avg(l) AS a, l[2] - list_avg(l) AS b, l[3] - list_avg(l) AS c FROM b), "
+    "m AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, stddev_samp(a) AS sa, stddev_samp(b) AS sb, stddev_samp(c) AS sc, 0.99 * corr(a, b) AS p, 0.99 * corr(a, c) AS q, 0.99 * corr(b, c) AS s FROM r), d AS (SELECT *, 1 + 2 * p * q * s - p * p - q * q - s * s AS det FROM m), "
+    "z AS (SELECT id, grp, (a - ma) / sa AS x, (b - mb) / sb AS y, (c - mc) / sc AS z, p, q, s, det FROM r, d), "
+    "n AS (SELECT id, grp, det, ((1 - s * s) * x * x + (1 - q * q) * y * y + (1 - p * p) * z * z + 2 * ((q * s - p) * x * y + (p * s - q) * x * z + (p * q - s) * y * z)) / det AS q FROM z) SELECT id, grp, round(-0.5 * (3 * ln(2 * pi()) + ln(det) + q), 6) AS logp, round(q, 6) AS q FROM n",
+)
 def m17(spark, d):
     e = emb(spark, d).withColumn("r", F.slice(A.log_ratios(A.band_energy(F.col("v"), 4)), 1, 3))
-    return gaussians.score_shrunk(e, ["id", "grp"], "r", gaussians.fit_shrunk(e, "r"))
+    scored = gaussians.score_shrunk(e, ["id", "grp"], "r", gaussians.fit_shrunk(e, "r"))
+    return scored.select("id", "grp", F.round("logp", 6).alias("logp"), F.round("q", 6).alias("q"))
 
 
 @query("M18_pattern_shift", f"WITH b AS ({BANDS}), s AS (SELECT avg(a) AS m, stddev_samp(a) AS s FROM b) SELECT grp, round((avg(a) - any_value(m)) / any_value(s), 6) AS shift FROM b JOIN ({EMB}) USING (id), s GROUP BY 1")
