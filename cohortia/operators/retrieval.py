@@ -38,13 +38,8 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.asarray(flat, np.float64).reshape(len(column), -1)
 
 
-def nearest(queries: DataFrame, candidates: DataFrame, k: int, dims: int, cosine: bool = False, own_group: bool = True, block_bytes: int = 4 << 20) -> DataFrame:
-    """(id, c_id, score, r): the k nearest candidates of each query, by Euclidean distance or falling cosine.
-
-    Both have id, grp, v. A query's own id is no candidate, nor is its group unless `own_group`; ties go to
-    the smaller id. Both sides are dealt in blocks of about `block_bytes`; each pair of blocks is compared
-    at once in Arrow and hands on k rows for each query, so pairs never become rows.
-    """
+def _by_blocks(queries: DataFrame, candidates: DataFrame, dims: int, block_bytes: int, run, schema: str) -> DataFrame:
+    """`run`, a function of two Arrow tables of id, grp and v, over every block of queries beside every block of candidates."""
     blocks = lambda df: max(1, -(-df.count() * (8 * dims + 16) // block_bytes))
     n_q, n_c = blocks(queries), blocks(candidates)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(int(n) - 1)))
@@ -52,6 +47,16 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int, dims: int, cosine
     side = lambda df: df.select(F.col("id").cast("long").alias("id"), F.col("grp").cast("string").alias("grp"), doubles(F.col("v")).alias("v"))
     left = side(queries).withColumn("bq", own(n_q)).withColumn("bc", every(n_c)).groupBy("bq", "bc")
     right = side(candidates).withColumn("bc", own(n_c)).withColumn("bq", every(n_q)).groupBy("bq", "bc")
+    return left.cogroup(right).applyInArrow(run, schema)
+
+
+def nearest(queries: DataFrame, candidates: DataFrame, k: int, dims: int, cosine: bool = False, own_group: bool = True, block_bytes: int = 4 << 20) -> DataFrame:
+    """(id, c_id, score, r): the k nearest candidates of each query, by Euclidean distance or falling cosine.
+
+    Both have id, grp, v. A query's own id is no candidate, nor is its group unless `own_group`; ties go to
+    the smaller id. Both sides are dealt in blocks of about `block_bytes`; each pair of blocks is compared
+    at once in Arrow and hands on k rows for each query, so pairs never become rows.
+    """
 
     def run(q: pa.Table, c: pa.Table) -> pa.Table:
         found: list[tuple[int, int, float]] = []
@@ -69,11 +74,33 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int, dims: int, cosine
         kinds = (pa.int64(), pa.int64(), pa.float64())
         return pa.table([pa.array([r[n] for r in found], t) for n, t in enumerate(kinds)], names=["id", "c_id", "score"])
 
-    out = left.cogroup(right).applyInArrow(run, "id long, c_id long, score double")
+    out = _by_blocks(queries, candidates, dims, block_bytes, run, "id long, c_id long, score double")
     out = out.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("score", "c_id"))).filter(F.col("r") <= k)
     return out.withColumn("score", -F.col("score")) if cosine else out
 
 
+def within_and_between(queries: DataFrame, candidates: DataFrame, dims: int, block_bytes: int = 4 << 20) -> DataFrame:
+    """(id, within, between, nearest): mean distance of each query to others of its group and of other groups, and the
+    id of the nearest of all. Blocks hand on a sum, a count and a nearest for each query."""
+
+    def run(q: pa.Table, c: pa.Table) -> pa.Table:
+        rows = []
+        if len(q) and len(c):
+            ids, groups, x = c["id"].to_numpy(), c["grp"].to_numpy(), _matrix(c["v"])
+            for i, g, v in zip(q["id"].to_numpy(), q["grp"].to_numpy(), _matrix(q["v"])):
+                far, same, other = np.sqrt(np.square(x - v).sum(1)), groups == g, ids != i
+                if other.any():
+                    at = np.flatnonzero(other & (far == far[other].min()))
+                    rows.append((i, far[same & other].sum(), int((same & other).sum()), far[~same & other].sum(), int((~same & other).sum()), far[at[0]], ids[at].min()))
+        kinds = (pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.int64())
+        names = ["id", "s", "n", "t", "m", "far", "c_id"]
+        return pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
+
+    parts = _by_blocks(queries, candidates, dims, block_bytes, run, "id long, s double, n long, t double, m long, far double, c_id long")
+    mean = lambda s, n: F.when(F.sum(n) > 0, F.sum(s) / F.sum(n))
+    return parts.groupBy("id").agg(mean("s", "n").alias("within"), mean("t", "m").alias("between"), F.min_by("c_id", F.struct("far", "c_id")).alias("nearest"))
+
+
 def knn_mean(queries: DataFrame, candidates: DataFrame, k: int, dims: int) -> DataFrame:
     """(id, predicted): the mean target of each query's k nearest candidates of other groups.
 

@@ -139,10 +139,8 @@ def j14(spark, d):
 @query("J15_within_between", f"WITH e AS ({EMB}) SELECT q.id, round(avg(list_distance(q.v, c.v)) FILTER (q.grp = c.grp), 6) AS within, round(avg(list_distance(q.v, c.v)) FILTER (q.grp <> c.grp), 6) AS between, arg_min(c.id, (list_distance(q.v, c.v), c.id)) AS nearest FROM e q JOIN e c ON q.id <> c.id WHERE q.id % 20 = 0 GROUP BY q.id")
 def j15(spark, d):
     e = emb(spark, d)
-    c = e.select(F.col("id").alias("c_id"), F.col("grp").alias("c_grp"), F.col("v").alias("w"))
-    p = retrieval.compared(e.filter("id % 20 = 0").select("id", "grp", "v"), c, 64).filter("id <> c_id")
-    p = p.withColumn("dist", F.sqrt(retrieval.squared_distance(F.col("v"), F.col("w"))))
-    return p.groupBy("id").agg(F.round(F.avg(F.when(F.col("grp") == F.col("c_grp"), F.col("dist"))), 6).alias("within"), F.round(F.avg(F.when(F.col("grp") != F.col("c_grp"), F.col("dist"))), 6).alias("between"), F.min_by("c_id", F.struct("dist", "c_id")).alias("nearest"))
+    found = retrieval.within_and_between(e.filter("id % 20 = 0"), e, 64)
+    return found.select("id", F.round("within", 6).alias("within"), F.round("between", 6).alias("between"), "nearest")
 
 
 @query("J16_key_collisions", "SELECT key, n FROM (SELECT p_type || '-' || p_size AS key, count(*) AS n FROM (SELECT DISTINCT p_type, p_size, p_name FROM part) GROUP BY 1) WHERE n > 1")
