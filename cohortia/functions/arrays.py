@@ -135,7 +135,12 @@ def normal_cdf(x: Column) -> Column:
     return F.when(x > 8, F.lit(1.0)).when(x < -8, F.lit(0.0)).otherwise(series)
 
 
-def below(marks: Column, n: int, x: Column) -> Column:
-    """How many of n sorted marks are less than x, by bisection."""
+def below(marks: Column, n: int, x: Column, equal: bool = False) -> Column:
+    """How many of n sorted marks are less than x (or equal to it, too), by bisection."""
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, n.bit_length())))])
-    return F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.coalesce(F.get(marks, low + step - 1) < x, F.lit(False)), low + step).otherwise(low))
+
+    def go(low: Column, step: Column) -> Column:
+        mark = F.get(marks, low + step - 1)
+        return F.when(F.coalesce(mark <= x if equal else mark < x, F.lit(False)), low + step).otherwise(low)
+
+    return F.aggregate(steps, F.lit(0), go)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortia.operators.metrics import auroc
+from cohortia.operators.metrics import auroc, quantiles
 from cohortia.operators.ranks import numbered
 
 
@@ -35,7 +35,9 @@ MP3_LADDER = (32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
 
 def bitrate_profile(rows: DataFrame, by: str, kbps: str, least: int = 48, ladder: tuple[int, ...] = MP3_LADDER) -> DataFrame:
     """(by, low, median, high, suggested): the suggested is the ladder's highest step from `least` to half the low."""
-    g = rows.groupBy(by).agg(F.min(kbps).alias("low"), F.percentile(kbps, F.lit(0.5)).alias("median"), F.max(kbps).alias("high"))
+    middle = quantiles(rows.select(by, F.col(kbps).cast("double").alias("_x")), "_x", {"median": 0.5}, (by,))
+    g = rows.groupBy(by).agg(F.min(kbps).alias("low"), F.max(kbps).alias("high")).join(middle, by)
+    g = g.select(by, "low", "median", "high")
     steps = F.array(*[F.lit(b) for b in ladder if b >= least])
     return g.withColumn("suggested", F.try_element_at(F.filter(steps, lambda b: b <= F.col("low") / 2), F.lit(-1)))
 

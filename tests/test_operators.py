@@ -319,6 +319,7 @@ def test_normal_distribution_and_bisection(spark):
     m = F.array(*map(F.lit, marks))
     got = [r[0] for r in spark.createDataFrame([(x,) for x in (0.0, 1.0, 2.0, 3.0, 9.0, 10.0)], "x double").select(A.below(m, 5, F.col("x"))).collect()]
     assert got == [sum(v < x for v in marks) for x in (0.0, 1.0, 2.0, 3.0, 9.0, 10.0)]
+    assert [r[0] for r in spark.createDataFrame([(2.0,), (9.0,)], "x double").select(A.below(m, 5, F.col("x"), True)).collect()] == [3, 5]
 
 
 def test_short_and_failed_songs_end_as_they_should(spark):
