@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cohortia.functions.arrays import below
+
 EXACT, LANES = 4, 128
 _EXACT_MASK, _LANE_MASK = (1 << 62) - 1, (1 << 24) - 1
 _MASKS = [_EXACT_MASK] * EXACT + [_LANE_MASK] * LANES
@@ -138,17 +140,6 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(cos)
 
 
-def _below(marks: Column, n: int, x: Column, equal: bool) -> Column:
-    """How many of n sorted marks are less than x (or equal to it, too), by bisection."""
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))])
-
-    def go(low: Column, step: Column) -> Column:
-        mark = F.get(marks, low + step - 1)
-        return F.when(mark <= x if equal else mark < x, low + step).otherwise(low)
-
-    return F.aggregate(steps, F.lit(0), go)
-
-
 def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ranges: int | None = None) -> DataFrame:
     """Fingerprints of every text and of its edited text: see the columns below.
 
@@ -173,7 +164,7 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     rows = rows.withColumn("h", F.xxhash64("text"))
     if marks:
         cuts = F.split(F.lit(",".join(map(str, sorted(marks)))), ",").cast("array<bigint>")
-        rows = rows.withColumn("low", _below(cuts, len(marks), F.col("a"), False)).withColumn("times", _below(cuts, len(marks), F.col("a"), True) - F.col("low"))
+        rows = rows.withColumn("low", below(cuts, len(marks), F.col("a"))).withColumn("times", below(cuts, len(marks), F.col("a"), True) - F.col("low"))
         share = F.shiftright((F.shiftright("h", 32) + (1 << 31)) * (F.col("times") + 1), 32)
         rows = rows.withColumn("block", F.col("low") + F.when(F.col("times") > 0, share).otherwise(F.lit(0))).drop("low", "times")
     else:
