@@ -7,17 +7,21 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortia.operators.metrics import quantile_table, quantiles
+from cohortia.operators.metrics import quantile, quantile_table
 from cohortia.operators.retrieval import compared
 from cohortia.sources.scratch import stash
 
 
 def bandwidths(sample: DataFrame) -> DataFrame:
-    """One row (hx, hy): Silverman's rule in two dimensions with the smaller of deviation and IQR / 1.34."""
-    at = [quantiles(sample, c, {f"low_{c}": 0.25, f"high_{c}": 0.75}) for c in "xy"]  # one row each
-    one = sample.agg(*[F.stddev_samp(c).alias(f"sd_{c}") for c in "xy"], F.count("*").alias("n")).crossJoin(F.broadcast(at[0])).crossJoin(F.broadcast(at[1]))
-    h = lambda c: F.least(F.col(f"sd_{c}"), (F.col(f"high_{c}") - F.col(f"low_{c}")) / 1.34) * F.pow(F.col("n").cast("double"), F.lit(-1 / 6))
-    return one.select(h("x").alias("hx"), h("y").alias("hy"))
+    """One row (hx, hy): Silverman's rule in two dimensions with the smaller of deviation and IQR / 1.34.
+
+    The sample is what every point is compared with, so it is small enough for one task's percentiles.
+    """
+    def h(c: str):
+        iqr = (quantile(c, 0.75) - quantile(c, 0.25)) / 1.34
+        return F.least(F.stddev_samp(c), iqr) * F.pow(F.count("*").cast("double"), F.lit(-1 / 6))
+
+    return sample.agg(h("x").alias("hx"), h("y").alias("hy"))
 
 
 def density_at(points: DataFrame, sample: DataFrame, key: str) -> DataFrame:
