@@ -12,6 +12,7 @@ BLANKS = "[\\x20\\x09-\\x0D]+"
 #: Java regex for a word.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
+
 def remainder(doc_id: str | Column, of: int) -> Column:
     """crc32 of the id as text, modulo `of`; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % of
