@@ -2,13 +2,15 @@
 
 import math
 import random
+import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from cohortia.llm import quality, queries, simhash
+from cohortia.llm import packing, quality, queries, simhash
 from cohortia.llm.common import remainder
 from tests.llm.test_operators import DOC, ODD, oracle
 
@@ -143,6 +145,24 @@ def test_mixing_stage(spark, docs):
     assert all(n <= 3 * size[d] for d, n in words.items())
 
 
+def test_packing_stage(spark, docs):
+    """Every piece of every document, as the tokenizer and plain Python cut them, in as few sequences as one best-fit run needs."""
+    from tokenizers import Tokenizer
+
+    out = P.packing_stage(spark, docs, SF).toPandas()
+    whole, want = Tokenizer.from_file(queries.tokenizer_path()), Counter()
+    for r in docs.collect():
+        ids = [*whole.encode(r.text or "", add_special_tokens=False).ids, 0]
+        cuts = [0, *range(len(ids) % 2048 or min(len(ids), 2048), len(ids), 2048), len(ids)]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            want[(r.doc_id, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes()))] += 1
+    assert Counter(zip(out.doc_id, out.piece, out.start, out.length, out.ids_crc32)) == want
+    for _, seq in out.sort_values("offset").groupby("sequence_id"):
+        assert list(seq.offset) == [0, *seq.length.cumsum()[:-1]] and seq.length.sum() <= 2048
+    lengths = out.length.to_numpy()
+    assert packing.lower_bound(lengths, 2048) <= out.sequence_id.nunique() <= packing.best_fit(lengths, 2048)[0].max() + 1
+
+
 def test_run_packs_all(spark):
     out = P.run(spark, SF).toPandas()
     assert out.groupby("sequence_id").length.sum().max() <= 2048
