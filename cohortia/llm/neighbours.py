@@ -223,7 +223,7 @@ def route(tree: Tree, query: np.ndarray, visits: int, k: int, held: dict[int, in
 
 
 def search(
-    vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float = 0.98, sample: int = 20_000, calibration: int = 128, block: int = 2048, crowded: int = 1 << 16, id: str = "vec_id", vector: str = "embedding", seed: int = 11
+    vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float = 0.98, sample: int = 20_000, calibration: int = 128, block: int = 8192, crowded: int = 1 << 16, id: str = "vec_id", vector: str = "embedding", seed: int = 11
 ) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest of all other vectors, by Euclidean distance.
 
@@ -234,7 +234,8 @@ def search(
 
     The tree is fitted on at most `sample` vectors (fewer if those are over 128 MB) and on at most 4096 of
     each leaf of over `crowded`; visits are calibrated on at most `calibration` queries. Leaves are dealt in
-    blocks of about `block` vectors and `block` queries, so a crowded leaf is many tasks' work.
+    lots of about `block` vectors and `block` queries, a crowded leaf in parts; each lot hands on k rows for
+    each query.
     """
     spark = vectors.sparkSession
     points = usable(vectors, id, vector)
@@ -268,41 +269,62 @@ def search(
         return empty
     visits = calibrated(tree, trial, _nearest(spark, trial, own, tree, indexed, k), recall)
     # One row for each leaf, of which there are at most as many as the tree has nodes.
-    stats = indexed.groupBy("leaf").agg(F.countDistinct("id").alias("ids"), F.max("far").alias("radius")).collect()
+    stats = indexed.groupBy("leaf").agg(F.countDistinct("id").alias("ids"), F.max("far").alias("radius"), F.count("*").alias("rows")).orderBy("leaf").collect()
     held, radius = {r["leaf"]: r["ids"] for r in stats}, {r["leaf"]: r["radius"] for r in stats}
+    lots, before = {}, 0
+    for r in stats:  # leaves beside each other share a lot; a crowded one is dealt in parts
+        lots[r["leaf"]] = (before // block, -(-r["rows"] // block))
+        before += r["rows"]
 
     def routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, leaf) for i, q in enumerate(_matrix(batch.column(1))) for leaf in route(shared.value, q, visits, k, held, radius)]
+            rows: list[tuple[int, int, int, list[int]]] = []
+            for i, q in enumerate(_matrix(batch.column(1))):
+                visited: dict[tuple[int, int], list[int]] = {}
+                for leaf in route(shared.value, q, visits, k, held, radius):
+                    lot, parts = lots[leaf]
+                    for part in range(parts):
+                        visited.setdefault((lot, part), []).append(leaf)
+                rows += [(i, lot, part, leaves) for (lot, part), leaves in visited.items()]
             at = pa.array([r[0] for r in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([r[1] for r in rows], pa.int64())], names=["id", "v", "leaf"])
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            cols = [pa.array([r[n + 1] for r in rows], kind) for n, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *cols], names=["id", "v", "lot", "p", "leaves"])
 
     # Few rows of much work each: dealt out over all cores.
     spread = wanted.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "id")
-    routed = stash(spread.mapInArrow(routes, "id long, v array<double>, leaf long"), "ann-routes")
-    # Blocks of each leaf on either side; the table has a row for each leaf.
-    parts = indexed.groupBy("leaf").agg(F.ceil(F.count("*") / block).alias("p")).join(routed.groupBy("leaf").agg(F.ceil(F.count("*") / block).alias("r")), "leaf")
-    parts = F.broadcast(parts)
-    one = F.lit(0).cast("long")
-    left = indexed.select("id", "v", "leaf").join(parts, "leaf").withColumn("p", F.pmod(F.xxhash64("id", "v"), "p")).withColumn("r", F.explode(F.sequence(one, F.col("r") - 1)))
-    right = routed.join(parts, "leaf").withColumn("r", F.pmod(F.xxhash64("id"), "r")).withColumn("p", F.explode(F.sequence(one, F.col("p") - 1)))
-
-    def compare(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        out = []
+    routed = stash(spread.mapInArrow(routes, "id long, v array<double>, lot long, p long, leaves array<long>"), "ann-routes")
+    # A row for each leaf, and one for each lot and part.
+    of = F.broadcast(spark.createDataFrame([(leaf, lot, parts) for leaf, (lot, parts) in lots.items()], "leaf long, lot long, parts long"))
+    blocks = F.broadcast(routed.groupBy("lot", "p").agg(F.ceil(F.count("*") / block).alias("blocks")))
+    left = indexed.select("id", "v", "leaf").join(of, "leaf").withColumn("p", F.pmod(F.xxhash64("id", "v"), "parts")).join(blocks, ["lot", "p"])
+    left = left.select("id", "v", "leaf", "lot", "p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("r"))
+    right = routed.join(blocks, ["lot", "p"]).select("id", "v", "leaves", "lot", "p", F.pmod(F.xxhash64("id"), "blocks").alias("r"))
+
+    def compare(x: pa.Table, q: pa.Table) -> pa.Table:
+        out: list[tuple[int, int, float]] = []
         if len(x) and len(q):
-            ids, m = x["id"].to_numpy(), np.array(x["v"].tolist(), np.float64)
-            for qid, v in zip(q["id"], q["v"]):
-                d = np.sqrt(np.square(m - np.asarray(v, np.float64)).sum(1))
-                d[ids == qid] = np.inf
-                # All that tie with the k-th stay in, for the smaller ids.
-                edge = np.partition(d, k - 1)[k - 1] if len(d) > k else np.inf
-                near = np.flatnonzero((d <= edge) & np.isfinite(d))
-                near = near[np.lexsort((ids[near], d[near]))][:k]
-                out += [(qid, int(ids[j]), float(d[j])) for j in near]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    keys = ["leaf", "p", "r"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "query_id long, vec_id long, score double")
+            leaf = x["leaf"].to_numpy()
+            order = np.argsort(leaf, kind="stable")
+            ids, m, leaf = x["id"].to_numpy()[order], _matrix(x["v"].combine_chunks())[order], leaf[order]
+            repeats = len(np.unique(ids)) < len(ids)
+            for qid, v, leaves in zip(q["id"].to_numpy(), _matrix(q["v"].combine_chunks()), q["leaves"].to_pylist()):
+                at = np.concatenate([np.arange(*np.searchsorted(leaf, [w, w + 1])) for w in leaves])
+                near = ids[at]
+                d = np.sqrt(np.square(m[at] - v).sum(1))
+                d[near == qid] = np.inf
+                # All that tie with the k-th stay in, for the smaller ids; an id that repeats counts once.
+                edge = np.partition(d, k - 1)[k - 1] if len(d) > k and not repeats else np.inf
+                some = np.flatnonzero((d <= edge) & np.isfinite(d))
+                some = some[np.lexsort((near[some], d[some]))]
+                if repeats:
+                    some = some[np.sort(np.unique(near[some], return_index=True)[1])]
+                out += [(qid, near[j], d[j]) for j in some[:k]]
+        kinds = (pa.int64(), pa.int64(), pa.float64())
+        return pa.table([pa.array([r[n] for r in out], kind) for n, kind in enumerate(kinds)], names=["query_id", "vec_id", "score"])
+
+    keys = ["lot", "p", "r"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     found = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))).filter(F.col("rank") <= k)
     return found.select("query_id", "rank", "vec_id", "score")

@@ -624,6 +624,14 @@ def test_neighbours_split_crowded_leaves_and_read_little_of_clustered_vectors(sp
         assert kept[np.argsort(d, kind="stable")[:11]].all() and kept.mean() < 0.3
 
 
+def test_neighbours_count_an_id_that_repeats_once(spark):
+    rows = [(1, [1.0 + i / 100, 0.5]) for i in range(40)] + [(i, [float(i), 0.5]) for i in range(2, 20)] + [(0, [1.0, 0.4])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for block in (4, 8192):
+        got = neighbours.search(v, v.filter("vec_id = 0"), block=block).orderBy("rank").collect()
+        assert [r.vec_id for r in got] == list(range(1, 11)) and got[0].score == pytest.approx(0.1)
+
+
 def test_neighbours_in_small_leaves_are_all_found(spark):
     """A query whose nearest leaves hold one vector each still gets k."""
     rng = np.random.default_rng(2)
