@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortia.operators.ranks import numbered, running_before
+from cohortia.operators.ranks import beside, numbered, running_before, standings
 from cohortia.sources.scratch import stash
 
 
@@ -38,19 +38,26 @@ def auroc(rows: DataFrame, score: str, positive: Column, by: tuple[str, ...] = (
 
 
 def auroc_against(rows: DataFrame, score: str, source: str, reference: str, higher_is_reference: bool = True, by: tuple[str, ...] = (), weight: Column | None = None) -> DataFrame:
-    """(by..., source, auroc) of each source against the reference source.
+    """(by..., source, auroc) of each source against the reference source; null where the reference has no usable score.
 
-    The reference's counts by distinct score are joined to each source's values by one sorted pass: they
-    are added to every source as negatives, which repeats distinct values, not rows.
+    Rows are counted by score, and the counts of all sources are ranked beside the reference's together, so
+    the reference is not repeated for each source.
     """
     w = F.lit(1) if weight is None else weight
-    counts = rows.filter(usable(score)).groupBy(*by, source, score).agg(F.sum(w).alias("_k"))
-    ref = counts.filter(F.col(source) == reference).select(*by, F.col(score), F.col("_k"))
-    others = counts.filter(F.col(source) != reference)
-    names = others.select(*by, source).distinct()
-    beside = names.join(ref, list(by)) if by else ref.crossJoin(F.broadcast(names))  # a row for each source
-    both = others.withColumn("_pos", F.lit(not higher_is_reference)).unionByName(beside.withColumn("_pos", F.lit(higher_is_reference)))
-    return auroc(both, score, F.col("_pos"), (*by, source), F.col("_k"))
+    counts = stash(rows.filter(usable(score)).groupBy(*by, source, score).agg(F.sum(w).alias("_k")), "score-counts")
+    placed = standings(counts, by, source, score, "_k", reference).filter(~F.col(source).eqNullSafe(reference))
+    return beside(placed, _of_reference(counts, by, source, reference), by, "left").groupBy(*by, source).agg(_auroc(higher_is_reference).alias("auroc"))
+
+
+def _of_reference(counts: DataFrame, by: tuple[str, ...], source: str, reference) -> DataFrame:
+    return counts.groupBy(*by).agg(F.sum(F.when(F.col(source) == reference, F.col("_k"))).alias("_all"))
+
+
+def _auroc(higher_is_reference: bool) -> Column:
+    """From counts `_k` and the reference's below (`_ref`), at (`_tie`) and in all (`_all`); null without a reference."""
+    below_ = F.sum(F.col("_k") * (F.col("_ref") + F.col("_tie") / 2)) / (F.sum("_k") * F.max("_all"))
+    share = 1 - below_ if higher_is_reference else below_
+    return F.when((F.sum("_k") > 0) & (F.max("_all") > 0), share)
 
 
 def quantile(x: Column | str, q: float | list[float], approximate: bool = False) -> Column:
@@ -63,29 +70,61 @@ def quantile(x: Column | str, q: float | list[float], approximate: bool = False)
     return F.percentile(clipped(x), F.array(*[F.lit(float(v)) for v in q]) if isinstance(q, list) else F.lit(float(q)))
 
 
-def quantile_table(rows: DataFrame, x: str, qs: list[float], by: tuple[str, ...] = (), times: str | None = None) -> DataFrame:
-    """(by..., p, value): linear-interpolated quantiles, exact for groups of any size.
+#: Parts of the sketch that bounds a quantile, and margin of a bound in parts. Groups of fewer rows need no bounds.
+PARTS, MARGIN = 10_000, 3
+#: One task orders so many values between two bounds; larger groups get narrower bounds first.
+ORDERED = 1 << 20
+#: Points of the sketch that narrows bounds.
+_POINTS = 256
+
 
-    Rows (each `times`, if given) are counted by distinct value, running counts go by ranges of values, and
-    each quantile picks the one or two values at its place.
+def _narrowed(ok: DataFrame, brackets: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Bounds about a hundred times narrower, from a sketch of the values between the bounds."""
+    met = beside(ok, brackets, by)
+    inside = F.col("_x").between(F.col("_lo"), F.col("_hi"))
+    points = [i / _POINTS for i in range(_POINTS + 1)]
+    found = met.groupBy(*by, "p", "_n", "_lo", "_hi").agg(F.count_if(F.col("_x") < F.col("_lo")).alias("_below"), F.count_if(inside).alias("_in"), F.percentile_approx(F.when(inside, F.col("_x")), points, PARTS).alias("_e"))
+    place = F.col("p") * (F.col("_n") - 1)
+    point = lambda at: (at - F.col("_below") + 1) / F.col("_in") * _POINTS
+    bound = lambda k: F.element_at("_e", F.least(F.greatest(k, F.lit(0)), F.lit(_POINTS)).cast("int") + 1)
+    # One point to either side covers the sketch's error.
+    low, high = bound(F.floor(point(F.floor(place))) - 1), bound(F.ceil(point(F.ceil(place))) + 1)
+    return found.select(*by, "p", "_n", low.alias("_lo"), high.alias("_hi"))
+
+
+def quantile_table(rows: DataFrame, x: str, qs: list[float], by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., p, value): linear-interpolated quantiles, exact for groups of any size; nulls are a group, too.
+
+    A sketch of each group gives two bounds of each quantile. One pass counts what lies below and, by value,
+    what lies between; the quantile picks the one or two values at its place among the latter.
     """
-    d = rows.filter(usable(x)).groupBy(*by, clipped(x).alias("_x")).agg((F.sum(times) if times else F.count("*")).alias("_k"))
-    d = stash(d, "by-value")
-    n = d.groupBy(*by).agg(F.sum("_k").alias("_n"))
-    d = running_before(d, by, "_x", "_k", "_below")
-    d = d.join(n, list(by)) if by else d.crossJoin(F.broadcast(n))  # one row
-    d = d.withColumn("p", F.explode(F.array(*[F.lit(float(q)) for q in qs]))).withColumn("_at", F.col("p") * (F.col("_n") - 1))
+    ok = rows.filter(usable(x)).select(*by, clipped(x).alias("_x"))
+    edges = [e for q in qs for e in (max(0.0, q - MARGIN / PARTS), min(1.0, q + MARGIN / PARTS))]
+    sketch = ok.groupBy(*by).agg(F.percentile_approx("_x", edges, PARTS).alias("_e"), F.count("*").alias("_n")).filter("_n > 0")
+    few = F.col("_n") <= PARTS
+    each = [F.struct(F.lit(float(q)).alias("p"), F.when(few, -1e300).otherwise(F.col("_e")[2 * i]).alias("_lo"), F.when(few, 1e300).otherwise(F.col("_e")[2 * i + 1]).alias("_hi")) for i, q in enumerate(qs)]
+    brackets = stash(sketch.select(*by, "_n", F.explode(F.array(*each)).alias("_q")).select(*by, "_n", "_q.*"), "quantile-bounds")
+    between = (brackets.agg(F.max("_n")).first()[0] or 0) * 4 * MARGIN / PARTS
+    while between > ORDERED:
+        brackets, between = stash(_narrowed(ok, brackets, by), "quantile-bounds"), between * 8 / _POINTS
+    # What lies below a lower bound is counted under null.
+    met = beside(ok, brackets, by).filter(F.col("_x") <= F.col("_hi"))
+    d = met.groupBy(*by, "p", "_n", F.when(F.col("_x") >= F.col("_lo"), F.col("_x")).alias("_x")).agg(F.count("*").alias("_k"))
+    run = W.partitionBy(*by, "p").orderBy(F.asc_nulls_first("_x")).rowsBetween(W.unboundedPreceding, -1)
+    d = d.withColumn("_below", F.coalesce(F.sum("_k").over(run), F.lit(0))).withColumn("_at", F.col("p") * (F.col("_n") - 1))
     holds = lambda place: (F.col("_below") <= place) & (place < F.col("_below") + F.col("_k"))
-    low, high = F.floor("_at"), F.ceil("_at")
-    d = d.filter(holds(low) | holds(high))
-    part = F.max(F.col("_at") - low)
-    at = lambda place: F.max(F.when(holds(place), F.col("_x")))
-    return d.groupBy(*by, "p").agg(((1 - part) * at(low) + part * at(high)).alias("value"))
+    return d.groupBy(*by, "p").agg(_picked(F.max("_at"), lambda place: F.max(F.when(holds(place), F.col("_x"))), F.col("_at")).alias("value"))
+
+
+def _picked(place: Column, at, row_place: Column) -> Column:
+    """The value at a place between two rows' values: `at` gives the value whose row holds a place."""
+    part = place - F.floor(place)
+    return (1 - part) * at(F.floor(row_place)) + part * at(F.ceil(row_place))
 
 
-def quantiles(rows: DataFrame, x: str, names: dict[str, float], by: tuple[str, ...] = (), times: str | None = None) -> DataFrame:
+def quantiles(rows: DataFrame, x: str, names: dict[str, float], by: tuple[str, ...] = ()) -> DataFrame:
     """`quantile_table` with a column for each of `names`."""
-    t = quantile_table(rows, x, sorted(set(names.values())), by, times)
+    t = quantile_table(rows, x, sorted(set(names.values())), by)
     return t.groupBy(*by).agg(*[F.max(F.when(F.col("p") == float(q), F.col("value"))).alias(n) for n, q in names.items()])
 
 
@@ -94,7 +133,7 @@ def summary(rows: DataFrame, x: str, by: tuple[str, ...] = ()) -> DataFrame:
     ok = rows.filter(usable(x))
     qs = quantiles(ok, x, {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}, by)
     n = ok.groupBy(*by).agg(F.count("*").alias("n"), F.avg(x).alias("mean"))
-    return n.join(qs, list(by)) if by else n.crossJoin(F.broadcast(qs))  # one row
+    return beside(n, qs, by)
 
 
 def operating_points(rows: DataFrame, score: str, source: str, reference: str, fpr: list[float]) -> DataFrame:
@@ -108,16 +147,26 @@ def operating_points(rows: DataFrame, score: str, source: str, reference: str, f
 def source_report(rows: DataFrame, score: str, source: str, reference: str, fpr: float = 0.05) -> DataFrame:
     """One row per source: songs, failed, q1, median, q3, auroc against the reference, share below its fpr-quantile.
 
-    Rows are counted by source and score once; all else comes from those counts.
+    Rows are counted by source and score once. One ranking of these counts beside the reference's gives
+    quantiles and AUROC of all sources, and the threshold; a second reading of the counts what lies below it.
+    The null source is a source, too; the reference has no AUROC.
     """
     counts = stash(rows.groupBy(source, score).agg(F.count("*").alias("_k")), "score-counts")
-    songs = counts.groupBy(source).agg(F.sum("_k").alias("songs"), F.coalesce(F.sum(F.when(~usable(score), F.col("_k"))), F.lit(0)).alias("failed"))
-    at = quantiles(counts, score, {"q1": 0.25, "median": 0.5, "q3": 0.75, "_cut": fpr}, (source,), "_k")
-    at = stash(at, "quantiles")
+    ok = counts.filter(usable(score)).select(source, clipped(score).alias("_x"), F.col(score).alias("_s"), "_k")
+    sums = counts.groupBy(source).agg(F.sum("_k").alias("songs"), F.coalesce(F.sum(F.when(~usable(score), F.col("_k"))), F.lit(0)).alias("failed"))
+    placed = beside(standings(ok, (), source, "_s", "_k", reference), sums, [source])
+    placed = placed.withColumn("_n", F.col("songs") - F.col("failed")).crossJoin(F.broadcast(_of_reference(ok, (), source, reference)))  # one row
+    holds = lambda place: (F.col("_own") <= place) & (place < F.col("_own") + F.col("_k"))
+
+    def value(q: float) -> Column:
+        place = F.col("_n").cast("double") - 1
+        return _picked(F.max(place) * q, lambda p: F.max(F.when(holds(p), F.col("_x"))), place * q)
+
+    at = placed.groupBy(source).agg(*[value(q).alias(n) for n, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("_cut", fpr))], _auroc(True).alias("auroc"))
+    at = stash(at.withColumn("auroc", F.when(~F.col(source).eqNullSafe(reference), F.col("auroc"))), "source-report")
     cut = F.broadcast(at.filter(F.col(source) == reference).select(F.col("_cut").alias("_t")))  # one row
-    under = counts.filter(usable(score)).crossJoin(cut).groupBy(source).agg((F.sum(F.when(clipped(score) < F.col("_t"), F.col("_k")).otherwise(0)) / F.sum("_k")).alias("below"))
-    ranked = auroc_against(counts, score, source, reference, weight=F.col("_k"))
-    return songs.join(at.drop("_cut"), source, "left").join(ranked, source, "left").join(under, source, "left")
+    under = ok.crossJoin(cut).groupBy(source).agg((F.sum(F.when(F.col("_x") < F.col("_t"), F.col("_k")).otherwise(0)) / F.sum("_k")).alias("below"))
+    return beside(beside(sums, at.drop("_cut"), [source], "left"), under, [source], "left")
 
 
 def pooled(rows: DataFrame, source: str, pools: dict[str, list[str]]) -> DataFrame:

@@ -11,24 +11,26 @@ from pyspark.sql import functions as F
 
 from cohortia.functions.hashing import uniform
 from cohortia.operators.metrics import auroc, auroc_against, quantile
-from cohortia.operators.ranks import numbered
+from cohortia.operators.ranks import beside, numbered
 from cohortia.sources.scratch import stash
 
 
-def multiplicities(units: DataFrame, key: str, reps: int, seed: str, within: str | None = None) -> DataFrame:
-    """(rep, within, key, times): draws with replacement of as many units as there are (within each group).
+def multiplicities(units: DataFrame, key: str, reps: int, seed: str, within: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(rep, within, key, carry..., times): draws with replacement of as many units as there are (within each group).
 
-    Units are numbered in ranges of (group, key), so no task holds all of a group's.
+    Units are numbered in ranges of (group, key), so no task holds all of a group's. With `carry`, columns of
+    the units that come along, `units` has one row for each. Null groups and keys are drawn like others.
     """
     groups = [within] if within else []
-    placed = numbered(units.select(*groups, key).distinct(), [*groups, key], "_at")
+    units = units.select(*groups, key, *carry) if carry else units.select(*groups, key).distinct()
+    placed = numbered(units, [*groups, key], "_at")
     sizes = placed.groupBy(*groups).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
-    placed = placed.join(sizes, groups) if groups else placed.crossJoin(F.broadcast(sizes))  # one row
+    placed = beside(placed, sizes, groups)
     placed = placed.withColumn("_i", F.col("_at") - F.col("_first")).drop("_at", "_first")
     draws = placed.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     at = F.floor(uniform(seed, F.col("rep"), *[F.col(g) for g in groups], F.col("_i")) * F.col("_n"))
     drawn = draws.select("rep", *groups, at.alias("_i")).groupBy("rep", *groups, "_i").agg(F.count("*").alias("times"))
-    return drawn.join(placed.select(*groups, key, "_i"), [*groups, "_i"]).select("rep", *groups, key, "times")
+    return beside(drawn, placed.select(*groups, key, *carry, "_i"), [*groups, "_i"]).select("rep", *groups, key, *carry, "times")
 
 
 def interval(replicates: DataFrame, x: str, by: tuple[str, ...] = (), level: float = 0.95) -> DataFrame:
@@ -41,21 +43,22 @@ def clustered_mean(rows: DataFrame, cluster: str, x: str, reps: int, seed: str,
     """(rep, by, value): means over resampled clusters, from each cluster's sum and count."""
     groups = [by] if by else []
     pieces = rows.groupBy(*groups, cluster).agg(F.sum(x).alias("_s"), F.count(x).alias("_c"))
-    m = multiplicities(pieces, cluster, reps, seed, by)
-    met = m.join(pieces, [*groups, cluster])
-    return met.groupBy("rep", *groups).agg((F.sum(F.col("times") * F.col("_s")) / F.sum(F.col("times") * F.col("_c"))).alias("value"))
+    drawn = multiplicities(pieces, cluster, reps, seed, by, ("_s", "_c"))
+    n = F.sum(F.col("times") * F.col("_c"))
+    return drawn.groupBy("rep", *groups).agg(F.when(n > 0, F.sum(F.col("times") * F.col("_s")) / n).alias("value"))
 
 
 def auroc_replicates(rows: DataFrame, unit: str, score: str, positive: str, reps: int, seed: str) -> DataFrame:
     """(rep, auroc): units are drawn within each side; their rows' scores are weighted."""
     m = multiplicities(rows, unit, reps, seed, positive)
-    return auroc(m.join(rows, [positive, unit]), score, F.col(positive), ("rep",), F.col("times"))
+    return auroc(beside(rows, m, [positive, unit]), score, F.col(positive), ("rep",), F.col("times"))
 
 
 def paired_auroc_replicates(a: DataFrame, b: DataFrame, unit: str, score: str, positive: str, reps: int, seed: str) -> DataFrame:
     """(rep, delta): AUROC of b less a, both under the same draws."""
     m = stash(multiplicities(a, unit, reps, seed, positive), "draws")
-    both = m.join(a.select(positive, unit, F.col(score).alias("_x"), F.lit(0).alias("_of")).unionByName(b.select(positive, unit, F.col(score).alias("_x"), F.lit(1).alias("_of"))), [positive, unit])
+    runs = a.select(positive, unit, F.col(score).alias("_x"), F.lit(0).alias("_of")).unionByName(b.select(positive, unit, F.col(score).alias("_x"), F.lit(1).alias("_of")))
+    both = beside(runs, m, [positive, unit])
     found = auroc(both, "_x", F.col(positive), ("rep", "_of"), F.col("times"))
     of = lambda k: F.max(F.when(F.col("_of") == k, F.col("auroc")))
     return found.groupBy("rep").agg((of(1) - of(0)).alias("delta"))
@@ -66,6 +69,6 @@ def source_auroc_replicates(rows: DataFrame, unit: str, scores: list[str], sourc
 
     Units are drawn within each source.
     """
-    m = multiplicities(rows, unit, reps, seed, source).join(rows, [source, unit])
+    m = beside(rows, multiplicities(rows, unit, reps, seed, source), [source, unit])
     long = m.unpivot(["rep", source, "times"], scores, "score", "_x")
     return auroc_against(long, "_x", source, reference, by=("rep", "score"), weight=F.col("times"))

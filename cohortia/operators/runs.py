@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortia.operators.metrics import auroc, quantiles
+from cohortia.operators.metrics import auroc_against, quantiles
 from cohortia.operators.ranks import numbered
 
 
@@ -69,13 +69,8 @@ def outcome_counts(log: DataFrame, status: str, at: str) -> DataFrame:
 
 
 def probe_matrix(scores: DataFrame, probe: str, source: str, x: str, reference: str) -> DataFrame:
-    """(probe, source, auroc) of every probe on every source against the reference."""
-    counts = scores.groupBy(probe, source, x).agg(F.count("*").alias("_k"))
-    ref = counts.filter(F.col(source) == reference).select(probe, x, "_k")
-    others = counts.filter(F.col(source) != reference)
-    beside = others.select(probe, source).distinct().join(ref, probe)
-    both = others.withColumn("_pos", F.lit(False)).unionByName(beside.withColumn("_pos", F.lit(True)))
-    return auroc(both, x, F.col("_pos"), (probe, source), F.col("_k"))
+    """(probe, source, auroc) of every probe on every source: the chance that the reference scores higher."""
+    return auroc_against(scores, x, source, reference, by=(probe,))
 
 
 def seen_and_transfer(matrix: DataFrame, probe: str, source: str, seen: list[str]) -> DataFrame:

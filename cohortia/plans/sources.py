@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortia.plans.registry import query, table
 from cohortia.sources import catalogue as C
-from cohortia.sources import stores
+from cohortia.sources import stores, versions
 from cohortia.sources.scratch import new_folder
 
 RAW = "CASE WHEN doc_id % 17 = 3 THEN 'x' || doc_id ELSE ' ' || doc_id || ' ' END AS performance, CASE WHEN doc_id % 19 = 4 THEN '' ELSE (doc_id % 97)::VARCHAR END AS work, 'Title \"' || doc_id || '\", part' AS title, source AS artist, CASE WHEN doc_id % 23 = 5 THEN '' ELSE substr(md5(text), 1, 11) END AS video"
@@ -108,11 +108,11 @@ def s7(spark, d):
 
 @query("S8_designation", "SELECT CASE WHEN doc_id % 2 = 0 THEN 'val' ELSE 'test' END AS split, doc_id AS work, min(source) AS source, count(*) AS n_tracks FROM documents GROUP BY 1, 2")
 def s8(spark, d):
+    """One line for each split and some thousand works, so that no row holds a whole split."""
+    works = table(spark, d, "documents").groupBy(F.expr("if(doc_id % 2 = 0, 'val', 'test')").alias("split"), F.col("doc_id").alias("work")).agg(F.min("source").alias("source"), F.count("*").alias("n_tracks"))
     path = new_folder(spark, "designation")
-    works = table(spark, d, "documents").groupBy(F.expr("if(doc_id % 2 = 0, 'val', 'test')").alias("split"), "doc_id").agg(F.struct(F.min("source").alias("source"), F.count("*").alias("n_tracks")).alias("is"))
-    per = works.groupBy("split").agg(F.struct(F.map_from_entries(F.collect_list(F.struct(F.col("doc_id").cast("string"), "is"))).alias("works")).alias("body"))
-    per.agg(F.map_from_entries(F.collect_list(F.struct("split", "body"))).alias("splits")).write.json(path)
-    return C.read_designation(spark, path)
+    C.write_designation(works, path)
+    return C.read_designation(spark, path, lines=True)
 
 
 @query("S9_score_records", "SELECT event_type AS source, user_id AS song, round(min(value), 6) AS low, count(*) AS windows FROM events GROUP BY 1, 2")
@@ -166,11 +166,13 @@ def s14(spark, d):
 
 @query("S15_atomic_sink", "SELECT o_orderkey, o_totalprice, 2 AS version FROM orders")
 def s15(spark, d):
-    """A table that is replaced whole: the old one is there until the new one is committed."""
+    """A table that is replaced whole; the second version is checked, and would be written again if it were broken."""
     path = new_folder(spark, "atomic")
+    make = lambda n: table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.lit(n).alias("version"))
     for n in (1, 2):
-        table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.lit(n).alias("version")).write.mode("overwrite").parquet(path)
-    return spark.read.option("ignoreCorruptFiles", "false").parquet(path)
+        versions.replace(make(n), path)
+    versions.expire(spark, path, seconds=0)
+    return versions.ensure(spark, path, lambda: make(2))
 
 
 @query("S16_sidecar", "SELECT count(*) AS pairs, count(DISTINCT o_custkey) AS works, min(o_totalprice) AS min_score FROM orders WHERE o_totalprice > 1000")

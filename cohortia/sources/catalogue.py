@@ -100,10 +100,22 @@ def shared_terms(history: DataFrame, step: str = "step") -> DataFrame:
     return long.filter(F.col("phase").isin("train", "val")).groupBy("term").agg(F.count_distinct("phase").alias("phases")).filter("phases = 2").select("term")
 
 
-def read_designation(spark: SparkSession, path: str) -> DataFrame:
-    """(split, work, source, n_tracks) of a nested designation file."""
+def write_designation(works: DataFrame, path: str, most: int = 1000) -> None:
+    """Write (split, work, source, n_tracks) as designation lines of about `most` works of a split each.
+
+    Every line is a whole designation object; read together they are one. `work` must be there once a split.
+    """
+    blocks = max(1, -(-works.count() // most))
+    parts = works.groupBy("split", F.pmod(F.xxhash64("work"), F.lit(blocks)).alias("part"))
+    body = F.map_from_entries(F.collect_list(F.struct(F.col("work").cast("string"), F.struct("source", "n_tracks"))))
+    lines = parts.agg(F.struct(body.alias("works")).alias("body"))
+    lines.select(F.create_map("split", "body").alias("splits")).write.json(path)
+
+
+def read_designation(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(split, work, source, n_tracks) of nested designation files, one object a file or, with `lines`, a line."""
     kind = "splits map<string, struct<works: map<string, struct<source: string, n_tracks: bigint>>>>"
-    raw = spark.read.schema(kind).option("multiLine", "true").json(path)
+    raw = spark.read.schema(kind).option("multiLine", str(not lines).lower()).json(path)
     works = raw.select(F.explode("splits").alias("split", "body")).select("split", F.explode("body.works").alias("work", "is"))
     return works.select("split", F.col("work").cast("bigint").alias("work"), F.col("is.source").alias("source"), F.col("is.n_tracks").alias("n_tracks"))
 
