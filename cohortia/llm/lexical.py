@@ -177,11 +177,14 @@ def _rank_block(docs: DataFrame, items: list[tuple[int | None, str | None]], mos
     counts = [Counter({known[w]: k for w, k in c.items()}) for c in texts]
 
     none = [0] * len(items)
-    longest = impacts.orderBy(F.desc("norm"), "row").limit(warm)
-    low: dict[int, list[int]] = {}
-    for item, score in longest.mapInArrow(_search(counts, weights, none, most, bucket), HITS).select("item", "score").collect():
-        low.setdefault(item, []).append(score)
-    bounds = [sorted(low.get(i, []))[-most] if len(low.get(i, [])) >= most else 0 for i in range(len(items))]
+    # About `warm` of the longest vectors, more where many are of one length, searched where they lie.
+    cut = impacts.agg(F.percentile_approx("norm", max(0.0, 1 - warm / max(n_docs, 1)), 10_000)).first()[0]
+    longest = impacts.filter(F.col("norm") >= F.lit(cut)).sortWithinPartitions(F.desc("norm"))
+    best = F.row_number().over(W.partitionBy("item").orderBy(F.desc("score")))
+    tenth = longest.mapInArrow(_search(counts, weights, none, most, bucket), HITS).withColumn("nth", best).filter(F.col("nth") == most)
+    # One number for each item of the block.
+    low = {r.item: r.score for r in tenth.select("item", "score").collect()}
+    bounds = [low.get(i, 0) for i in range(len(items))]
 
     # Equal lengths are parted by row, so copies do not fill one task.
     order = [F.desc("norm"), F.col("row")]
