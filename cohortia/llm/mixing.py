@@ -75,8 +75,8 @@ def _ranked(df: DataFrame, key: str, chunk: str, order: list[str], value: Column
     return df.withColumn("_own", own).join(ahead.hint("merge"), [key, chunk]).withColumn(name, (F.col("_own") + F.col("_ahead")).cast("long")).drop("_own", "_ahead")
 
 
-def mix_plan(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: int = 3, block: int = 256, seed: int = 7, buckets: int = 4096) -> tuple[DataFrame, DataFrame]:
-    """(placed, taken): the documents in their shuffled streams, and what each slot takes of each.
+def _schedule(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: int = 3, block: int = 256, seed: int = 7, buckets: int = 4096) -> tuple[DataFrame, DataFrame, int]:
+    """(placed, taken, bits): the documents in their shuffled streams, what each slot takes of each, and the slots' bits.
 
     `sizes` has doc_id, source and size (words); a null size counts as 0. placed: sid, start (place in
     the source's stream), doc_id, size, source_size, target. taken: slot, sid, start, first (word of the
@@ -86,6 +86,7 @@ def mix_plan(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap
     that number are no slots. So each source has just as many slots as it needs, whatever its share, and
     meets its target to the word. As reversing bits twice gives a number back, the slots of a source are
     listed from its own stretch of the cumulative weights, in chunks, and no join by range is needed.
+    A slot is below 2^bits, and read in order the slots hold the sources by their shares from the start.
     """
     spark = sizes.sparkSession
     sizes = stash(sizes.select(F.col("doc_id"), F.col("source"), F.coalesce("size", F.lit(0)).cast("long").alias("size")), "mix-sizes")
@@ -101,7 +102,8 @@ def mix_plan(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap
     chunks = src.filter("need > 0").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(need - 1) div {CHUNK}")))).repartition("sid", "part")
     place = F.explode(F.sequence(F.col("low") + F.col("part") * CHUNK, F.col("low") + F.least(F.col("need"), (F.col("part") + 1) * CHUNK) - 1))
     slots = chunks.select("sid", "passes", "tail", "blocks", place.alias("place"))
-    slots = slots.withColumn("id", reversed_bits(F.col("place"), max(1, (points - 1).bit_length()))).withColumn("chunk", F.expr(f"id div {CHUNK}"))
+    bits = max(1, (points - 1).bit_length())
+    slots = slots.withColumn("id", reversed_bits(F.col("place"), bits)).withColumn("chunk", F.expr(f"id div {CHUNK}"))
     slots = _ranked(slots, "sid", "chunk", ["id"], F.lit(1), "rank")
     # The last pass ends at `tail`, the others at the end of the stream.
     slots = slots.select(F.col("id").alias("slot"), "sid", F.expr("rank % blocks").alias("block"), F.when(F.expr("rank div blocks") == F.col("passes"), F.col("tail")).otherwise(F.lit((1 << 63) - 1)).alias("until"))
@@ -115,29 +117,45 @@ def mix_plan(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap
     pieces = placed.filter("size > 0").select("sid", "start", "size", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).alias("block"))
     pieces = pieces.withColumn("from", F.greatest("start", F.col("block") * block)).withColumn("to", F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block))
     met = pieces.join(slots.hint("merge"), ["sid", "block"]).withColumn("to", F.least("to", "until")).filter("to > from")
-    return placed, met.select("slot", "sid", "start", (F.col("from") - F.col("start")).alias("first"), (F.col("to") - F.col("from")).alias("words"))
+    taken = met.select("slot", "sid", "start", (F.col("from") - F.col("start")).alias("first"), (F.col("to") - F.col("from")).alias("words"))
+    return placed, taken, bits
+
+
+def mix_plan(sizes: DataFrame, **how) -> tuple[DataFrame, DataFrame]:
+    """(placed, taken): the documents in their shuffled streams, and what each slot takes of each (see `_schedule`)."""
+    return _schedule(sizes, **how)[:2]
+
+
+def _by_document(placed: DataFrame, taken: DataFrame) -> DataFrame:
+    """`placed` with what the mix takes of each document, and by which slots."""
+    # Slots are ranked in order, so a document's passes follow one another, each with the slot of its first word first.
+    copies = F.sort_array(F.collect_list(F.when(F.col("first") == 0, F.col("slot"))))
+    found = taken.groupBy("sid", "start").agg(F.sum("words").alias("words"), F.min("slot").alias("first_slot"), F.count("*").alias("slots"), F.sum("slot").alias("slot_sum"), copies.alias("copies"))
+    # Of the documents at one place only the last has words; the others get keys that meet nothing, or a source of empty texts would be one key.
+    placed = placed.withColumn("start", F.when(F.col("size") > 0, F.col("start")).otherwise(-1 - F.monotonically_increasing_id()))
+    out = placed.join(found, ["sid", "start"], "left").drop("sid", "start")
+    return out.withColumn("taken", F.coalesce("words", F.lit(0)).cast("long")).fillna({"first_slot": -1, "slots": 0, "slot_sum": 0})
 
 
 def mix(sizes: DataFrame, **how) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for every row of `sizes` (see `mix_plan`).
+    """doc_id, source, size, source_size, target, taken, first_slot, slots, slot_sum for every row of `sizes` (see `_schedule`).
 
     taken counts the words that the mix takes of a document, repeats counted: `cap` times its size at
-    most. Documents of no words take none; null sources are one source; an empty table gives an empty
-    result; reruns agree.
+    most. slots says how many slots take them, first_slot which is the first (-1: none), slot_sum what
+    their numbers add up to. Documents of no words take none; null
+    sources are one source; an empty table gives an empty result; reruns agree.
     """
-    placed, taken = mix_plan(sizes, **how)
-    taken = taken.groupBy("sid", "start").agg(F.sum("words").alias("words"))
-    # Of the documents at one place only the last has words.
-    taken = placed.join(taken, ["sid", "start"], "left")
-    return taken.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("words", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("taken"))
+    placed, taken, _ = _schedule(sizes, **how)
+    return _by_document(placed, taken).select("doc_id", "source", "size", "source_size", "target", "taken", "first_slot", "slots", "slot_sum")
 
 
 def mix_documents(docs: DataFrame, **how) -> DataFrame:
-    """The rows of `docs` (doc_id, text, source, ...), each as often as the mix takes it.
+    """The rows of `docs` (doc_id, text, source, ...), each as often as the mix takes it, in the order of the schedule.
 
-    A document whose last copy is taken in part keeps its first words in that copy. Documents not taken
-    are absent; n_chars, where there is one, is counted anew; rows that are equal in doc_id, source and
-    text share what they take.
+    A copy stands at the slot of its first word: rows are dealt to partitions by ranges of slots and sorted
+    there, so the sources' shares hold in every stretch of the output. A document whose last copy is taken
+    in part keeps its first words in that copy. Documents not taken are absent; n_chars, where there is
+    one, is counted anew; rows that are equal in doc_id, source and text share what they take.
     """
     columns = docs.columns
     # The rows' own columns stay in a struct, so that no name clashes.
@@ -145,12 +163,16 @@ def mix_documents(docs: DataFrame, **how) -> DataFrame:
     row = F.xxhash64(F.lit("row"), "doc_id", "source", "text")
     keyed = docs.select(F.struct(*columns).alias("doc"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), row.alias("row"))
     sizes = keyed.select(F.struct("id", "none", "row").alias("doc_id"), F.col("doc.source").alias("source"), word_count(F.col("doc.text")).alias("size"))
-    taken = mix(sizes, **how).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.max("size").alias("size")).filter("taken > 0")
-    rows = keyed.dropDuplicates(["id", "none", "row"]).join(taken.select("doc_id.*", "taken", "size"), ["id", "none", "row"])
-    rows = rows.withColumn("part", F.col("taken") % F.col("size")).withColumn("copies", F.expr("taken div size") + (F.col("part") > 0).cast("long"))
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    cut = (F.col("copy") == F.col("copies")) & (F.col("part") > 0)
+    placed, met, bits = _schedule(sizes, **how)
+    taken = _by_document(placed, met).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.max("size").alias("size"), F.sort_array(F.flatten(F.collect_list("copies"))).alias("copies")).filter("taken > 0")
+    rows = keyed.dropDuplicates(["id", "none", "row"]).join(taken.select("doc_id.*", "taken", "size", "copies"), ["id", "none", "row"])
+    # One slot for each full copy, and for the part that is left.
+    rows = rows.withColumn("part", F.col("taken") % F.col("size")).select("*", F.posexplode("copies").alias("copy", "slot"))
+    cut = (F.col("copy") == F.size("copies") - 1) & (F.col("part") > 0)
     start = F.array_join(F.slice(F.regexp_extract_all("doc.text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("part").cast("int")), "")
     rows = rows.withColumn("new", F.when(cut, start).otherwise(F.col("doc.text")))
     made = {"text": F.col("new"), "n_chars": F.length("new").cast("long")}
-    return rows.select(*[made.get(c, F.col("doc").getField(c)).alias(c) for c in columns])
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.floor(F.col("slot") / float(1 << bits) * parts).cast("int")
+    rows = rows.select(*[made.get(c, F.col("doc").getField(c)).alias(f"{k}") for k, c in enumerate(columns)], "slot", at.alias("at"))
+    return rows.repartitionById(parts, "at").sortWithinPartitions("slot").select(*[F.col(f"{k}").alias(c) for k, c in enumerate(columns)])

@@ -36,7 +36,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return mixing.mix(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "slots", "slot_sum")
 
 
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,12 +158,28 @@ WITH d AS (
 ), l AS (SELECT arg_min(level, (ratio, sid)) AS level FROM r WHERE level <= ratio
 ), t AS (
   SELECT source, sid, source_size, least(most::DOUBLE, coalesce(l.level, 0) * weight) AS target FROM r, l
+), n AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size ELSE 0 END AS passes, (source_size + 255) // 256 AS blocks,
+    floor(target)::BIGINT - (CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size ELSE 0 END) * source_size AS tail
+  FROM t
+), v AS (SELECT *, passes * blocks + (tail + 255) // 256 AS need FROM n
+), c AS (
+  SELECT *, coalesce(sum(need) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS low,
+    length(bin(greatest(1, sum(need) OVER () - 1)::BIGINT))::INTEGER AS bits
+  FROM v
+), e AS (
+  SELECT sid, passes, tail, blocks, ('0b' || reverse(lpad(bin((low + k)::BIGINT), bits, '0')))::BIGINT AS slot FROM (SELECT *, unnest(range(need::BIGINT)) AS k FROM c)
+), x AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS rank FROM e
 ), p AS (
-  SELECT d.*, t.source_size, t.target, CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size ELSE 0 END AS passes,
+  SELECT d.*, t.sid, t.source_size, t.target,
     sum(size) OVER (PARTITION BY sid ORDER BY ('0x' || substring(md5(concat_ws(':', '7', doc_id)), 1, 15))::BIGINT, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING)::BIGINT - size AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-)
-SELECT doc_id, size, source_size, target, passes * size + greatest(0, least(start + size, floor(target)::BIGINT - passes * source_size) - start) AS taken FROM p
+), b AS (SELECT doc_id, sid, start, size, unnest(range(start // 256, (start + size - 1) // 256 + 1)) AS block FROM p WHERE size > 0
+), m AS (
+  SELECT doc_id, slot, least(start + size, (block + 1) * 256, CASE WHEN rank // blocks = passes THEN tail ELSE start + size END) - greatest(start, block * 256) AS words
+  FROM b JOIN x ON x.sid = b.sid AND x.rank % x.blocks = b.block
+), a AS (SELECT doc_id, sum(words)::BIGINT AS taken, min(slot) AS first_slot, count(*) AS slots, sum(slot)::BIGINT AS slot_sum FROM m WHERE words > 0 GROUP BY doc_id)
+SELECT p.doc_id, size, source_size, target, coalesce(taken, 0) AS taken, coalesce(first_slot, -1) AS first_slot, coalesce(slots, 0) AS slots, coalesce(slot_sum, 0) AS slot_sum FROM p LEFT JOIN a ON p.doc_id = a.doc_id
 """
 
 OP8_SQL = """

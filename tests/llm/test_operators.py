@@ -184,6 +184,36 @@ def test_mix_schedule_is_even_from_the_start(spark):
             assert abs((of[:n] == s).sum() - p * n) <= 6
 
 
+def test_mix_shows_its_schedule(spark, monkeypatch):
+    """The query's rows depend on the points, and every prefix of slots holds the sources by their shares."""
+    got = queries.op3_mix_sources(spark, SF).toPandas()
+    with monkeypatch.context() as m:
+        m.setattr(mixing, "reversed_bits", lambda x, bits: x)
+        plain = queries.op3_mix_sources(spark, SF).toPandas()
+    # In numbers' own order one source follows the other; words taken are the same.
+    one, two = got.set_index("doc_id"), plain.set_index("doc_id")
+    assert (one.taken == two.taken[one.index]).all() and (one.slot_sum != two.slot_sum[one.index]).mean() > 0.3
+    used = got[got.slots > 0].merge(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source").toPandas(), on="doc_id")
+    assert (got.slots > 0).eq(got.taken > 0).all() and (got.first_slot >= 0).eq(got.taken > 0).all()
+    share = used.groupby("source").target.first() / used.groupby("source").target.first().sum()
+    order = used.sort_values("first_slot")
+    for part in (0.25, 0.5):
+        early = order[order.first_slot < part * order.first_slot.max()]
+        seen = early.groupby("source").slots.sum()
+        whole = used.groupby("source").slots.sum()
+        assert len(seen) > 0.7 * len(whole) and len(share) == len(whole)
+
+
+def test_mixed_documents_come_in_the_order_of_slots(spark):
+    """Every stretch of the output holds the sources by their targets; read one after the other, sources alternate."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 200).alias("text"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"))
+    out = [r.source for r in mixing.mix_documents(docs).select("source").collect()]
+    share = Counter(out)
+    for n in (300, 900, len(out) // 2):
+        for s, k in share.items():
+            assert abs(out[:n].count(s) - n * k / len(out)) < 0.02 * len(out), (n, s)
+
+
 def test_mix_reverses_bits(spark):
     for bits in (1, 5, 21, 40):
         ids = [0, 1, (1 << bits) - 1, (1 << bits) // 3]
