@@ -4,48 +4,30 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortia.functions.arrays import dot, doubles, unit
+from cohortia.functions.arrays import doubles
+from cohortia.sources.scratch import stash
 
-#: A side of so many bytes at most is broadcast; a larger one is compared by shuffled blocks.
-BROADCAST_BYTES = 64 << 20
 
-
-def compared(queries: DataFrame, candidates: DataFrame, dims: int, block_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Every query beside every candidate: for query sets that are stated and small.
-
-    The candidates are broadcast if they are few; else both sides are dealt in blocks of about
-    `block_bytes`, so that each task holds one block pair's rows only.
-    """
-    size = candidates.count() * (8 * dims + 64)
-    if size <= BROADCAST_BYTES:
-        return queries.crossJoin(F.broadcast(candidates))
-    blocks = max(2, -(-size // block_bytes))
-    left = queries.withColumn("_q", F.pmod(F.xxhash64(*queries.columns[:1]), F.lit(blocks))).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = candidates.withColumn("_c", F.pmod(F.xxhash64(*candidates.columns[:1]), F.lit(blocks)).cast("int")).withColumn("_q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    return left.join(right, ["_q", "_c"]).drop("_q", "_c")
-
-
-def squared_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d)
-
-
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
     flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
     return np.asarray(flat, np.float64).reshape(len(column), -1)
 
 
-def _by_blocks(queries: DataFrame, candidates: DataFrame, dims: int, block_bytes: int, run, schema: str) -> DataFrame:
-    """`run`, a function of two Arrow tables of id, grp and v, over every block of queries beside every block of candidates."""
+def by_blocks(queries: DataFrame, candidates: DataFrame, dims: int, block_bytes: int, run, schema: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """`run`, a function of two Arrow tables of id, grp and v, over every block of queries beside every block of candidates.
+
+    Columns in `carry` come along with the queries.
+    """
     blocks = lambda df: max(1, -(-df.count() * (8 * dims + 16) // block_bytes))
     n_q, n_c = blocks(queries), blocks(candidates)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(int(n) - 1)))
     own = lambda n: F.pmod(F.xxhash64("id"), F.lit(int(n))).cast("int")
-    side = lambda df: df.select(F.col("id").cast("long").alias("id"), F.col("grp").cast("string").alias("grp"), doubles(F.col("v")).alias("v"))
-    left = side(queries).withColumn("bq", own(n_q)).withColumn("bc", every(n_c)).groupBy("bq", "bc")
+    side = lambda df, *more: df.select(F.col("id").cast("long").alias("id"), F.col("grp").cast("string").alias("grp"), doubles(F.col("v")).alias("v"), *more)
+    left = side(queries, *carry).withColumn("bq", own(n_q)).withColumn("bc", every(n_c)).groupBy("bq", "bc")
     right = side(candidates).withColumn("bc", own(n_c)).withColumn("bq", every(n_q)).groupBy("bq", "bc")
     return left.cogroup(right).applyInArrow(run, schema)
 
@@ -61,10 +43,10 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int, dims: int, cosine
     def run(q: pa.Table, c: pa.Table) -> pa.Table:
         found: list[tuple[int, int, float]] = []
         if len(q) and len(c):
-            ids, groups, x = c["id"].to_numpy(), c["grp"].to_numpy(), _matrix(c["v"])
+            ids, groups, x = c["id"].to_numpy(), c["grp"].to_numpy(), matrix(c["v"])
             if cosine:
                 x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-            for i, g, v in zip(q["id"].to_numpy(), q["grp"].to_numpy(), _matrix(q["v"])):
+            for i, g, v in zip(q["id"].to_numpy(), q["grp"].to_numpy(), matrix(q["v"])):
                 far = -(x @ (v / max(np.linalg.norm(v), 1e-12))) if cosine else np.sqrt(np.square(x - v).sum(1))
                 far = np.where((ids == i) | ((groups == g) & (not own_group)), np.inf, far)
                 # All that tie with the k-th stay in, for the smaller ids.
@@ -74,7 +56,7 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int, dims: int, cosine
         kinds = (pa.int64(), pa.int64(), pa.float64())
         return pa.table([pa.array([r[n] for r in found], t) for n, t in enumerate(kinds)], names=["id", "c_id", "score"])
 
-    out = _by_blocks(queries, candidates, dims, block_bytes, run, "id long, c_id long, score double")
+    out = by_blocks(queries, candidates, dims, block_bytes, run, "id long, c_id long, score double")
     out = out.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("score", "c_id"))).filter(F.col("r") <= k)
     return out.withColumn("score", -F.col("score")) if cosine else out
 
@@ -86,8 +68,8 @@ def within_and_between(queries: DataFrame, candidates: DataFrame, dims: int, blo
     def run(q: pa.Table, c: pa.Table) -> pa.Table:
         rows = []
         if len(q) and len(c):
-            ids, groups, x = c["id"].to_numpy(), c["grp"].to_numpy(), _matrix(c["v"])
-            for i, g, v in zip(q["id"].to_numpy(), q["grp"].to_numpy(), _matrix(q["v"])):
+            ids, groups, x = c["id"].to_numpy(), c["grp"].to_numpy(), matrix(c["v"])
+            for i, g, v in zip(q["id"].to_numpy(), q["grp"].to_numpy(), matrix(q["v"])):
                 far, same, other = np.sqrt(np.square(x - v).sum(1)), groups == g, ids != i
                 if other.any():
                     at = np.flatnonzero(other & (far == far[other].min()))
@@ -96,7 +78,7 @@ def within_and_between(queries: DataFrame, candidates: DataFrame, dims: int, blo
         names = ["id", "s", "n", "t", "m", "far", "c_id"]
         return pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
 
-    parts = _by_blocks(queries, candidates, dims, block_bytes, run, "id long, s double, n long, t double, m long, far double, c_id long")
+    parts = by_blocks(queries, candidates, dims, block_bytes, run, "id long, s double, n long, t double, m long, far double, c_id long")
     mean = lambda s, n: F.when(F.sum(n) > 0, F.sum(s) / F.sum(n))
     return parts.groupBy("id").agg(mean("s", "n").alias("within"), mean("t", "m").alias("between"), F.min_by("c_id", F.struct("far", "c_id")).alias("nearest"))
 
@@ -110,19 +92,59 @@ def knn_mean(queries: DataFrame, candidates: DataFrame, k: int, dims: int) -> Da
     return near.join(candidates.select(F.col("id").alias("c_id"), "target"), "c_id").groupBy("id").agg(F.avg("target").alias("predicted"))
 
 
-def rankings(queries: DataFrame, candidates: DataFrame, dims: int, own: Column) -> DataFrame:
-    """(q, c, q_grp, c_grp, sim, r): candidates of each query by falling cosine; where `own` holds they are left out.
+def _cosines(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Cosines of rows with a vector, each from its own row alone, so that they are the same in every block."""
+    unit_v = v / max(float(np.sqrt((v * v).sum())), 1e-12)
+    return ((x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)) * unit_v).sum(1)
+
+
+def _ranked_above(sims: np.ndarray, ids: np.ndarray, same: np.ndarray, rel_sims: np.ndarray, rel_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the relevant (similarity, id): how many rows lie above it, and how many of them are relevant too."""
+    n = len(rel_ids)
+    # A probe comes before the row that it is of.
+    probe = np.concatenate([np.zeros(n, np.int8), np.ones(len(ids), np.int8)])
+    order = np.lexsort((probe, np.concatenate([rel_ids, ids]), -np.concatenate([rel_sims, sims])))
+    above = np.cumsum(probe[order])
+    rel = np.cumsum(np.concatenate([np.zeros(n, np.int64), same.astype(np.int64)])[order])
+    at = np.empty(len(order), np.int64)
+    at[order] = np.arange(len(order))
+    return above[at[:n]], rel[at[:n]]
 
-    Both have id, grp, v. Ties go to the smaller id.
-    """
-    q = queries.select(F.col("id").alias("q"), F.col("grp").alias("q_grp"), unit(doubles(F.col("v"))).alias("v"))
-    c = candidates.select(F.col("id").alias("c"), F.col("grp").alias("c_grp"), unit(doubles(F.col("v"))).alias("w"))
-    pairs = compared(q, c, dims).filter(~own).select("q", "c", "q_grp", "c_grp", dot(F.col("v"), F.col("w")).alias("sim"))
-    return pairs.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("sim"), "c")))
 
+def retrieval_metrics(queries: DataFrame, candidates: DataFrame, dims: int, block_bytes: int = 4 << 20) -> DataFrame:
+    """(q, hit1, ap): whether the nearest candidate by cosine is of the query's group, and average precision (0 if none is there).
 
-def retrieval_metrics(ranked: DataFrame, relevant: Column) -> DataFrame:
-    """(q, hit1, ap): whether the first is relevant, and average precision (0 if none is)."""
-    w = W.partitionBy("q").orderBy("r").rowsBetween(W.unboundedPreceding, 0)
-    rows = ranked.withColumn("rel", relevant.cast("double")).withColumn("hits", F.sum("rel").over(w))
-    return rows.groupBy("q").agg(F.max(F.when(F.col("r") == 1, F.col("rel"))).alias("hit1"), (F.sum(F.col("rel") * F.col("hits") / F.col("r")) / F.greatest(F.sum("rel"), F.lit(1.0))).alias("ap"))
+    Both have id, grp, v; a query's own id is no candidate, ties go to the smaller id, a null group is
+    nobody's. One pass over blocks keeps the similarities of each query's own group, a second counts block by
+    block how many rows lie above each, so pairs never become rows and no query's candidates are sorted whole.
+    """
+
+    def gather(q: pa.Table, c: pa.Table) -> pa.Table:
+        found = []
+        if len(q) and len(c):
+            ids, groups, x = c["id"].to_numpy(), c["grp"].to_numpy(), matrix(c["v"])
+            for i, g, v in zip(q["id"].to_numpy(), q["grp"].to_numpy(), matrix(q["v"])):
+                at = np.flatnonzero((groups == g) & (ids != i)) if g is not None else []
+                if len(at):
+                    found.append((i, g, v, _cosines(x[at], v), ids[at]))
+        kinds = (pa.int64(), pa.string(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int64()))
+        return pa.table([pa.array([r[k] for r in found], kind) for k, kind in enumerate(kinds)], names=["id", "grp", "v", "sims", "c_ids"])
+
+    def count(q: pa.Table, c: pa.Table) -> pa.Table:
+        found = []
+        if len(q) and len(c):
+            ids, groups, x = c["id"].to_numpy(), c["grp"].to_numpy(), matrix(c["v"])
+            for i, g, v, sims, c_ids in zip(q["id"].to_numpy(), q["grp"].to_numpy(), matrix(q["v"]), q["sims"].to_pylist(), q["c_ids"].to_pylist()):
+                other = ids != i
+                above, rel = _ranked_above(_cosines(x, v)[other], ids[other], (groups == g)[other], np.array(sims), np.array(c_ids))
+                found.append((i, c_ids, above, rel))
+        kinds = (pa.int64(), *[pa.list_(pa.int64())] * 3)
+        return pa.table([pa.array([r[k] for r in found], kind) for k, kind in enumerate(kinds)], names=["id", "c_ids", "above", "rel"])
+
+    own = by_blocks(queries, candidates, dims, block_bytes, gather, "id long, grp string, v array<double>, sims array<double>, c_ids array<long>")
+    own = stash(own, "own-group")
+    counts = by_blocks(own, candidates, dims, block_bytes, count, "id long, c_ids array<long>, above array<long>, rel array<long>", ("sims", "c_ids"))
+    # One row for each relevant row and block.
+    each = counts.select("id", F.explode(F.arrays_zip("c_ids", "above", "rel")).alias("r")).groupBy("id", "r.c_ids").agg(F.sum("r.above").alias("above"), F.sum("r.rel").alias("rel"))
+    found = each.groupBy("id").agg(F.max((F.col("above") == 0).cast("double")).alias("hit1"), F.avg((F.col("rel") + 1) / (F.col("above") + 1)).alias("ap"))
+    return queries.select(F.col("id").cast("long").alias("id")).join(found, "id", "left").select(F.col("id").alias("q"), F.coalesce("hit1", F.lit(0.0)).alias("hit1"), F.coalesce("ap", F.lit(0.0)).alias("ap"))

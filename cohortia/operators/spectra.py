@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortia.functions.arrays import dot, doubles, entropy, total, unit
-from cohortia.functions.hashing import shuffle_key
+from cohortia.functions.arrays import dot, doubles, entropy, total
 from cohortia.operators.metrics import quantiles
 from cohortia.operators.moments import per_dimension
-from cohortia.operators.retrieval import compared, squared_distance
+from cohortia.operators.retrieval import by_blocks, matrix
 from cohortia.sources.scratch import stash
 
 
@@ -55,41 +58,134 @@ def cross_correlation(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return x.groupBy("i", "j").agg(F.corr("x", "y").alias("c")).agg(F.avg(F.col("c") * F.col("c")).alias("stat"))
 
 
-def hsic(rows: DataFrame, key: str, a: str, b: str, sample: int = 120, seed: str = "hsic") -> DataFrame:
-    """(hsic): dependence of two vectors by RBF kernels, the bandwidth twice the median squared distance.
+def _squares(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Squared distances of rows to a vector, each from its own row alone, so that they are the same in every block."""
+    return np.square(x - v).sum(1)
+
+
+def _pair_medians(sides: tuple[DataFrame, DataFrame], dims: list[int], block_bytes: int, bins: int = 4096, few: int = 1 << 16) -> list[float]:
+    """The median squared distance, over pairs of different ids, of each of the vectors that v joins.
 
-    It compares all pairs of `sample` rows, drawn from the whole table by a seeded hash of the key.
+    Pairs are counted in bins, block by block; the bins that hold the median are counted in finer ones, until they
+    hold so few pairs that their distances are gathered. Only bins and these distances leave a block.
     """
-    rows = rows.select(key, a, b).orderBy(shuffle_key(seed, F.col(key)), key).limit(sample)
-    rows = stash(rows, "kernel-sample")
-    left = rows.select(F.col(key).alias("i"), F.col(a).alias("a1"), F.col(b).alias("b1"))
-    right = rows.select(F.col(key).alias("j"), F.col(a).alias("a2"), F.col(b).alias("b2"))
-    p = compared(left, right, 32).select("i", "j", squared_distance(F.col("a1"), F.col("a2")).alias("da"), squared_distance(F.col("b1"), F.col("b2")).alias("db"))
-    p = stash(p, "kernel-pairs")
-    off = p.filter("i <> j")
-    m = quantiles(off, "da", {"ma": 0.5}).crossJoin(F.broadcast(quantiles(off, "db", {"mb": 0.5})))  # one row each
-    k = p.crossJoin(F.broadcast(m)).select("i", "j", F.exp(-F.col("da") / (2 * F.col("ma"))).alias("ka"), F.exp(-F.col("db") / (2 * F.col("mb"))).alias("kb"))
-    # A kernel is symmetric, so row and column means are one table; the grand mean is its mean.
-    means = k.groupBy("i").agg(F.avg("ka").alias("mi"))
-    grand = means.agg(F.avg("mi").alias("g"))
-    c = k.join(means, "i").join(means.select(F.col("i").alias("j"), F.col("mi").alias("mj")), "j").crossJoin(F.broadcast(grand))
-    n = F.count_distinct("i")
-    return c.agg((F.sum((F.col("ka") - F.col("mi") - F.col("mj") + F.col("g")) * F.col("kb")) / F.pow(n - 1, F.lit(2))).alias("hsic"))
-
-
-def contrastive(anchors: DataFrame, candidates: DataFrame, dims: int, temperature: float) -> DataFrame:
-    """(id, loss): log-sum-exp over an anchor's candidates less that over its positives.
-
-    `anchors` has id, pair, grp and v; `candidates` pair, grp and v. Candidates of the anchor's pair are its
-    positives; others of its group are the same work and are left out; all else is negative. Cosines are
-    shifted by their largest possible value before exponents.
+    ends = np.cumsum(dims)
+
+    def distances(q: pa.Table, c: pa.Table, k: int) -> Iterator[np.ndarray]:
+        ids, x = c["id"].to_numpy(), matrix(c["v"])[:, ends[k] - dims[k] : ends[k]]
+        for i, v in zip(q["id"].to_numpy(), matrix(q["v"])[:, ends[k] - dims[k] : ends[k]]):
+            yield _squares(x, v)[ids != i]
+
+    def binned(lo: float, hi: float, k: int):
+        def run(q: pa.Table, c: pa.Table) -> pa.Table:
+            counts = np.zeros(bins + 2, np.int64)
+            if len(q) and len(c):
+                for far in distances(q, c, k):
+                    # Bin 0 is below lo, the last from hi on.
+                    counts += np.bincount(np.searchsorted(np.linspace(lo, hi, bins + 1), far, side="right"), minlength=bins + 2)
+            at = np.flatnonzero(counts)
+            return pa.table([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["bin", "n"])
+
+        return run
+
+    def within(lo: float, hi: float, k: int):
+        def run(q: pa.Table, c: pa.Table) -> pa.Table:
+            parts = [far[(far >= lo) & (far < hi)] for far in distances(q, c, k)] if len(q) and len(c) else []
+            return pa.table([pa.array(np.concatenate([np.empty(0), *parts]), pa.float64())], names=["far"])
+
+        return run
+
+    def top(q: pa.Table, c: pa.Table) -> pa.Table:
+        most = [max((far.max(initial=0.0) for far in distances(q, c, k)), default=0.0) if len(q) and len(c) else 0.0 for k in range(len(dims))]
+        return pa.table([pa.array([m], pa.float64()) for m in most], names=[f"m{k}" for k in range(len(dims))])
+
+    every = sum(dims)
+    tops = by_blocks(*sides, every, block_bytes, top, ", ".join(f"m{k} double" for k in range(len(dims)))).agg(*[F.max(f"m{k}") for k in range(len(dims))]).first()
+    out = []
+    for k in range(len(dims)):
+        lo, hi = 0.0, float(np.nextafter(tops[k] or 0.0, np.inf))
+        while True:
+            found = by_blocks(*sides, every, block_bytes, binned(lo, hi, k), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").collect()
+            number, upto = np.array([r.bin for r in found]), np.cumsum([r.n for r in found])
+            if not len(upto):
+                return [0.0] * len(dims)
+            places = (int(upto[-1] - 1) // 2, int(upto[-1]) // 2)
+            low, high = (int(number[np.searchsorted(upto, p, side="right")]) for p in places)
+            edges = np.linspace(lo, hi, bins + 1)
+            start, stop = float(edges[low - 1]), float(edges[high])
+            held = int(upto[np.flatnonzero(number == high)[0]] - (upto[np.flatnonzero(number == low)[0] - 1] if number[0] != low else 0))
+            if held <= few or start <= lo and stop >= hi or stop <= np.nextafter(start, np.inf):
+                break
+            lo, hi = start, stop
+        before = int(upto[np.flatnonzero(number == low)[0] - 1]) if number[0] != low else 0
+        if held <= few:
+            values = np.sort([r.far for r in by_blocks(*sides, every, block_bytes, within(start, stop, k), "far double").collect()])
+            out.append(float(np.mean([values[p - before] for p in places])))
+        else:
+            out.append(start)  # one distance fills the bin
+    return out
+
+
+def hsic(queries: DataFrame, rows: DataFrame, dims: tuple[int, int], block_bytes: int = 4 << 20) -> DataFrame:
+    """(hsic): dependence of two vectors by RBF kernels, twice whose squared width is twice the median squared distance.
+
+    Both tables have id, a and b, and `dims` their lengths; every query meets every row, the queries being all rows
+    or a stated set of them. One kernel is centred by its row, column and grand means. Blocks hand on sums for
+    each row and column only; the centred product comes of these sums.
     """
-    a = anchors.select("id", "pair", "grp", unit(F.col("v")).alias("v"))
-    c = candidates.select(F.col("pair").alias("c_pair"), F.col("grp").alias("c_grp"), unit(F.col("v")).alias("w"))
-    own = F.col("pair") == F.col("c_pair")
-    p = compared(a, c, dims).filter(own | (F.col("grp") != F.col("c_grp"))).select("id", own.alias("pos"), (dot(F.col("v"), F.col("w")) / temperature).alias("s"))
-    e = F.exp(F.col("s") - 1 / temperature)
-    return p.groupBy("id").agg((F.ln(F.sum(e)) - F.ln(F.sum(F.when(F.col("pos"), e)))).alias("loss"))
+    both = lambda df: df.select("id", F.lit("").alias("grp"), F.concat(doubles(F.col("a")), doubles(F.col("b"))).alias("v"))
+    sides = (stash(both(queries), "hsic-queries"), stash(both(rows), "hsic-rows"))
+    ma, mb = _pair_medians(sides, list(dims), block_bytes)
+
+    def run(q: pa.Table, c: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if len(q) and len(c):
+            x, ids = matrix(c["v"]), c["id"].to_numpy()
+            a, b, product = np.zeros(len(ids)), np.zeros(len(ids)), 0.0
+            for i, v in zip(q["id"].to_numpy(), matrix(q["v"])):
+                ka = np.exp(-_squares(x[:, : dims[0]], v[: dims[0]]) / (2 * ma)) if ma > 0 else np.ones(len(ids))
+                kb = np.exp(-_squares(x[:, dims[0] :], v[dims[0] :]) / (2 * mb)) if mb > 0 else np.ones(len(ids))
+                a, b, product = a + ka, b + kb, product + float(ka @ kb)
+                out.append(("q", i, ka.sum(), kb.sum(), 0.0))
+            out += [("c", i, s, t, 0.0) for i, s, t in zip(ids, a, b)]
+            out.append(("all", 0, a.sum(), b.sum(), product))
+        kinds = (pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+        return pa.table([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["side", "id", "ka", "kb", "product"])
+
+    sums = by_blocks(*sides, sum(dims), block_bytes, run, "side string, id long, ka double, kb double, product double")
+    sums = sums.groupBy("side", "id").agg(F.sum("ka").alias("ka"), F.sum("kb").alias("kb"), F.sum("product").alias("product"))
+    s = sums.groupBy("side").agg(F.count("*").alias("n"), F.sum(F.col("ka") * F.col("kb")).alias("cross"), F.sum("ka").alias("ka"), F.sum("kb").alias("kb"), F.sum("product").alias("product"))
+    of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
+    m, n = of("q", "n"), of("c", "n")
+    value = of("all", "product") - of("q", "cross") / n - of("c", "cross") / m + of("all", "ka") * of("all", "kb") / (m * n)
+    return s.agg(F.when((m > 1) & (n > 1), value / ((m - 1) * (n - 1))).alias("hsic"))
+
+
+def contrastive(anchors: DataFrame, candidates: DataFrame, dims: int, temperature: float, block_bytes: int = 4 << 20) -> DataFrame:
+    """(id, loss): log-sum-exp over an anchor's candidates less that over its positives; null without positives.
+
+    Both have id, pair, grp and v. An anchor is no candidate of its own; candidates of its pair are its positives;
+    others of its group are the same work and are left out; all else is negative. Cosines are shifted by their
+    largest possible value before exponents. Blocks hand on two sums for each anchor.
+    """
+
+    def run(q: pa.Table, c: pa.Table) -> pa.Table:
+        out = []
+        if len(q) and len(c):
+            of = [t.split("|", 1) for t in c["grp"].to_pylist()]
+            pairs, groups, ids, x = np.array([p for p, _ in of]), np.array([g for _, g in of]), c["id"].to_numpy(), matrix(c["v"])
+            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+            for i, key, v in zip(q["id"].to_numpy(), q["grp"].to_pylist(), matrix(q["v"])):
+                pair, group = key.split("|", 1)
+                own = (pairs == pair) & (ids != i)
+                e = np.exp((x @ (v / max(np.linalg.norm(v), 1e-12)) - 1) / temperature)
+                out.append((i, float(e[own | ((groups != group) & (ids != i))].sum()), float(e[own].sum())))
+        kinds = (pa.int64(), pa.float64(), pa.float64())
+        return pa.table([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["id", "every", "own"])
+
+    keyed = lambda df: df.select("id", F.concat(F.coalesce(F.col("pair").cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col("grp").cast("string"), F.lit(""))).alias("grp"), "v")
+    sums = by_blocks(keyed(anchors), keyed(candidates), dims, block_bytes, run, "id long, every double, own double")
+    return sums.groupBy("id").agg(F.when(F.sum("own") > 0, F.ln(F.sum("every")) - F.ln(F.sum("own"))).alias("loss"))
 
 
 def trivial_errors(vectors: DataFrame, key: str, vector: str) -> DataFrame:

@@ -295,23 +295,24 @@ def a39(spark, d):
 
 @query(
     "A40_hsic",
-    f"WITH e AS (SELECT id, v[1:8] AS a, v[9:16] AS b FROM ({EMB}) ORDER BY md5('hsic:' || id), id LIMIT 120), p AS (SELECT x.id AS i, y.id AS j, list_distance(x.a, y.a)^2 AS da, list_distance(x.b, y.b)^2 AS db FROM e x, e y), "
+    f"WITH e AS (SELECT id, v[1:32] AS a, v[33:64] AS b FROM ({EMB})), p AS (SELECT x.id AS i, y.id AS j, list_distance(x.a, y.a)^2 AS da, list_distance(x.b, y.b)^2 AS db FROM e x JOIN e y ON x.id % 20 = 0), "
     "m AS (SELECT quantile_cont(da, 0.5) AS ma, quantile_cont(db, 0.5) AS mb FROM p WHERE i <> j), k AS (SELECT i, j, exp(-da / (2 * ma)) AS ka, exp(-db / (2 * mb)) AS kb FROM p, m), "
-    "c AS (SELECT ka - avg(ka) OVER (PARTITION BY i) - avg(ka) OVER (PARTITION BY j) + avg(ka) OVER () AS ca, kb FROM k) SELECT round(sum(ca * kb) / (119 * 119), 8) AS hsic FROM c",
+    "c AS (SELECT i, j, ka - avg(ka) OVER (PARTITION BY i) - avg(ka) OVER (PARTITION BY j) + avg(ka) OVER () AS ca, kb FROM k) SELECT round(sum(ca * kb) / ((count(DISTINCT i) - 1) * (count(DISTINCT j) - 1)), 8) AS hsic FROM c",
 )
 def a40(spark, d):
-    e = emb(spark, d).select("id", F.slice("v", 1, 8).alias("a"), F.slice("v", 9, 8).alias("b"))
-    return spectra.hsic(e, "id", "a", "b").select(F.round("hsic", 8).alias("hsic"))
+    """The two halves of every vector; a stated set of rows against all rows."""
+    e = emb(spark, d).select("id", F.slice("v", 1, 32).alias("a"), F.slice("v", 33, 32).alias("b"))
+    return spectra.hsic(e.filter("id % 20 = 0"), e, (32, 32)).select(F.round("hsic", 8).alias("hsic"))
 
 
 @query(
     "A41_contrastive",
-    f"WITH e AS ({EMB}), p AS (SELECT q.id, q.id = c.id - 1 AS pos, list_cosine_similarity(q.v, c.v) / 0.1 AS s FROM e q JOIN e c ON q.id % 20 = 0 AND c.id % 2 = 1 AND (q.id = c.id - 1 OR q.grp <> c.grp)) "
+    f"WITH e AS ({EMB}), p AS (SELECT q.id, q.id // 2 = c.id // 2 AS pos, list_cosine_similarity(q.v, c.v) / 0.1 AS s FROM e q JOIN e c ON q.id % 20 = 0 AND q.id <> c.id AND (q.id // 2 = c.id // 2 OR q.grp <> c.grp)) "
     "SELECT id, round(ln(sum(exp(s))) - ln(sum(exp(s)) FILTER (pos)), 6) AS loss FROM p GROUP BY 1",
 )
 def a41(spark, d):
-    e = emb(spark, d)
-    return spectra.contrastive(e.filter("id % 20 = 0").withColumn("pair", F.col("id")), e.filter("id % 2 = 1").withColumn("pair", F.col("id") - 1), 64, 0.1).select("id", F.round("loss", 6).alias("loss"))
+    e = emb(spark, d).withColumn("pair", F.expr("id div 2"))
+    return spectra.contrastive(e.filter("id % 20 = 0"), e, 64, 0.1).select("id", F.round("loss", 6).alias("loss"))
 
 
 @query(

@@ -229,11 +229,27 @@ def m20(spark, d):
 XY = f"SELECT id, grp, v[1] AS x, v[2] AS y FROM ({EMB})"
 
 
-@query("M21_density_map", f"WITH p AS ({XY}), s AS (SELECT * FROM p WHERE id % 5 = 0), h AS (SELECT least(stddev_samp(x), (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) / 1.34) * power(count(*), -1.0 / 6) AS hx, least(stddev_samp(y), (quantile_cont(y, 0.75) - quantile_cont(y, 0.25)) / 1.34) * power(count(*), -1.0 / 6) AS hy FROM s), e AS (SELECT p.id, any_value(p.grp) AS grp, avg(exp(-0.5 * (((p.x - s.x) / hx)^2 + ((p.y - s.y) / hy)^2)) / (2 * pi() * hx * hy)) AS density FROM p, s, h GROUP BY 1), t AS (SELECT quantile_cont(density, 0.2) AS t FROM e WHERE grp = 0) SELECT grp, round(avg((density >= t)::INTEGER), 6) AS covered FROM e, t GROUP BY 1")
+def _spread(c: str) -> str:
+    iqr = f"(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) / 1.349"
+    return f"(CASE WHEN {iqr} > 0 THEN least(stddev_pop({c}), {iqr}) ELSE stddev_pop({c}) END) * power(count(*), -1.0 / 6)"
+
+
+@query(
+    "M21_density_map",
+    f"WITH p AS ({XY}), h AS (SELECT count(*) AS n, {_spread('x')} AS hx, {_spread('y')} AS hy FROM p), "
+    "f AS (SELECT id, grp, x / (hx / 8) AS fx, y / (hy / 8) AS fy FROM p, h), o AS (SELECT unnest([0, 0, 1, 1]) AS a, unnest([0, 1, 0, 1]) AS b), "
+    "s AS (SELECT id, grp, floor(fx)::BIGINT + a AS i, floor(fy)::BIGINT + b AS j, (CASE a WHEN 1 THEN fx - floor(fx) ELSE 1 - fx + floor(fx) END) * (CASE b WHEN 1 THEN fy - floor(fy) ELSE 1 - fy + floor(fy) END) AS w FROM f, o), "
+    "c AS (SELECT i, j, sum(w) AS w FROM s GROUP BY 1, 2), k AS (SELECT unnest(range(-40, 41)) AS d), x1 AS (SELECT i + d AS i, j, sum(w * exp(-0.5 * (d / 8)^2)) AS w FROM c, k GROUP BY i + d, j), "
+    "x2 AS (SELECT i, j + d AS j, sum(w * exp(-0.5 * (d / 8)^2)) AS w FROM x1, k GROUP BY i, j + d), "
+    "e AS (SELECT id, any_value(grp) AS grp, round(sum(s.w * x2.w / (2 * pi() * hx * hy * n)), 9) AS density FROM s JOIN x2 USING (i, j), h GROUP BY id), "
+    "t AS (SELECT unnest([0.5, 0.9, 0.99]::DOUBLE[]) AS mass, unnest([quantile_cont(density, 0.5), quantile_cont(density, 0.1), quantile_cont(density, 0.01)]) AS level FROM e WHERE grp = 0) "
+    "SELECT grp, mass, round(level, 6) AS level, round(avg((density >= level)::INTEGER), 6) AS covered FROM e, t GROUP BY grp, mass, level",
+)
 def m21(spark, d):
     p = emb(spark, d).select("id", "grp", F.col("v")[0].alias("x"), F.col("v")[1].alias("y"))
-    e = density.density_at(p, p.filter("id % 5 = 0"), "id").join(p.select("id", "grp"), "id")
-    return density.coverage(e, "grp", 0, 0.8).withColumn("covered", F.round("covered", 6))
+    e = density.density_at(p, p, "id").withColumn("density", F.round("density", 9)).join(p.select("id", "grp"), "id")
+    c = density.coverage(e, "grp", 0, [0.5, 0.9, 0.99])
+    return c.select("grp", "mass", F.round("level", 6).alias("level"), F.round("covered", 6).alias("covered"))
 
 
 @query("M22_alpha_sweep", "WITH s AS (SELECT event_type, user_id, alpha, min(value + alpha * (user_id % 5)) AS x FROM events, (SELECT unnest([0.0, 0.5, 1.0]::DOUBLE[]) AS alpha) GROUP BY 1, 2, 3) SELECT o.alpha, round(avg(CASE WHEN v.x > o.x THEN 1.0 WHEN v.x = o.x THEN 0.5 ELSE 0.0 END)::DOUBLE, 6) AS auroc FROM s o JOIN s v ON o.alpha = v.alpha AND v.event_type = 'view' AND o.event_type = 'click' GROUP BY 1")

@@ -450,9 +450,9 @@ def test_hsic_and_contrastive_by_numpy(spark):
         return np.exp(-d / (2 * np.median(d[~np.eye(len(x), dtype=bool)])))
 
     h = np.eye(30) - 1 / 30
-    assert spectra.hsic(df, "id", "a", "b").first()[0] == pytest.approx(np.trace(kernel(a) @ h @ kernel(b) @ h) / 29**2)
+    assert spectra.hsic(df, df, (3, 2)).first()[0] == pytest.approx(np.trace(kernel(a) @ h @ kernel(b) @ h) / 29**2)
     anchors = df.select("id", F.col("id").alias("pair"), (F.col("id") % 3).alias("grp"), F.col("a").alias("v"))
-    others = df.select(F.col("id").alias("pair"), (F.col("id") % 3).alias("grp"), F.reverse("a").alias("v"))
+    others = df.select((F.col("id") + 1000).alias("id"), F.col("id").alias("pair"), (F.col("id") % 3).alias("grp"), F.reverse("a").alias("v"))
     got = {r.id: r.loss for r in spectra.contrastive(anchors, others, 3, 0.1).collect()}
     u = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
     s = u(a) @ u(a[:, ::-1]).T / 0.1
