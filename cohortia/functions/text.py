@@ -103,31 +103,48 @@ def run_stamp(name: Column) -> Column:
     return F.when(part != "", F.to_timestamp(part, "yyyyMMdd-HHmmss"))
 
 
-CODECS = ("mp3", "opus", "aac", "vorbis")
+#: Codecs that a chain may name, and the sample rates that opus takes.
+CODECS = ("mp3", "opus", "aac")
+OPUS_RATES = (48000, 24000, 16000, 12000, 8000)
 
 
 def codec_chain(spec: Column) -> Column:
-    """Stages of `codec:bitrate[:rate[:channels]]+...` as an array of structs; `none` has none.
+    """Stages of `codec:bitrate[:sample_rate[:channels]]+...` as an array of structs; null, empty and `none` have none.
 
-    Defaults are 44,100 Hz (48,000 for opus) and 2 channels. `codec_chain_ok` tells if a spec is valid.
+    Defaults are 44,100 Hz (48,000 for opus) and 2 channels; spaces around a stage do not count. A stage is
+    `valid` if it has two to four fields, a known codec, whole numbers and, for opus, one of its rates.
     """
 
     def one(part: Column) -> Column:
-        f = F.split(part, ":")
-        rate = F.coalesce(F.get(f, F.lit(2)).try_cast("int"), F.when(f[0] == "opus", F.lit(48_000)).otherwise(F.lit(44_100)))
-        return F.struct(f[0].alias("codec"), F.regexp_extract(F.coalesce(F.get(f, F.lit(1)), F.lit("")), r"^(\d+)k$", 1).try_cast("int").alias("kbps"), rate.alias("sample_rate"), F.coalesce(F.get(f, F.lit(3)).try_cast("int"), F.lit(2)).alias("channels"))
+        f = F.split(F.trim(part), ":", -1)
+        codec = F.get(f, F.lit(0))
+        rate = F.when(F.size(f) > 2, F.get(f, F.lit(2)).try_cast("int")).when(codec == "opus", F.lit(48000)).otherwise(F.lit(44100))
+        channels = F.when(F.size(f) > 3, F.get(f, F.lit(3)).try_cast("int")).otherwise(F.lit(2))
+        known = F.size(f).between(2, 4) & codec.isin(*CODECS) & rate.isNotNull() & channels.isNotNull()
+        valid = known & ((codec != "opus") | rate.isin(*OPUS_RATES))
+        return F.struct(codec.alias("codec"), F.get(f, F.lit(1)).alias("bitrate"), rate.alias("sample_rate"), channels.alias("channels"), F.coalesce(valid, F.lit(False)).alias("valid"))
 
-    parts = F.filter(F.split(spec, "\\+"), lambda p: p != "none")
-    return F.transform(parts, one)
+    none = F.coalesce(F.lower(F.trim(spec)), F.lit("")).isin("", "none")
+    stages = F.transform(F.split(spec, "\\+", -1), one)
+    return F.when(none, F.filter(F.array(one(F.lit(""))), lambda s: s["valid"])).otherwise(stages)
 
 
 def codec_chain_ok(chain: Column) -> Column:
-    return F.forall(chain, lambda s: s["codec"].isin(*CODECS) & s["kbps"].isNotNull() & s["channels"].between(1, 2) & ((s["codec"] != "opus") | (s["sample_rate"] == 48_000)))
+    return F.forall(chain, lambda s: s["valid"])
+
+
+def _stages(chain: Column, between: str) -> Column:
+    return F.transform(chain, lambda s: F.concat_ws(between, s["codec"], s["bitrate"], s["sample_rate"].cast("string"), s["channels"].cast("string")))
+
+
+def codec_name(chain: Column) -> Column:
+    """The canonical spelling with all four fields of each stage; null where there is no stage."""
+    return F.when(F.size(chain) > 0, F.array_join(_stages(chain, ":"), "+"))
 
 
 def codec_slug(chain: Column) -> Column:
-    names = F.transform(chain, lambda s: F.concat(s["codec"], F.coalesce(s["kbps"].cast("string"), F.lit("?"))))
-    return F.when(F.size(chain) == 0, "none").otherwise(F.array_join(names, "-"))
+    """The same for folder names, so that no two chains share one; empty where there is no stage."""
+    return F.array_join(_stages(chain, "-"), "_")
 
 
 def interval_label(low: Column, high: Column, above: str = "real gain", below: str = "real loss", within: str = "within noise") -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortia.operators import metrics, resample
 from cohortia.operators.curate import require_disjoint
+from cohortia.operators.metrics import usable
 from cohortia.sources.scratch import stash
 
 
@@ -81,8 +82,33 @@ def test(songs: DataFrame, seen: DataFrame, key: str, unit: str, source: str, pr
 
 
 def moved_threshold(threshold: float, log_det_from: float, log_det_to: float) -> float:
-    """A log-density threshold of one fit in the units of another."""
-    return threshold + log_det_to - log_det_from
+    """A log-density threshold of one fit in the units of another.
+
+    A fit's log_det, minus the sum of the logarithms of its deviations, turns the log density of its
+    standardised features into that of the features themselves, so the same density has the same sum.
+    """
+    return threshold + log_det_from - log_det_to
+
+
+def fixed_threshold(before: DataFrame, after: DataFrame, key: str, source: str, score: str, reference: str, pools: dict[str, list[str]], fpr: float, log_det_before: float = 0.0, log_det_after: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """A second fit at the first one's threshold: (pool, threshold, fpr, tpr, before_tpr) and flag changes of the reference.
+
+    The threshold is the first fit's fpr-quantile of the reference, in the second fit's units; fpr is what the
+    second fit then flags of the reference, tpr of each pool of sources, and before_tpr what the first flags of the
+    pool at that same fpr. Both have key, source and score; a score that is null or NaN is not flagged.
+    """
+    human = lambda df: df.filter((F.col(source) == reference) & usable(score))
+    cut = metrics.quantile_table(human(before), score, [fpr]).first()
+    if cut is None:
+        raise ValueError(f"no usable score of {reference}")
+    moved = moved_threshold(cut["value"], log_det_before, log_det_after)
+    reached = human(after).agg(F.avg((F.col(score) < moved).cast("double")).alias("fpr")).first()["fpr"]
+    own = metrics.quantile_table(human(before), score, [reached]).first()["value"] if reached is not None else None
+    share = lambda df, t, name: metrics.pooled(df.filter(usable(score)), source, pools).groupBy("pool").agg(F.avg((F.col(score) < F.lit(t)).cast("double")).alias(name))
+    rates = share(after, moved, "tpr").join(share(before, own, "before_tpr"), "pool", "full")
+    rates = rates.select("pool", F.lit(moved).alias("threshold"), F.lit(reached).alias("fpr"), "tpr", "before_tpr")
+    flagged = lambda df, t: df.filter(F.col(source) == reference).select(key, F.coalesce(usable(score) & (F.col(score) < t), F.lit(False)).alias("flagged"))
+    return rates, flag_changes(flagged(before, cut["value"]), flagged(after, moved), key)
 
 
 def flag_changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:

@@ -68,6 +68,23 @@ def outcome_counts(log: DataFrame, status: str, at: str) -> DataFrame:
     return g.select(status, "n", (F.col("n") / F.sum("n").over(all_)).alias("share"), (F.col("n") / (F.max("_b").over(all_) - F.min("_a").over(all_)) * 3600).alias("per_hour"))
 
 
+def progress(log: DataFrame, planned: DataFrame, key: str, outcome: str, at: str) -> DataFrame:
+    """One row: planned, attempted, ok, final, yield, per_hour, remaining, days.
+
+    `outcome` is `ok`, `final` (failed for good) or anything else, to be tried again. The rate is that of
+    attempts over the span of the log; remaining are the planned keys without an ok or final outcome, and days
+    is how long they take at that rate. Null where there is no attempt or no span.
+    """
+    t = F.col(at).cast("timestamp").cast("double")
+    closed = log.filter(F.col(outcome).isin("ok", "final")).select(key).distinct()
+    left = planned.select(key).distinct().join(closed.withColumn("_closed", F.lit(1)), key, "left")
+    left = left.agg(F.count("*").alias("planned"), F.count_if(F.col("_closed").isNull()).alias("remaining"))
+    done = log.agg(F.count("*").alias("attempted"), F.count_if(F.col(outcome) == "ok").alias("ok"), F.count_if(F.col(outcome) == "final").alias("final"), (F.max(t) - F.min(t)).alias("_s"))
+    n = F.col("attempted")
+    both = left.crossJoin(F.broadcast(done)).withColumn("per_hour", F.when(F.col("_s") > 0, n / F.col("_s") * 3600))  # one row each
+    return both.select("planned", "attempted", "ok", "final", F.when(n > 0, F.col("ok") / n).alias("yield"), "per_hour", "remaining", (F.col("remaining") / F.col("per_hour") / 24).alias("days"))
+
+
 def probe_matrix(scores: DataFrame, probe: str, source: str, x: str, reference: str) -> DataFrame:
     """(probe, source, auroc) of every probe on every source: the chance that the reference scores higher."""
     return auroc_against(scores, x, source, reference, by=(probe,))

@@ -205,22 +205,33 @@ def a26(spark, d):
     return variance.pair_dispersion(variance.unit_moments(nested(spark, d), ["work"], "x")).select(F.round("dispersion", 4).alias("dispersion"))
 
 
-@query(
-    "A27_variance_components",
-    f"WITH l AS ({LINES}), r AS (SELECT work, rec, count(*)::DOUBLE AS k, avg(x) AS m, var_pop(x) AS v FROM l GROUP BY 1, 2), win AS (SELECT avg(v * k / (k - 1)) AS windows FROM r WHERE k > 1), "
-    f"rt AS (SELECT *, sum(k) OVER (PARTITION BY work) AS t, count(*) OVER (PARTITION BY work) AS c FROM r), dr AS (SELECT avg(d) AS d_rec FROM (SELECT {DISP.format(k='k', m='m', v='v')} AS d FROM rt WHERE c > 1 GROUP BY work)), "
-    f"u AS (SELECT work, count(*)::DOUBLE AS k, avg(x) AS m, var_pop(x) AS v FROM l GROUP BY 1), ut AS (SELECT *, sum(k) OVER () AS t FROM u), tot AS (SELECT {DISP.format(k='k', m='m', v='v')} AS total FROM ut) "
-    "SELECT round(total - d_rec, 4) AS works, round(d_rec - windows, 4) AS recordings, round(windows, 4) AS windows, round(total, 4) AS total FROM win, dr, tot",
+#: Per-work pieces of the nested components, as CTEs l, r and p; and the components of CTE `q` with weights k by `{by}`.
+PIECES = (
+    f"l AS ({LINES}), r AS (SELECT work, rec, count(*)::DOUBLE AS k, avg(x) AS m, var_pop(x) AS v FROM l GROUP BY 1, 2), "
+    "p0 AS (SELECT work, coalesce(sum(v * k / (k - 1)) FILTER (k > 1), 0) AS ws, count(*) FILTER (k > 1) AS wc, CASE WHEN count(*) > 1 THEN ((count(*) - 1) * (sum(v) + sum(m * m)) - (sum(m)^2 - sum(m * m))) / (count(*)^2 - count(*)) END AS rd FROM r GROUP BY 1), "
+    "pieces AS (SELECT p0.*, avg(x) AS m, var_pop(x) AS v FROM p0 JOIN l USING (work) GROUP BY ALL)"
+)
+COMPONENTS = (
+    "SELECT {by}sum(k * ws) / sum(k * wc) AS windows, sum(k * rd) / sum(k) FILTER (rd IS NOT NULL) AS d_rec, "
+    "(sum(k * v * (t - k)) + sum(k * m * m * (t - k)) - (sum(k * m)^2 - sum((k * m)^2))) / (max(t)^2 - sum(k^2)) AS total FROM q"
 )
+
+
+@query("A27_variance_components", f"WITH {PIECES}, q AS (SELECT *, 1.0::DOUBLE AS k, count(*) OVER () AS t FROM pieces), c AS ({COMPONENTS.format(by='')}) SELECT round(total - d_rec, 4) AS works, round(d_rec - windows, 4) AS recordings, round(windows, 4) AS windows, round(total, 4) AS total FROM c")
 def a27(spark, d):
     c = variance.components(nested(spark, d), "work", "rec", "x")
     return c.select(*[F.round(x, 4).alias(x) for x in c.columns])
 
 
-@query("A28_component_intervals", f"WITH l AS ({LINES}), c AS (SELECT work, avg(x) AS a, var_pop(x) AS v FROM l GROUP BY 1), {draws('c', 'work', 20, 'a28')}, r AS (SELECT rep, sum(times * v) / sum(times) AS v FROM m JOIN c USING (work) GROUP BY 1) SELECT round(quantile_cont(v, 0.025), 4) AS low, round(quantile_cont(v, 0.975), 4) AS high FROM r")
+@query(
+    "A28_component_intervals",
+    f"WITH {PIECES}, {draws('pieces', 'work', 40, 'a28')}, q AS (SELECT rep, pieces.*, times::DOUBLE AS k, sum(times) OVER (PARTITION BY rep)::DOUBLE AS t FROM m JOIN pieces USING (work) UNION ALL SELECT -1, *, 1.0::DOUBLE, count(*) OVER ()::DOUBLE FROM pieces), "
+    f"c AS ({COMPONENTS.format(by='rep, ')} GROUP BY rep), s AS (SELECT rep, unnest(['works', 'recordings', 'windows']) AS level, unnest([total - d_rec, d_rec - windows, windows]) AS variance, total FROM c) "
+    "SELECT level, round(max(variance) FILTER (rep = -1), 4) AS variance, round(max(variance / total) FILTER (rep = -1), 6) AS share, round(quantile_cont(variance / total, 0.025) FILTER (rep >= 0), 6) AS low, round(quantile_cont(variance / total, 0.975) FILTER (rep >= 0), 6) AS high FROM s GROUP BY level",
+)
 def a28(spark, d):
-    pieces = variance.unit_moments(nested(spark, d), ["work"], "x")
-    return resample.interval(resample.clustered_mean(pieces, "work", "var", 20, "a28"), "value").select(F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
+    c = variance.component_intervals(nested(spark, d), "work", "rec", "x", 40, "a28")
+    return c.select("level", F.round("variance", 4).alias("variance"), *[F.round(x, 6).alias(x) for x in ("share", "low", "high")])
 
 
 @query("A29_squared_mean", f"WITH e AS ({EMB}), x AS (SELECT grp, id % 5 AS rec, unnest(range(64)) AS pos, unnest(v) AS x FROM e), u AS (SELECT grp, rec, pos, avg(x) AS a, count(*)::DOUBLE AS k FROM x GROUP BY 1, 2, 3), s AS (SELECT grp, pos, (sum(k * a)^2 - sum(k * k * a * a)) / (sum(k)^2 - sum(k * k)) AS u FROM u GROUP BY 1, 2) SELECT grp, round(sum(u), 6) AS delta2 FROM s GROUP BY 1")
@@ -273,9 +284,10 @@ def a35(spark, d):
     return s.select(*[F.round(c, 6).alias(c) for c in ("effective_rank", "participation", "condition", "top5")], F.col("half").cast("bigint").alias("half"))
 
 
-@query("A36_slot_effects", "WITH f AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem), s AS (SELECT row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice) - 1 AS slot, l_extendedprice - avg(l_extendedprice) OVER (PARTITION BY l_orderkey) AS dev FROM f WHERE n = 4) SELECT slot, round(avg(dev), 4) AS effect, count(*) AS n FROM s GROUP BY 1")
+@query("A36_slot_effects", "WITH f AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem), s AS (SELECT row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice) - 1 AS slot, l_extendedprice - avg(l_extendedprice) OVER (PARTITION BY l_orderkey) AS dev FROM f WHERE n = 4), g AS (SELECT slot, avg(dev) AS effect, count(*) AS n, sum(dev * dev) AS ss FROM s GROUP BY 1) SELECT slot, round(effect, 4) AS effect, n, round(sum(n * effect * effect) OVER () / sum(ss) OVER (), 6) AS explained FROM g")
 def a36(spark, d):
-    return variance.slot_effects(table(spark, d, "lineitem"), "l_orderkey", "l_extendedprice", "l_extendedprice", 4).select(F.col("slot").cast("bigint").alias("slot"), F.round("effect", 4).alias("effect"), "n")
+    s = variance.slot_effects(table(spark, d, "lineitem"), "l_orderkey", "l_extendedprice", "l_extendedprice", 4)
+    return s.select(F.col("slot").cast("bigint").alias("slot"), F.round("effect", 4).alias("effect"), "n", F.round("explained", 6).alias("explained"))
 
 
 @query("A37_outcome_counts", "SELECT event_type AS status, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share, round(count(*) / (epoch(max(max(ts)) OVER ()) - epoch(min(min(ts)) OVER ())) * 3600, 4) AS per_hour FROM events GROUP BY 1")
@@ -283,6 +295,19 @@ def a37(spark, d):
     return runs.outcome_counts(table(spark, d, "events"), "event_type", "ts").select(F.col("event_type").alias("status"), "n", F.round("share", 6).alias("share"), F.round("per_hour", 4).alias("per_hour"))
 
 
+@query(
+    "A37_run_progress",
+    "WITH a AS (SELECT count(*) AS attempted, count(*) FILTER (event_type = 'purchase') AS ok, count(*) FILTER (event_type = 'error') AS final, epoch(max(ts)) - epoch(min(ts)) AS s FROM events), "
+    "k AS (SELECT DISTINCT event_id FROM events WHERE event_type IN ('purchase', 'error')), p AS (SELECT count(*) AS planned, count(*) FILTER (k.event_id IS NULL) AS remaining FROM (SELECT DISTINCT o_orderkey AS key FROM orders) o LEFT JOIN k ON k.event_id = o.key) "
+    "SELECT planned, attempted, ok, final, round(ok / attempted, 6) AS yield, round(attempted / s * 3600, 4) AS per_hour, remaining, round(remaining / (attempted / s * 3600) / 24, 6) AS days FROM a, p",
+)
+def a37_progress(spark, d):
+    """Orders are what is planned, events the attempts at them: purchases succeed, errors are final."""
+    log = table(spark, d, "events").withColumn("class", F.expr("CASE event_type WHEN 'purchase' THEN 'ok' WHEN 'error' THEN 'final' ELSE 'again' END"))
+    r = runs.progress(log, table(spark, d, "orders").select(F.col("o_orderkey").alias("event_id")), "event_id", "class", "ts")
+    return r.select("planned", "attempted", "ok", "final", F.round("yield", 6).alias("yield"), F.round("per_hour", 4).alias("per_hour"), "remaining", F.round("days", 6).alias("days"))
+
+
 @query("A38_recording_deviation", f"WITH r AS (SELECT work, rec, avg(x) AS m FROM ({LINES}) GROUP BY 1, 2), w AS (SELECT *, avg(m) OVER (PARTITION BY work) AS a, count(*) OVER (PARTITION BY work) AS c FROM r) SELECT work, rec, round(m - a, 8) AS deviation FROM w WHERE c > 1")
 def a38(spark, d):
     return variance.recording_deviation(nested(spark, d), "work", "rec", "x").withColumn("deviation", F.round("deviation", 8))

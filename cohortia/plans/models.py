@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortia.functions import arrays as A
 from cohortia.operators import align, density, gaussians, metrics, moments, protocol, resample, retrieval, runs, scoring
-from cohortia.plans.aggregates import SONGS, draws, songs
+from cohortia.plans.aggregates import POOLS, SONGS, draws, songs
 from cohortia.plans.joins import EMB, emb
 from cohortia.plans.registry import query, table
 from cohortia.plans.sequences import sequences
@@ -116,10 +116,29 @@ def m13(spark, d):
     return gaussians.score_shrunk(e, ["id", "grp"], "v", gaussians.fit_shrunk(kept, "v"))
 
 
-@query("M14_flag_changes", f"WITH s AS ({SONGS}) SELECT event_type || user_id AS song, CASE WHEN min < 2 THEN 'no longer' ELSE 'newly' END AS change FROM s WHERE (min < 2) <> (p10 < 8)")
-def m14(spark, d):
+#: Scores under two fits, the second in units of its own; its log_det is 0.75, the first's 0.25.
+FITS = f"s AS ({SONGS}), f AS (SELECT event_type, user_id, ln(1 + min) AS a, 0.9 * ln(1 + p10) - 0.5 AS b FROM s), t AS (SELECT quantile_cont(a, 0.2) AS t FROM f WHERE event_type = 'view'), r AS (SELECT t, t + 0.25 - 0.75 AS moved, avg((b < t + 0.25 - 0.75)::INTEGER) AS fpr FROM f, t WHERE event_type = 'view' GROUP BY t)"
+
+
+def fits(spark, d):
     s = songs(spark, d).withColumn("song", F.concat("event_type", "user_id"))
-    return protocol.flag_changes(s.select("song", (F.col("min") < 2).alias("flagged")), s.select("song", (F.col("p10") < 8).alias("flagged")), "song")
+    before, after = s.withColumn("x", F.ln(1 + F.col("min"))), s.withColumn("x", 0.9 * F.ln(1 + F.col("p10")) - 0.5)
+    return protocol.fixed_threshold(before, after, "song", "event_type", "x", "view", POOLS, 0.2, 0.25, 0.75)
+
+
+@query("M14_flag_changes", f"WITH {FITS} SELECT event_type || user_id AS song, CASE WHEN a < t THEN 'no longer' ELSE 'newly' END AS change FROM f, r WHERE event_type = 'view' AND (a < t) <> (b < moved)")
+def m14(spark, d):
+    return fits(spark, d)[1]
+
+
+@query(
+    "M14_fixed_threshold",
+    f"WITH {FITS}, v AS (SELECT list(a ORDER BY a) AS l, (count(*) - 1) * (SELECT fpr FROM r) AS place FROM f WHERE event_type = 'view'), o AS (SELECT l[floor(place)::BIGINT + 1] * (1 - place + floor(place)) + l[ceil(place)::BIGINT + 1] * (place - floor(place)) AS own FROM v), p AS (SELECT *, unnest(CASE event_type WHEN 'click' THEN ['all', 'dev', 'click'] WHEN 'purchase' THEN ['all', 'dev'] WHEN 'view' THEN [] ELSE ['all'] END) AS pool FROM f) "
+    "SELECT pool, round(any_value(moved), 6) AS threshold, round(any_value(fpr), 6) AS fpr, round(avg((b < moved)::INTEGER), 6) AS tpr, round(avg((a < own)::INTEGER), 6) AS before_tpr FROM p, r, o GROUP BY pool",
+)
+def m14_rates(spark, d):
+    r = fits(spark, d)[0]
+    return r.select("pool", *[F.round(c, 6).alias(c) for c in r.columns[1:]])
 
 
 #: The normal distribution at a column of CTE `x` (z, from 0 to 8), by its series in terms of gamma functions.

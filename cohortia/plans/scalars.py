@@ -69,13 +69,32 @@ def p8(spark, d):
     return e.select("event_id", T.number_or(F.col("x")).alias("value"), T.number_or(F.col("x"), 0).alias("or_zero"))
 
 
-SPEC = "CASE doc_id % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'mp3:64k' WHEN 2 THEN 'opus:160k:48000:2+mp3:64k' WHEN 3 THEN 'flac:1k' ELSE 'opus:96k:44100' END"
-
-
-@query("P9_codec_chains", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'mp364' WHEN 2 THEN 'opus160-mp364' WHEN 3 THEN 'flac1' ELSE 'opus96' END AS slug, (CASE doc_id % 5 WHEN 0 THEN 0 WHEN 2 THEN 2 ELSE 1 END)::INTEGER AS stages, doc_id % 5 < 3 AS ok FROM documents")
+#: A spec for each last digit of an id, with its canonical name, slug, stages and validity.
+SPECS = [
+    ("none", None, "", 0, True),
+    ("mp3:64k", "mp3:64k:44100:2", "mp3-64k-44100-2", 1, True),
+    ("opus:160k+ mp3:64k ", "opus:160k:48000:2+mp3:64k:44100:2", "opus-160k-48000-2_mp3-64k-44100-2", 2, True),
+    ("flac:1k", None, None, 1, False),
+    ("opus:64k:24000", "opus:64k:24000:2", "opus-64k-24000-2", 1, True),
+    ("mp3:64k:22050:1", "mp3:64k:22050:1", "mp3-64k-22050-1", 1, True),
+    (" NONE ", None, "", 0, True),
+    ("", None, "", 0, True),
+    ("opus:96k:44100", None, None, 1, False),
+    ("aac:128k:44100:2:1", None, None, 1, False),
+]
+
+
+def _spec_rows() -> str:
+    lit = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v).lower()
+    return ", ".join(f"({k}, {', '.join(map(lit, row[1:]))})" for k, row in enumerate(SPECS))
+
+
+@query("P9_codec_chains", f"SELECT doc_id, name, slug, stages::INTEGER AS stages, ok FROM documents JOIN (VALUES {_spec_rows()}) t(k, name, slug, stages, ok) ON doc_id % 10 = k")
 def p9(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", T.codec_chain(F.expr(SPEC)).alias("c"))
-    return docs.select("doc_id", T.codec_slug(F.col("c")).alias("slug"), F.size("c").alias("stages"), T.codec_chain_ok(F.col("c")).alias("ok"))
+    spec = F.element_at(F.array(*[F.lit(row[0]) for row in SPECS]), (F.col("doc_id") % 10 + 1).cast("int"))
+    docs = table(spark, d, "documents").select("doc_id", T.codec_chain(spec).alias("c")).withColumn("ok", T.codec_chain_ok(F.col("c")))
+    valid = lambda c: F.when(F.col("ok"), c)
+    return docs.select("doc_id", valid(T.codec_name(F.col("c"))).alias("name"), valid(T.codec_slug(F.col("c"))).alias("slug"), F.size("c").alias("stages"), "ok")
 
 
 @query("P10_bitrate", "SELECT event_id, coalesce(nullif(user_id % 3, 0), event_id % 500) / 1000 AS kbps FROM events")
