@@ -18,18 +18,20 @@ def events(spark, d):
 
 @query("T1_outcome_monitor", "SELECT user_id, arg_max(event_type, event_id) AS status, count(*) AS tries FROM events GROUP BY 1")
 def t1(spark, d):
-    return jobs.finish(jobs.latest_outcomes(events(spark, d), "user_id", "event_id", F.col("event_type")))
+    updates, _ = jobs.run(jobs.latest_outcomes(events(spark, d), "user_id", "event_id", F.col("event_type")), "update")
+    return jobs.latest_update(updates, ["user_id"])
 
 
-@query("T2_soft_blocks", "SELECT time_bucket(INTERVAL 1 DAY, ts)::VARCHAR AS start, count(*) AS tries, count(*) FILTER (event_type = 'error') AS bad FROM events GROUP BY 1 HAVING count(*) >= 20 AND count(*) FILTER (event_type = 'error') > 0.2 * count(*)")
+@query("T2_soft_blocks", "SELECT time_bucket(INTERVAL 1 DAY, ts)::VARCHAR AS start, count(*) AS tries, count(*) FILTER (event_type = 'error') AS bad FROM events GROUP BY 1 HAVING count(*) >= 20 AND count(*) FILTER (event_type = 'error') > 0.2 * count(*) AND time_bucket(INTERVAL 1 DAY, any_value(ts)) + INTERVAL 1 DAY <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)")
 def t2(spark, d):
-    out = jobs.finish(jobs.soft_blocks(events(spark, d), "ts", F.col("event_type") == "error", share=0.2))
+    """Closed days only: what the watermark has not passed yet may still change."""
+    out = jobs.finish(jobs.soft_blocks(events(spark, d), "ts", F.col("event_type") == "error", share=0.2), "append")
     return out.select(F.col("start").cast("string").alias("start"), "tries", "bad")
 
 
-@query("T3_request_rates", "SELECT s::VARCHAR AS start, count(*) AS n FROM (SELECT unnest(list_transform(range(5), lambda k: time_bucket(INTERVAL 60 SECONDS, ts) - to_seconds(60 * k))) AS s FROM events) GROUP BY 1")
+@query("T3_request_rates", "SELECT s::VARCHAR AS start, count(*) AS n FROM (SELECT unnest(list_transform(range(5), lambda k: time_bucket(INTERVAL 60 SECONDS, ts) - to_seconds(60 * k))) AS s FROM events) WHERE s + INTERVAL 300 SECONDS <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM events) GROUP BY 1")
 def t3(spark, d):
-    out = jobs.finish(jobs.request_rates(events(spark, d), "ts"))
+    out = jobs.finish(jobs.request_rates(events(spark, d), "ts"), "append")
     return out.select(F.col("start").cast("string").alias("start"), "n")
 
 
@@ -61,5 +63,5 @@ def t5(spark, d):
 def t6(spark, d):
     path = new_folder(spark, "metrics")
     runs_of_users(spark, d).write.parquet(path)
-    last = jobs.finish(jobs.watch_runs(jobs.read_files(spark, path), "run", "step", "w", "value"), mode="update")
-    return last.groupBy("run").agg(F.max("checks").alias("checks"), F.max_by("converged", "checks").alias("converged"), F.max_by("collapsed", "checks").alias("collapsed"))
+    updates, _ = jobs.run(jobs.watch_runs(jobs.read_files(spark, path), "run", "step", "w", "value"), "update")
+    return jobs.latest_update(updates, ["run"]).select("run", "checks", "converged", "collapsed")
