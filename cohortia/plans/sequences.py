@@ -91,31 +91,92 @@ def q7(spark, d):
     return table(spark, d, "documents").select("doc_id", F.round(uniform("q7", F.col("doc_id")) * F.greatest(F.col("n_chars") - 200, F.lit(0)), 6).alias("start"))
 
 
-@query("Q8_pitch_class_moments", "SELECT user_id AS key, i::INTEGER AS i, j::INTEGER AS j, round(avg((floor(value)::BIGINT % 12 = i)::INTEGER * (floor(value)::BIGINT % 12 = j)::INTEGER), 6) AS m FROM events, range(12) t(i), range(12) s(j) WHERE i <= j GROUP BY 1, 2, 3")
+#: The 90 moments of frames in CTE `f` (key, pc), a pitch class each, by place: 12 means, then products i <= j.
+MOMENTS = (
+    "SELECT {key}, i AS pos, avg((pc = i)::INTEGER) AS value FROM f, range(12) t(i) GROUP BY {key}, i UNION ALL "
+    "SELECT {key}, 12 + i * 12 - i * (i - 1) // 2 + j - i AS pos, avg((pc = i AND pc = j)::INTEGER) AS value FROM f, range(12) t(i), range(12) s(j) WHERE i <= j GROUP BY {key}, i, j"
+)
+FRAMES = "SELECT user_id::VARCHAR AS key, floor(value)::BIGINT % 12 AS pc FROM events"
+
+
+@query("Q8_pitch_class_moments", f"WITH f AS ({FRAMES}) SELECT key, pos::INTEGER AS pos, round(value, 6) AS value FROM ({MOMENTS.format(key='key')})")
 def q8(spark, d):
     f = sequences(spark, d).select("key", F.explode("frames").alias("pc"))
-    return descriptors.second_moments(f, "key", "pc").select(F.col("key").cast("bigint").alias("key"), "i", "j", F.round("m", 6).alias("m"))
+    return descriptors.pitch_class_moments(f, "key", "pc").select("key", F.posexplode("moments").alias("pos", "value")).withColumn("value", F.round("value", 6))
 
 
 def shape_rows() -> str:
     return " UNION ALL ".join(f"SELECT {m} AS minor, {k} AS k, {x} AS w" for m, s in enumerate((descriptors.MAJOR, descriptors.MINOR)) for k, x in enumerate(s))
 
 
-@query("Q9_keys", f"WITH p AS ({PROFILE}), s AS ({shape_rows()}), c AS (SELECT key, minor, t, round(corr(p.x, w), 9) AS fit FROM p, range(12) r(t), s WHERE p.k = (s.k + t) % 12 GROUP BY 1, 2, 3) SELECT key, arg_min(t, (-fit, minor, t))::INTEGER AS tonic, arg_min(minor, (-fit, minor, t)) = 1 AS minor FROM c GROUP BY 1")
+KEYS = f"p AS ({PROFILE}), s AS ({shape_rows()}), c AS (SELECT key, minor, t, round(corr(p.x, w), 9) AS fit FROM p, range(12) r(t), s WHERE p.k = (s.k + t) % 12 GROUP BY 1, 2, 3), k AS (SELECT key, arg_min(t, (-fit, minor, t))::INTEGER AS tonic, arg_min(minor, (-fit, minor, t)) = 1 AS minor FROM c GROUP BY 1)"
+
+
+@query("Q9_keys", f"WITH {KEYS} SELECT key, tonic, minor FROM k")
 def q9(spark, d):
     p = profiles(spark, d).select("key", descriptors.key_of(F.col("p")).alias("k"))
     return p.select("key", "k.tonic", "k.minor")
 
 
-@query("Q10_rolled_to_tonic", f"WITH p AS ({PROFILE}) SELECT key, round(x, 6) AS first FROM p WHERE k = key % 12")
+def keyed_tracks(spark, d):
+    """Each track's sequence with its key."""
+    s = sequences(spark, d)
+    keys = profiles(spark, d).select(F.col("key").cast("string").alias("key"), descriptors.key_of(F.col("p")).alias("k")).select("key", "k.tonic", "k.minor")
+    return s.join(keys, "key")
+
+
+@query(
+    "Q10_rolled_to_tonic",
+    f"WITH {KEYS}, f AS (SELECT user_id AS key, (floor(value)::BIGINT % 12 - tonic + 12) % 12 AS pc FROM events JOIN k ON k.key = user_id) "
+    f"SELECT key, pos::INTEGER AS pos, round(value, 6) AS value FROM ({MOMENTS.format(key='key')}) UNION ALL SELECT key, 90, minor::INTEGER::DOUBLE FROM k",
+)
 def q10(spark, d):
-    return profiles(spark, d).select("key", F.round(descriptors.to_tonic(F.col("p"), (F.col("key") % 12).cast("int"))[0], 6).alias("first"))
+    """All 91 numbers: moments with the tonic first, and the mode."""
+    f = keyed_tracks(spark, d).select("key", "tonic", F.explode("frames").alias("pc")).select("key", descriptors.to_tonic(F.col("pc"), F.col("tonic")).alias("pc"))
+    m = descriptors.pitch_class_moments(f, "key", "pc").join(keyed_tracks(spark, d).select("key", "minor"), "key")
+    values = F.concat("moments", F.array(F.col("minor").cast("int").cast("double")))
+    return m.select(F.col("key").cast("bigint").alias("key"), F.posexplode(values).alias("pos", "value")).withColumn("value", F.round("value", 6))
+
 
+def windows_of_tracks(spark, d):
+    tracks = keyed_tracks(spark, d).withColumn("starts", descriptors.hop_starts(F.col("times"), 30.0, 15.0))
+    return descriptors.described_windows(tracks, 30.0).filter("error IS NULL")
 
-@query("Q11_Q12_window_descriptors", "WITH f AS (SELECT user_id::VARCHAR AS key, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value) AS t FROM events), m AS (SELECT key, max(value) AS last FROM f GROUP BY 1), w AS (SELECT key, k * 15.0::DOUBLE AS start FROM m, range(0, 100) s(k) WHERE k * 15.0 < greatest(15.0, last - 15.0)) SELECT w.key, w.start, count(f.value) >= 4 AS ok, count(f.value) AS n FROM w LEFT JOIN f ON f.key = w.key AND f.value >= w.start AND f.value < w.start + 30 GROUP BY 1, 2")
+
+#: Windows of tracks and the frames inside them, as CTEs w and i; frames keep the order of events, their times are sorted.
+WINDOWS = (
+    "e AS (SELECT user_id AS key, floor(value)::BIGINT % 12 AS pc, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events), "
+    "v AS (SELECT user_id AS key, value AS t, row_number() OVER (PARTITION BY user_id ORDER BY value) AS n FROM events), "
+    "m AS (SELECT key, max(t) AS last FROM v GROUP BY 1), w AS (SELECT key, s.k * 15.0::DOUBLE AS start FROM m, range(0, 200) s(k) WHERE s.k * 15.0 < greatest(15.0, last - 15.0)), "
+    "i AS (SELECT w.key, w.start, e.pc FROM w JOIN v ON v.key = w.key AND v.t >= w.start AND v.t < w.start + 30 JOIN e ON e.key = v.key AND e.n = v.n)"
+)
+
+
+@query("Q11_Q12_window_descriptors", f"WITH {KEYS}, {WINDOWS} SELECT w.key::VARCHAR AS key, w.start, count(pc) >= 4 AS ok, count(pc) AS n, any_value(k.tonic) AS tonic, any_value(k.minor) AS minor, (count(pc) >= 4)::INTEGER * 108 AS spectrum FROM w JOIN k ON k.key = w.key LEFT JOIN i ON i.key = w.key AND i.start = w.start GROUP BY w.key, w.start")
 def q12(spark, d):
-    """Which windows each track has and how many frames fall inside; their spectra are held to numpy in the tests."""
-    return descriptors.describe_windows(sequences(spark, d), 30.0, 15.0).filter("error IS NULL").select("key", "start", "ok", "n")
+    """Which windows each track has, its key, and how many numbers the window's spectrum has; `Q11_patch_spectra` has them."""
+    return windows_of_tracks(spark, d).select("key", "start", "ok", "n", "tonic", "minor", F.greatest(F.size("spectrum"), F.lit(0)).alias("spectrum"))
+
+
+@query(
+    "Q12_window_values",
+    f"WITH {KEYS}, {WINDOWS}, o AS (SELECT i.key, start, pc, tonic, minor FROM i JOIN k ON k.key = i.key QUALIFY count(*) OVER (PARTITION BY i.key, start) >= 4), "
+    f"f AS (SELECT key, start, 'absolute' AS kind, pc FROM o UNION ALL SELECT key, start, 'relative', (pc - tonic + 12) % 12 FROM o) "
+    f"SELECT key::VARCHAR AS key, start, kind, pos::INTEGER AS pos, round(value, 6) AS value FROM ({MOMENTS.format(key='key, start, kind')}) UNION ALL SELECT DISTINCT key::VARCHAR, start, 'relative', 90, minor::INTEGER::DOUBLE FROM o",
+)
+def q12_values(spark, d):
+    """The 90 and 91 numbers of every window that is ok."""
+    w = windows_of_tracks(spark, d).filter("ok")
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("values")) for k in ("absolute", "relative")]))
+    long = w.select("key", "start", kinds.alias("k")).select("key", "start", "k.kind", F.posexplode("k.values").alias("pos", "value"))
+    return long.withColumn("value", F.round("value", 6))
+
+
+@query("Q11_patch_spectra")
+def q11(spark, d):
+    """The 108 numbers of every window that is ok; medians of Fourier magnitudes, held to numpy in the tests."""
+    w = windows_of_tracks(spark, d).filter("ok")
+    return w.select("key", "start", F.posexplode("spectrum").alias("pos", "value"))
 
 
 @query("Q13_pooled_frames", f"SELECT id, (i)::INTEGER AS pos, round(list_avg(v[i * 5 + 1 : i * 5 + 5]), 6) AS x FROM ({EMB}), range(12) t(i)")
@@ -156,7 +217,7 @@ def x3(spark, d):
     return align.align(pairs, s, least=65).filter("error LIKE 'under%'").agg(F.count("*").alias("short"))
 
 
-@query("X4_window_table_function", "SELECT doc_id, s * 500.0::DOUBLE AS start FROM documents, range(0, 1000) t(s) WHERE s * 500 + 1000 <= n_chars")
+@query("X4_window_table_function", "SELECT doc_id, s AS slot, s * 500.0::DOUBLE AS start FROM documents, range(0, 1000) t(s) WHERE s * 500 + 1000 <= n_chars")
 def x4(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.col("n_chars").cast("double").alias("n"))
-    return docs.select("doc_id", F.explode(descriptors.window_starts(F.col("n"), 1000.0, 500.0)).alias("start"))
+    return descriptors.window_table(docs, "n", 1000.0, 500.0).select("doc_id", "slot", "start")

@@ -348,9 +348,44 @@ def test_assets_leave_out_hidden_and_partial_files(spark, tmp_path):
     assert got == {("b", tmp_path.name), ("f", "sub")}
 
 
-def test_window_starts(spark):
-    got = [r[0] for r in spark.createDataFrame([(2500.0,), (999.0,), (1000.0,), (None,)], "d double").select(descriptors.window_starts(F.col("d"), 1000.0, 500.0)).collect()]
-    assert got == [[0.0, 500.0, 1000.0, 1500.0], [], [0.0], []]
+def test_windows_of_a_table_function(spark):
+    df = spark.createDataFrame([("a", 2500.0), ("b", 999.0), ("c", 1000.0), ("d", None)], "k string, d double")
+    got = sorted(map(tuple, descriptors.window_table(df, "d", 1000.0, 500.0).select("k", "slot", "start").collect()))
+    assert got == [("a", 0, 0.0), ("a", 1, 500.0), ("a", 2, 1000.0), ("a", 3, 1500.0), ("c", 0, 0.0)]
+    with pytest.raises(Exception, match="hop must be above 0"):
+        descriptors.window_table(df, "d", 1000.0, 0.0).collect()
+    with pytest.raises(Exception, match="duration is string"):
+        descriptors.window_table(df, "k", 1000.0, 1.0).collect()
+
+
+def test_described_windows_against_numpy(spark):
+    rng = np.random.default_rng(9)
+    x, t = rng.random((60, 12)), np.sort(rng.uniform(0, 100, 60))
+    tracks = [("good", t.tolist(), x.tolist(), [0.0, 40.0, 95.0], 5, True), ("bad", [1.0, 2.0], x[:3].tolist(), [0.0], 0, False), ("none", None, None, [0.0], 0, False)]
+    df = spark.createDataFrame(tracks, "key string, times array<double>, frames array<array<double>>, starts array<double>, tonic int, minor boolean")
+    got = descriptors.described_windows(df, 30.0, patch=8, least=3).select("key", "start", "ok", "n", "absolute", "relative", "spectrum", "error").collect()
+    assert {r.key for r in got if r.error} == {"bad", "none"} and len(got) == 5
+    for r in (r for r in got if r.key == "good"):
+        w = x[(t >= r.start) & (t < r.start + 30)]
+        assert (r.ok, r.n) == (len(w) >= 3, len(w))
+        if not r.ok:
+            assert r.absolute is None and r.spectrum is None
+            continue
+        rolled = w[:, [(k + 5) % 12 for k in range(12)]]
+        for values, frames in ((r.absolute, w), (r.relative, rolled)):
+            assert np.allclose(values[:12], frames.mean(0))
+            assert np.allclose(values[12:90], [np.mean(frames[:, i] * frames[:, j]) for i in range(12) for j in range(i, 12)])
+        assert len(r.relative) == 91 and r.relative[90] == 1.0
+        y = w if len(w) >= 8 else np.concatenate([w] * 8)[:8]
+        want = np.median([np.abs(np.fft.fft2(y[i : i + 8].T)) for i in range(len(y) - 7)], axis=0)[:, :5]
+        assert np.allclose(r.spectrum, want.ravel())
+
+
+def test_moments_of_pitch_classes(spark):
+    x = np.random.default_rng(2).random((50, 12))
+    df = spark.createDataFrame([(i % 2, v.tolist()) for i, v in enumerate(x)], "k int, pc array<double>")
+    for r in descriptors.pitch_class_moments(df, "k", "pc").collect():
+        assert np.allclose(r.moments, descriptors.window_moments(x[r.k :: 2]))
 
 
 def test_catalogue_rows(spark, tmp_path):
