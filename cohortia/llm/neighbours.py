@@ -29,8 +29,8 @@ from cohortia.llm.common import bounded_sample, stash
 class Tree:
     """Centres of all nodes, each node's children, and the leaf number of a node without any.
 
-    A sample of s vectors gives fewer than 2 s / leaf nodes, and each crowded leaf fewer than 2 s' / leaf
-    from its own sample of s': at most some 40,000 nodes by default, whatever the number of vectors indexed.
+    A sample of s vectors gives fewer than 2 s nodes (about s / 20 of spread vectors by default), and so does each
+    leaf that is split again; `search` stops splitting at a stated number of nodes, whatever the number of vectors indexed.
     """
 
     centres: np.ndarray
@@ -134,13 +134,15 @@ def _fetched(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return got["id"].combine_chunks().to_numpy(), _matrix(got["v"].combine_chunks())
 
 
-def _split(indexed: DataFrame, tree: Tree, crowded: int, sample: int, seed: int) -> Tree | None:
+def _split(indexed: DataFrame, tree: Tree, crowded: int, sample: int, seed: int, nodes: int, at_once: int = 64) -> Tree | None:
     """The tree with leaves of over `crowded` vectors split again, each from at most `sample` of its own; None if there are none.
 
-    A leaf's sample is drawn at random, seeded, at a rate set by its count, so repeated rows are no more than
-    others, and its part of the tree is grown in a task of its own. Only centres come to the driver.
+    The `at_once` largest are split, as long as the tree keeps to `nodes` nodes. A leaf's sample is drawn at random,
+    seeded, at a rate set by its count, so repeated rows are no more than others, and its part of the tree is
+    grown in a task of its own. Only centres come to the driver.
     """
-    full = indexed.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > crowded)
+    full = indexed.groupBy("leaf").agg(F.count("*").alias("n"), F.max("far").alias("r")).filter((F.col("n") > crowded) & (F.col("r") > 0))
+    full = full.orderBy(F.desc("n"), "leaf").limit(at_once).select("leaf", "n")
     drawn = indexed.withColumn("u", F.rand(seed)).join(F.broadcast(full), "leaf").filter(F.col("u") * F.col("n") < 1.2 * sample + 30)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -153,7 +155,11 @@ def _split(indexed: DataFrame, tree: Tree, crowded: int, sample: int, seed: int)
     parts: dict[int, list] = {}
     for r in sorted(rows, key=lambda r: (r["leaf"], r["node"])):
         parts.setdefault(r["leaf"], []).append(r)
-    grown = {k: Tree(np.array([r["centre"] for r in p]), [list(r["children"]) for r in p], []) for k, p in parts.items() if len(p) > 1}
+    room, grown = nodes - len(tree.children), {}
+    for k, p in parts.items():
+        if 1 < len(p) <= room:
+            grown[k] = Tree(np.array([r["centre"] for r in p]), [list(r["children"]) for r in p], [])
+            room -= len(p) - 1
     return tree.with_subtrees(grown) if grown else None
 
 
@@ -223,17 +229,18 @@ def route(tree: Tree, query: np.ndarray, visits: int, k: int, held: dict[int, in
 
 
 def search(
-    vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float = 0.98, sample: int = 20_000, calibration: int = 128, block: int = 2048, crowded: int = 1 << 16, id: str = "vec_id", vector: str = "embedding", seed: int = 11
+    vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float = 0.98, sample: int = 20_000, calibration: int = 128, block: int = 2048, crowded: int = 1 << 16, nodes: int = 1 << 16, id: str = "vec_id", vector: str = "embedding", seed: int = 11
 ) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest of all other vectors, by Euclidean distance.
 
     Vectors that `usable` refuses take no part, on either side, nor do queries of another length than the
-    index. Ties go to the smaller id. A query's own id is no candidate; of rows that repeat an id the
-    nearest counts; a query visits leaves until they hold k others, so it gets fewer only where there are
+    index; of query rows that share an id the least vector is searched. Ties go to the smaller id. A query's own id is
+    no candidate; of rows that repeat an id the nearest counts; a query visits leaves until they hold k others, so it gets fewer only where there are
     fewer, then all. An empty side gives no rows.
 
     The tree is fitted on at most `sample` vectors (fewer if those are over 128 MB) and on at most 4096 of
-    each leaf of over `crowded`; visits are calibrated on at most `calibration` queries. Leaves are dealt in
+    each leaf of over `crowded`, round by round until none is crowded or the tree has `nodes` nodes (fewer if those are
+    over 64 MB), which every task holds; leaves crowded even then are searched in parts. Visits are calibrated on at most `calibration` queries. Leaves are dealt in
     lots of about `block` vectors and `block` queries, a crowded leaf in parts; each lot hands on k rows for
     each query.
     """
@@ -259,8 +266,8 @@ def search(
         return stash(points.mapInArrow(leaves, "id long, v array<double>, leaf long, far double"), "ann-index")
 
     indexed = index(tree)
-    deeper = _split(indexed, tree, crowded, 4096, seed)
-    if deeper:
+    most = min(nodes, (64 << 20) // (8 * length))
+    while deeper := _split(indexed, tree, crowded, 4096, seed, most):
         tree, indexed = deeper, index(deeper)
     shared = spark.sparkContext.broadcast(tree)
     wanted = stash(wanted.groupBy("id").agg(F.min("v").alias("v")), "ann-queries")
@@ -294,9 +301,9 @@ def search(
     # Few rows of much work each: dealt out over all cores.
     spread = wanted.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "id")
     routed = stash(spread.mapInArrow(routes, "id long, v array<double>, lot long, p long, leaves array<long>"), "ann-routes")
-    # A row for each leaf, and one for each lot and part.
+    # A row for each leaf; lots and their parts grow with the table, so those are joined as they are.
     of = F.broadcast(spark.createDataFrame([(leaf, lot, parts) for leaf, (lot, parts) in lots.items()], "leaf long, lot long, parts long"))
-    blocks = F.broadcast(routed.groupBy("lot", "p").agg(F.ceil(F.count("*") / block).alias("blocks")))
+    blocks = routed.groupBy("lot", "p").agg(F.ceil(F.count("*") / block).alias("blocks"))
     left = indexed.select("id", "v", "leaf").join(of, "leaf").withColumn("p", F.pmod(F.xxhash64("id", "v"), "parts")).join(blocks, ["lot", "p"])
     left = left.select("id", "v", "leaf", "lot", "p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("r"))
     right = routed.join(blocks, ["lot", "p"]).select("id", "v", "leaves", "lot", "p", F.pmod(F.xxhash64("id"), "blocks").alias("r"))
