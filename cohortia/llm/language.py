@@ -42,16 +42,19 @@ def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     return at, counts[at]
 
 
-def vectors(texts: list[str | None], idf: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(texts), DIMS), np.float32)
-    for i, text in enumerate(texts):
-        if text:
-            at, n = trigrams(text)
-            out[i, at] = (1 + np.log(n)) * idf[at]
+def weighted(counts: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray) -> np.ndarray:
+    """The normalised vectors of texts given by their trigrams and counts."""
+    out = np.zeros((len(counts), DIMS), np.float32)
+    for i, (at, n) in enumerate(counts):
+        out[i, at] = (1 + np.log(n)) * idf[at]
     norm = np.sqrt(np.einsum("ij,ij->i", out, out))
     return out / np.maximum(norm, 1e-12)[:, None]
 
 
+def vectors(texts: list[str | None], idf: np.ndarray) -> np.ndarray:
+    return weighted([trigrams(t or "") for t in texts], idf)
+
+
 @dataclass(frozen=True)
 class Model:
     """Centroids by row, the language of each, the least cosine that is not rejected, and idf.
@@ -125,9 +128,16 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
     # Copies count once, or a text with a third of all rows could fill one task.
     picked = picked.filter(F.col("u") * F.col("n") < 1.5 * sample + 30).dropDuplicates(["lang", "text"])
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(3).to_pylist()
+            parts = [trigrams(t) if has_letter(t) else (np.empty(0, np.int64), np.empty(0, np.int64)) for t in texts]
+            at, n = (pa.array([p[k].astype(np.int32) for p in parts], pa.list_(pa.int32())) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], at, n], names=["lang", "u", "tie", "at", "n"])
+
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        part = pdf.sort_values(["u", "text"]).head(sample)
-        x = vectors([t for t in part["text"] if has_letter(t)], idf)
+        part = pdf.sort_values(["u", "tie"]).head(sample)
+        x = weighted([(at, n) for at, n in zip(part["at"], part["n"]) if len(at)], idf)
         if not len(x):
             return pd.DataFrame({"lang": [], "least": [], "centroid": []})
         c, own = _k_means(x, clusters)
@@ -135,7 +145,9 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
         least = [float(np.quantile(cos[own == j], reject)) if (own == j).any() else 1.0 for j in range(len(c))]
         return pd.DataFrame({"lang": [pdf["lang"].iloc[0]] * len(c), "least": least, "centroid": [v.astype(float).tolist() for v in c]})
 
-    found = picked.groupBy("lang").applyInPandas(cluster, "lang string, least double, centroid array<double>").collect()
+    # A text is at most DIMS counts, however long, before those of a language meet in one task.
+    counts_of = picked.select("lang", "u", F.md5("text").alias("tie"), "text").mapInArrow(counted, "lang string, u double, tie string, at array<int>, n array<int>")
+    found = counts_of.groupBy("lang").applyInPandas(cluster, "lang string, least double, centroid array<double>").collect()
     found = sorted(found, key=lambda r: (r["lang"], r["centroid"]))
     centroids = np.array([r["centroid"] for r in found], np.float32).reshape(-1, DIMS)
     return Model([r["lang"] for r in found], centroids, np.array([r["least"] for r in found]), idf)

@@ -125,9 +125,10 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: fl
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Column, sample: int) -> DataFrame:
     """(text, y) of at most `sample` labelled documents: the first by a hash of doc_id among those where
-    `learn`, an expression of doc_id, holds. Labels that are null are left out; of two, the larger counts.
+    `learn`, an expression of doc_id, holds. Labels that are null or of no document are left out; of two, the larger counts.
     Of rows that share an id one is learned, that of the least text hash."""
     rows = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter(learn & F.col("y").isNotNull() & F.col("doc_id").isNotNull())
+    rows = rows.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     rows = bounded_sample(rows.groupBy("doc_id").agg(F.max("y").alias("y")), "doc_id", sample)
     # At most `sample` rows of 12 bytes.
     met = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")

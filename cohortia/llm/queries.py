@@ -26,7 +26,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs, remainder("doc_id", 4) != 2)
     found = language.identify(docs, model)
-    return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), F.col("guess").alias("lang_pred"), "score", (F.col("lang") != language.UNKNOWN).alias("accepted"))
+    return found.select("doc_id", _held_out(remainder("doc_id", 4) == 2), F.col("guess").alias("lang_pred"), "score", (F.col("lang") != language.UNKNOWN).alias("accepted"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +53,13 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _verdict(quality.score(docs, trees), remainder("doc_id", 5) == 0)
 
 
+def _held_out(condition):
+    """False for a null id, which no label has."""
+    return F.coalesce(condition, F.lit(False)).alias("held_out")
+
+
 def _verdict(scored: DataFrame, held_out) -> DataFrame:
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", _held_out(held_out), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

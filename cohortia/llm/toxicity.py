@@ -81,10 +81,11 @@ def train(rows: list[np.ndarray], y: np.ndarray, passes: int = 4, alpha: float =
     return Weights(at, w[at].astype(np.float32), float(bias))
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", sample: int = 12_000, **how) -> Weights:
-    """Learn from a sample of at most `sample` labelled texts.
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", sample: int = 12_000, sample_bytes: int = 256 << 20, **how) -> Weights:
+    """Learn from a sample of at most `sample` labelled texts and `sample_bytes` bytes of their features.
 
-    Their hashed features, as bytes, are written in parallel and then come to the driver a part at a time.
+    Features, four bytes for each coordinate of a text, are written in parallel; those of the first texts by a hash of
+    them, as many as fit, come to the driver. A text that alone is over the bound is not learned from.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +94,16 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary())], names=["y", "x"])
 
     table = stash(labelled(docs, labels, label, learn, sample).select("y", "text").mapInArrow(run, "y int, x binary"), "toxicity-sample")
-    keyed = sorted(((bytes(r["x"]), r["y"]) for r in table.toLocalIterator()), key=lambda r: (crc32(r[0]), r[1]))
+    hashed = table.withColumn("h", F.xxhash64("x"))
+    held, most = 0, None
+    # One row of 20 bytes for each text of the sample.
+    for r in hashed.select("h", F.length("x").alias("size")).filter(F.length("x") <= sample_bytes).orderBy("h").collect():
+        held += r["size"]
+        if held > sample_bytes:
+            break
+        most = r["h"]
+    fits = hashed.filter((F.length("x") <= sample_bytes) & (F.col("h") <= F.lit(most))) if most is not None else hashed.limit(0)
+    keyed = sorted(((bytes(r["x"]), r["y"]) for r in fits.select("x", "y").toLocalIterator()), key=lambda r: (crc32(r[0]), r[1]))
     return train([np.frombuffer(x, "<i4") for x, _ in keyed], np.array([y for _, y in keyed], float), **how)
 
 

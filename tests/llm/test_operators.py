@@ -504,6 +504,30 @@ def test_quality(spark, docs, labels, odd, none):
     assert quality.keep(odd, trees, 0.0).count() == len(ODD)
 
 
+def test_labels_of_absent_documents_do_not_use_up_the_sample(spark):
+    rows = spark.range(50).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"))
+    marks = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    assert quality.labelled(rows, marks, "quality", F.lit(True), 40).count() == 40
+
+
+def test_toxicity_sample_is_bounded_in_bytes(spark, monkeypatch):
+    """Long texts use up the bound; one that alone exceeds it is not learned from; the same rows in every run."""
+    texts = [" ".join(f"w{i}x{k}" for k in range(3000 if i == 5 else 40)) for i in range(30)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marks = spark.range(30).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda x, y, **how: seen.append(x))
+    for most in (1 << 28, 8000, 8000, 10):
+        toxicity.fit(rows, marks, F.lit(True), sample_bytes=most)
+    sizes = [[r.nbytes for r in s] for s in seen]
+    assert len(sizes[0]) == 30 and 4 < len(sizes[1]) < 30 and sum(sizes[1]) <= 8000 and sizes[1] == sizes[2] and sizes[3] == []
+
+
+def test_held_out_is_false_for_null_ids(spark, tmp_path, monkeypatch):
+    got = spark.createDataFrame([(None,), (1,)], "doc_id long").select(queries._held_out(remainder("doc_id", 4) == 2)).collect()
+    assert {r.held_out for r in got} <= {True, False}
+
+
 def test_labelled_sample_is_bounded_by_ids(spark):
     rows = spark.range(40_000).select((F.col("id") % 10).alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 700).alias("text"))
     marks = spark.range(10).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
@@ -654,6 +678,20 @@ def test_neighbours_split_crowded_leaves_and_read_little_of_clustered_vectors(sp
         assert kept[np.argsort(d, kind="stable")[:11]].all() and kept.mean() < 0.3
 
 
+def test_neighbours_split_leaf_after_leaf_to_a_stated_number_of_nodes(spark):
+    """Leaves are split round by round, also those that a split left crowded, and never beyond the bound; parts of what stays crowded are searched whole."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(0, 1, (3000, 4)), np.tile([[9.0, 9.0, 9.0, 9.0]], (600, 1))])
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    indexed = v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.lit(0).cast("long").alias("leaf"), F.lit(1.0).alias("far"))
+    tree = neighbours.Tree(np.zeros((1, 4)), [[]], [0])
+    assert len(neighbours._split(indexed, tree, 500, 400, 1, 60).children) <= 60
+    assert neighbours._split(indexed, tree, 500, 400, 1, 1) is None
+    for nodes in (40, 4000):
+        got = neighbours.search(v, v.filter("vec_id % 300 = 7"), sample=1200, crowded=150, nodes=nodes).toPandas()
+        assert _brute_recall(x, np.arange(len(x)), got) >= 0.9
+
+
 def test_neighbours_count_an_id_that_repeats_once(spark):
     rows = [(1, [1.0 + i / 100, 0.5]) for i in range(40)] + [(i, [float(i), 0.5]) for i in range(2, 20)] + [(0, [1.0, 0.4])]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
