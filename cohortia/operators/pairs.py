@@ -11,17 +11,25 @@ from cohortia.operators import ranks
 from cohortia.sources.scratch import stash
 
 
-def clique_pairs(items: DataFrame, group: str, key: str) -> DataFrame:
-    """(group, key_a, key_b), key_a < key_b: every unordered pair of a group. For groups of bounded size."""
-    a = items.select(group, F.col(key).alias("key_a"))
-    b = items.select(group, F.col(key).alias("key_b"))
-    return a.join(b, group).filter("key_a < key_b")
+def clique_pairs(items: DataFrame, group: str, key: str, block: int = 512) -> DataFrame:
+    """(group, key_a, key_b), key_a < key_b: every unordered pair of a group.
+
+    A group of more than `block` items is dealt in blocks, each pair of which is a join key of its own, so a
+    large group's pairs are made in many tasks. The result is as long as there are pairs; capped samples and
+    round robins list fewer.
+    """
+    parts = items.groupBy(group).agg(F.ceil(F.count("*") / block).alias("_parts"))
+    rows = ranks.beside(items.select(group, key), parts.filter(F.col(group).isNotNull()), [group])
+    own = rows.withColumn("_own", F.pmod(F.xxhash64(key), "_parts"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))
+    a = own.select(group, F.col(key).alias("key_a"), F.col("_own").alias("_a"), every.alias("_b"))
+    b = own.select(group, F.col(key).alias("key_b"), F.col("_own").alias("_b"), every.alias("_a"))
+    return a.join(b, [group, "_a", "_b"]).filter("key_a < key_b").drop("_a", "_b")
 
 
 def numbered(items: DataFrame, group: str, key: str, seed: str) -> DataFrame:
     """(group, key, i, n): places from 0 in the group's shuffled order, and the group's size."""
-    w = W.partitionBy(group).orderBy(shuffle_key(seed, F.col(group), F.col(key)), key)
-    return items.select(group, key, (F.row_number().over(w) - 1).cast("bigint").alias("i"), F.count("*").over(W.partitionBy(group)).alias("n"))
+    return ranks.places(items.select(group, key), [group], [shuffle_key(seed, F.col(group), F.col(key)), key], "i", "n").select(group, key, "i", "n")
 
 
 def _looked_up(slots: DataFrame, places: DataFrame, group: str, key: str) -> DataFrame:

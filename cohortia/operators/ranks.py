@@ -38,6 +38,19 @@ def beside(rows: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "
     return rows.join(groups.withColumnsRenamed(names), met, how).drop(*names.values())
 
 
+def places(rows: DataFrame, groups: Sequence[str], order: Sequence[str | Column], name: str, size: str | None = None) -> DataFrame:
+    """Adds each row's place in its group, from 0, by a total order, and with `size` the group's number of rows.
+
+    A group may hold any share of the table: rows are numbered in ranges of (group, order), so its rows lie in as many
+    tasks as they need, and a place is the number less that of the group's first row. Null groups are groups.
+    """
+    keys = {f"_o{i}": F.col(c) if isinstance(c, str) else c for i, c in enumerate(order)}
+    placed = numbered(rows.select("*", *[c.alias(n) for n, c in keys.items()]), [*groups, *keys], "_at").drop(*keys)
+    firsts = placed.groupBy(*groups).agg(F.min("_at").alias("_at_first"), F.count("*").alias("_in_group"))
+    out = beside(placed, firsts, groups).withColumn(name, F.col("_at") - F.col("_at_first"))
+    return (out.withColumn(size, F.col("_in_group")) if size else out).drop("_at", "_at_first", "_in_group")
+
+
 def in_ranges(rows: DataFrame, order: str, name: str, buckets: int | None = None) -> DataFrame:
     """Adds the number of a row's range: `order` is cut at quantiles of the whole table, by default once for each shuffle partition."""
     n = buckets or max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortia.functions.hashing import shuffle_key, uniform
-from cohortia.operators.ranks import numbered
+from cohortia.operators.ranks import beside, numbered, places
 
 
 def nested_fractions(works: DataFrame, work: str, order: list[str | Column], block: int, seed: str) -> DataFrame:
@@ -44,10 +44,15 @@ def best_source(counts: DataFrame, work: str, source: str, n: str, ordinal: str,
 
 
 def capped(rows: DataFrame, group: str, key: str, first: Column, cap: int, seed: str) -> DataFrame:
-    """All rows where `first` holds, even over the cap, then others by hash up to `cap`."""
-    w = W.partitionBy(group).orderBy(F.desc("_f"), shuffle_key(seed, F.col(key)), key)
-    out = rows.withColumn("_f", first).withColumn("_r", F.row_number().over(w))
-    return out.filter(F.col("_f") | (F.col("_r") <= cap)).drop("_f", "_r")
+    """All rows where `first` holds, even over the cap, then others by hash up to `cap`.
+
+    Of the others each task hands on `cap` of a group at most.
+    """
+    always = F.coalesce(first, F.lit(False))
+    others = rows.filter(~always).withColumn("_r", F.row_number().over(W.partitionBy(group).orderBy(shuffle_key(seed, F.col(key)), key))).filter(F.col("_r") <= cap)
+    taken = rows.filter(always).groupBy(group).agg(F.count("*").alias("_taken"))
+    others = beside(others, taken, [group], "left").filter(F.col("_r") <= cap - F.coalesce("_taken", F.lit(0)))
+    return rows.filter(always).unionByName(others.drop("_r", "_taken"))
 
 
 def extendable(rows: DataFrame, by: str, key: str, n: int, seed: str, skip: int = 0) -> DataFrame:
@@ -58,8 +63,7 @@ def extendable(rows: DataFrame, by: str, key: str, n: int, seed: str, skip: int
 
 def interleaved(rows: DataFrame, by: str, order: str) -> DataFrame:
     """Rows with `turn`: the first of each source, then the second of each, and so on."""
-    r = rows.withColumn("_r", F.row_number().over(W.partitionBy(by).orderBy(order)))
-    return numbered(r, ["_r", by], "turn").withColumn("turn", F.col("turn") + 1).drop("_r")
+    return numbered(places(rows, [by], [order], "_r"), ["_r", by], "turn").withColumn("turn", F.col("turn") + 1).drop("_r")
 
 
 def chunked(rows: DataFrame, group: str, order: str, cap: int) -> DataFrame:
@@ -74,11 +78,9 @@ def sharded(groups: DataFrame, group: str, n: int) -> DataFrame:
 
 def held_out_groups(rows: DataFrame, by: str, group: str, fraction: float, seed: str) -> DataFrame:
     """Rows with `val`: of each source's groups the first by hash, a fraction, at least one and not all."""
-    g = rows.select(by, group).distinct()
-    w = W.partitionBy(by)
-    g = g.withColumn("_r", F.row_number().over(w.orderBy(shuffle_key(seed, F.col(by), F.col(group)), group))).withColumn("_n", F.count("*").over(w))
+    g = places(rows.select(by, group).distinct(), [by], [shuffle_key(seed, F.col(by), F.col(group)), group], "_r", "_n")
     take = F.greatest(F.lit(1), F.least(F.col("_n") - 1, F.bround(F.col("_n") * fraction).cast("bigint")))
-    return rows.join(g.select(by, group, (F.col("_r") <= take).alias("val")), [by, group])
+    return beside(rows, g.select(by, group, (F.col("_r") < take).alias("val")), [by, group])
 
 
 def one_per_group(rows: DataFrame, group: str, key: str, n: int, seed: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cohortia.functions.arrays import dot, doubles, entropy, total
 from cohortia.operators.metrics import quantiles
-from cohortia.operators.moments import per_dimension
+from cohortia.operators.moments import BLOCK, covariance_blocks, per_dimension
 from cohortia.operators.retrieval import by_blocks, matrix
 from cohortia.sources.scratch import stash
 
@@ -51,11 +51,14 @@ def spectrum_stats(values: DataFrame, lam: str, tie: str) -> DataFrame:
     )
 
 
-def cross_correlation(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """(stat): mean squared entry of the correlation matrix between two vectors."""
-    x = pairs.select(F.posexplode(doubles(F.col(a))).alias("i", "x"), F.col(b).alias("_b"))
-    x = x.select("i", "x", F.posexplode(doubles(F.col("_b"))).alias("j", "y"))
-    return x.groupBy("i", "j").agg(F.corr("x", "y").alias("c")).agg(F.avg(F.col("c") * F.col("c")).alias("stat"))
+def cross_correlation(pairs: DataFrame, a: str, b: str, dims: int) -> DataFrame:
+    """(stat): mean squared entry of the correlation matrix between two vectors, the first of `dims`; dimensions without variance give none."""
+    blocks = covariance_blocks(pairs, F.concat(doubles(F.col(a)), doubles(F.col(b))))
+    entries = blocks.select("i", "b", F.posexplode("values").alias("k", "c")).select("i", (F.col("b") * BLOCK + F.col("k")).alias("j"), "c")
+    entries = stash(entries.filter((F.col("i") == F.col("j")) | ((F.col("i") < dims) & (F.col("j") >= dims))), "cross-covariance")
+    own = entries.filter("i = j AND c > 0")
+    met = entries.filter("i <> j").join(own.select("i", F.col("c").alias("vi")), "i").join(own.select("j", F.col("c").alias("vj")), "j")
+    return met.agg(F.avg(F.col("c") * F.col("c") / (F.col("vi") * F.col("vj"))).alias("stat"))
 
 
 def _squares(x: np.ndarray, v: np.ndarray) -> np.ndarray:

@@ -240,15 +240,15 @@ def a29(spark, d):
     return variance.squared_mean(units, ["grp"], "pos", "mean", "n").select("grp", F.round("delta2", 6).alias("delta2"))
 
 
-@query("A30_covariance", f"WITH x AS (SELECT id, unnest(range(8)) AS p, unnest(v[1:8]) AS x FROM ({EMB})) SELECT a.p::INTEGER AS i, b.p::INTEGER AS j, round(covar_samp(a.x, b.x), 6) AS cov FROM x a JOIN x b USING (id) WHERE a.p <= b.p GROUP BY 1, 2")
+@query("A30_covariance", f"WITH x AS (SELECT id, unnest(range(64)) AS p, unnest(v) AS x FROM ({EMB})) SELECT a.p::INTEGER AS i, b.p::INTEGER AS j, round(covar_samp(a.x, b.x), 6) AS cov FROM x a JOIN x b USING (id) WHERE a.p <= b.p GROUP BY 1, 2")
 def a30(spark, d):
-    return moments.covariance_table(emb(spark, d).withColumn("v", F.slice("v", 1, 8)), "v").select("i", "j", F.round("cov", 6).alias("cov"))
+    return moments.covariance_table(emb(spark, d), "v").select("i", "j", F.round("cov", 6).alias("cov"))
 
 
-@query("A30_covariance_gram", f"WITH x AS (SELECT id, unnest(range(64)) AS p, unnest(v) AS x FROM ({EMB})) SELECT a.p AS i, b.p AS j, round(covar_samp(a.x, b.x), 6) AS cov FROM x a JOIN x b USING (id) WHERE a.p <= b.p AND a.p < 16 AND b.p < 16 GROUP BY 1, 2")
+@query("A30_covariance_gram", f"WITH x AS (SELECT id, unnest(range(64)) AS p, unnest(v) AS x FROM ({EMB})) SELECT a.p AS i, b.p AS j, round(covar_samp(a.x, b.x), 6) AS cov FROM x a JOIN x b USING (id) WHERE a.p <= b.p GROUP BY 1, 2")
 def a30b(spark, d):
     _, _, cov = moments.mean_and_covariance(emb(spark, d), "v")
-    return spark.createDataFrame([(i, j, round(float(cov[i, j]), 6)) for i in range(16) for j in range(i, 16)], "i bigint, j bigint, cov double")
+    return spark.createDataFrame([(i, j, round(float(cov[i, j]), 6)) for i in range(64) for j in range(i, 64)], "i bigint, j bigint, cov double")
 
 
 @query("A31_layer_moments", f"WITH x AS (SELECT id, unnest(range(64)) AS p, unnest(v) AS x FROM ({EMB})) SELECT p // 16 AS layer, p % 16 AS pos, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS sd FROM x GROUP BY 1, 2")
@@ -313,9 +313,10 @@ def a38(spark, d):
     return variance.recording_deviation(nested(spark, d), "work", "rec", "x").withColumn("deviation", F.round("deviation", 8))
 
 
-@query("A39_cross_correlation", f"WITH x AS (SELECT id, unnest(range(16)) AS p, unnest(v[1:16]) AS x FROM ({EMB})) SELECT round(avg(c * c), 6) AS stat FROM (SELECT corr(a.x, b.x) AS c FROM x a JOIN x b USING (id) WHERE a.p < 8 AND b.p >= 8 GROUP BY a.p, b.p)")
+@query("A39_cross_correlation", f"WITH x AS (SELECT id, unnest(range(64)) AS p, unnest(v) AS x FROM ({EMB})) SELECT round(avg(c * c), 6) AS stat FROM (SELECT corr(a.x, b.x) AS c FROM x a JOIN x b USING (id) WHERE a.p < 32 AND b.p >= 32 GROUP BY a.p, b.p)")
 def a39(spark, d):
-    return spectra.cross_correlation(emb(spark, d).select(F.slice("v", 1, 8).alias("a"), F.slice("v", 9, 8).alias("b")), "a", "b").select(F.round("stat", 6).alias("stat"))
+    halves = emb(spark, d).select(F.slice("v", 1, 32).alias("a"), F.slice("v", 33, 32).alias("b"))
+    return spectra.cross_correlation(halves, "a", "b", 32).select(F.round("stat", 6).alias("stat"))
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortia.functions import arrays as A
-from cohortia.operators import align, density, gaussians, metrics, moments, protocol, resample, retrieval, runs, scoring
+from cohortia.operators import align, density, gaussians, metrics, moments, probe, protocol, resample, retrieval, runs, scoring
 from cohortia.plans.aggregates import POOLS, SONGS, draws, songs
 from cohortia.plans.joins import EMB, emb
 from cohortia.plans.registry import query, table
@@ -51,13 +51,23 @@ def m5(spark, d):
     return gaussians.pca_2d(emb(spark, d), ["id", "grp"], "v")[0]
 
 
-@query("M6_mix_moments", f"WITH m AS (SELECT id, unnest(range(16)) AS p, unnest(list_transform(range(1, 17), lambda i: 0.2 * v[i] + 0.3 * v[i + 16] + 0.5 * v[i + 32])) AS x FROM ({EMB})), s AS (SELECT p, avg(x) AS m, var_samp(x) AS v FROM m GROUP BY 1) SELECT p AS pos, round(m, 6) AS mean, round(v, 6) AS var FROM s")
-def m6(spark, d):
-    import numpy as np
+#: Weights of the four layers of 16 that a vector of 64 is taken as.
+LAYERS = (0.1, 0.2, 0.3, 0.4)
+
 
-    _, mu, cov = moments.mean_and_covariance(emb(spark, d).withColumn("v", F.slice("v", 1, 48)), "v")
-    m, c = gaussians.mix_moments(mu, cov, np.array([0.2, 0.3, 0.5]))
-    return spark.createDataFrame([(i, round(float(m[i]), 6), round(float(c[i, i]), 6)) for i in range(16)], "pos bigint, mean double, var double")
+@query(
+    "M6_mix_moments",
+    f"WITH m AS (SELECT id, unnest(range(16)) AS p, unnest(list_transform(range(1, 17), lambda i: 0.1 * v[i] + 0.2 * v[i + 16] + 0.3 * v[i + 32] + 0.4 * v[i + 48])) AS x FROM ({EMB})) "
+    "SELECT a.p AS i, b.p AS j, round(covar_samp(a.x, b.x), 6) AS cov, round(avg(a.x), 6) AS mean FROM m a JOIN m b USING (id) GROUP BY 1, 2",
+)
+def m6(spark, d):
+    """The whole covariance of a mix of layers, from the layers' joint covariance as a table of blocks, and its means."""
+    e = emb(spark, d)
+    n, total = moments.vector_sums(e, "v")
+    means = [float(sum(w * total[16 * k + i] for k, w in enumerate(LAYERS)) / n) for i in range(16)]
+    cov = moments.mixed_covariance(moments.covariance_blocks(e, "v"), list(LAYERS), 16)
+    mean = F.element_at(F.array(*[F.lit(m) for m in means]), (F.col("i") + 1).cast("int"))
+    return cov.select(F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), F.round("cov", 6).alias("cov"), F.round(mean, 6).alias("mean"))
 
 
 def lda(spark, d):
@@ -232,11 +242,9 @@ def m18(spark, d):
 
 @query("M19_linear_probe")
 def m19(spark, d):
-    e = emb(spark, d).withColumn("y", (F.col("grp") < 5).cast("int"))
-    probe = gaussians.fit_logistic(e.filter("id % 4 <> 0"), "v", "y")
-    scored = gaussians.probe_scores(e.filter("id % 4 = 0"), ["id", "y"], "v", probe)
-    bce = F.log1p(F.exp(F.when(F.col("y") == 1, -F.col("logit")).otherwise(F.col("logit"))))
-    return scored.agg(F.avg(bce).alias("bce"), F.count("*").alias("n")).crossJoin(metrics.auroc(scored, "logit", F.col("y") == 1))
+    """A row for each epoch of a probe that learns how to mix four layers of 16, told apart by validation rows."""
+    e = emb(spark, d).select("id", "v", (F.col("grp") < 5).cast("int").alias("y"), (F.col("id") % 4 == 0).alias("held"))
+    return probe.train(e.filter("NOT held"), e.filter("held"), "v", "y", layers=4, epochs=8)[0]
 
 
 @query("M20_probe_matrix", f"WITH s AS ({SONGS}) SELECT o.event_type, k::INTEGER AS probe, round(avg(CASE WHEN v.mean + v.user_id % k > o.mean + o.user_id % k THEN 1.0 WHEN v.mean + v.user_id % k = o.mean + o.user_id % k THEN 0.5 ELSE 0.0 END)::DOUBLE, 6) AS auroc FROM s o JOIN s v ON v.event_type = 'view' AND o.event_type <> 'view', range(1, 4) t(k) GROUP BY 1, 2")
