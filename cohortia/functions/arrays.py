@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cohortia.functions.hashing import uniform
+
 
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
@@ -110,6 +112,12 @@ def clamped_start(centre: Column, window: Column | float, duration: Column) -> C
     return F.least(F.greatest(centre - window / 2, F.lit(0.0)), F.greatest(duration - window, F.lit(0.0)))
 
 
+def jittered(centre: Column, n: int, spread: float, *seed: Column | str) -> Column:
+    """`n` candidate centres: the centre itself, then draws within `spread` to either side, from the seed's text."""
+    draws = F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda k: centre + (2 * uniform(*seed, k) - 1) * spread) if n > 1 else F.array().cast("array<double>")
+    return F.concat(F.array(centre), draws)
+
+
 def frame_count(samples: Column, strides: list[int], kernels: list[int]) -> Column:
     """Frames of a stack of strided convolutions: (samples - field) div hop + 1, or 0."""
     hop, field = 1, 1

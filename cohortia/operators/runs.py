@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortia.operators.metrics import auroc_against, quantiles
-from cohortia.operators.ranks import numbered
+from cohortia.functions.text import interval_label
+from cohortia.operators import resample
+from cohortia.operators.metrics import auroc_against, quantile_table, quantiles, usable
+from cohortia.operators.ranks import beside, numbered
+from cohortia.sources.scratch import stash
 
 
 def pairs_profile(pairs: DataFrame, works: DataFrame, work: str, k: int) -> DataFrame:
@@ -94,3 +97,49 @@ def seen_and_transfer(matrix: DataFrame, probe: str, source: str, seen: list[str
     """(probe, seen, transfer): mean AUROC over the sources a probe was trained on, and over the others."""
     was = F.col(source).isin(*seen)
     return matrix.groupBy(probe).agg(F.round(F.avg(F.when(was, F.col("auroc"))), 6).alias("seen"), F.round(F.avg(F.when(~was, F.col("auroc"))), 6).alias("transfer"))
+
+
+def probe_report(scores: DataFrame, probe: str, source: str, x: str, reference: str, unit: str, fpr: float, reps: int, seed: str) -> DataFrame:
+    """(probe, source, auroc, low, high, threshold, tpr) of every probe on every source.
+
+    low and high bound the AUROC over units drawn anew within each source, the same draws for all probes. tpr is the
+    share of the source below the probe's threshold, the fpr-quantile of the reference.
+    """
+    ok = scores.filter(usable(x))
+    cuts = quantile_table(ok.filter(F.col(source) == reference), x, [fpr], (probe,)).select(probe, F.col("value").alias("threshold"))
+    others = ok.filter(~F.col(source).eqNullSafe(reference))
+    rates = beside(others, cuts, [probe], "left").groupBy(probe, source).agg(F.max("threshold").alias("threshold"), F.avg((F.col(x) < F.col("threshold")).cast("double")).alias("tpr"))
+    drawn = beside(scores, resample.multiplicities(scores, unit, reps, seed, source), [source, unit])
+    spread = resample.interval(auroc_against(drawn, x, source, reference, by=("rep", probe), weight=F.col("times")), "auroc", (probe, source))
+    found = beside(rates, probe_matrix(scores, probe, source, x, reference), [probe, source], "left")
+    return beside(found, spread, [probe, source], "left").select(probe, source, "auroc", "low", "high", "threshold", "tpr")
+
+
+def compare_runs(trajectory: DataFrame, test: DataFrame, run: str, step: str, metric: str, cluster: str, x: str, base: str, reps: int, seed: str) -> DataFrame:
+    """A row per run: its best and final step, its test mean with an interval, and its gain over the run `base`.
+
+    `trajectory` has run, step and the metric to be large; `test` has run, cluster and a value for each query, the
+    same clusters in all runs. Intervals are over resampled clusters, the same draws for all runs, so the gain's is paired;
+    `verdict` says whether it leaves out zero. Runs without trajectory or test have nulls there; the first of equal
+    best steps counts.
+    """
+    s, m = F.col(step), F.col(metric)
+    known = trajectory.filter(m.isNotNull()).groupBy(run).agg(
+        F.count("*").alias("points"),
+        (-F.max(F.struct(m.alias("m"), (-s).alias("s")))["s"]).alias("best_step"),
+        F.max(m).alias("best"),
+        F.max(s).alias("final_step"),
+        F.max_by(m, s).alias("final"),
+    )
+    pieces = stash(test.groupBy(run, cluster).agg(F.sum(x).alias("_s"), F.count(x).alias("_c")), "run-pieces")
+    drawn = beside(pieces, resample.multiplicities(pieces, cluster, reps, seed), [cluster]).withColumn("rep", F.col("rep").cast("long"))
+    whole = pieces.select(run, cluster, "_s", "_c", F.lit(-1).cast("long").alias("rep"), F.lit(1).cast("long").alias("times"))
+    n = F.sum(F.col("times") * F.col("_c"))
+    means = drawn.select(*whole.columns).unionByName(whole).groupBy(run, "rep").agg(F.when(n > 0, F.sum(F.col("times") * F.col("_s")) / n).alias("v"))
+    means = stash(means, "run-means")
+    means = beside(means, means.filter(F.col(run) == base).select("rep", F.col("v").alias("_base")), ["rep"], "left").withColumn("gain", F.col("v") - F.col("_base"))
+    point = means.filter("rep = -1").select(run, F.col("v").alias("test"), F.when(F.col(run) != base, F.col("gain")).alias("gain"))
+    spread = resample.interval(means.filter("rep >= 0"), "v", (run,))
+    gains = resample.interval(means.filter("rep >= 0"), "gain", (run,)).filter(F.col(run) != base).select(run, F.col("low").alias("gain_low"), F.col("high").alias("gain_high"))
+    out = point.join(spread, run, "left").join(gains, run, "left").withColumn("verdict", F.when(F.col("gain_low").isNotNull(), interval_label(F.col("gain_low"), F.col("gain_high"))))
+    return known.join(out, run, "full")

@@ -247,10 +247,21 @@ def m19(spark, d):
     return probe.train(e.filter("NOT held"), e.filter("held"), "v", "y", layers=4, epochs=8)[0]
 
 
-@query("M20_probe_matrix", f"WITH s AS ({SONGS}) SELECT o.event_type, k::INTEGER AS probe, round(avg(CASE WHEN v.mean + v.user_id % k > o.mean + o.user_id % k THEN 1.0 WHEN v.mean + v.user_id % k = o.mean + o.user_id % k THEN 0.5 ELSE 0.0 END)::DOUBLE, 6) AS auroc FROM s o JOIN s v ON v.event_type = 'view' AND o.event_type <> 'view', range(1, 4) t(k) GROUP BY 1, 2")
+#: Songs' scores under three probes, as CTE y.
+PROBES = f"s AS ({SONGS}), y AS (SELECT event_type, user_id, k::INTEGER AS probe, mean + user_id % k AS x FROM s, range(1, 4) t(k))"
+
+
+@query(
+    "M20_probe_matrix",
+    f"WITH {PROBES}, {draws('s', 'user_id', 20, 'm20', 'event_type')}, w AS (SELECT m.rep, m.times, y.* FROM m JOIN y USING (event_type, user_id) UNION ALL SELECT -1, 1, y.* FROM y), "
+    "b AS (SELECT o.probe, o.event_type, o.rep, sum(CASE WHEN v.x > o.x THEN 1.0 WHEN v.x = o.x THEN 0.5 ELSE 0.0 END::DOUBLE * o.times * v.times) / sum(o.times * v.times)::DOUBLE AS a FROM w o JOIN w v ON o.rep = v.rep AND o.probe = v.probe AND v.event_type = 'view' AND o.event_type <> 'view' GROUP BY 1, 2, 3), "
+    "t AS (SELECT probe, quantile_cont(x, 0.05) AS threshold FROM y WHERE event_type = 'view' GROUP BY 1), f AS (SELECT y.probe, event_type, any_value(threshold) AS threshold, avg((x < threshold)::INTEGER) AS tpr FROM y JOIN t ON t.probe = y.probe WHERE event_type <> 'view' GROUP BY 1, 2) "
+    "SELECT b.probe, b.event_type, round(max(a) FILTER (rep = -1), 6) AS auroc, round(quantile_cont(a, 0.025) FILTER (rep >= 0), 6) AS low, round(quantile_cont(a, 0.975) FILTER (rep >= 0), 6) AS high, round(any_value(threshold), 6) AS threshold, round(any_value(tpr), 6) AS tpr FROM b JOIN f ON f.probe = b.probe AND f.event_type = b.event_type GROUP BY 1, 2",
+)
 def m20(spark, d):
     s = songs(spark, d).withColumn("probe", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).withColumn("x", F.col("mean") + F.col("user_id") % F.col("probe"))
-    return runs.probe_matrix(s, "probe", "event_type", "x", "view").withColumn("auroc", F.round("auroc", 6))
+    r = runs.probe_report(s, "probe", "event_type", "x", "view", "user_id", 0.05, 20, "m20")
+    return r.select("probe", "event_type", *[F.round(c, 6).alias(c) for c in ("auroc", "low", "high", "threshold", "tpr")])
 
 
 XY = f"SELECT id, grp, v[1] AS x, v[2] AS y FROM ({EMB})"
@@ -353,14 +364,20 @@ def m28(spark, d):
     return moments.running_standardiser(b, "user_id", "b", "m", "v").select("user_id", F.round("mean", 6).alias("mean"), F.round("var", 4).alias("var"))
 
 
-@query("M29_run_comparison", f"WITH g AS (SELECT user_id, avg(value) FILTER (event_type = 'click') - avg(value) FILTER (event_type = 'view') AS gain FROM events GROUP BY 1), c AS (SELECT user_id, sum(gain) AS s, count(gain) AS c FROM g WHERE gain IS NOT NULL GROUP BY 1), {draws('c', 'user_id', 20, 'm29')}, r AS (SELECT rep, sum(times * s) / sum(times * c) AS v FROM m JOIN c USING (user_id) GROUP BY 1), i AS (SELECT quantile_cont(v, 0.025) AS low, quantile_cont(v, 0.975) AS high FROM r) SELECT round(low, 6) AS low, round(high, 6) AS high, CASE WHEN low > 0 THEN 'real gain' WHEN high < 0 THEN 'real loss' ELSE 'within noise' END AS verdict FROM i")
+@query(
+    "M29_run_comparison",
+    f"WITH c AS (SELECT DISTINCT user_id FROM events), {draws('c', 'user_id', 40, 'm29')}, g AS (SELECT event_type AS run, user_id, sum(value) AS s, count(value) AS c FROM events GROUP BY 1, 2), "
+    "r AS (SELECT run, rep, sum(times * s) / sum(times * c) AS v FROM m JOIN g USING (user_id) GROUP BY 1, 2 UNION ALL SELECT run, -1, sum(s) / sum(c) FROM g GROUP BY 1), "
+    "d AS (SELECT r.run, r.rep, r.v, r.v - b.v AS gain FROM r JOIN r b ON b.rep = r.rep AND b.run = 'view'), "
+    "t AS (SELECT event_type AS run, count(*) AS points, arg_max(event_id, (value, -event_id)) AS best_step, max(value) AS best, max(event_id) AS final_step, arg_max(value, event_id) AS final FROM events GROUP BY 1), "
+    "o AS (SELECT run, max(v) FILTER (rep = -1) AS test, quantile_cont(v, 0.025) FILTER (rep >= 0) AS low, quantile_cont(v, 0.975) FILTER (rep >= 0) AS high, max(gain) FILTER (rep = -1) AS gain, quantile_cont(gain, 0.025) FILTER (rep >= 0) AS gl, quantile_cont(gain, 0.975) FILTER (rep >= 0) AS gh FROM d GROUP BY 1) "
+    "SELECT run, points, best_step, best, final_step, final, round(test, 6) AS test, round(low, 6) AS low, round(high, 6) AS high, CASE WHEN run <> 'view' THEN round(gain, 6) END AS gain, CASE WHEN run <> 'view' THEN round(gl, 6) END AS gain_low, CASE WHEN run <> 'view' THEN round(gh, 6) END AS gain_high, "
+    "CASE WHEN run = 'view' THEN NULL WHEN gl > 0 THEN 'real gain' WHEN gh < 0 THEN 'real loss' ELSE 'within noise' END AS verdict FROM t JOIN o USING (run)",
+)
 def m29(spark, d):
-    from cohortia.functions.text import interval_label
-
-    mean = lambda t: F.avg(F.when(F.col("event_type") == t, F.col("value")))
-    g = table(spark, d, "events").groupBy("user_id").agg((mean("click") - mean("view")).alias("gain")).filter("gain IS NOT NULL")
-    i = resample.interval(resample.clustered_mean(g, "user_id", "gain", 20, "m29"), "value")
-    return i.select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), interval_label(F.col("low"), F.col("high")).alias("verdict"))
+    e = table(spark, d, "events").withColumn("run", F.col("event_type"))
+    c = runs.compare_runs(e, e, "run", "event_id", "value", "user_id", "value", "view", 40, "m29")
+    return c.select("run", "points", "best_step", "best", "final_step", "final", *[F.round(n, 6).alias(n) for n in ("test", "low", "high", "gain", "gain_low", "gain_high")], "verdict")
 
 
 @query("M30_run_description", "SELECT count(*) AS pairs, count(DISTINCT p_brand) AS pair_works, (SELECT count(*) FROM part) AS tracks, (SELECT count(DISTINCT p_brand) FROM part) AS works FROM (SELECT a.p_brand FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey AND a.p_size = b.p_size)")

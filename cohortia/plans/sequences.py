@@ -91,6 +91,12 @@ def q7(spark, d):
     return table(spark, d, "documents").select("doc_id", F.round(uniform("q7", F.col("doc_id")) * F.greatest(F.col("n_chars") - 200, F.lit(0)), 6).alias("start"))
 
 
+@query("Q7_jittered_centres", "SELECT doc_id, k::INTEGER AS candidate, round(n_chars + CASE k WHEN 0 THEN 0 ELSE (2 * (('0x' || substring(md5('q7j:' || doc_id || ':' || k), 1, 13))::BIGINT::DOUBLE / power(2, 52)) - 1) * 1.5 END, 6) AS centre FROM documents, range(5) t(k)")
+def q7_jittered(spark, d):
+    centres = A.jittered(F.col("n_chars").cast("double"), 5, 1.5, F.lit("q7j"), F.col("doc_id"))
+    return table(spark, d, "documents").select("doc_id", F.posexplode(centres).alias("candidate", "centre")).withColumn("centre", F.round("centre", 6))
+
+
 #: The 90 moments of frames in CTE `f` (key, pc), a pitch class each, by place: 12 means, then products i <= j.
 MOMENTS = (
     "SELECT {key}, i AS pos, avg((pc = i)::INTEGER) AS value FROM f, range(12) t(i) GROUP BY {key}, i UNION ALL "

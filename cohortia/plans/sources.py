@@ -151,9 +151,13 @@ def s12(spark, d):
 
 @query("S13_mirror_index", "SELECT d.doc_id AS key, coalesce(p.url, '') AS path FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id")
 def s13(spark, d):
+    """The plan is listed for two groups, then for three, which the first does not cover, and then read again."""
+    path, pages = new_folder(spark, "listing"), table(spark, d, "pages").withColumn("group", F.format_string("g%d", F.col("page_id") % 3))
+    make = lambda groups: pages.filter(F.col("group").isin(*groups)).select("group", F.col("page_id").alias("key"), F.col("url").alias("path"))
+    for groups in (["g0", "g1"], ["g0", "g1", "g2"], ["g2", "g0", "g1"]):
+        plan = stores.listing_of(spark, path, groups, make)
     listing = table(spark, d, "documents").select(F.col("doc_id").alias("key"))
-    plan = table(spark, d, "pages").select(F.col("page_id").alias("key"), F.col("url").alias("path"))
-    return stores.mirror_index(listing, plan)
+    return stores.mirror_index(listing, plan.select("key", "path"))
 
 
 @query("S14_one_shape", "SELECT coalesce(source, 'human') AS source, coalesce(song, key) AS song, start FROM (SELECT event_type AS source, user_id::VARCHAR AS song, NULL AS key, value AS start FROM events UNION ALL SELECT NULL, NULL, o_custkey || '_' || o_orderkey, o_totalprice FROM orders)")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cohortia.sources import versions
+
 
 def write_vectors(vectors: DataFrame, path: str, by: str | None = None) -> None:
     """Append vectors; Spark's commit makes the new files visible at once or not at all."""
@@ -51,6 +55,19 @@ def report(problems: DataFrame, path: str) -> bool:
     return problems.isEmpty()
 
 
+def listing_of(spark: SparkSession, path: str, wanted: list[str], make: Callable[[list[str]], DataFrame], group: str = "group") -> DataFrame:
+    """The listed rows of the wanted groups: from the listing kept at `path` if that covers them all and is sound, else made anew.
+
+    What a listing covers is kept beside it, as a group may have no rows. Both are versioned tables.
+    """
+    rows, covers = f"{path}/rows", f"{path}/covers"
+    sound = all(versions.commits(spark, p) and versions.problems(spark, p).isEmpty() for p in (rows, covers))
+    if not sound or set(wanted) - {r[0] for r in versions.read(spark, covers).collect()}:
+        versions.replace(make(wanted), rows)
+        versions.replace(spark.createDataFrame([(g,) for g in wanted], f"`{group}` string").coalesce(1), covers)
+    return versions.read(spark, rows).filter(F.col(group).isin(*wanted))
+
+
 def mirror_index(listing: DataFrame, plan: DataFrame) -> DataFrame:
     """(key, path) of all files there are; those the plan does not know have an empty path."""
     return listing.join(plan, "key", "left").select("key", F.coalesce("path", F.lit("")).alias("path"))
