@@ -83,17 +83,22 @@ def _narrowed(ok: DataFrame, brackets: DataFrame, by: tuple[str, ...]) -> DataFr
     met = beside(ok, brackets, by)
     inside = F.col("_x").between(F.col("_lo"), F.col("_hi"))
     points = [i / _POINTS for i in range(_POINTS + 1)]
-    found = met.groupBy(*by, "p", "_n", "_lo", "_hi").agg(F.count_if(F.col("_x") < F.col("_lo")).alias("_below"), F.count_if(inside).alias("_in"), F.percentile_approx(F.when(inside, F.col("_x")), points, PARTS).alias("_e"))
-    place = F.col("p") * (F.col("_n") - 1)
+    found = met.groupBy(*by, "_p", "_n", "_lo", "_hi").agg(F.count_if(F.col("_x") < F.col("_lo")).alias("_below"), F.count_if(inside).alias("_in"), F.percentile_approx(F.when(inside, F.col("_x")), points, PARTS).alias("_e"))
+    place = F.col("_p") * (F.col("_n") - 1)
     point = lambda at: (at - F.col("_below") + 1) / F.col("_in") * _POINTS
     bound = lambda k: F.element_at("_e", F.least(F.greatest(k, F.lit(0)), F.lit(_POINTS)).cast("int") + 1)
     # One point to either side covers the sketch's error.
     low, high = bound(F.floor(point(F.floor(place))) - 1), bound(F.ceil(point(F.ceil(place))) + 1)
-    return found.select(*by, "p", "_n", low.alias("_lo"), high.alias("_hi"))
+    return found.select(*by, "_p", "_n", low.alias("_lo"), high.alias("_hi"))
 
 
 def quantile_table(rows: DataFrame, x: str, qs: list[float], by: tuple[str, ...] = ()) -> DataFrame:
-    """(by..., p, value): linear-interpolated quantiles, exact for groups of any size; nulls are a group, too.
+    """(by..., p, value): quantiles as rows (see `_quantiles`)."""
+    return _quantiles(rows, x, qs, by).withColumnRenamed("_p", "p")
+
+
+def _quantiles(rows: DataFrame, x: str, qs: list[float], by: tuple[str, ...]) -> DataFrame:
+    """(by..., _p, value): linear-interpolated quantiles, exact for groups of any size; nulls are a group, too.
 
     A sketch of each group gives two bounds of each quantile. One pass counts what lies below and, by value,
     what lies between; the quantile picks the one or two values at its place among the latter.
@@ -102,18 +107,18 @@ def quantile_table(rows: DataFrame, x: str, qs: list[float], by: tuple[str, ...]
     edges = [e for q in qs for e in (max(0.0, q - MARGIN / PARTS), min(1.0, q + MARGIN / PARTS))]
     sketch = ok.groupBy(*by).agg(F.percentile_approx("_x", edges, PARTS).alias("_e"), F.count("*").alias("_n")).filter("_n > 0")
     few = F.col("_n") <= PARTS
-    each = [F.struct(F.lit(float(q)).alias("p"), F.when(few, -1e300).otherwise(F.col("_e")[2 * i]).alias("_lo"), F.when(few, 1e300).otherwise(F.col("_e")[2 * i + 1]).alias("_hi")) for i, q in enumerate(qs)]
+    each = [F.struct(F.lit(float(q)).alias("_p"), F.when(few, -1e300).otherwise(F.col("_e")[2 * i]).alias("_lo"), F.when(few, 1e300).otherwise(F.col("_e")[2 * i + 1]).alias("_hi")) for i, q in enumerate(qs)]
     brackets = stash(sketch.select(*by, "_n", F.explode(F.array(*each)).alias("_q")).select(*by, "_n", "_q.*"), "quantile-bounds")
     between = (brackets.agg(F.max("_n")).first()[0] or 0) * 4 * MARGIN / PARTS
     while between > ORDERED:
         brackets, between = stash(_narrowed(ok, brackets, by), "quantile-bounds"), between * 8 / _POINTS
     # What lies below a lower bound is counted under null.
     met = beside(ok, brackets, by).filter(F.col("_x") <= F.col("_hi"))
-    d = met.groupBy(*by, "p", "_n", F.when(F.col("_x") >= F.col("_lo"), F.col("_x")).alias("_x")).agg(F.count("*").alias("_k"))
-    run = W.partitionBy(*by, "p").orderBy(F.asc_nulls_first("_x")).rowsBetween(W.unboundedPreceding, -1)
-    d = d.withColumn("_below", F.coalesce(F.sum("_k").over(run), F.lit(0))).withColumn("_at", F.col("p") * (F.col("_n") - 1))
+    d = met.groupBy(*by, "_p", "_n", F.when(F.col("_x") >= F.col("_lo"), F.col("_x")).alias("_x")).agg(F.count("*").alias("_k"))
+    run = W.partitionBy(*by, "_p").orderBy(F.asc_nulls_first("_x")).rowsBetween(W.unboundedPreceding, -1)
+    d = d.withColumn("_below", F.coalesce(F.sum("_k").over(run), F.lit(0))).withColumn("_at", F.col("_p") * (F.col("_n") - 1))
     holds = lambda place: (F.col("_below") <= place) & (place < F.col("_below") + F.col("_k"))
-    return d.groupBy(*by, "p").agg(_picked(F.max("_at"), lambda place: F.max(F.when(holds(place), F.col("_x"))), F.col("_at")).alias("value"))
+    return d.groupBy(*by, "_p").agg(_picked(F.max("_at"), lambda place: F.max(F.when(holds(place), F.col("_x"))), F.col("_at")).alias("value"))
 
 
 def _picked(place: Column, at, row_place: Column) -> Column:
@@ -123,9 +128,9 @@ def _picked(place: Column, at, row_place: Column) -> Column:
 
 
 def quantiles(rows: DataFrame, x: str, names: dict[str, float], by: tuple[str, ...] = ()) -> DataFrame:
-    """`quantile_table` with a column for each of `names`."""
-    t = quantile_table(rows, x, sorted(set(names.values())), by)
-    return t.groupBy(*by).agg(*[F.max(F.when(F.col("p") == float(q), F.col("value"))).alias(n) for n, q in names.items()])
+    """(by..., a column for each of `names`): quantiles of each group (see `_quantiles`)."""
+    t = _quantiles(rows, x, sorted(set(names.values())), by)
+    return t.groupBy(*by).agg(*[F.max(F.when(F.col("_p") == float(q), F.col("value"))).alias(n) for n, q in names.items()])
 
 
 def summary(rows: DataFrame, x: str, by: tuple[str, ...] = ()) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortia.functions.text import interval_label
 from cohortia.operators import resample
-from cohortia.operators.metrics import auroc_against, quantile_table, quantiles, usable
+from cohortia.operators.metrics import auroc_against, quantiles, usable
 from cohortia.operators.ranks import beside, numbered
 from cohortia.sources.scratch import stash
 
@@ -106,7 +106,7 @@ def probe_report(scores: DataFrame, probe: str, source: str, x: str, reference:
     share of the source below the probe's threshold, the fpr-quantile of the reference.
     """
     ok = scores.filter(usable(x))
-    cuts = quantile_table(ok.filter(F.col(source) == reference), x, [fpr], (probe,)).select(probe, F.col("value").alias("threshold"))
+    cuts = quantiles(ok.filter(F.col(source) == reference), x, {"threshold": fpr}, (probe,))
     others = ok.filter(~F.col(source).eqNullSafe(reference))
     rates = beside(others, cuts, [probe], "left").groupBy(probe, source).agg(F.max("threshold").alias("threshold"), F.avg((F.col(x) < F.col("threshold")).cast("double")).alias("tpr"))
     drawn = beside(scores, resample.multiplicities(scores, unit, reps, seed, source), [source, unit])

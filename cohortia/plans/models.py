@@ -10,7 +10,7 @@ from cohortia.plans.aggregates import POOLS, SONGS, draws, songs
 from cohortia.plans.joins import EMB, emb
 from cohortia.plans.registry import query, table
 from cohortia.plans.sequences import sequences
-from cohortia.sources.scratch import new_folder
+from cohortia.sources.scratch import new_folder, stash
 
 X = f"SELECT id, grp, unnest(range(64)) AS p, unnest(v) AS x FROM ({EMB})"
 
@@ -120,9 +120,11 @@ def m11(spark, d):
 
 @query("M13_trimmed_refit")
 def m13(spark, d):
+    """The tenth of rows furthest out under a first fit is left out of the second."""
     e = emb(spark, d)
-    scored = gaussians.with_tau2(gaussians.score_shrunk(e, ["id"], "v", gaussians.fit_shrunk(e, "v")))
-    kept = e.join(scored.filter("tau2 <= 1.2").select("id"), "id", "left_semi")
+    scored = stash(gaussians.with_tau2(gaussians.score_shrunk(e, ["id"], "v", gaussians.fit_shrunk(e, "v"))).select("id", "tau2"), "tau2")
+    cut = metrics.quantile_table(scored, "tau2", [0.9]).first()["value"]
+    kept = e.join(scored.filter(F.col("tau2") <= cut).select("id"), "id", "left_semi")
     return gaussians.score_shrunk(e, ["id", "grp"], "v", gaussians.fit_shrunk(kept, "v"))
 
 
