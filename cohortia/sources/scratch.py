@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+#: Folders given out, of all sessions of this driver, in order.
+_folders: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -33,7 +36,14 @@ def scratch_root(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path not used before, under `scratch_root`."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _folders.append(f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}")
+    return _folders[-1]
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a scratch folder with all that is in it; nothing if it is not there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def stash(df: DataFrame, name: str = "table") -> DataFrame:
@@ -41,3 +51,18 @@ def stash(df: DataFrame, name: str = "table") -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settled(make: Callable[[], DataFrame], name: str = "table") -> DataFrame:
+    """What `make` gives, written and read again; the scratch tables made on the way are removed then.
+
+    For the steps of a long job, whose intermediate tables would else stay until the folder is cleared. One
+    job of a driver at a time, as all folders given out in between are taken to be the step's.
+    """
+    before = len(_folders)
+    out = stash(make(), name)
+    kept = _folders[-1]
+    for folder in _folders[before:-1]:
+        remove(out.sparkSession, folder)
+    _folders[before:] = [kept]
+    return out

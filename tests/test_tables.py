@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from cohortia.sources import catalogue, versions
+from cohortia.sources import catalogue, scratch, versions
 
 
 def test_failing_write_leaves_the_old_table(spark, tmp_path):
@@ -74,3 +74,17 @@ def test_designation_lines_part_a_split(spark, tmp_path):
     whole = tmp_path / "one.json"
     whole.write_text('{\n "splits": {"test": {"works": {"7": {"source": "val", "n_tracks": 3}}}}\n}')
     assert [tuple(r) for r in catalogue.read_designation(spark, str(whole)).collect()] == [("test", 7, "val", 3)]
+
+
+def test_settled_steps_leave_their_result_only(spark):
+    made = []
+
+    def step():
+        made.append(scratch.new_folder(spark, "inner"))
+        spark.range(5).write.parquet(made[0])
+        return scratch.stash(spark.read.parquet(made[0]), "inner").filter("id > 1")
+
+    out = scratch.settled(step, "step")
+    assert sorted(r.id for r in out.collect()) == [2, 3, 4] and not os.path.exists(made[0])
+    assert sum(os.path.exists(f) for f in scratch._folders[-2:]) >= 1
+    scratch.remove(spark, made[0])  # nothing is there
