@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortia.sources.scratch import stash  # noqa: F401  (where the operators write what they read again)
+from cohortia.sources.scratch import settled, stash  # noqa: F401  (where the operators write what they read again)
 
 #: Java regex for the blanks that part words: space and \x09-\x0D.
 BLANKS = "[\\x20\\x09-\\x0D]+"
