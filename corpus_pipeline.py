@@ -2,7 +2,7 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, and all but
 the last return the columns of documents. `run` applies them to documents, each stage written as Parquet
-in the shared scratch folder and read again.
+in the shared scratch folder and read again; what a stage wrote on the way is removed then.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortia.llm import lines, mixing, packing, quality, simhash
-from cohortia.llm.common import remainder, stash
+from cohortia.llm.common import remainder, settled
 from cohortia.llm.queries import table, tokenizer_path
 
 #: A document with a lower quality score is rejected.
@@ -65,5 +65,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir), name)
+        docs = settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
