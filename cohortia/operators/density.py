@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortia.operators.metrics import quantile_table, quantiles
@@ -26,16 +26,14 @@ def bandwidths(sample: DataFrame) -> DataFrame:
 
     An axis whose quartiles are equal takes the deviation, one without any spread the bandwidth 1.
     """
-    n = sample.agg(F.count("*").alias("n"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
-    for c in ("x", "y"):
-        n = n.crossJoin(F.broadcast(quantiles(sample, c, {f"{c}1": 0.25, f"{c}3": 0.75})))  # one row
-
-    def h(c: str) -> Column:
-        iqr, sd = (F.col(f"{c}3") - F.col(f"{c}1")) / IQR_OF_NORMAL, F.col(f"s{c}")
-        spread = F.when(iqr > 0, F.least(sd, iqr)).otherwise(sd)
-        return F.when(spread > 0, spread * F.pow(F.col("n").cast("double"), F.lit(-1 / 6))).otherwise(F.lit(1.0))
-
-    return n.select("n", h("x").alias("hx"), h("y").alias("hy"))
+    axes = F.array(*[F.struct(F.lit(c).alias("axis"), F.col(c).alias("v")) for c in ("x", "y")])
+    long = sample.select(F.explode(axes).alias("_a")).select("_a.*")
+    q = quantiles(long, "v", {"q1": 0.25, "q3": 0.75}, ("axis",)).join(long.groupBy("axis").agg(F.count("*").alias("n"), F.stddev_pop("v").alias("sd")), "axis")
+    iqr, sd = (F.col("q3") - F.col("q1")) / IQR_OF_NORMAL, F.col("sd")
+    spread = F.when(iqr > 0, F.least(sd, iqr)).otherwise(sd)
+    h = F.when(spread > 0, spread * F.pow(F.col("n").cast("double"), F.lit(-1 / 6))).otherwise(F.lit(1.0))
+    of = lambda c: F.coalesce(F.max(F.when(F.col("axis") == c, F.col("h"))), F.lit(1.0)).alias(f"h{c}")
+    return q.withColumn("h", h).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), of("x"), of("y"))
 
 
 def _around(points: DataFrame, *keep: str) -> DataFrame:

@@ -143,9 +143,10 @@ def summary(rows: DataFrame, x: str, by: tuple[str, ...] = ()) -> DataFrame:
 
 def operating_points(rows: DataFrame, score: str, source: str, reference: str, fpr: list[float]) -> DataFrame:
     """(source, fpr, threshold, flagged): the share of each source strictly below the reference's fpr-quantile."""
-    ok = rows.filter(usable(score))
-    cuts = quantile_table(ok.filter(F.col(source) == reference), score, fpr).select(F.col("p").alias("fpr"), F.col("value").alias("threshold"))
-    met = ok.select(source, clipped(score).alias("x")).crossJoin(F.broadcast(cuts))  # a row for each rate asked for
+    # Read by the sketch, by the threshold and by the shares.
+    ok = stash(rows.filter(usable(score)).select(source, clipped(score).alias("x")), "scores")
+    cuts = quantile_table(ok.filter(F.col(source) == reference), "x", fpr).select(F.col("p").alias("fpr"), F.col("value").alias("threshold"))
+    met = ok.crossJoin(F.broadcast(cuts))  # a row for each rate asked for
     return met.groupBy(source, "fpr", "threshold").agg(F.avg((F.col("x") < F.col("threshold")).cast("double")).alias("flagged"))
 
 
