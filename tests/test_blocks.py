@@ -33,6 +33,19 @@ def test_retrieval_metrics_by_counting_ranks(spark, vectors):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "Window" not in plan
 
 
+def test_retrieval_metrics_in_chunks_and_tiles_without_rows_of_pairs(spark, vectors):
+    df, _, _ = vectors
+    found = lambda *a: sorted(map(tuple, retrieval.retrieval_metrics(df.filter("id % 5 < 2"), df, 6, *a).collect()))
+    whole = found()
+    # Groups of more rows than a task keeps are dealt in chunks; a pair or two for each task.
+    for got in (found(40, 1), found(400, 1), found(1 << 20, 500)):
+        assert [r[:2] for r in got] == [r[:2] for r in whole] and [r[2] for r in got] == pytest.approx([r[2] for r in whole], abs=1e-12)
+    assert found()[0][0] == 0 and retrieval.retrieval_metrics(df.limit(0), df, 6).count() == 0
+    # What is shuffled has vectors only: no lists of a query's relevant rows, as grew with the square of the table.
+    plan = retrieval.retrieval_metrics(df.filter("id % 5 < 2"), df, 6)._jdf.queryExecution().optimizedPlan().toString()
+    assert "c_ids" not in plan and "sims" not in plan
+
+
 def test_ranks_above_with_ties():
     sims, ids = np.array([0.5, 0.9, 0.5, 0.1, 0.5]), np.array([1, 2, 3, 4, 5])
     above, rel = retrieval._ranked_above(sims, ids, np.array([True, False, True, True, False]), np.array([0.5, 0.1, 0.5]), np.array([3, 4, 6]))
