@@ -122,9 +122,9 @@ def _quantiles(rows: DataFrame, x: str, qs: list[float], by: tuple[str, ...]) ->
 
 
 def _picked(place: Column, at, row_place: Column) -> Column:
-    """The value at a place between two rows' values: `at` gives the value whose row holds a place."""
-    part = place - F.floor(place)
-    return (1 - part) * at(F.floor(row_place)) + part * at(F.ceil(row_place))
+    """The value at a place between two rows' values, just theirs if they are equal: `at` gives the value whose row holds a place."""
+    low, high = at(F.floor(row_place)), at(F.ceil(row_place))
+    return low + (place - F.floor(place)) * (high - low)
 
 
 def quantiles(rows: DataFrame, x: str, names: dict[str, float], by: tuple[str, ...] = ()) -> DataFrame:
