@@ -69,14 +69,16 @@ def outcome_of(error: Column, warnings: Column | None = None, markers=MARKERS) -
     return out.otherwise("failed")
 
 
-def human_bytes(n: Column) -> Column:
-    """Bytes to one decimal in the largest unit of 1024 that leaves at least one."""
+def human_bytes(n: Column, largest: str = "TiB") -> Column:
+    """Bytes to one decimal in the largest unit of 1024, up to `largest`, that leaves at least one."""
     n = n.cast("double")
     out = F.when(n < 1024, F.concat(F.floor(n).cast("string"), F.lit(" B")))
     for k, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
         shown = F.concat(F.format_string("%.1f", F.floor(n / 1024.0**k * 10 + 0.5) / 10), F.lit(f" {unit}"))
-        out = out.when(n < 1024.0 ** (k + 1), shown) if unit != "TiB" else out.otherwise(shown)
-    return out
+        if unit == largest:
+            return out.otherwise(shown)
+        out = out.when(n < 1024.0 ** (k + 1), shown)
+    raise ValueError(f"no unit {largest}")
 
 
 def clock(seconds: Column) -> Column:

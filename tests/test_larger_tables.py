@@ -2,7 +2,11 @@
 
 import math
 
+from pyspark.sql import functions as F
+
+from cohortia.functions import text as T
 from cohortia.operators import metrics, runs
+from cohortia.plans.registry import QUERIES
 
 
 def test_baseline_margin_of_a_loss_of_nothing_and_of_a_bad_one(spark):
@@ -21,3 +25,16 @@ def test_quantiles_between_equal_values_are_that_value(spark):
         assert got == dict(enumerate(values))
     report = {r.i: (r.q1, r.median, r.q3) for r in metrics.source_report(df, "x", "i", 0).collect()}
     assert report == {i: (x, x, x) for i, x in enumerate(values)}
+
+
+def test_human_bytes_up_to_a_largest_unit(spark):
+    n = spark.createDataFrame([(512.0,), (1536.0,), (2.0**40 * 6,)], "n double")
+    show = lambda *a: [r[0] for r in n.select(T.human_bytes(F.col("n"), *a)).collect()]
+    assert show() == ["512 B", "1.5 KiB", "6.0 TiB"]
+    assert show("GiB") == ["512 B", "1.5 KiB", "6144.0 GiB"]
+
+
+def test_human_units_query_beyond_a_tebibyte(spark, tmp_path):
+    row = spark.createDataFrame([(1_000_000, 100_000, 61.5)], "o_orderkey long, o_custkey long, o_totalprice double")
+    row.write.parquet(f"{tmp_path}/orders.parquet")
+    assert QUERIES["P7_human_units"](spark, str(tmp_path)).first()["size"] == "5960.5 GiB"
