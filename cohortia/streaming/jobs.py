@@ -85,9 +85,13 @@ def soft_blocks(log: DataFrame, at: str, suspect: Column, bucket: str = "1 day",
     return g.filter((F.col("tries") >= least) & (F.col("bad") > share * F.col("tries"))).select(F.col("window.start").alias("start"), "tries", "bad")
 
 
-def request_rates(log: DataFrame, at: str, window: str = "300 seconds", slide: str = "60 seconds", late: str = "10 minutes") -> DataFrame:
-    """(start, n): requests in sliding windows, to hold against a quota; closed windows only, in append mode."""
-    return log.withWatermark(at, late).groupBy(F.window(at, window, slide)).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "n")
+def request_rates(log: DataFrame, at: str, window: str = "300 seconds", slide: str = "60 seconds", late: str | None = "10 minutes") -> DataFrame:
+    """(start, n): requests in sliding windows, to hold against a quota; closed windows only, in append mode.
+
+    With `late` None, for update or complete mode, no request is refused and open windows are handed on, too; state is then
+    as long as the result.
+    """
+    return (log.withWatermark(at, late) if late else log).groupBy(F.window(at, window, slide)).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "n")
 
 
 def score_as_they_come(songs: DataFrame, keys: list[str], score, path: str, too_short: Column | None = None) -> None:

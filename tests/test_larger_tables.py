@@ -38,3 +38,12 @@ def test_human_units_query_beyond_a_tebibyte(spark, tmp_path):
     row = spark.createDataFrame([(1_000_000, 100_000, 61.5)], "o_orderkey long, o_custkey long, o_totalprice double")
     row.write.parquet(f"{tmp_path}/orders.parquet")
     assert QUERIES["P7_human_units"](spark, str(tmp_path)).first()["size"] == "5960.5 GiB"
+
+
+def test_request_rates_count_every_event_in_five_windows(spark):
+    d = "/root/testdata/sf0.001"
+    got = QUERIES["T3_request_rates"](spark, d)
+    events = spark.read.parquet(f"{d}/events.parquet")
+    assert got.agg(F.sum("n")).first()[0] == 5 * events.count()
+    # The last window is that of the last event, which no later one closes.
+    assert got.agg(F.max("start")).first()[0] == events.agg(F.date_trunc("minute", F.max("ts")).cast("string")).first()[0]
