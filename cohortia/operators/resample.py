@@ -15,22 +15,31 @@ from cohortia.operators.ranks import beside, numbered
 from cohortia.sources.scratch import stash
 
 
-def multiplicities(units: DataFrame, key: str, reps: int, seed: str, within: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(rep, within, key, carry..., times): draws with replacement of as many units as there are (within each group).
+def _draws(units: DataFrame, key: str, reps: int, seed: str, within: str | None, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Numbered units (within, key, carry..., _at) and draws (rep, _at), a row for each, of units by their number.
 
-    Units are numbered in ranges of (group, key), so no task holds all of a group's. With `carry`, columns of
-    the units that come along, `units` has one row for each. Null groups and keys are drawn like others.
+    Units are numbered in ranges of (group, key), so no task holds all of a group's; a draw is a number of the
+    group's range, so one long is all that is shuffled and joined on besides the replicate.
     """
     groups = [within] if within else []
     units = units.select(*groups, key, *carry) if carry else units.select(*groups, key).distinct()
     placed = numbered(units, [*groups, key], "_at")
-    sizes = placed.groupBy(*groups).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
-    placed = beside(placed, sizes, groups)
-    placed = placed.withColumn("_i", F.col("_at") - F.col("_first")).drop("_at", "_first")
-    draws = placed.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    at = F.floor(uniform(seed, F.col("rep"), *[F.col(g) for g in groups], F.col("_i")) * F.col("_n"))
-    drawn = draws.select("rep", *groups, at.alias("_i")).groupBy("rep", *groups, "_i").agg(F.count("*").alias("times"))
-    return beside(drawn, placed.select(*groups, key, *carry, "_i"), [*groups, "_i"]).select("rep", *groups, key, *carry, "times")
+    # A row for each group.
+    sizes = stash(placed.groupBy(*groups).agg(F.min("_at").alias("_first"), F.count("*").alias("_n")), "unit-groups")
+    draws = beside(placed.select(*groups, "_at"), sizes, groups).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    drawn = F.floor(uniform(seed, F.col("rep"), *[F.col(g) for g in groups], F.col("_at") - F.col("_first")) * F.col("_n"))
+    return placed, draws.select("rep", (F.col("_first") + drawn).alias("_at"))
+
+
+def multiplicities(units: DataFrame, key: str, reps: int, seed: str, within: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(rep, within, key, carry..., times): draws with replacement of as many units as there are (within each group).
+
+    With `carry`, columns of the units that come along, `units` has one row for each. Null groups and keys are
+    drawn like others.
+    """
+    placed, draws = _draws(units, key, reps, seed, within, carry)
+    times = draws.groupBy("rep", "_at").agg(F.count("*").alias("times"))
+    return times.join(placed.hint("shuffle_hash"), "_at").select("rep", *([within] if within else []), key, *carry, "times")
 
 
 def interval(replicates: DataFrame, x: str, by: tuple[str, ...] = (), level: float = 0.95) -> DataFrame:
@@ -43,9 +52,11 @@ def clustered_mean(rows: DataFrame, cluster: str, x: str, reps: int, seed: str,
     """(rep, by, value): means over resampled clusters, from each cluster's sum and count."""
     groups = [by] if by else []
     pieces = rows.groupBy(*groups, cluster).agg(F.sum(x).alias("_s"), F.count(x).alias("_c"))
-    drawn = multiplicities(pieces, cluster, reps, seed, by, ("_s", "_c"))
-    n = F.sum(F.col("times") * F.col("_c"))
-    return drawn.groupBy("rep", *groups).agg(F.when(n > 0, F.sum(F.col("times") * F.col("_s")) / n).alias("value"))
+    placed, draws = _draws(pieces, cluster, reps, seed, by, ("_s", "_c"))
+    # Draws meet their piece one by one: counting them by unit first would be another shuffle, of nearly as many rows.
+    drawn = draws.join(placed.hint("shuffle_hash"), "_at")
+    n = F.sum("_c")
+    return drawn.groupBy("rep", *groups).agg(F.when(n > 0, F.sum("_s") / n).alias("value"))
 
 
 def auroc_replicates(rows: DataFrame, unit: str, score: str, positive: str, reps: int, seed: str) -> DataFrame:

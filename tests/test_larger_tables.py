@@ -2,10 +2,11 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from cohortia.functions import text as T
-from cohortia.operators import metrics, runs
+from cohortia.operators import metrics, resample, runs
 from cohortia.plans.registry import QUERIES
 
 
@@ -47,3 +48,13 @@ def test_request_rates_count_every_event_in_five_windows(spark):
     assert got.agg(F.sum("n")).first()[0] == 5 * events.count()
     # The last window is that of the last event, which no later one closes.
     assert got.agg(F.max("start")).first()[0] == events.agg(F.date_trunc("minute", F.max("ts")).cast("string")).first()[0]
+
+
+def test_bootstrap_draws_are_shuffled_once_by_one_number(spark):
+    rows = spark.createDataFrame([(i % 30 if i % 7 else None, i % 2 == 0, float(i)) for i in range(300)], "c long, late boolean, x double")
+    got = {(r.rep, r.late): r.value for r in resample.clustered_mean(rows, "c", "x", 5, "s", "late").collect()}
+    pieces = rows.groupBy("late", "c").agg(F.sum("x").alias("s"), F.count("x").alias("n"))
+    m = resample.multiplicities(pieces, "c", 5, "s", "late", ("s", "n")).groupBy("rep", "late").agg((F.sum(F.expr("times * s")) / F.sum(F.expr("times * n"))).alias("v"))
+    assert got == {(r.rep, r.late): pytest.approx(r.v) for r in m.collect()} and len(got) == 10
+    plan = resample.clustered_mean(rows, "c", "x", 5, "s", "late")._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS times" not in plan
