@@ -27,6 +27,19 @@ def clique_pairs(items: DataFrame, group: str, key: str, block: int = 512) -> Da
     return a.join(b, [group, "_a", "_b"]).filter("key_a < key_b").drop("_a", "_b")
 
 
+def clique_profile(items: DataFrame, group: str, key: str) -> DataFrame:
+    """(group, n, span): how many pairs `clique_pairs` gives for a group, and the sum of key_b - key_a over them.
+
+    Read off the keys' places, so groups whose pairs nobody could list have it in the time of a sort: a key at place i of
+    m is taken away m - 1 - i times and added i times; equal keys make no pair. Groups without pairs have no row.
+    """
+    placed = ranks.places(items.select(group, key).dropna(), [group], [key], "_i", "_m")
+    signed = placed.groupBy(group, key).agg(F.count("*").alias("_k"), F.sum(2 * F.col("_i") - F.col("_m") + 1).alias("_w"), F.max("_m").alias("_m"))
+    equal = F.sum(F.expr("_k * (_k - 1) div 2"))
+    sums = signed.groupBy(group).agg((F.expr("max(_m) * (max(_m) - 1) div 2") - equal).alias("n"), F.sum(F.col("_w") * F.col(key)).alias("span"))
+    return sums.filter("n > 0")
+
+
 def numbered(items: DataFrame, group: str, key: str, seed: str) -> DataFrame:
     """(group, key, i, n): places from 0 in the group's shuffled order, and the group's size."""
     return ranks.places(items.select(group, key), [group], [shuffle_key(seed, F.col(group), F.col(key)), key], "i", "n").select(group, key, "i", "n")

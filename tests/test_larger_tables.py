@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortia.functions import text as T
-from cohortia.operators import metrics, resample, runs
+from cohortia.operators import metrics, pairs, resample, runs
 from cohortia.plans.registry import QUERIES
 
 
@@ -58,3 +58,15 @@ def test_bootstrap_draws_are_shuffled_once_by_one_number(spark):
     assert got == {(r.rep, r.late): pytest.approx(r.v) for r in m.collect()} and len(got) == 10
     plan = resample.clustered_mean(rows, "c", "x", 5, "s", "late")._jdf.queryExecution().optimizedPlan().toString()
     assert "AS times" not in plan
+
+
+def test_clique_profile_counts_pairs_without_listing_them(spark):
+    rows = [("a", k) for k in (5, 1, 1, 9, 1, 7)] + [("b", 4), ("c", None), (None, 1), (None, 2), ("d", 3), ("d", 3), ("e", 2), ("e", 8)]
+    items = spark.createDataFrame(rows, "g string, k long")
+    listed = pairs.clique_pairs(items, "g", "k").groupBy("g").agg(F.count("*").alias("n"), F.sum(F.col("key_b") - F.col("key_a")).alias("span"))
+    found = {tuple(r) for r in pairs.clique_profile(items, "g", "k").select("g", "n", "span").collect()}
+    assert found == {tuple(r) for r in listed.collect()} and len(found) == 2
+    # A hundred thousand of a group have five thousand million pairs.
+    many = spark.range(100_000).select(F.lit("x").alias("g"), F.col("id").alias("k"))
+    r = pairs.clique_profile(many, "g", "k").first()
+    assert (r.n, r.span) == (100_000 * 99_999 // 2, (100_000**3 - 100_000) // 6)
