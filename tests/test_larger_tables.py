@@ -2,11 +2,12 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cohortia.functions import text as T
-from cohortia.operators import metrics, pairs, resample, runs
+from cohortia.operators import metrics, pairs, resample, runs, spectra
 from cohortia.plans.registry import QUERIES
 
 
@@ -60,6 +61,15 @@ def test_bootstrap_draws_are_shuffled_once_by_one_number(spark):
     assert "AS times" not in plan
 
 
+def test_square_distances_by_one_product(spark):
+    rng = np.random.default_rng(5)
+    a = rng.normal(3, 1, (40, 6))
+    b = np.concatenate([a[:10], a[10:20] + 1e-7, rng.normal(3, 1, (30, 6))])
+    far = spectra._square_distances(a, b)
+    assert np.allclose(far, np.square(a[:, None] - b[None]).sum(-1), rtol=1e-8, atol=0)
+    assert (far[np.arange(10), np.arange(10)] == 0).all()
+
+
 def test_clique_profile_counts_pairs_without_listing_them(spark):
     rows = [("a", k) for k in (5, 1, 1, 9, 1, 7)] + [("b", 4), ("c", None), (None, 1), (None, 2), ("d", 3), ("d", 3), ("e", 2), ("e", 8)]
     items = spark.createDataFrame(rows, "g string, k long")
