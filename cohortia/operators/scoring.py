@@ -20,9 +20,15 @@ AGGREGATES: dict[str, callable] = {
 
 
 def unit_scores(windows: DataFrame, keys: list[str], value: Column | str, aggregates: tuple[str, ...] = ("min", "mean", "p10")) -> DataFrame:
-    """One row per unit with the named aggregates of its windows' values."""
+    """One row per unit with the named aggregates of its windows' values.
+
+    Windows are dealt by unit before anything is summed: a task that reads a large file would else keep the values of all
+    its units for the quantile.
+    """
     value = F.col(value) if isinstance(value, str) else value
-    return windows.groupBy(*keys).agg(*[AGGREGATES[a](value).alias(a) for a in aggregates])
+    dealt = windows.select(*keys, value.alias("_value")).repartition(*keys)
+    value = F.col("_value")
+    return dealt.groupBy(*keys).agg(*[AGGREGATES[a](value).alias(a) for a in aggregates])
 
 
 def scaled_density(logp: Column, q: Column, h: Column, dims: int) -> Column:

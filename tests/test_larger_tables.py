@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortia.functions import text as T
-from cohortia.operators import metrics, pairs, resample, runs, spectra
+from cohortia.operators import metrics, pairs, resample, runs, scoring, spectra
 from cohortia.plans.registry import QUERIES
 
 
@@ -80,3 +80,11 @@ def test_clique_profile_counts_pairs_without_listing_them(spark):
     many = spark.range(100_000).select(F.lit("x").alias("g"), F.col("id").alias("k"))
     r = pairs.clique_profile(many, "g", "k").first()
     assert (r.n, r.span) == (100_000 * 99_999 // 2, (100_000**3 - 100_000) // 6)
+
+
+def test_unit_scores_deal_windows_before_they_keep_values(spark):
+    windows = spark.range(1000).select((F.col("id") % 7).alias("u"), F.col("id").cast("double").alias("x"))
+    scores = scoring.unit_scores(windows, ["u"], "x")
+    assert scores.filter("u = 3").first()["p10"] == pytest.approx(3 + 7 * 0.1 * 142)
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.rindex("ObjectHashAggregate") < plan.index("Exchange")
