@@ -12,11 +12,12 @@ from cohortia.plans.registry import query, table
 
 def sequences(spark, d):
     """Each user's events as frames of 12 classes in order of time."""
-    e = table(spark, d, "events").select("user_id", "event_id", "value", "ts")
-    pc = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: F.when(F.pmod(F.floor("value"), F.lit(12)) == k, F.lit(1.0)).otherwise(F.lit(0.0)))
-    rows = e.select(F.col("user_id").cast("string").alias("key"), F.struct("event_id", F.col("value").alias("t"), pc.alias("pc")).alias("f"))
+    e = table(spark, d, "events")
+    pc = lambda t: F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: F.when(F.pmod(F.floor(t), F.lit(12)) == k, F.lit(1.0)).otherwise(F.lit(0.0)))
+    rows = e.select(F.col("user_id").cast("string").alias("key"), F.struct("event_id", F.col("value").alias("t")).alias("f"))
     s = rows.groupBy("key").agg(F.array_sort(F.collect_list("f")).alias("f"))
-    return s.select("key", F.transform("f", lambda x: x["pc"]).alias("frames"), F.array_sort(F.transform("f", lambda x: x["t"])).alias("times"))
+    # Classes are made of values after these are shuffled.
+    return s.select("key", F.transform("f", lambda x: pc(x["t"])).alias("frames"), F.array_sort(F.transform("f", lambda x: x["t"])).alias("times"))
 
 
 PROFILE = "SELECT user_id AS key, k, avg((floor(value)::BIGINT % 12 = k)::INTEGER) AS x FROM events, range(12) t(k) GROUP BY 1, 2"

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortia.functions import text as T
-from cohortia.operators import metrics, pairs, resample, runs, scoring, spectra
+from cohortia.operators import align, metrics, pairs, resample, runs, scoring, spectra
 from cohortia.plans.registry import QUERIES
 
 
@@ -88,3 +88,31 @@ def test_unit_scores_deal_windows_before_they_keep_values(spark):
     assert scores.filter("u = 3").first()["p10"] == pytest.approx(3 + 7 * 0.1 * 142)
     plan = scores._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and plan.rindex("ObjectHashAggregate") < plan.index("Exchange")
+
+
+def test_preservation_aligns_each_pair_once_where_it_lies(spark):
+    plan = QUERIES["M26_preservation"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan and "FlatMapGroups" not in plan
+
+
+def test_alignments_of_many_pairs_at_a_time_are_those_of_each(spark):
+    rng = np.random.default_rng(6)
+    cells = [np.where(rng.random(shape) < 0.3, 1.0, -1.0) for shape in ((23, 31), (31, 23), (40, 7), (1, 9), (9, 1), (1, 1), (12, 12))] + [-np.ones((3, 4))]
+    for gap in (0.5, 0.0):
+        together = [(best, [tuple(at) for at in path.tolist()]) for best, path in align.local_alignments(cells, gap)]
+        assert together == [align.local_alignment(c, gap) for c in cells]
+    for q in (0.0, 0.3, 0.8, 1.0):
+        x = rng.integers(0, 5, 37) / 3
+        assert align._quantile(x, q) == np.quantile(x, q) and math.isnan(align._quantile(np.append(x, np.nan), q))
+    seqs = {str(k): rng.random((n, 12)) for k, n in enumerate((30, 25, 90, 5))} | {"none": None}
+    rows = [(k, None if v is None else v.tolist()) for k, v in seqs.items()]
+    s = spark.createDataFrame(rows, "key string, frames array<array<double>>").unionByName(spark.createDataFrame([("ragged", [[1.0] * 12] * 30 + [[1.0] * 11])], "key string, frames array<array<double>>"))
+    both = s.select(F.col("key").alias("key_a"), F.col("frames").alias("frames_a")).crossJoin(s.select(F.col("key").alias("key_b"), F.col("frames").alias("frames_b")))
+    got = {(r.key_a, r.key_b): r for r in align.align_met(both).collect()}
+    assert len(got) == 36
+    for (a, b), r in got.items():
+        if {a, b} <= {"0", "1", "2"}:
+            score, oti, path = align.align_pair(seqs[a], seqs[b])
+            assert (r.score, r.oti, [(at.i, at.j) for at in r.path], r.error) == (score, oti, path, None)
+        else:
+            assert r.error and r.score is None and r.oti is None and r.path == []
