@@ -65,9 +65,10 @@ def test(songs: DataFrame, seen: DataFrame, key: str, unit: str, source: str, pr
     own = metrics.quantile_table(long.filter(F.col(source) == reference), "_x", [protocol["fpr"]], ("row",)).select("row", F.when(F.col("row") == mine, F.lit(float(protocol["threshold"]))).otherwise(F.col("value")).alias("_t"))
     marked = long.join(F.broadcast(own), "row").withColumn("_f", (F.col("_x") < F.col("_t")).cast("int"))  # a row for each score
     flagged = marked.groupBy("row", source).agg(F.count("*").alias("songs"), F.avg("_f").alias("flagged"))
-    share = resample.interval(resample.clustered_mean(marked.filter(F.col("row") == mine), unit, "_f", reps, seed, source), "value", (source,))
+    times = stash(resample.drawn_times(songs, unit, reps, seed, source), "test-times")
+    share = resample.interval(resample.drawn_mean(marked.filter(F.col("row") == mine), times, unit, "_f", source), "value", (source,))
     share = share.select(F.lit(mine).alias("row"), source, F.col("low").alias("flagged_low"), F.col("high").alias("flagged_high"))
-    draws = stash(resample.source_auroc_replicates(songs, unit, scores, source, reference, reps, seed), "test-draws").withColumnRenamed("score", "row")
+    draws = stash(resample.source_auroc_replicates(songs, times, unit, scores, source, reference), "test-draws").withColumnRenamed("score", "row")
     ranked = metrics.auroc_against(long, "_x", source, reference, by=("row",))
     spread = resample.interval(draws, "auroc", ("row", source)).select("row", source, F.col("low").alias("auroc_low"), F.col("high").alias("auroc_high"))
     base = draws.filter(F.col("row") == mine).select("rep", source, F.col("auroc").alias("_base"))

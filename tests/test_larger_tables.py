@@ -116,3 +116,26 @@ def test_alignments_of_many_pairs_at_a_time_are_those_of_each(spark):
             assert (r.score, r.oti, [(at.i, at.j) for at in r.path], r.error) == (score, oti, path, None)
         else:
             assert r.error and r.score is None and r.oti is None and r.path == []
+
+
+def test_draws_of_all_replicates_in_one_row_a_unit(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = [float(v) for v in rng.integers(0, 9, 400) / 2] + [math.inf, -math.inf, math.nan, 0.0, -0.0]
+    rows = [(("ref", "a", "b", None)[i % 4], (i % 57) or None, "pq"[i // 7 % 2], v) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "s string, u long, g string, x double").repartition(5)
+    monkeypatch.setattr(resample, "DEALT", 60)  # lots of ten units
+    times = resample.drawn_times(df, "u", 6, "t", "s")
+    listed = {(r.s, r.u): list(r.times) for r in times.collect()}
+    assert len(listed) == times.count()
+    apart = resample.multiplicities(df, "u", 6, "t", "s")
+    want = {(r.rep, r.s, r.u): r.times for r in apart.collect()}
+    assert {(k, *key): n for key, v in listed.items() for k, n in enumerate(v) if n} == want
+    met = lambda m: df.withColumnsRenamed({"s": "_s", "u": "_u"}).join(m, F.col("_s").eqNullSafe(F.col("s")) & F.col("_u").eqNullSafe(F.col("u")))
+    plain = lambda t: {tuple(r[c] for c in sorted(t.columns) if c != "auroc"): r.auroc for r in t.collect()}
+    for by, reference, n in ((("g",), "ref", 36), ((), "gone", 24)):
+        got = plain(resample.drawn_auroc(met(times), "x", "s", reference, by))
+        assert got == plain(metrics.auroc_against(met(apart), "x", "s", reference, by=("rep", *by), weight=F.col("times"))) and len(got) == n
+    finite = df.filter("x > -9 AND x < 9")
+    mean = {(r.rep, r.s): r.value for r in resample.drawn_mean(finite, resample.drawn_times(finite, "u", 6, "t", "s"), "u", "x", "s").collect()}
+    assert mean == {(r.rep, r.s): pytest.approx(r.value) for r in resample.clustered_mean(finite, "u", "x", 6, "t", "s").collect()} and len(mean) == 24
+    assert resample.drawn_auroc(met(times).limit(0), "x", "s", "ref").count() == 0
